@@ -128,26 +128,35 @@ def later_repeats(df: DataFrame, key: Sequence[str], id_col: str, *, required: S
 
     The self-join "some q with q.key = p.key and q.id < p.id" is pushed below an
     aggregate: q is reduced to one state a key (smallest id, row count), keys
-    that occur once are dropped, and only the surviving states meet the rows p,
-    by ``salted_join`` so that a key with a third of all rows is spread.
+    that occur once are dropped, and only the surviving states meet the rows p.
+    The states of hot keys, at most MAX_HOT_KEYS, are broadcast to wherever
+    their rows are; the rows of all other keys meet theirs by a shuffled join.
 
     Nulls in ``key`` are equal to each other; rows with a null in ``required``
     or a null id take no part. A row repeated with its own id is no later row.
-    One column, distinct values.
+    One column, distinct values if the ids are.
     """
     rows = df.select(id_col, *key).filter(F.col(id_col).isNotNull())
     for c in required:
         rows = rows.filter(F.col(c).isNotNull())
+    names = {k: f"_k{i}" for i, k in enumerate(key)}
     states = (
         rows.groupBy(*key)
         .agg(F.min(id_col).alias("_first"), F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > 1)
+        .withColumnsRenamed(names)
     )
-    hot = (
-        states.filter(F.col("_n") >= hot_rows)
-        .orderBy(F.desc("_n"))
-        .limit(MAX_HOT_KEYS)
-        .select(*key, F.least(F.ceil(F.col("_n") / hot_rows) + 1, F.lit(MAX_SALTS)).cast("int").alias("_salts"))
-    )
-    joined = salted_join(rows, states.drop("_n"), key, spread_by=[id_col], null_safe=True, hot=hot)
-    return joined.filter(F.col(id_col) > F.col("_first")).select(id_col)
+    hot = states.orderBy(F.desc("_n"), "_first").limit(MAX_HOT_KEYS).filter(F.col("_n") >= hot_rows)
+
+    def same(a: DataFrame, b: DataFrame) -> Column:
+        match = F.lit(True)
+        for k, name in names.items():
+            match = match & a[k].eqNullSafe(b[name])
+        return match
+
+    marked = rows.join(F.broadcast(hot), same(rows, hot), "left").drop(*names.values(), "_n")
+    known = marked.filter(F.col("_first").isNotNull())
+    other = marked.filter(F.col("_first").isNull()).drop("_first")
+    joined = other.join(states, same(other, states))
+    later = F.col(id_col) > F.col("_first")
+    return joined.filter(later).select(id_col).unionByName(known.filter(later).select(id_col))
