@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as pacsv
@@ -19,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Lines tried at once before the first cut.
-BLOCK_ROWS = 512
+#: Lines tried at once before the first cut, and lines of a failing block that
+#: are cheaper to read strictly than to cut again.
+BLOCK_ROWS, STRICT_ROWS = 512, 8
 _RFC_LINE = r'(?s)\A(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*\z'
 
 
@@ -124,13 +126,13 @@ class _Checker:
         todo = [(i, min(i + BLOCK_ROWS, len(lines))) for i in range(0, len(lines), BLOCK_ROWS)][::-1]
         while todo:
             lo, hi = todo.pop()
-            if hi - lo == 1:
-                reason, fields = self.diagnose(lines[lo].as_py())
-                yield lo, hi, None if reason else [pa.array([f], pa.string()) for f in fields], reason
-                continue
             columns = self.bulk(lines.slice(lo, hi - lo))
             if columns is not None:
                 yield lo, hi, columns, None
+            elif hi - lo <= STRICT_ROWS:
+                for i in range(lo, hi):
+                    reason, fields = self.diagnose(lines[i].as_py())
+                    yield i, i + 1, None if reason else [pa.array([f], pa.string()) for f in fields], reason
             else:
                 mid = (lo + hi) // 2
                 todo += [(mid, hi), (lo, mid)]
@@ -156,10 +158,15 @@ def parse_lines(
     ids are repeated in the result; other columns are ignored.
     """
     checkers = {v: _Checker(f) for v, f in formats.items()}
-    other = _Checker(LineFormat(next(iter(formats.values())).columns, 1, -1, {}, r"(?!)"))
+    other = _Checker(LineFormat(next(iter(formats.values())).columns, 1, -1, {}, r"(?:a^)"))
     source = df.select(F.col(id_col).alias("id"), F.col(vendor_col).alias("vendor"), F.col(line_col).alias("line"))
-    schema = T.StructType([df.schema[id_col], T.StructField(vendor_col, T.StringType()), T.StructField("reason", T.StringType()), T.StructField("fields", T.ArrayType(T.StringType()))])
-    arrow = pa.list_(pa.field("element", pa.string()))
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField(vendor_col, T.StringType()), T.StructField("reason", T.StringType()), T.StructField("fields", T.ArrayType(T.StringType()))])
+    lists = pa.list_(pa.field("element", pa.string()))
+
+    def fields_of(columns: list[pa.Array]) -> pa.Array:
+        width, n = len(columns), len(columns[0])
+        order = np.arange(width * n).reshape(width, n).T.ravel()
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.concat_arrays(columns).take(pa.array(order))).cast(lists)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,25 +176,22 @@ def parse_lines(
             lines = pc.replace_substring_regex(pc.replace_substring_regex(lines, "\\A\ufeff", ""), r"(?:\r\n|\r|\n)\z", "")
             for vendor in pc.unique(vendors).to_pylist():
                 mine = pc.fill_null(pc.equal(vendors, vendor), False) if vendor is not None else pc.is_null(vendors)
-                checker = checkers.get(vendor, other)
                 own_ids, own = pc.filter(ids, mine), pc.filter(lines, mine)
                 none = pc.is_null(own)
-                lost = pc.filter(own_ids, none)
-                if len(lost):
-                    yield _batch(lost, vendor, "column_count", pa.nulls(len(lost), arrow))
-                own_ids, own = pc.filter(own_ids, pc.invert(none)), pc.filter(own, pc.invert(none))
-                for lo, hi, columns, reason in checker.split(own):
-                    if columns is None:
-                        fields = pa.nulls(hi - lo, arrow)
-                    else:
-                        width = len(columns)
-                        order = pa.array([c * (hi - lo) + r for r in range(hi - lo) for c in range(width)], pa.int64())
-                        fields = pa.ListArray.from_arrays(pa.array(range(0, (hi - lo) * width + 1, width), pa.int32()), pa.concat_arrays(columns).take(order))
-                    yield _batch(own_ids.slice(lo, hi - lo), vendor, reason, fields)
-
-    def _batch(ids: pa.Array, vendor: str | None, reason: str | None, fields: pa.Array) -> pa.RecordBatch:
-        n = len(ids)
-        return pa.RecordBatch.from_arrays([ids, pa.array([vendor] * n, pa.string()), pa.array([reason] * n, pa.string()), fields.cast(arrow)], names=[id_col, vendor_col, "reason", "fields"])
+                reasons, parts, order = [], [], []
+                missing = np.flatnonzero(none.to_numpy(zero_copy_only=False))
+                if len(missing):
+                    reasons += ["column_count"] * len(missing)
+                    parts.append(pa.nulls(len(missing), lists))
+                    order.append(missing)
+                there = np.flatnonzero(~none.to_numpy(zero_copy_only=False))
+                for lo, hi, columns, reason in checkers.get(vendor, other).split(own.take(pa.array(there))):
+                    reasons += [reason] * (hi - lo)
+                    parts.append(pa.nulls(hi - lo, lists) if columns is None else fields_of(columns))
+                    order.append(there[lo:hi])
+                n = len(own_ids)
+                arrays = [own_ids.take(pa.array(np.concatenate(order))), pa.array([vendor] * n, pa.string()), pa.array(reasons, pa.string()), pa.concat_arrays(parts)]
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return source.mapInArrow(run, schema)
 
