@@ -9,11 +9,12 @@ and ``unpack`` use the index to get single files or all of them back.
 
 from __future__ import annotations
 
-import os
+import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,43 +28,46 @@ def file_key(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"([^/\\]*)$", 1))
 
 
-def current_files(manifest: DataFrame, *, id_col: str = "list_id", path_col: str = "patch_file", bytes_col: str = "n_bytes") -> DataFrame:
-    """One row a file: ``file_key`` and the columns of the listed row that
-    stands for it, the one with the smallest id of those with bytes.
+def current_files(manifest: DataFrame, *, keep: Sequence[str] = (), id_col: str = "list_id", path_col: str = "patch_file", bytes_col: str = "n_bytes") -> DataFrame:
+    """One row a file: ``file_key``, the id, bytes and ``keep`` columns of the
+    listed row that stands for it, the one with the smallest id of those with
+    bytes.
 
     Rows with null or no bytes, a null path, an empty last component or a null
-    id stand for no file. The reduction is a map-side combined minimum over a
-    struct, so a file listed a million times leaves each task once.
+    id stand for no file. The reduction is a map-side combined minimum, so a
+    file listed a million times leaves each task once.
     """
-    rest = [c for c in manifest.columns if c != id_col]
     listed = manifest.filter((F.col(bytes_col) > 0) & F.col(path_col).isNotNull() & F.col(id_col).isNotNull())
-    keyed = listed.withColumn("_key", file_key(F.col(path_col))).filter(F.col("_key") != "")
-    best = keyed.groupBy("_key").agg(F.min_by(F.struct(id_col, *rest), F.col(id_col)).alias("_row"))
-    return best.select(F.col("_key").alias("file_key"), *[F.col(f"_row.`{c}`").alias(c) for c in [id_col, *rest]])
+    keyed = listed.select(file_key(F.col(path_col)).alias("_key"), *[F.col(c).alias(f"_{i}") for i, c in enumerate([id_col, bytes_col, *keep])]).filter(F.col("_key") != "")
+    rest = [F.min_by(f"_{i}", "_0").alias(c) for i, c in enumerate([bytes_col, *keep], 1)]
+    return keyed.groupBy(F.col("_key").alias("file_key")).agg(F.min("_0").alias(id_col), *rest)
 
 
-def plan_containers(files: DataFrame, *, key_col: str = "file_key", bytes_col: str = "n_bytes", target_bytes: int = TARGET_BYTES) -> DataFrame:
+def plan_containers(files: DataFrame, *, key_col: str = "file_key", bytes_col: str = "n_bytes", target_bytes: int = TARGET_BYTES, total_bytes: int | None = None) -> DataFrame:
     """``files`` with ``container_id``, ``byte_offset`` and ``byte_length``.
 
-    Files are dealt by hash to so many lanes that a lane holds about 64 containers' bytes,
-    then cut along each lane's running sum: a container starts at each multiple
-    of ``target_bytes``, so it is over the target by less than one file. Every
-    lane is one bounded window partition; the plan depends on the files only,
-    not on how they are partitioned.
+    Files are dealt by hash to so many lanes that a lane holds about 64
+    containers' bytes, then cut along each lane's running sum: a container
+    starts at each multiple of ``target_bytes``, so it is over the target by
+    less than one file. Every lane is one bounded window partition, and the
+    plan depends on the files only, not on how they are partitioned.
+    ``total_bytes``: their bytes, or any bound near it, where known; else they
+    are summed up first. Null bytes count as none.
     """
-    total = files.agg(F.sum(bytes_col)).first()[0] or 0
-    lanes = max(1, -(-total // (64 * target_bytes)))
+    if total_bytes is None:
+        total_bytes = files.agg(F.sum(bytes_col)).first()[0] or 0
+    lanes = max(1, -(-total_bytes // (64 * target_bytes)))
     lane = F.pmod(F.xxhash64(key_col), F.lit(lanes))
     along = Window.partitionBy("_lane").orderBy(key_col).rowsBetween(Window.unboundedPreceding, -1)
-    within = Window.partitionBy("_lane", "_box").orderBy(key_col).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.col(bytes_col).cast("long")).over(along), F.lit(0).cast("long"))
+    length = F.coalesce(F.col(bytes_col).cast("long"), F.lit(0).cast("long"))
     return (
-        files.withColumn("_lane", lane)
-        .withColumn("_box", F.floor(before / target_bytes))
-        .withColumn("byte_offset", F.coalesce(F.sum(F.col(bytes_col).cast("long")).over(within), F.lit(0).cast("long")))
+        files.withColumn("byte_length", length)
+        .withColumn("_lane", lane)
+        .withColumn("_before", F.coalesce(F.sum("byte_length").over(along), F.lit(0).cast("long")))
+        .withColumn("_box", F.floor(F.col("_before") / target_bytes))
+        .withColumn("byte_offset", F.col("_before") - F.min("_before").over(Window.partitionBy("_lane", "_box")))
         .withColumn("container_id", F.concat(F.lit("c"), F.lpad(F.col("_lane").cast("string"), 8, "0"), F.lit("-"), F.lpad(F.col("_box").cast("string"), 4, "0")))
-        .withColumn("byte_length", F.col(bytes_col).cast("long"))
-        .drop("_lane", "_box")
+        .drop("_lane", "_box", "_before")
     )
 
 
@@ -78,32 +82,55 @@ _INDEX = T.StructType(
 )
 
 
+def _split_uri(path: str):
+    """(file system, path in it) of a local path or of a URI that Arrow knows."""
+    if "://" in path or path.startswith("file:"):
+        return pafs.FileSystem.from_uri(path if "://" in path else "file://" + path[len("file:") :])
+    return pafs.LocalFileSystem(), path
+
+
+def _read(path: str) -> bytes:
+    system, place = _split_uri(path)
+    with system.open_input_file(place) as f:
+        return f.read()
+
+
 def pack_containers(files: DataFrame, out_dir: str, *, target_bytes: int = TARGET_BYTES) -> DataFrame:
-    """Write the files of ``files`` (path, content: as Spark's binaryFile source
-    gives them) into containers under ``out_dir``; the result is their index.
-
-    A container's name is its first member's hash, and it is written under a
-    temporary name and renamed when complete, so a task that is run again
-    replaces its own containers and leaves no torn one. Each partition packs
-    its own files; bytes are never shuffled. Rows with null content are left
-    out. Evaluate the result once and store it: it is what finds the files.
+    """Write the files of ``files`` into containers under ``out_dir``, a folder
+    or URI that all executors reach; the result is their index.
+
+    ``files`` has ``path``, and may have ``content``; without it the bytes are
+    read from the path, empty files too (Spark's binaryFile source leaves those
+    out, so give paths where they matter). Rows with a null path or content are
+    left out. Each partition packs its own files, so bytes are never shuffled.
+
+    A container is named after its members and written under another name until
+    it is whole: a task that is run again replaces its own containers and leaves
+    no torn one. Store the index when it is made; it is what finds the files.
     """
+    given = "content" in files.columns
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(out_dir, exist_ok=True)
+        system, folder = _split_uri(out_dir)
+        system.create_dir(folder, recursive=True)
         rows, blob = [], []
 
         def flush() -> pa.RecordBatch:
-            name = f"{zlib.crc32(rows[0][0].encode()):08x}-{len(rows)}-{zlib.crc32(''.join(r[0] for r in rows).encode()):08x}.bin"
-            with open(os.path.join(out_dir, f".{name}.{os.getpid()}"), "wb") as f:
-                f.writelines(blob)
-            os.replace(f.name, os.path.join(out_dir, name))
+            members = "\n".join(r[0] for r in rows).encode()
+            name = f"{zlib.crc32(members):08x}-{zlib.adler32(members):08x}-{len(rows)}.bin"
+            torn = f"{folder}/_{name}.{uuid.uuid4().hex}"
+            with system.open_output_stream(torn) as f:
+                for data in blob:
+                    f.write(data)
+            system.move(torn, f"{folder}/{name}")
             index = [(p, name, at, n, crc) for p, at, n, crc in rows]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*index), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=_INDEX.names)
 
         size = 0
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if content is None or path is None:
+            for i, path in enumerate(batch.column(0).to_pylist()):
+                content = None if path is None else batch.column(1)[i].as_py() if given else _read(path)
+                if content is None:
                     continue
                 rows.append((path, size, len(content), zlib.crc32(content)))
                 blob.append(content)
@@ -114,12 +141,13 @@ def pack_containers(files: DataFrame, out_dir: str, *, target_bytes: int = TARGE
         if rows:
             yield flush()
 
-    return files.select("path", "content").mapInArrow(run, _INDEX)
+    return files.select("path", *["content"] * given).mapInArrow(run, _INDEX)
 
 
 def read_member(out_dir: str, container: str, byte_offset: int, byte_length: int, crc32: int) -> bytes:
     """One file's bytes; ValueError where they don't have the checksum."""
-    with open(os.path.join(out_dir, container), "rb") as f:
+    system, folder = _split_uri(out_dir)
+    with system.open_input_file(f"{folder}/{container}") as f:
         f.seek(byte_offset)
         data = f.read(byte_length)
     if len(data) != byte_length or zlib.crc32(data) != crc32:

@@ -59,13 +59,18 @@ def p5_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("line_id", "vendor", "wsi_file", "ann_type", "ann_name", "group_text", F.size("coordinates").alias("n_points"))
 
 
+def _containers(spark: SparkSession, sf_dir: str, keep: tuple[str, ...]) -> DataFrame:
+    manifest = table(spark, sf_dir, "patch_file_list")
+    listed = manifest.filter(F.col("n_bytes") > 0).agg(F.sum("n_bytes")).first()[0] or 0  # a bound: files listed again count again
+    return bundles.plan_containers(bundles.current_files(manifest, keep=keep), total_bytes=listed)
+
+
 def p7_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = bundles.current_files(table(spark, sf_dir, "patch_file_list").select("list_id", "patch_file", "n_bytes", "checksum"))
-    return bundles.plan_containers(files)
+    return _containers(spark, sf_dir, ("patch_file", "checksum"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p7_index(spark, sf_dir).select("list_id")
+    return _containers(spark, sf_dir, ()).select("list_id")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p2_found, p2_label_load, p4_found, p5_found, p5_valid, p7_found, p7_index)}
