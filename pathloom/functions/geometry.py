@@ -78,11 +78,13 @@ def polygon_window_area(exterior: Column, holes: Column, x1: Column, y1: Column,
     return window_area(exterior, x1, y1, x2, y2) - inner
 
 
-def ellipse_ring(box: Column) -> Column:
-    """The ellipse in a box given by its corner points, as a closed ring of 65
-    whole-numbered points, clockwise from the right-hand end."""
-    b = bounds(box)
-    cx, cy, rx, ry = (b["x1"] + b["x2"]) / 2, (b["y1"] + b["y2"]) / 2, (b["x2"] - b["x1"]) / 2, (b["y2"] - b["y1"]) / 2
+def ellipse_ring(corners: Column) -> Column:
+    """The ellipse in a box given by its corners (from the top left, clockwise),
+    as a closed ring of 65 whole-numbered points from the right-hand end. The
+    centre and the half axes are whole numbers too."""
+    p = [F.element_at(corners, i) for i in (1, 2, 4)]
+    cx, cy = F.bround((p[0]["x"] + p[1]["x"]) / 2, 0), F.bround((p[0]["y"] + p[2]["y"]) / 2, 0)
+    rx, ry = F.bround((p[1]["x"] - p[0]["x"]) / 2, 0), F.bround((p[2]["y"] - p[0]["y"]) / 2, 0)
 
     def point(i: Column) -> Column:
         t = -i * F.pi() / (2 * _QUARTER)

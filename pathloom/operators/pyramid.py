@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.functions.scalars import LEVEL_OR_SIZE, fixed, whole
+from pathloom.functions.scalars import LEVEL_OR_SIZE, fixed, level_and_mpp, whole
 
 # Defaults of the settings.
 MPP_PLACES, MIN_MPP, MAX_MAGNIFICATION, LEVEL_MARGIN, PADDING_MARGIN = 5, 0.001, 40, 0.003, 10
@@ -68,11 +68,8 @@ def pyramids(levels: DataFrame) -> DataFrame:
     return once.groupBy("slide_id").agg(F.array_sort(F.collect_list(F.struct("slide_level", *values))).alias("levels"))
 
 
-_L = F.col("levels")
-
-
 def _first(condition, found: str = "slide_level", last: bool = False) -> Column:
-    matching = F.filter(_L, condition)
+    matching = F.filter("levels", condition)
     return F.try_element_at(matching, F.lit(-1 if last else 1))[found]
 
 
@@ -99,7 +96,7 @@ def level_or_nearest(value: Column) -> Column:
 def level_of_mpp(mpp: Column, margin: float = LEVEL_MARGIN) -> Column:
     """The first level whose mpp differs by less than the margin, else -1; -1
     too where a level has no mpp."""
-    known = F.forall(_L, lambda v: F.coalesce(v["mpp"] != 0, F.lit(False)))
+    known = F.forall("levels", lambda v: F.coalesce(v["mpp"] != 0, F.lit(False)))
     return F.when(known, F.coalesce(_first(lambda v: fixed(F.abs(v["mpp"] - mpp)) < margin), F.lit(-1))).otherwise(F.lit(-1))
 
 
@@ -187,8 +184,6 @@ def multires_patches(patches: DataFrame, levels: DataFrame, targets: Sequence[in
     """Each patch (slide_id, x, y, w, h) at every target level (int) or mpp
     (float), sharing its centre: ``member``, ``target_level``, ``target_mpp``,
     ``target_x``, ``target_y``. Null places where a needed mpp is missing."""
-    from pathloom.functions.scalars import level_and_mpp
-
     base_level, base_mpp = level_and_mpp(base)
     wanted = [level_and_mpp(t) for t in targets]
     members = F.array(*[F.struct(F.lit(i).alias("member"), F.lit(v).cast("int").alias("target_level"), F.lit(m).cast("double").alias("target_mpp")) for i, (v, m) in enumerate(wanted)])
