@@ -54,22 +54,32 @@ def window_area(ring_edges: Column, x1: Column, y1: Column, x2: Column, y2: Colu
     """Area that the ring shares with the window [x1, x2] x [y1, y2].
 
     Each edge adds, over the stretch of x it has in the window, the integral of
-    its height above y1, cut off at y2, signed by its direction.
+    its height above y1, cut off at y2, signed by its direction. Edges without
+    such a stretch are dropped by two comparisons; the others' values are bound
+    once, in two steps, before they are added up.
     """
+    def meets(e: Column) -> Column:
+        return (F.least(e["px"], e["qx"]) < x2) & (F.greatest(e["px"], e["qx"]) > x1) & (e["px"] != e["qx"])
+
+    def stretch(e: Column) -> Column:
+        lo, hi = F.greatest(F.least(e["px"], e["qx"]), x1), F.least(F.greatest(e["px"], e["qx"]), x2)
+        return F.struct(e["px"].alias("px"), e["py"].alias("py"), F.signum(e["qx"] - e["px"]).alias("d"), lo.alias("lo"), hi.alias("hi"), ((e["qy"] - e["py"]) / (e["qx"] - e["px"])).alias("m"))
+
+    def heights(e: Column) -> Column:
+        at = lambda c: e["py"] + e["m"] * (e[c] - e["px"])
+        return F.struct(e["d"].alias("d"), (e["hi"] - e["lo"]).alias("w"), e["m"].alias("m"), at("lo").alias("a"), at("hi").alias("b"))
+
     def above(u: Column) -> Column:
-        a, b = F.greatest(u - y1, F.lit(0.0)), F.greatest(u - y2, F.lit(0.0))
-        return (a * a - b * b) / 2
+        p, q = F.greatest(u - y1, F.lit(0.0)), F.greatest(u - y2, F.lit(0.0))
+        return (p * p - q * q) / 2
 
     def term(e: Column) -> Column:
-        lo, hi = F.greatest(F.least(e["px"], e["qx"]), x1), F.least(F.greatest(e["px"], e["qx"]), x2)
-        slope = (e["qy"] - e["py"]) / (e["qx"] - e["px"])
-        at_lo, at_hi = e["py"] + slope * (lo - e["px"]), e["py"] + slope * (hi - e["px"])
-        flat = (F.greatest(y1, F.least(y2, at_lo)) - y1) * (hi - lo)
-        sloped = (above(at_hi) - above(at_lo)) / slope
-        value = F.when(F.abs(at_hi - at_lo) < _FLAT, flat).otherwise(sloped)
-        return F.when((e["px"] == e["qx"]) | (lo >= hi), F.lit(0.0)).otherwise(F.signum(e["qx"] - e["px"]) * value)
-
-    return F.abs(F.aggregate(ring_edges, F.lit(0.0), lambda s, e: s + term(e)))
+        flat = (F.greatest(y1, F.least(y2, e["a"])) - y1) * e["w"]
+        sloped = (above(e["b"]) - above(e["a"])) / e["m"]
+        return e["d"] * F.when(F.abs(e["b"] - e["a"]) < _FLAT, flat).otherwise(sloped)
+
+    bound = F.transform(F.transform(F.filter(ring_edges, meets), stretch), heights)
+    return F.abs(F.aggregate(bound, F.lit(0.0), lambda s, e: s + term(e)))
 
 
 def polygon_window_area(exterior: Column, holes: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

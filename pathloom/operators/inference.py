@@ -90,7 +90,7 @@ def stitch(outputs: DataFrame, *, tile: int = TILE, interpolation: str = "biline
     dealt = dealt.withColumn("output", F.slice("output", F.col("class") * per_class + 1, per_class))
     schema = T.StructType([T.StructField("slide_id", outputs.schema["slide_id"].dataType), T.StructField("class", T.IntegerType()), T.StructField("bx", T.LongType()), T.StructField("by", T.LongType()), T.StructField("prob", T.ArrayType(T.DoubleType()))])
 
-    def add(key, frames: pd.DataFrame) -> pd.DataFrame:
+    def add(key: tuple, frames: pd.DataFrame) -> pd.DataFrame:
         slide, kind, bx, by = key
         total, count = np.zeros((tile, tile)), np.zeros((tile, tile), int)
         left, top = bx * tile, by * tile

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -228,18 +229,21 @@ def clean_cells(cells: DataFrame, sizes: DataFrame, level: int, **options) -> Da
     bounded by its size, so a slide is one group."""
     schema = T.StructType([T.StructField("slide_id", cells.schema["slide_id"].dataType), T.StructField("x", T.LongType()), T.StructField("y", T.LongType())])
 
-    def run(key, held: pd.DataFrame, size: pd.DataFrame) -> pd.DataFrame:
-        if not len(size):
-            return pd.DataFrame({"slide_id": [], "x": [], "y": []})
-        w, h = int(size.width.iloc[0]), int(size.height.iloc[0])
+    def run(key: tuple[pa.Scalar, ...], held: pa.Table, size: pa.Table) -> pa.Table:
+        out = pa.schema([("slide_id", held.schema.field("slide_id").type), ("x", pa.int64()), ("y", pa.int64())])
+        if not size.num_rows:
+            return out.empty_table()
+        w, h = size["width"][0].as_py(), size["height"][0].as_py()
         mask = np.zeros((w, h), bool)
-        held = held[(held.x >= 0) & (held.x < w) & (held.y >= 0) & (held.y < h)]
-        mask[held.x.to_numpy(int), held.y.to_numpy(int)] = True
+        x, y = held["x"].to_numpy(), held["y"].to_numpy()
+        there = (x >= 0) & (x < w) & (y >= 0) & (y < h)
+        mask[x[there], y[there]] = True
         x, y = np.nonzero(clean_mask(mask, level, **options))
-        return pd.DataFrame({"slide_id": [key[0]] * len(x), "x": x, "y": y})
+        return pa.table([pa.array([key[0].as_py()] * len(x), out.field(0).type), pa.array(x), pa.array(y)], schema=out)
 
     size = sizes.select("slide_id", "width", "height").dropna().dropDuplicates(["slide_id"])
-    return cells.select("slide_id", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).dropna().groupBy("slide_id").cogroup(size.groupBy("slide_id")).applyInPandas(run, schema)
+    held = cells.select("slide_id", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).dropna()
+    return held.groupBy("slide_id").cogroup(size.groupBy("slide_id")).applyInArrow(run, schema)
 
 
 def polygon_cells(polygons: DataFrame, sizes: DataFrame) -> DataFrame:

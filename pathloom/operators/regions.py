@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +24,8 @@ from pathloom.runtime import cut_lineage
 
 RING = "array<struct<x:double,y:double>>"
 PARTS = f"array<struct<ext:{RING},holes:array<{RING}>>>"
+_ARROW_RING = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+_ARROW_PARTS = pa.list_(pa.struct([("ext", _ARROW_RING), ("holes", pa.list_(_ARROW_RING))]))
 _MAX_LEVEL = 40
 
 
@@ -64,10 +66,10 @@ def repaired_regions(regions: DataFrame, *, buffer: float = 0.0) -> DataFrame:
     without area is an error."""
     grown = F.col(buffer) if isinstance(buffer, str) else F.lit(float(buffer))
 
-    @F.pandas_udf(PARTS)
-    def repair(parts: pd.Series, distance: pd.Series) -> pd.Series:
+    @F.arrow_udf(PARTS)
+    def repair(parts: pa.Array, distance: pa.Array) -> pa.Array:
         out = []
-        for p, d in zip(parts, distance):
+        for p, d in zip(parts.to_pylist(), distance.to_pylist()):
             whole: planar.Polygon = []
             for e, holes in _to_polygon(p):
                 whole += planar.make_valid(e, holes)
@@ -75,7 +77,7 @@ def repaired_regions(regions: DataFrame, *, buffer: float = 0.0) -> DataFrame:
             if not planar.polygon_area(whole):
                 raise ValueError("polygon is empty: use a larger mask or buffer, or leave it out")
             out.append(_from_polygon(whole))
-        return pd.Series(out)
+        return pa.array(out, _ARROW_PARTS)
 
     return regions.withColumn("parts", repair("parts", grown))
 
@@ -113,11 +115,10 @@ def region_relations(regions: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFra
     """(slide_id, a, b, relation, shared): for each pair a < b of a slide that
     shares area, whether a's exterior contains b's, lies within it, or overlaps
     it, and the shared area of the exteriors. ``regions`` must be repaired."""
-    schema = "relation string, shared double"
-
-    @F.pandas_udf(schema)
-    def relate(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([planar.relation(_to_polygon(x), _to_polygon(y)) for x, y in zip(a, b)], columns=["relation", "shared"])
+    @F.arrow_udf("struct<relation:string,shared:double>")
+    def relate(a: pa.Array, b: pa.Array) -> pa.Array:
+        found = [planar.relation(_to_polygon(x), _to_polygon(y)) for x, y in zip(a.to_pylist(), b.to_pylist())]
+        return pa.array([{"relation": r, "shared": v} for r, v in found], pa.struct([("relation", pa.string()), ("shared", pa.float64())]))
 
     pairs = close_pairs(regions, hot_rows=hot_rows).withColumn("r", relate("parts_a", "parts_b"))
     return pairs.select("slide_id", "a", "b", "r.relation", "r.shared").filter(F.col("relation") != "apart")
@@ -143,9 +144,9 @@ def nested_regions(regions: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame
     held = direct.join(regions.select("slide_id", F.col("region_id").alias("inner_id"), F.col("parts").alias("inner_parts")), ["slide_id", "inner_id"])
     lists = held.groupBy("slide_id", F.col("outer_id").alias("region_id")).agg(F.collect_list("inner_parts").alias("inner"))
 
-    @F.pandas_udf(PARTS)
-    def cut(parts: pd.Series, inside: pd.Series) -> pd.Series:
-        return pd.Series([_from_polygon(planar.with_holes(_to_polygon(p), [_to_polygon(q) for q in many])) for p, many in zip(parts, inside)])
+    @F.arrow_udf(PARTS)
+    def cut(parts: pa.Array, inside: pa.Array) -> pa.Array:
+        return pa.array([_from_polygon(planar.with_holes(_to_polygon(p), [_to_polygon(q) for q in many])) for p, many in zip(parts.to_pylist(), inside.to_pylist())], _ARROW_PARTS)
 
     joined = regions.join(lists, ["slide_id", "region_id"], "left")
     plain = joined.filter(F.col("inner").isNull()).drop("inner")
@@ -158,15 +159,16 @@ def inverted_regions(cells: DataFrame, polygons: DataFrame, *, label: str = "",
     to the hole. One row a slide."""
     only_one_of(included, excluded)
     regions = polygon_regions(polygons, included=included, excluded=excluded, factor=factor)
-    schema = T.StructType([T.StructField("slide_id", polygons.schema["slide_id"].dataType), T.StructField("outlines", T._parse_datatype_string(f"array<{RING}>"))])
+    ring = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
+    schema = T.StructType([T.StructField("slide_id", polygons.schema["slide_id"].dataType), T.StructField("outlines", T.ArrayType(ring))])
 
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        valid = [planar.make_valid(e, holes) for parts in frame.parts for e, holes in _to_polygon(parts)]
-        rings = planar.outlines(planar.union(valid))
-        return pd.DataFrame({"slide_id": [frame.slide_id.iloc[0]], "outlines": [[[{"x": float(x), "y": float(y)} for x, y in r] for r in rings]]})
+    def merge(held: pa.Table) -> pa.Table:
+        valid = [planar.make_valid(e, holes) for parts in held["parts"].to_pylist() for e, holes in _to_polygon(parts)]
+        rings = [r["ext"] for r in _from_polygon(planar.union(valid))]
+        return pa.table({"slide_id": held["slide_id"].slice(0, 1), "outlines": pa.array([rings], pa.list_(_ARROW_RING))})
 
     clusters = _touching(regions)
-    merged = clusters.groupBy("slide_id", "cluster").applyInPandas(merge, schema).groupBy("slide_id").agg(F.flatten(F.collect_list("outlines")).alias("outlines"))
+    merged = clusters.select("slide_id", "cluster", "parts").groupBy("slide_id", "cluster").applyInArrow(merge, schema).groupBy("slide_id").agg(F.flatten(F.collect_list("outlines")).alias("outlines"))
     return (
         whole_mask_regions(cells, label).join(merged, "slide_id", "left")
         .withColumn("parts", F.transform("parts", lambda p: F.struct(p["ext"].alias("ext"), F.coalesce(F.col("outlines"), p["holes"]).alias("holes"))))

@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from pathloom.functions.geometry import edges, polygon_window_area
 from pathloom.functions.scalars import AREA_PLACES, fixed, whole
 from pathloom.operators.masks import foreground_ratio
-from pathloom.operators.skew import HOT_ROWS
+from pathloom.operators.skew import HOT_ROWS, salted_join
 
 MAX_STRIDE = 5
 #: Attempts a random sampler has for each patch asked for.
@@ -53,9 +53,19 @@ class Patches:
         return F.lit(float(self.size)) / self.relative
 
 
+def _spread(regions: DataFrame) -> DataFrame:
+    """Regions over all tasks, before each becomes many candidates: their bytes
+    say nothing of the work that follows."""
+    n = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return regions.repartition(n, "slide_id", "region_id")
+
+
 def _box(regions: DataFrame) -> DataFrame:
+    """Regions with their rounded box, and ``shape``: the parts as edges, made
+    once a region and not once a candidate."""
     ends = lambda c, f: f(F.transform("parts", lambda p: f(p["ext"][c])))
-    return regions.withColumns({"bx1": fixed(ends("x", F.array_min)), "by1": fixed(ends("y", F.array_min)), "bx2": fixed(ends("x", F.array_max)), "by2": fixed(ends("y", F.array_max))})
+    shape = F.transform("parts", lambda p: F.struct(edges(p["ext"]).alias("ext"), F.transform(p["holes"], edges).alias("holes")))
+    return regions.withColumns({"shape": shape, "bx1": fixed(ends("x", F.array_min)), "by1": fixed(ends("y", F.array_min)), "bx2": fixed(ends("x", F.array_max)), "by2": fixed(ends("y", F.array_max))})
 
 
 def mask_step(patches: Patches, stride: Column) -> Column:
@@ -77,7 +87,7 @@ def grid_candidates(regions: DataFrame, patches: Patches, stride: float | str =
     """Grid points of each region's box, row by row, as far as the first one at
     or past its far edge: regions with seq, mx, my, msize."""
     by = F.col(stride).cast("double") if isinstance(stride, str) else F.lit(float(stride))
-    r = _box(regions).withColumn("_step", mask_step(patches, by))
+    r = _box(_spread(regions)).withColumn("_step", mask_step(patches, by))
     r = r.withColumns({"_nx": _last_index(F.col("bx1"), F.col("bx2"), F.col("_step")), "_ny": _last_index(F.col("by1"), F.col("by2"), F.col("_step"))})
     zero = F.lit(0).cast("long")
     r = r.withColumn("_iy", F.explode(F.sequence(zero, F.col("_ny")))).withColumn("_ix", F.explode(F.sequence(zero, F.col("_nx"))))
@@ -106,7 +116,7 @@ def random_candidates(regions: DataFrame, patches: Patches, number: int | str, *
     """ATTEMPTS x number uniform points of each region's box; ``seq`` is the
     attempt. ``first_valid`` keeps the first valid ones."""
     n = F.col(number) if isinstance(number, str) else F.lit(number)
-    r = _box(regions).withColumn("_want", n.cast("long")).filter(F.col("_want") > 0)
+    r = _box(_spread(regions)).withColumn("_want", n.cast("long")).filter(F.col("_want") > 0)
     r = r.withColumn("seq", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_want") * ATTEMPTS)))
     u, v = uniform_pair(F.col("region_id"), F.col("seq"), seed)
     place = lambda lo, hi, w: F.col(lo) + (F.col(hi) - F.col(lo)) * w
@@ -163,7 +173,7 @@ def poisson_candidates(regions: DataFrame, patches: Patches, spacing: float | st
     """Poisson-disk points of each region's box, ``spacing`` mask cells apart;
     seeded by region, so a task run again gives the same ones."""
     gap = F.col(spacing).cast("double") if isinstance(spacing, str) else F.lit(float(spacing))
-    r = _box(regions).withColumns({"_gap": gap, "_seed": F.xxhash64("slide_id", "region_id", F.lit(seed))})
+    r = _box(_spread(regions)).withColumns({"_gap": gap, "_seed": F.xxhash64("slide_id", "region_id", F.lit(seed))})
 
     @F.pandas_udf("array<struct<seq:bigint,mx:double,my:double>>")
     def sample(x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series, gap: pd.Series, seed: pd.Series) -> pd.Series:
@@ -174,24 +184,48 @@ def poisson_candidates(regions: DataFrame, patches: Patches, spacing: float | st
         return pd.Series(out)
 
     points = r.withColumn("_p", sample("bx1", "by1", "bx2", "by2", "_gap", "_seed"))
-    return points.select(*regions.columns, F.inline("_p")).withColumn("msize", patches.mask_size)
+    return points.select(*regions.columns, "shape", F.inline("_p")).withColumn("msize", patches.mask_size)
 
 
-def point_candidates(regions: DataFrame, points: DataFrame, patches: Patches) -> DataFrame:
-    """Every given level-0 corner (slide_id, seq, x, y) against every region of
-    its slide; points of slides without region are dropped by the join."""
-    p = points.select(F.col("slide_id").alias("_s"), F.col("seq").cast("long").alias("seq"), F.col("x").alias("_x"), F.col("y").alias("_y")).dropna()
+def point_candidates(regions: DataFrame, points: DataFrame, patches: Patches, *, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Given level-0 corners (slide_id, seq, x, y) against the regions of their
+    slide; points of slides without region are dropped by the join.
+
+    Where some overlap is needed, only pairs whose boxes meet can be valid, and
+    a grid join finds these: a region lies in at most four cells of its level, a
+    square probes each level in use, and a pair is kept in the cell of its
+    boxes' common corner. Without any overlap needed, every pair is a candidate.
+    """
     f = patches.column("mask_factor")
-    joined = regions.join(p, F.col("slide_id") == F.col("_s"))
-    return joined.withColumns({"mx": F.col("_x") / f, "my": F.col("_y") / f, "msize": patches.mask_size}).drop("_s", "_x", "_y")
+    p = points.select(F.col("slide_id").alias("_s"), F.col("seq").cast("long").alias("seq"), F.col("x").alias("_x"), F.col("y").alias("_y")).dropna()
+    if patches.overlap_ratio == 0 or isinstance(patches.mask_factor, str) or isinstance(patches.target_factor, str):
+        joined = _box(regions).drop("bx1", "by1", "bx2", "by2").join(p, F.col("slide_id") == F.col("_s"))
+        return joined.withColumns({"mx": F.col("_x") / f, "my": F.col("_y") / f, "msize": patches.mask_size}).drop("_s", "_x", "_y")
+    base = patches.size * float(patches.target_factor) / float(patches.mask_factor)
+    boxed = _box(regions)
+    extent = F.greatest(F.col("bx2") - F.col("bx1"), F.col("by2") - F.col("by1"), F.lit(base))
+    boxed = boxed.withColumn("_level", F.ceil(F.log2(extent / base)).cast("int"))
+    levels = sorted(r[0] for r in boxed.select("_level").distinct().collect())  # a few integers
+    side = F.lit(base) * F.pow(F.lit(2.0), F.col("_level"))
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / side), F.floor(hi / side)))
+    held = boxed.withColumn("_cx", cells(F.col("bx1"), F.col("bx2"))).withColumn("_cy", cells(F.col("by1"), F.col("by2")))
+    probes = p.select("_s", "seq", (F.col("_x") / f).alias("mx"), (F.col("_y") / f).alias("my")).withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels]).cast("array<int>")))
+    probes = probes.withColumn("_cx", cells(F.col("mx"), F.col("mx") + base)).withColumn("_cy", cells(F.col("my"), F.col("my") + base))
+    on = ["slide_id", "_level", "_cx", "_cy"]
+    pairs = salted_join(probes.withColumnRenamed("_s", "slide_id"), held, on, spread_by=["seq"], hot_rows=hot_rows)
+    x, y = F.greatest("mx", "bx1"), F.greatest("my", "by1")
+    meet = (F.col("mx") <= F.col("bx2")) & (F.col("bx1") <= F.col("mx") + base) & (F.col("my") <= F.col("by2")) & (F.col("by1") <= F.col("my") + base)
+    here = (F.floor(x / side) == F.col("_cx")) & (F.floor(y / side) == F.col("_cy"))
+    kept = pairs.filter(meet & here).withColumn("msize", patches.mask_size)
+    return kept.select(*regions.columns, "shape", "seq", "mx", "my", "msize")
 
 
 def overlap_area() -> Column:
     """Area that the candidate's square shares with its region's parts."""
     x1, y1 = F.col("mx"), F.col("my")
     x2, y2 = x1 + F.col("msize"), y1 + F.col("msize")
-    part = lambda p: polygon_window_area(edges(p["ext"]), F.transform(p["holes"], edges), x1, y1, x2, y2)
-    return F.aggregate(F.transform("parts", part), F.lit(0.0), lambda s, v: s + v)
+    part = lambda p: polygon_window_area(p["ext"], p["holes"], x1, y1, x2, y2)
+    return F.aggregate(F.transform("shape", part), F.lit(0.0), lambda s, v: s + v)
 
 
 def valid_candidates(candidates: DataFrame, patches: Patches, cells: DataFrame | None = None, *, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -200,8 +234,8 @@ def valid_candidates(candidates: DataFrame, patches: Patches, cells: DataFrame |
     least = fixed(F.col("msize") * F.col("msize") * patches.column("overlap_ratio"), AREA_PLACES)
     kept = candidates.filter(fixed(overlap_area(), AREA_PLACES) >= least)
     if cells is None or patches.foreground_ratio == 0:
-        return kept.drop("parts")
-    keyed = kept.drop("parts").withColumn("window_id", F.struct("slide_id", "region_id", "seq"))
+        return kept.drop("parts", "shape")
+    keyed = kept.drop("parts", "shape").withColumn("window_id", F.struct("slide_id", "region_id", "seq"))
     counted = foreground_ratio(keyed, cells, hot_rows=hot_rows)
     return counted.filter(F.col("foreground") >= patches.column("foreground_ratio")).drop("window_id", "foreground")
 

@@ -53,7 +53,7 @@ def read_masks(spark: SparkSession, path: str) -> DataFrame:
 def mask_files(cells: DataFrame, sizes: DataFrame) -> DataFrame:
     """(slide_id, npz, png) of each mask: the packed array [x, y] and the 1-bit
     image. A mask is one raster of its level, so a slide is one group."""
-    def run(key, held: pd.DataFrame, size: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, held: pd.DataFrame, size: pd.DataFrame) -> pd.DataFrame:
         if not len(size):
             return pd.DataFrame({"slide_id": [], "npz": [], "png": []})
         array = np.zeros((int(size.width.iloc[0]), int(size.height.iloc[0])), bool)
