@@ -39,7 +39,10 @@ def _near(edges: Column, x: Column, y: Column, radius: float) -> Column:
         along = F.when(length > 0, ((x - e["x1"]) * dx + (y - e["y1"]) * dy) / length).otherwise(F.lit(0.0))
         t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
         ex, ey = x - (e["x1"] + t * dx), y - (e["y1"] + t * dy)
-        return ex * ex + ey * ey <= radius * radius
+        # The edge's box, widened by the radius, drops most edges by a few comparisons.
+        beside = (x >= F.least(e["x1"], e["x2"]) - radius) & (x <= F.greatest(e["x1"], e["x2"]) + radius)
+        level = (y >= F.least(e["y1"], e["y2"]) - radius) & (y <= F.greatest(e["y1"], e["y2"]) + radius)
+        return beside & level & (ex * ex + ey * ey <= radius * radius)
 
     return F.exists(edges, close)
 
