@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pathloom.operators.skew import salted_join
+from pathloom.runtime import cut_lineage
 
 #: Least soft TF-IDF score of a match.
 THRESHOLD = 0.78
@@ -145,7 +146,8 @@ def map_to_canonical(
     idf = vocabulary.crossJoin(F.broadcast(total)).select("known", (F.log(F.col("total") / F.col("df")) + 1).alias("idf"))  # total is one row
     unknown_idf = total.select((F.log(F.greatest(F.col("total"), F.lit(1))) + 1).alias("most"))
     weights = entry_tokens.join(idf, "known").withColumn("norm", F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(Window.partitionBy("gid"))))
-    value_tokens = values.select("_value", F.explode(_tokens_of("_value")).alias("t")).select("_value", "t.token", "t.cut").distinct()
+    # The distinct values' tokens and repairs are small against the rows, and used several times: they are written once.
+    value_tokens = cut_lineage(values.select("_value", F.explode(_tokens_of("_value")).alias("t")).select("_value", "t.token", "t.cut").distinct())
 
     seen = value_tokens.select("token", "cut").distinct()
     # What a token may have been: one word of an entry, or neighbouring words typed without a space.
@@ -169,7 +171,7 @@ def map_to_canonical(
         .select("token", F.lit(True).alias("for_cut"), F.lit(0).alias("part"), "known", F.lit(0.97).alias("sim"))
     )
     repaired = by_edit.unionByName(by_prefix).withColumnRenamed("token", "_seen")
-    repairs = (
+    repairs = cut_lineage(
         value_tokens.join(repaired, (F.col("token") == F.col("_seen")) & F.coalesce(F.col("for_cut") == F.col("cut"), F.lit(True)), "left")
         .groupBy("_value", "token", F.coalesce("part", F.lit(0)).alias("part"), "known").agg(F.max("sim").alias("sim"))
     )
