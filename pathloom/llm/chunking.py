@@ -10,6 +10,7 @@ one before, and its own tokens fill what is left of the limit.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -110,17 +111,22 @@ class Chunker:
         if counts.max() > fresh:
             counts, levels, words, ids_of, starts = self._parted(counts, levels, words, ids_of, starts, fresh)
         ends = np.concatenate(([0], np.cumsum(counts))).tolist()
-        ids = [i for w in ids_of for i in w]
         out, chars = [], starts.tolist()
         for n, (lo, hi) in enumerate(pack(counts, levels, fresh, self.limit)):
             back = min(self.overlap, ends[lo]) if n else 0
-            repeated = self._text(ids[ends[lo] - back : ends[lo]])
+            repeated = self._before(text, ids_of, ends, chars, lo, back)
             out.append((ends[lo] - back, ends[hi] - ends[lo] + back, back, repeated + text[chars[lo] : chars[hi]]))
         return out
 
-    def _text(self, ids: list[int]) -> str:
-        """Without the bytes of a character that began before."""
-        return self.encoder.decode_bytes(ids).decode(errors="ignore")
+    def _before(self, text: str, ids_of: list, ends: list[int], chars: list[int], lo: int, back: int) -> str:
+        """The text of the ``back`` tokens before unit ``lo``, without the bytes
+        of a character that began earlier."""
+        at = bisect_right(ends, ends[lo] - back, 0, lo + 1) - 1
+        inside = ends[lo] - back - ends[at]
+        if not inside:
+            return text[chars[at] : chars[lo]]
+        part = self.encoder.decode_bytes(ids_of[at][inside:]).decode(errors="ignore")
+        return part + text[chars[at + 1] : chars[lo]]
 
     def _parted(self, counts, levels, words, ids_of, starts, most):
         """Words over the limit, such as encoded attachments, as runs of whole characters."""
