@@ -119,5 +119,6 @@ def pixels(blocks: DataFrame, *, tile: int = TILE) -> DataFrame:
 
 def byte_probability(p: Column) -> Column:
     """0 to 255, cut down; no value is 0, and one outside [0, 1] an error."""
-    outside = (p < 0) | (p > 1)
-    return F.when(outside, F.raise_error(F.lit("probability outside [0, 1]")).cast("int")).otherwise(F.floor(F.coalesce(F.nanvl(p, F.lit(0.0)), F.lit(0.0)) * 255).cast("int"))
+    value = F.coalesce(F.nanvl(p, F.lit(0.0)), F.lit(0.0))
+    outside = (value < 0) | (value > 1)
+    return F.when(outside, F.raise_error(F.lit("probability outside [0, 1]")).cast("int")).otherwise(F.floor(value * 255).cast("int"))

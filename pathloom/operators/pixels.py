@@ -30,7 +30,7 @@ def resolved_regions(requests: DataFrame, levels: DataFrame, *, mode: str | None
     With ``check``, a request beyond the image or without a level is an error.
     """
     r = requests.join(pyramid.pyramids(levels), "slide_id")
-    matched = F.when(F.col("mpp").isNotNull(), F.nullif(pyramid.level_of_mpp(F.col("mpp")), F.lit(-1))).otherwise(F.col("slide_level"))
+    matched = F.when(F.col("mpp").isNotNull(), F.nullif(pyramid.level_of_mpp(F.col("mpp")), F.lit(-1))).when(pyramid.of_level(F.col("slide_level"), "width").isNotNull(), F.col("slide_level"))
     r = r.withColumn("_f", pyramid.resample_factors(F.col("slide_level"), F.col("mpp"), level_zero)).withColumn("_m", matched)
     zero = F.col("_f.zero_factor")
     valid = pyramid.location_valid(F.col("x"), F.col("y"), F.col("w"), F.col("h"), zero) & (F.col("_m").isNotNull() | (F.lit(mode is not None) & pyramid.mpp_in_range(F.col("mpp"))))
