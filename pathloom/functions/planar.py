@@ -186,10 +186,61 @@ def _nest(rings: list[Ring]) -> Polygon:
     return parts
 
 
+def _edges_of(rings: Sequence[Ring]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate(rings), np.concatenate([np.roll(r, -1, axis=0) for r in rings])
+
+
+def edges_meet(rings: Sequence[Ring], others: Sequence[Ring] | None = None) -> bool:
+    """Whether any edge of ``rings`` meets one of ``others`` (or, without these,
+    another of their own but for the shared ends of neighbours), touching or
+    nearly touching included. All pairs at once, as one array."""
+    a, b = _edges_of(rings)
+    c, d = (a, b) if others is None else _edges_of(others)
+    slack = max(float(np.ptp(np.concatenate((a, c)), axis=0).max()), 1e-12) * _SNAP * 64
+    apart = np.zeros((len(a), len(c)), bool)
+    for k in (0, 1):
+        lo, hi = np.minimum(a[:, k], b[:, k]) - slack, np.maximum(a[:, k], b[:, k]) + slack
+        apart |= (lo[:, None] > np.maximum(c[:, k], d[:, k])[None]) | (hi[:, None] < np.minimum(c[:, k], d[:, k])[None])
+    if others is None:
+        n, at = len(a), 0
+        for r in rings:
+            m = len(r)
+            i = np.arange(m)
+            apart[at + i, at + i] = True
+            nxt = (i + 1) % m
+            # Neighbours share an end; they only meet elsewhere if one folds back on the other.
+            u, v = b[at + i] - a[at + i], b[at + nxt] - a[at + nxt]
+            back = (np.abs(u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]) <= slack * np.hypot(v[:, 0], v[:, 1])) & (np.sum(u * v, axis=1) < 0)
+            if back.any():
+                return True
+            apart[at + i, at + nxt] = apart[at + nxt, at + i] = True
+            at += m
+        apart |= np.tri(n, dtype=bool)
+    i, j = np.nonzero(~apart)
+    if not len(i):
+        return False
+
+    def side(p: np.ndarray, q: np.ndarray, r: np.ndarray) -> np.ndarray:
+        v = (q[:, 0] - p[:, 0]) * (r[:, 1] - p[:, 1]) - (q[:, 1] - p[:, 1]) * (r[:, 0] - p[:, 0])
+        return np.where(np.abs(v) <= slack * np.hypot(q[:, 0] - p[:, 0], q[:, 1] - p[:, 1]), 0, np.sign(v))
+
+    return bool(np.any((side(a[i], b[i], c[j]) * side(a[i], b[i], d[j]) <= 0) & (side(c[j], d[j], a[i]) * side(c[j], d[j], b[i]) <= 0)))
+
+
 def make_valid(exterior: Sequence, holes: Sequence = ()) -> Polygon:
     """A polygon's parts without self-crossings: inside is what an odd number of
-    the exterior's turns hold, less its holes. No area gives no part."""
-    e, hs = as_ring(exterior), [as_ring(h) for h in holes]
+    the exterior's turns hold, less its holes. No area gives no part. Rings that
+    meet nowhere are only turned and sorted; others are arranged."""
+    e, hs = as_ring(exterior), [h for h in map(as_ring, holes) if len(h) >= 3]
+    if len(e) < 3:
+        return []
+    if not edges_meet([e, *hs]):
+        own = [h for h in hs if in_ring(e, h[:1])[0]]
+        if any(in_ring(h, e[:1])[0] for h in hs):
+            return []
+        outer = [h for h in own if not any(g is not h and in_ring(g, h[:1])[0] for g in own)]
+        turned = lambda r, left: r if (signed_area(r) > 0) == left else r[::-1]
+        return [(turned(e, True), [turned(h, False) for h in outer])] if signed_area(e) else []
 
     def inside(points: np.ndarray) -> np.ndarray:
         found = in_ring(e, points)
@@ -228,9 +279,16 @@ def union_outlines(rings: Sequence[Sequence]) -> list[Ring]:
 
 def relation(a: Polygon, b: Polygon) -> tuple[str, float]:
     """("contains" | "within" | "overlaps" | "apart", shared area) of two
-    polygons' exteriors. Equal ones contain each other: "contains"."""
+    polygons' exteriors. Equal ones contain each other: "contains". Single parts
+    whose edges don't meet need no arrangement: one point tells."""
     a, b = filled(a), filled(b)
+    if not a or not b:
+        return "apart", 0.0
     area_a, area_b = polygon_area(a), polygon_area(b)
+    if len(a) == len(b) == 1 and not edges_meet(outlines(a), outlines(b)):
+        if in_polygon(a, b[0][0][:1])[0]:
+            return "contains", area_b
+        return ("within", area_a) if in_polygon(b, a[0][0][:1])[0] else ("apart", 0.0)
     shared = polygon_area(intersection(a, b))
     slack = 1e-7 * max(area_a, area_b, 1e-300)
     if shared <= slack:

@@ -79,7 +79,9 @@ def repaired_regions(regions: DataFrame, *, buffer: float = 0.0) -> DataFrame:
             out.append(_from_polygon(whole))
         return pa.array(out, _ARROW_PARTS)
 
-    return regions.withColumn("parts", repair("parts", grown))
+    # Few bytes, much work: the regions are dealt to all tasks first.
+    n = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return regions.repartition(n, "slide_id", "region_id").withColumn("parts", repair("parts", grown))
 
 
 def close_pairs(regions: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -120,7 +122,7 @@ def region_relations(regions: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFra
         found = [planar.relation(_to_polygon(x), _to_polygon(y)) for x, y in zip(a.to_pylist(), b.to_pylist())]
         return pa.array([{"relation": r, "shared": v} for r, v in found], pa.struct([("relation", pa.string()), ("shared", pa.float64())]))
 
-    pairs = close_pairs(regions, hot_rows=hot_rows).withColumn("r", relate("parts_a", "parts_b"))
+    pairs = close_pairs(cut_lineage(regions), hot_rows=hot_rows).withColumn("r", relate("parts_a", "parts_b"))  # the repair isn't repeated for each use
     return pairs.select("slide_id", "a", "b", "r.relation", "r.shared").filter(F.col("relation") != "apart")
 
 
@@ -133,7 +135,8 @@ def nested_regions(regions: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame
     """Regions in which the exteriors of contained regions are holes, merged
     with the region's own; a region inside a contained one adds nothing and is
     skipped. ``regions`` must be repaired."""
-    rel = region_relations(regions, hot_rows=hot_rows)
+    regions = cut_lineage(regions)
+    rel = cut_lineage(region_relations(regions, hot_rows=hot_rows))
     inner = rel.filter("relation = 'contains'").select("slide_id", F.col("a").alias("outer_id"), F.col("b").alias("inner_id")).unionByName(
         rel.filter("relation = 'within'").select("slide_id", F.col("b").alias("outer_id"), F.col("a").alias("inner_id"))
     )

@@ -143,26 +143,25 @@ def poisson_disk(width: float, height: float, radius: float, seed: int, k: int =
         return np.empty((0, 2))
     rng = np.random.default_rng(seed)
     side = radius / np.sqrt(2)
-    nx, ny = int(width / side) + 1, int(height / side) + 1
-    grid = np.full((nx + 4, ny + 4), -1, np.int64)
+    grid = np.full((int(width / side) + 6, int(height / side) + 6, 2), np.inf)
+    around = np.stack(np.meshgrid(np.arange(-2, 3), np.arange(-2, 3), indexing="ij"), axis=-1).reshape(-1, 2)
     points = [rng.uniform((0, 0), (width, height))]
-    cell = lambda p: (int(p[0] / side) + 2, int(p[1] / side) + 2)
-    grid[cell(points[0])] = 0
+    grid[tuple((points[0] / side).astype(int) + 2)] = points[0]
     live = [0]
     while live:
         at = int(rng.integers(len(live)))
-        centre = points[live[at]]
         angles, reach = rng.uniform(0, 2 * np.pi, k), radius * np.sqrt(rng.uniform(1, 4, k))
-        darts = centre + np.column_stack((np.cos(angles), np.sin(angles))) * reach[:, None]
-        for p in darts[(darts[:, 0] >= 0) & (darts[:, 0] < width) & (darts[:, 1] >= 0) & (darts[:, 1] < height)]:
-            i, j = cell(p)
-            around = grid[i - 2 : i + 3, j - 2 : j + 3]
-            near = around[around >= 0]
-            if all((p[0] - points[n][0]) ** 2 + (p[1] - points[n][1]) ** 2 >= radius * radius for n in near.tolist()):
-                grid[i, j] = len(points)
-                live.append(len(points))
-                points.append(p)
-                break
+        darts = points[live[at]] + np.column_stack((np.cos(angles), np.sin(angles))) * reach[:, None]
+        darts = darts[np.all((darts >= 0) & (darts < (width, height)), axis=1)]
+        cells = (darts / side).astype(int) + 2
+        near = cells[:, None, :] + around
+        gaps = grid[near[..., 0], near[..., 1]] - darts[:, None, :]
+        free = np.flatnonzero(np.all(np.sum(gaps * gaps, axis=2) >= radius * radius, axis=1))
+        if len(free):
+            dart = darts[free[0]]
+            grid[tuple(cells[free[0]])] = dart
+            live.append(len(points))
+            points.append(dart)
         else:
             live[at] = live[-1]
             live.pop()
