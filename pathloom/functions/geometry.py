@@ -82,9 +82,18 @@ def window_area(ring_edges: Column, x1: Column, y1: Column, x2: Column, y2: Colu
     return F.abs(F.aggregate(bound, F.lit(0.0), lambda s, e: s + term(e)))
 
 
+def boxed_edges(points: Column) -> Column:
+    """STRUCT<e, x1, y1, x2, y2>: a ring's edges with its box."""
+    return F.struct(
+        edges(points).alias("e"), F.array_min(points["x"]).alias("x1"), F.array_min(points["y"]).alias("y1"), F.array_max(points["x"]).alias("x2"), F.array_max(points["y"]).alias("y2")
+    )
+
+
 def polygon_window_area(exterior: Column, holes: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    """The window's share of an exterior less that of its holes (edge lists)."""
-    inner = F.aggregate(F.transform(F.coalesce(holes, F.array()), lambda h: window_area(h, x1, y1, x2, y2)), F.lit(0.0), lambda s, v: s + v)
+    """The window's share of an exterior (edges) less that of its holes (boxed
+    edges); only holes whose box meets the window are looked at."""
+    near = F.filter(holes, lambda h: (h["x1"] < x2) & (h["x2"] > x1) & (h["y1"] < y2) & (h["y2"] > y1))
+    inner = F.aggregate(near, F.lit(0.0), lambda s, h: s + window_area(h["e"], x1, y1, x2, y2))
     return window_area(exterior, x1, y1, x2, y2) - inner
 
 

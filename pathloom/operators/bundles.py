@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 TARGET_BYTES = 128 * 1024 * 1024
+#: Files that one window partition orders at most, about.
+LANE_FILES = 1_000_000
 
 
 def file_key(path: Column) -> Column:
@@ -43,20 +45,20 @@ def current_files(manifest: DataFrame, *, keep: Sequence[str] = (), id_col: str
     return keyed.groupBy(F.col("_key").alias("file_key")).agg(F.min("_0").alias(id_col), *rest)
 
 
-def plan_containers(files: DataFrame, *, key_col: str = "file_key", bytes_col: str = "n_bytes", target_bytes: int = TARGET_BYTES, total_bytes: int | None = None) -> DataFrame:
+def plan_containers(files: DataFrame, *, key_col: str = "file_key", bytes_col: str = "n_bytes", target_bytes: int = TARGET_BYTES, total: tuple[int, int] | None = None) -> DataFrame:
     """``files`` with ``container_id``, ``byte_offset`` and ``byte_length``.
 
     Files are dealt by hash to so many lanes that a lane holds about 64
-    containers' bytes, then cut along each lane's running sum: a container
-    starts at each multiple of ``target_bytes``, so it is over the target by
-    less than one file. Every lane is one bounded window partition, and the
-    plan depends on the files only, not on how they are partitioned.
-    ``total_bytes``: their bytes, or any bound near it, where known; else they
-    are summed up first. Null bytes count as none.
+    containers' bytes, and no more than about LANE_FILES files; then they are
+    cut along each lane's running sum: a container starts at each multiple of
+    ``target_bytes``, so it is over the target by less than one file. Every lane
+    is one bounded window partition, and the plan depends on the files only, not
+    on how they are partitioned. ``total``: their bytes and number, or bounds
+    near them, where known; else they are counted first. Null bytes count as
+    none.
     """
-    if total_bytes is None:
-        total_bytes = files.agg(F.sum(bytes_col)).first()[0] or 0
-    lanes = max(1, -(-total_bytes // (64 * target_bytes)))
+    n_bytes, n_files = total or files.agg(F.sum(F.col(bytes_col).cast("long")), F.count(F.lit(1))).first()
+    lanes = max(1, -(-(n_bytes or 0) // (64 * target_bytes)), -(-n_files // LANE_FILES))
     lane = F.pmod(F.xxhash64(key_col), F.lit(lanes))
     along = Window.partitionBy("_lane").orderBy(key_col).rowsBetween(Window.unboundedPreceding, -1)
     length = F.coalesce(F.col(bytes_col).cast("long"), F.lit(0).cast("long"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pathloom.functions.geometry import edges, polygon_window_area
+from pathloom.functions.geometry import boxed_edges, edges, polygon_window_area
 from pathloom.functions.scalars import AREA_PLACES, fixed, whole
 from pathloom.operators.masks import foreground_ratio
 from pathloom.operators.skew import HOT_ROWS, salted_join
@@ -64,7 +64,7 @@ def _box(regions: DataFrame) -> DataFrame:
     """Regions with their rounded box, and ``shape``: the parts as edges, made
     once a region and not once a candidate."""
     ends = lambda c, f: f(F.transform("parts", lambda p: f(p["ext"][c])))
-    shape = F.transform("parts", lambda p: F.struct(edges(p["ext"]).alias("ext"), F.transform(p["holes"], edges).alias("holes")))
+    shape = F.transform("parts", lambda p: F.struct(edges(p["ext"]).alias("ext"), F.transform(p["holes"], boxed_edges).alias("holes")))
     return regions.withColumns({"shape": shape, "bx1": fixed(ends("x", F.array_min)), "by1": fixed(ends("y", F.array_min)), "bx2": fixed(ends("x", F.array_max)), "by2": fixed(ends("y", F.array_max))})
 
 

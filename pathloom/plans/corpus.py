@@ -61,8 +61,8 @@ def p5_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _containers(spark: SparkSession, sf_dir: str, keep: tuple[str, ...]) -> DataFrame:
     manifest = table(spark, sf_dir, "patch_file_list")
-    listed = manifest.filter(F.col("n_bytes") > 0).agg(F.sum("n_bytes")).first()[0] or 0  # a bound: files listed again count again
-    return bundles.plan_containers(bundles.current_files(manifest, keep=keep), total_bytes=listed)
+    listed = manifest.filter(F.col("n_bytes") > 0).agg(F.sum("n_bytes"), F.count(F.lit(1))).first()  # bounds: files listed again count again
+    return bundles.plan_containers(bundles.current_files(manifest, keep=keep), total=tuple(listed))
 
 
 def p7_index(spark: SparkSession, sf_dir: str) -> DataFrame:

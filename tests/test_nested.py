@@ -22,8 +22,8 @@ P = {"Order": "0", "X": "1", "Y": "2"}
 def test_vendor_trees(spark):
     asap = {"ASAP_Annotations": {"Annotations": {"Annotation": {"Coordinates": {"Coordinate": [{"Order": "1", "X": "1", "Y": "2"}, P]}}}, "AnnotationGroups": {"Group": {"Name": "g", "Annotations": [{"Coordinates": P}], "Group": [{"Name": "h", "Annotations": [{"Name": "none"}, {"Coordinates": [P]}]}]}}}}
     sedeen = {"session": {"image": [{"overlays": {"graphic": [{"point-list": [{"point": "1,2"}, {"point": "3,4"}]}]}}, {"overlays": None}, {"overlays": [{"pen": {"color": "#f"}, "point-list": {"point": ["1,2"]}}]}]}}
-    dplab = {"project": {"images": [{"image": "a", "polygons": [{"points": [[1, 2]], "children": {"points": [{"x": 1, "y": 2}], "holes": None}, "holes": [[[1, 2], [3, 4]], None, [[5, 6]]]}]}]}}
-    assert vertices(spark, [asap, sedeen, dplab]) == [
+    plain = {"project": {"images": [{"image": "a", "polygons": [{"points": [[1, 2]], "children": {"points": [{"x": 1, "y": 2}], "holes": None}, "holes": [[[1, 2], [3, 4]], None, [[5, 6]]]}]}]}}
+    assert vertices(spark, [asap, sedeen, plain]) == [
         (0, 0, 0, 0), (0, 0, 0, 1), (0, 1, 0, 0), (0, 3, 0, 0),
         (1, 0, 0, 0), (1, 0, 0, 1), (1, 1, 0, 0),
         (2, 0, 0, 0), (2, 0, 1, 0), (2, 0, 1, 1), (2, 0, 3, 0), (2, 1, 0, 0),
