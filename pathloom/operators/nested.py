@@ -154,7 +154,8 @@ class _Walker:
                     for i, x in enumerate(v):
                         self._element(f"{element}_{k}", x, keys, i)
                 elif v is not None:
-                    attrs[prefix + k] = v if isinstance(v, str) else json.dumps(v)
+                    name = k.lower() if k.lower() in spec.positional else k  # "X" is "x" written by another vendor
+                    attrs[prefix + name] = v if isinstance(v, str) else json.dumps(v)
         elif isinstance(value, list):
             if spec.positional and all(not isinstance(x, (dict, list)) for x in value):
                 attrs.update((n, str(x)) for n, x in zip(spec.positional, value) if x is not None)
