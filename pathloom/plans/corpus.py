@@ -13,22 +13,41 @@ REACH = 32.0
 REPEAT_KEY = ["wsi_file", "x", "y", "w", "h", "label"]
 
 
-def p1_rows(spark: SparkSession, sf_dir: str, only=None, attributes: bool = True) -> DataFrame:
-    return nested.shred(table(spark, sf_dir, "annotation_sessions"), nested.SESSION_GRAMMAR, id_col="session_id", body_col="body", root="session", only=only, attributes=attributes)
+def _p1_tables(spark: SparkSession, sf_dir: str, names: list[str], attributes: bool) -> dict[str, DataFrame]:
+    """The named tables of the sessions' planned schema."""
+    sessions = table(spark, sf_dir, "annotation_sessions")
+    g = nested.SESSION_GRAMMAR
+    plan = nested.inline_plan(nested.schema_graph(sessions, g, body_col="body", root="session"), keep=names)
+    needed = set(names) | {e for e, p in plan.items() if p["why"] == "inlined" and p["kind"] == "element" and p["table"] in names and attributes}
+    if not attributes:
+        plan = {e: p | {"columns": []} for e, p in plan.items() if p["why"] != "inlined"}
+    rows = nested.shred(sessions, g, id_col="session_id", body_col="body", root="session", only=sorted(needed), attributes=attributes)
+    made = nested.tables(rows, plan, g, id_col="session_id", only=names)
+    empty = rows.limit(0)
+    return {n: made.get(n, empty) for n in names}
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = p1_rows(spark, sf_dir, only=["vertex"], attributes=False)
-    return rows.select("session_id", "object_no", "ring_no", "vertex_no").distinct()
+    """The vertex table's keys."""
+    vertex = _p1_tables(spark, sf_dir, ["vertex"], attributes=False)["vertex"]
+    return vertex.select("session_id", "object_no", "ring_no", "vertex_no").distinct()
 
 
 def p1_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of each table that the schema graph asks for."""
-    rows = p1_rows(spark, sf_dir)
-    plan = nested.inline_plan(nested.schema_graph(rows, nested.SESSION_GRAMMAR, id_col="session_id"))
-    kinds = spark.createDataFrame([(e, p["table"], p["why"], len(p["columns"])) for e, p in sorted(plan.items())], "element string, in_table string, why string, n_columns int")
-    counts = rows.groupBy("element").agg(F.count(F.lit(1)).alias("n_rows"))
-    return kinds.join(counts, "element", "left")
+    """The rows of the object, ring and vertex tables with their keys and, of a vertex, its place."""
+    made = _p1_tables(spark, sf_dir, ["object", "ring", "vertex"], attributes=True)
+    keys = ["session_id", "object_no", "parent_object_no", "ring_no", "vertex_no", "x", "y"]
+
+    def keyed(name: str, **of) -> DataFrame:
+        t = made[name]
+        have = {c: F.col(c) for c in keys if c in t.columns} | of
+        number = lambda c: F.replace(have[c], F.lit(","), F.lit(".")).try_cast("double")
+        value = lambda c: F.lit(None) if c not in have else number(c) if c in ("x", "y") else have[c]
+        types = {"session_id": "long", "x": "double", "y": "double"}
+        return t.select(F.lit(name).alias("in_table"), *[value(c).cast(types.get(c, "int")).alias(c) for c in keys])
+
+    parts = keyed("object"), keyed("ring", vertex_no=F.lit(None)), keyed("vertex")
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

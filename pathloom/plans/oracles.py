@@ -2,7 +2,56 @@
 
 from __future__ import annotations
 
+#: The nodes of the sessions' JSON trees: np is the path without places, no_of the place in a list.
+_SESSION_TREE = r"""node AS (
+  SELECT s.session_id, t.id, t.parent, t.type, t.value, t.key, regexp_replace(replace(t.fullkey, '"', ''), '\[[0-9]+\]', '', 'g') AS np,
+         CAST(regexp_extract(t.fullkey, '\[([0-9]+)\]$', 1) AS VARCHAR) AS place
+  FROM annotation_sessions s, json_tree(s.body) t WHERE s.body IS NOT NULL AND s.session_id IS NOT NULL),
+obj AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY id) - 1 AS INTEGER) AS object_no FROM node
+  WHERE type = 'OBJECT' AND value <> '{}' AND (
+    (regexp_matches(np, '\.(Annotations|overlays|polygons|children)(\.(Annotation|graphic))?$') AND NOT json_exists(value, '$.Annotation') AND NOT json_exists(value, '$.graphic') AND NOT (regexp_matches(np, 'Annotations$') AND json_exists(value, '$.Coordinate')))
+    OR (regexp_matches(np, '^\$(\.project)?$') AND (json_exists(value, '$.points') OR json_exists(value, '$.Coordinates'))))),
+up AS (
+  SELECT o.session_id, o.object_no, o.parent AS at FROM obj o
+  UNION ALL
+  SELECT u.session_id, u.object_no, n.parent FROM up u JOIN node n ON n.session_id = u.session_id AND n.id = u.at
+  WHERE NOT EXISTS (SELECT 1 FROM obj p WHERE p.session_id = u.session_id AND p.id = u.at)),
+above AS (SELECT u.session_id, u.object_no, p.object_no AS parent_object_no FROM up u JOIN obj p ON p.session_id = u.session_id AND p.id = u.at),
+object AS (SELECT o.session_id, o.id, o.object_no, a.parent_object_no FROM obj o LEFT JOIN above a USING (session_id, object_no)),
+own AS (
+  SELECT o.session_id, o.object_no, 0 AS ring_no, n.id, n.type, n.value FROM object o JOIN node n ON n.session_id = o.session_id AND n.parent = o.id
+  WHERE n.key IN ('Coordinates', 'point-list', 'points') AND n.type <> 'NULL' AND n.value <> '{}'),
+hole AS (
+  SELECT o.session_id, o.object_no, n.id, n.type, n.value FROM object o JOIN node n ON n.session_id = o.session_id AND n.parent = o.id WHERE n.key = 'holes' AND n.type <> 'NULL'),
+ring AS (
+  SELECT * FROM own UNION ALL
+  SELECT h.session_id, h.object_no, CAST(n.place AS INTEGER) + 1, n.id, n.type, n.value FROM hole h JOIN node n ON n.session_id = h.session_id AND n.parent = h.id WHERE h.type = 'ARRAY' AND n.type <> 'NULL'
+  UNION ALL SELECT session_id, object_no, 1, id, type, value FROM hole WHERE type = 'OBJECT' AND value <> '{}'),
+list AS (
+  SELECT session_id, object_no, ring_no, id, type, value FROM ring WHERE NOT (type = 'OBJECT' AND (json_exists(value, '$.Coordinate') OR json_exists(value, '$.point') OR json_exists(value, '$.points')))
+  UNION ALL
+  SELECT r.session_id, r.object_no, r.ring_no, n.id, n.type, n.value FROM ring r JOIN node n ON n.session_id = r.session_id AND n.parent = r.id
+  WHERE r.type = 'OBJECT' AND n.key IN ('Coordinate', 'point', 'points') AND n.type <> 'NULL'),
+vertex AS (
+  SELECT l.session_id, l.object_no, l.ring_no, CAST(n.place AS INTEGER) AS place, n.value FROM list l JOIN node n ON n.session_id = l.session_id AND n.parent = l.id WHERE l.type = 'ARRAY' AND n.type <> 'NULL'
+  UNION ALL SELECT session_id, object_no, ring_no, 0, value FROM list WHERE type <> 'ARRAY' AND value <> '{}'),
+numbered AS (
+  SELECT session_id, object_no, ring_no, coalesce(TRY_CAST(TRY_CAST(json_extract_string(value, '$.Order') AS DOUBLE) AS INTEGER), place) AS vertex_no,
+         coalesce(json_extract_string(value, '$.point'), CASE WHEN json_type(value) = 'VARCHAR' THEN value ->> '$' END) AS pair, value FROM vertex),
+placed AS (
+  SELECT session_id, object_no, ring_no, vertex_no,
+    coalesce(trim(split_part(pair, ',', 1)), json_extract_string(value, '$.X'), json_extract_string(value, '$.x'), json_extract_string(value, '$[0]')) AS x,
+    coalesce(trim(split_part(pair, ',', 2)), json_extract_string(value, '$.Y'), json_extract_string(value, '$.y'), json_extract_string(value, '$[1]')) AS y FROM numbered)"""
+
+
 ORACLES: dict[str, str] = {
+    "p1_found": f"WITH RECURSIVE {_SESSION_TREE} SELECT DISTINCT session_id, object_no, ring_no, vertex_no FROM placed",
+    "p1_tables": f"""WITH RECURSIVE {_SESSION_TREE}
+        SELECT DISTINCT 'object' AS in_table, session_id, object_no, parent_object_no, CAST(NULL AS INTEGER) AS ring_no, CAST(NULL AS INTEGER) AS vertex_no, CAST(NULL AS DOUBLE) AS x, CAST(NULL AS DOUBLE) AS y FROM object
+        UNION ALL SELECT DISTINCT 'ring', session_id, object_no, NULL, ring_no, NULL, NULL, NULL FROM ring
+        UNION ALL SELECT DISTINCT 'vertex', session_id, object_no, NULL, ring_no, vertex_no, TRY_CAST(replace(x, ',', '.') AS DOUBLE), TRY_CAST(replace(y, ',', '.') AS DOUBLE) FROM placed
+    """,
     "p2_found": """
         SELECT DISTINCT patch_id FROM (
           SELECT patch_id, min(patch_id) OVER (PARTITION BY wsi_file, x, y, w, h, label) AS first
