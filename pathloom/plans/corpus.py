@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pathloom.operators import bundles, nested, proximity, quarantine, skew
-from pathloom.runtime import table
+from pathloom.runtime import cut_lineage, shared_folder, table
 
 #: Pixels within which a location is near a region's edge.
 REACH = 32.0
@@ -78,18 +79,25 @@ def p5_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("line_id", "vendor", "wsi_file", "ann_type", "ann_name", "group_text", F.size("coordinates").alias("n_points"))
 
 
-def _containers(spark: SparkSession, sf_dir: str, keep: tuple[str, ...]) -> DataFrame:
+def _p7_members(spark: SparkSession, sf_dir: str, keep: tuple[str, ...]) -> DataFrame:
+    """The members of the containers that hold each file once: planned from the
+    manifest, written as directories, read back and verified."""
     manifest = table(spark, sf_dir, "patch_file_list")
+    files = bundles.current_files(manifest, keep=keep)
     listed = manifest.filter(F.col("n_bytes") > 0).agg(F.sum("n_bytes"), F.count(F.lit(1))).first()  # bounds: files listed again count again
-    return bundles.plan_containers(bundles.current_files(manifest, keep=keep), total=tuple(listed))
+    plan = bundles.plan_containers(files, total=tuple(listed))
+    folder = shared_folder(spark, "containers")
+    columns = ["list_id", "file_key", "n_bytes", *keep]
+    boxes = cut_lineage(bundles.pack_directories(plan, folder, columns=columns))
+    return bundles.read_index(boxes, folder, T.StructType([T.StructField(c, plan.schema[c].dataType) for c in ("byte_offset", "byte_length", *columns)]))
 
 
 def p7_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _containers(spark, sf_dir, ("patch_file", "checksum"))
+    return _p7_members(spark, sf_dir, ("patch_file", "checksum")).drop("container")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _containers(spark, sf_dir, ()).select("list_id")
+    return _p7_members(spark, sf_dir, ("patch_file", "checksum")).select("list_id")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p2_found, p2_label_load, p4_found, p5_found, p5_valid, p7_found, p7_index)}
