@@ -30,6 +30,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pathloom.runtime import cut_lineage
+
 #: An element with more distinct names below it than this is open: its keys are
 #: data, so they become rows (path, value) of a table instead of columns.
 MAX_EDGES = 5_000
@@ -427,7 +429,7 @@ def schema_graph(df: DataFrame, grammar: Grammar, *, body_col: str, root: str, m
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if f == "most" else pa.string()) for c, f in zip(columns, fields)], names=list(fields))
 
     key = ["home", "parent", "child", "kind"]
-    edges = df.select(body_col).mapInArrow(run, schema).groupBy(*key).agg(F.max("most").alias("most"))
+    edges = cut_lineage(df.select(body_col).mapInArrow(run, schema).groupBy(*key).agg(F.max("most").alias("most")))  # two jobs ask for it
     # A home's own place in its parent is kept; what lies below it is bounded by max_edges, or replaced.
     below = F.when((F.col("child") == F.col("home")) & (F.col("kind") == "element"), F.lit(False)).otherwise(F.lit(True))
     sizes = edges.groupBy("home").agg(F.count_if(below).alias("_n"))
