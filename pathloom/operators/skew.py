@@ -6,8 +6,14 @@ Two tools cover the engine's needs:
   compact state per join key first (map-side combined, so a hot key leaves each
   task as a single row), the states are joined, counts are multiplied and sums
   are scaled by the other side's count, and the result is rolled up.
+  ``later_repeats`` does the same where ids come out: a side's state is then
+  its ids, a bounded number a state.
 * ``salted_join`` is for joins whose raw rows must come out. It counts one
-  side's keys, and splits only the hot ones over several tasks.
+  side's keys, and splits the hot ones over several tasks.
+
+Which keys are hot is told by hash buckets, not by a list of keys: however many
+hot keys there are, the table that is broadcast has at most BUCKETS rows of two
+numbers, and none is left out. A bucket's keys are all split alike.
 """
 
 from __future__ import annotations
@@ -17,29 +23,44 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A key with fewer rows is never split.
+#: Rows of a key that one task should meet; a key with more is split.
 HOT_ROWS = 200_000
-#: At most so many keys are split, so their list has a proven size and may be
-#: broadcast. A key beyond the first thousand holds under a thousandth of all rows.
-MAX_HOT_KEYS = 1_000
-MAX_SALTS = 512
+#: Buckets of keys that are split alike.
+BUCKETS = 1 << 16
 
 
 def _same(left: Column, right: Column, null_safe: bool) -> Column:
     return left.eqNullSafe(right) if null_safe else left == right
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The keys of ``df`` with at least ``hot_rows`` rows: at most MAX_HOT_KEYS
-    rows (keys, salts), the largest ones."""
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") >= hot_rows)
-        .orderBy(F.desc("_n"))
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, F.least(F.ceil(F.col("_n") / hot_rows) + 1, F.lit(MAX_SALTS)).cast("int").alias("_salts"))
-    )
+def key_bucket(*keys: str | Column) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+
+def hot_buckets(counts: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(_bucket, _salts) of the buckets with a key of at least ``hot_rows`` rows;
+    ``counts`` has the keys and their number of rows, ``_n``. A split into more
+    parts than a shuffle has room for would only repeat the other side's rows."""
+    most = 4 * int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = counts.filter(F.col("_n") >= hot_rows).groupBy(key_bucket(*keys).alias("_bucket")).agg(F.max("_n").alias("_n"))
+    return hot.select("_bucket", F.least(F.ceil(F.col("_n") / hot_rows) + 1, F.lit(most)).cast("int").alias("_salts"))
+
+
+def with_salts(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
+    """``df`` with ``_salts``, the parts its key is split into (1: not split)."""
+    h = hot.select(F.col("_bucket").alias("_hot_bucket"), "_salts")
+    marked = df.join(F.broadcast(h), key_bucket(*[df[k] for k in keys]) == h["_hot_bucket"], "left").drop("_hot_bucket")
+    return marked.withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+
+
+def dealt(df: DataFrame, spread_by: Sequence[str], name: str = "_salt") -> DataFrame:
+    """Rows of a split key dealt to its parts by the columns ``spread_by``."""
+    return df.withColumn(name, F.pmod(F.xxhash64(*spread_by), F.col("_salts")).cast("int")).drop("_salts")
+
+
+def repeated(df: DataFrame, name: str = "_salt") -> DataFrame:
+    """Each row once for every part of its key."""
+    return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
 
 
 def salted_join(
@@ -59,31 +80,17 @@ def salted_join(
     the rows of ``right`` with that key are repeated once a salt. No row is
     dropped or repeated in the result. Null keys match only if ``null_safe``.
     Columns of ``right`` must not clash with those of ``left`` except ``on``.
-    ``hot`` may give the hot keys (as ``hot_keys`` does) where they are known
-    from compact states; otherwise the keys of ``left`` are counted.
+    ``hot`` may give the hot buckets (as ``hot_buckets`` does) where the counts
+    are known from compact states; otherwise the keys of ``left`` are counted.
     """
     if hot is None:
-        hot = hot_keys(left, on, hot_rows)
-    hot = hot.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(on)], "_salts")
-
-    def marked(df: DataFrame) -> DataFrame:
-        match = F.lit(True)
-        for i, k in enumerate(on):
-            match = match & _same(df[k], hot[f"_h{i}"], null_safe)
-        return df.join(F.broadcast(hot), match, "left").drop(*[f"_h{i}" for i in range(len(on))])
-
-    spread = F.pmod(F.xxhash64(*spread_by), F.col("_salts")).cast("int")
-    dealt = marked(left).withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(spread)).drop("_salts")
-    repeated = (
-        marked(right)
-        .withColumn("_salt_r", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0)))))
-        .drop("_salts")
-        .withColumnsRenamed({k: f"_r{i}" for i, k in enumerate(on)})
-    )
-    match = dealt["_salt"] == repeated["_salt_r"]
+        hot = hot_buckets(left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")), on, hot_rows)
+    a = dealt(with_salts(left, on, hot), spread_by)
+    b = repeated(with_salts(right, on, hot), "_salt_r").withColumnsRenamed({k: f"_r{i}" for i, k in enumerate(on)})
+    match = a["_salt"] == b["_salt_r"]
     for i, k in enumerate(on):
-        match = match & _same(dealt[k], repeated[f"_r{i}"], null_safe)
-    return dealt.join(repeated, match).drop("_salt", "_salt_r", *[f"_r{i}" for i in range(len(on))])
+        match = match & _same(a[k], b[f"_r{i}"], null_safe)
+    return a.join(b, match).drop("_salt", "_salt_r", *[f"_r{i}" for i in range(len(on))])
 
 
 def eager_join_aggregate(
@@ -126,37 +133,21 @@ def eager_join_aggregate(
 def later_repeats(df: DataFrame, key: Sequence[str], id_col: str, *, required: Sequence[str] = (), hot_rows: int = HOT_ROWS) -> DataFrame:
     """Ids of the rows for which an earlier row (smaller ``id_col``) has the same key.
 
-    The self-join "some q with q.key = p.key and q.id < p.id" is pushed below an
-    aggregate: q is reduced to one state a key (smallest id, row count), keys
-    that occur once are dropped, and only the surviving states meet the rows p.
-    The states of hot keys, at most MAX_HOT_KEYS, are broadcast to wherever
-    their rows are; the rows of all other keys meet theirs by a shuffled join.
+    The self-join "some q with q.key = p.key and q.id < p.id" is computed on
+    states of both inputs. q is reduced to one state a key: its smallest id and
+    its number of rows; keys that occur once are dropped. p is reduced to its
+    ids, one state a key; a key with more than about ``hot_rows`` rows is split
+    into several states, each with that many ids, so no state grows without
+    bound. The states are joined and rolled up to the ids after the smallest.
 
     Nulls in ``key`` are equal to each other; rows with a null in ``required``
     or a null id take no part. A row repeated with its own id is no later row.
-    One column, distinct values if the ids are.
+    One column, distinct values.
     """
-    rows = df.select(id_col, *key).filter(F.col(id_col).isNotNull())
-    for c in required:
-        rows = rows.filter(F.col(c).isNotNull())
-    names = {k: f"_k{i}" for i, k in enumerate(key)}
-    states = (
-        rows.groupBy(*key)
-        .agg(F.min(id_col).alias("_first"), F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > 1)
-        .withColumnsRenamed(names)
-    )
-    hot = states.orderBy(F.desc("_n"), "_first").limit(MAX_HOT_KEYS).filter(F.col("_n") >= hot_rows)
-
-    def same(a: DataFrame, b: DataFrame) -> Column:
-        match = F.lit(True)
-        for k, name in names.items():
-            match = match & a[k].eqNullSafe(b[name])
-        return match
-
-    marked = rows.join(F.broadcast(hot), same(rows, hot), "left").drop(*names.values(), "_n")
-    known = marked.filter(F.col("_first").isNotNull())
-    other = marked.filter(F.col("_first").isNull()).drop("_first")
-    joined = other.join(states, same(other, states))
-    later = F.col(id_col) > F.col("_first")
-    return joined.filter(later).select(id_col).unionByName(known.filter(later).select(id_col))
+    rows = df.select(F.col(id_col).alias("_id"), F.struct(*key).alias("_key"), *[F.col(c).alias(f"_need{i}") for i, c in enumerate(required)]).dropna(subset=["_id", *[f"_need{i}" for i in range(len(required))]]).select("_id", "_key")
+    firsts = rows.groupBy("_key").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+    hot = hot_buckets(firsts, ["_key"], hot_rows)
+    ids = dealt(with_salts(rows, ["_key"], hot), ["_id"]).groupBy("_key", "_salt").agg(F.collect_set("_id").alias("_ids"))
+    states = repeated(with_salts(firsts, ["_key"], hot), "_salt_r").select(F.col("_key").alias("_key_r"), "_salt_r", "_first")
+    joined = ids.join(states, (ids["_key"] == states["_key_r"]) & (ids["_salt"] == states["_salt_r"]))
+    return joined.select(F.explode(F.filter("_ids", lambda i: i > F.col("_first"))).alias(id_col))

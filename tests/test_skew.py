@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from conftest import rows
-from pathloom.operators.skew import eager_join_aggregate, later_repeats, salted_join
+from pathloom.operators.skew import BUCKETS, eager_join_aggregate, hot_buckets, later_repeats, salted_join, with_salts
 
 PATCH = "patch_id long, wsi_file string, x long, label string, _n int, _first string"
 KEY = ["wsi_file", "x", "label"]
@@ -27,6 +27,16 @@ def test_later_repeats_edges(spark):
     assert rows(later_repeats(spark.createDataFrame(data, PATCH), KEY, "patch_id", required=["wsi_file"])) == [(2,)]
 
 
+def test_every_hot_key_is_split_however_many(spark):
+    counts = spark.range(5000).select(F.col("id").cast("string").alias("k"), F.lit(10).cast("long").alias("_n"))
+    hot = hot_buckets(counts, ["k"], 5)
+    assert hot.count() <= BUCKETS
+    assert with_salts(counts, ["k"], hot).filter("_salts < 3").count() == 0
+    data = [(i, f"w{i % 7}", i % 3, None, 1, "") for i in range(2000)]
+    df = spark.createDataFrame(data, PATCH)
+    assert rows(later_repeats(df, KEY, "patch_id", required=["wsi_file"], hot_rows=20)) == brute(data)
+
+
 def test_salted_join_keeps_every_pair(spark):
     left = spark.createDataFrame([(i, "hot" if i % 3 else "k%d" % i) for i in range(200)] + [(999, None)], "id int, k string")
     right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k0", 3), ("k6", 4), (None, 5)], "k string, v int")
