@@ -76,7 +76,7 @@ def plan_containers(files: DataFrame, *, key_col: str = "file_key", bytes_col: s
         .withColumn("_lane", lane)
         .withColumn("_before", F.coalesce(F.sum("byte_length").over(along), F.lit(0).cast("long")))
         .withColumn("_box", F.floor(F.col("_before") / target_bytes))
-        .withColumn("byte_offset", F.col("_before") - F.min("_before").over(Window.partitionBy("_lane", "_box")))
+        .withColumn("byte_offset", F.col("_before") - F.first("_before").over(Window.partitionBy("_lane", "_box").orderBy("_before").rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("container_id", F.concat(F.lit("c"), F.lpad(F.col("_lane").cast("string"), 8, "0"), F.lit("-"), F.lpad(F.col("_box").cast("string"), 4, "0")))
         .drop("_lane", "_box", "_before")
     )
@@ -126,8 +126,10 @@ def _by_container(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _write(planned: DataFrame, out_dir: str, columns: Sequence[str], payload: Callable[[pa.Table], tuple[pa.Table, list[bytes]]]) -> DataFrame:
-    """Containers of ``planned`` under ``out_dir``; ``payload`` gives a table's members and their bytes."""
+def _write(planned: DataFrame, out_dir: str, columns: Sequence[str], in_lanes: bool, payload: Callable[[pa.Table], tuple[pa.Table, list[bytes]]]) -> DataFrame:
+    """Containers of ``planned`` under ``out_dir``; ``payload`` gives a table's
+    members and their bytes. A container that isn't whole in a partition leaves
+    a part that doesn't begin at 0, which is an error."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, folder = _split_uri(out_dir)
@@ -152,11 +154,13 @@ def _write(planned: DataFrame, out_dir: str, columns: Sequence[str], payload: Ca
             system.move(torn, f"{folder}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([own]), pa.array([name]), pa.array([len(members)], pa.int64()), pa.array([int(lengths.sum())], pa.int64())], names=_BOXES.names)
 
-    order = planned.select("container_id", "byte_offset", "byte_length", *columns).repartition(F.substring_index("container_id", "-", 1))
+    order = planned.select("container_id", "byte_offset", "byte_length", *columns)
+    if not in_lanes:
+        order = order.repartition("container_id")
     return order.sortWithinPartitions("container_id", "byte_offset", "byte_length").mapInArrow(run, _BOXES)
 
 
-def pack_containers(planned: DataFrame, out_dir: str, *, checksum_col: str | None = None, columns: Sequence[str] = ()) -> DataFrame:
+def pack_containers(planned: DataFrame, out_dir: str, *, checksum_col: str | None = None, columns: Sequence[str] = (), in_lanes: bool = False) -> DataFrame:
     """Write the files of ``planned`` (what ``plan_containers`` gives) into its
     containers under ``out_dir``, a folder or URI that all executors reach. One
     row a container: container_id, container (file name), n_files, n_bytes.
@@ -165,7 +169,9 @@ def pack_containers(planned: DataFrame, out_dir: str, *, checksum_col: str | Non
     read from the path where they are packed, so that only paths are shuffled.
     A file whose length isn't the planned one, or whose CRC-32 isn't
     ``checksum_col`` (hexadecimal; null: none known), is an error, and so is a
-    null path. ``columns`` go into the directory too.
+    null path. ``columns`` go into the directory too. ``in_lanes``: ``planned``
+    comes straight from ``plan_containers``, whose partitions hold whole
+    containers, so that it isn't shuffled again.
 
     A container is named after the plan and its directory's checksum, and is
     written under another name until it is whole: a task that is run again
@@ -189,13 +195,13 @@ def pack_containers(planned: DataFrame, out_dir: str, *, checksum_col: str | Non
             blob.append(data)
         return rows.select(["path", "byte_offset", "byte_length", *columns]).append_column("crc32", pa.array(sums, pa.int64())), blob
 
-    return _write(planned, out_dir, ["path", *["content"] * given, *extra], payload)
+    return _write(planned, out_dir, ["path", *["content"] * given, *extra], in_lanes, payload)
 
 
-def pack_directories(planned: DataFrame, out_dir: str, *, columns: Sequence[str]) -> DataFrame:
+def pack_directories(planned: DataFrame, out_dir: str, *, columns: Sequence[str], in_lanes: bool = False) -> DataFrame:
     """As ``pack_containers``, but the directories alone: the planned offsets and
     lengths and the manifest's ``columns``, to be filled where the files are."""
-    return _write(planned, out_dir, columns, lambda rows: (rows.select(["byte_offset", "byte_length", *columns]), []))
+    return _write(planned, out_dir, columns, in_lanes, lambda rows: (rows.select(["byte_offset", "byte_length", *columns]), []))
 
 
 def read_index(boxes: DataFrame, out_dir: str, member: T.StructType) -> DataFrame:

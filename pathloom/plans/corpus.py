@@ -79,25 +79,25 @@ def p5_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("line_id", "vendor", "wsi_file", "ann_type", "ann_name", "group_text", F.size("coordinates").alias("n_points"))
 
 
-def _p7_members(spark: SparkSession, sf_dir: str, keep: tuple[str, ...]) -> DataFrame:
-    """The members of the containers that hold each file once: planned from the
-    manifest, written as directories, read back and verified."""
+def _p7_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members of the containers that hold each file once, by path: planned
+    from the manifest, written as directories, read back and verified."""
     manifest = table(spark, sf_dir, "patch_file_list")
-    files = bundles.current_files(manifest, keep=keep)
+    files = bundles.current_files(manifest, keep=("patch_file", "checksum")).drop("file_key")
     listed = manifest.filter(F.col("n_bytes") > 0).agg(F.sum("n_bytes"), F.count(F.lit(1))).first()  # bounds: files listed again count again
-    plan = bundles.plan_containers(files, total=tuple(listed))
+    plan = bundles.plan_containers(files, key_col="patch_file", total=tuple(listed))
     folder = shared_folder(spark, "containers")
-    columns = ["list_id", "file_key", "n_bytes", *keep]
-    boxes = cut_lineage(bundles.pack_directories(plan, folder, columns=columns))
+    columns = ["list_id", "patch_file", "n_bytes", "checksum"]
+    boxes = cut_lineage(bundles.pack_directories(plan, folder, columns=columns, in_lanes=True))
     return bundles.read_index(boxes, folder, T.StructType([T.StructField(c, plan.schema[c].dataType) for c in ("byte_offset", "byte_length", *columns)]))
 
 
 def p7_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _p7_members(spark, sf_dir, ("patch_file", "checksum")).drop("container")
+    return _p7_members(spark, sf_dir).withColumn("file_key", bundles.file_key(F.col("patch_file"))).drop("container")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _p7_members(spark, sf_dir, ("patch_file", "checksum")).select("list_id")
+    return _p7_members(spark, sf_dir).select("list_id")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p2_found, p2_label_load, p4_found, p5_found, p5_valid, p7_found, p7_index)}

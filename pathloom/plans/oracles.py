@@ -133,8 +133,8 @@ ORACLES: dict[str, str] = {
         lanes AS (SELECT greatest(1, ceil(sum(n_bytes) / (64 * 134217728.0)), ceil(count(*) / 100000.0))::BIGINT AS n FROM listed),
         file AS (SELECT file_key, min(list_id) AS list_id, min_by(n_bytes, list_id) AS n_bytes, min_by(patch_file, list_id) AS patch_file, min_by(struct_pack(c := checksum), list_id).c AS checksum
                  FROM listed WHERE file_key <> '' GROUP BY file_key),
-        lane AS (SELECT *, ('0x' || md5(file_key)[1:8])::BIGINT % n AS lane FROM file, lanes),
-        run AS (SELECT *, coalesce(sum(n_bytes) OVER (PARTITION BY lane ORDER BY file_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM lane)
+        lane AS (SELECT *, ('0x' || md5(patch_file)[1:8])::BIGINT % n AS lane FROM file, lanes),
+        run AS (SELECT *, coalesce(sum(n_bytes) OVER (PARTITION BY lane ORDER BY patch_file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM lane)
         SELECT list_id, file_key, n_bytes, patch_file, checksum, n_bytes::BIGINT AS byte_length, (before - min(before) OVER (PARTITION BY lane, before // 134217728))::BIGINT AS byte_offset,
                'c' || lpad(lane::VARCHAR, 8, '0') || '-' || lpad((before // 134217728)::VARCHAR, 4, '0') AS container_id FROM run
     """,
