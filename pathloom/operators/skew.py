@@ -46,6 +46,15 @@ def hot_buckets(counts: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS
     return hot.select("_bucket", F.least(F.ceil(F.col("_n") / hot_rows) + 1, F.lit(most)).cast("int").alias("_salts"))
 
 
+def hot_of(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``hot_buckets`` of the rows of ``df``. Rows are counted by bucket first,
+    which shuffles BUCKETS numbers a task at most; keys are counted only in
+    buckets that are full enough to hold a hot one."""
+    full = df.groupBy(key_bucket(*keys).alias("_bucket")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= hot_rows).select("_bucket")
+    within = df.select(*keys).join(F.broadcast(full), key_bucket(*keys) == F.col("_bucket"), "left_semi")
+    return hot_buckets(within.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys, hot_rows)
+
+
 def with_salts(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
     """``df`` with ``_salts``, the parts its key is split into (1: not split)."""
     h = hot.select(F.col("_bucket").alias("_hot_bucket"), "_salts")
@@ -84,7 +93,7 @@ def salted_join(
     are known from compact states; otherwise the keys of ``left`` are counted.
     """
     if hot is None:
-        hot = hot_buckets(left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")), on, hot_rows)
+        hot = hot_of(left, on, hot_rows)
     a = dealt(with_salts(left, on, hot), spread_by)
     b = repeated(with_salts(right, on, hot), "_salt_r").withColumnsRenamed({k: f"_r{i}" for i, k in enumerate(on)})
     match = a["_salt"] == b["_salt_r"]
@@ -146,7 +155,7 @@ def later_repeats(df: DataFrame, key: Sequence[str], id_col: str, *, required: S
     """
     rows = df.select(F.col(id_col).alias("_id"), F.struct(*key).alias("_key"), *[F.col(c).alias(f"_need{i}") for i, c in enumerate(required)]).dropna(subset=["_id", *[f"_need{i}" for i in range(len(required))]]).select("_id", "_key")
     firsts = rows.groupBy("_key").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
-    hot = hot_buckets(firsts, ["_key"], hot_rows)
+    hot = hot_of(rows, ["_key"], hot_rows)
     ids = dealt(with_salts(rows, ["_key"], hot), ["_id"]).groupBy("_key", "_salt").agg(F.collect_set("_id").alias("_ids"))
     states = repeated(with_salts(firsts, ["_key"], hot), "_salt_r").select(F.col("_key").alias("_key_r"), "_salt_r", "_first")
     joined = ids.join(states, (ids["_key"] == states["_key_r"]) & (ids["_salt"] == states["_salt_r"]))
