@@ -3,9 +3,11 @@
 Points and regions meet in grid cells whose side is a power of two times twice
 the radius. A region uses the level at which its box, widened by the radius,
 fits one cell side, so it covers at most four cells, however large it is; a
-point has one cell at each level that some region uses. The equi-join on
-(group, level, cell) finds every pair in reach; the box and then the exact
-geometry are verified inside the same stage, in the JVM.
+point has one cell at each level that some region uses. A bitmap of the cells
+that regions cover, of a fixed size, goes to all tasks, so that only points in
+such cells are shuffled. The equi-join on (group, level, cell) finds every pair
+in reach; the box and then the exact geometry are verified inside the same
+stage, in the JVM.
 """
 
 from __future__ import annotations
@@ -17,19 +19,41 @@ from pathloom.operators.skew import HOT_ROWS, salted_join
 
 #: Levels above this are clamped: a cell then covers 2**40 radii.
 MAX_LEVEL = 40
+#: Bits of the bitmap of covered cells: at most 2**18 rows of two numbers.
+CELL_BITS = 1 << 24
 
 
-def _ring_edges(ring: Column) -> Column:
-    """The edges of a ring taken as closed; points with a null coordinate are left out."""
-    def edge(p: Column, i: Column) -> Column:
-        q = F.element_at(ring, F.when(i + 2 > F.size(ring), F.lit(1)).otherwise(i + 2))
-        return F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"))
+def _clean(ring: Column) -> Column:
+    return F.filter(ring, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
 
-    return F.transform(ring, edge)
 
+def _edges(xs: Column, ys: Column) -> Column:
+    """The edges of a closed ring, from its coordinates."""
+    ends = lambda v: F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0)))
+    return F.transform(ends(xs), lambda x, i: F.struct(F.get(xs, i).alias("x1"), F.get(ys, i).alias("y1"), x.alias("x2"), F.get(ys, i + 1).alias("y2")))
 
-def _clean(ring: Column) -> Column:
-    return F.filter(ring, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+
+def _closed(ring: Column) -> Column:
+    return F.concat(ring, F.slice(ring, 1, 1))
+
+
+def _coordinate(rings: str, name: str) -> Column:
+    return F.transform(rings, lambda ring: _closed(ring)[name])
+
+
+def covered_cells(cells: DataFrame, *keys: Column, bits: int = CELL_BITS) -> DataFrame:
+    """(_word, _mask): a bitmap of the hashes of the cells' keys."""
+    at = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
+    return cells.groupBy(F.floor(at / 64).alias("_word")).agg(F.bit_or(one).alias("_mask"))
+
+
+def in_covered(df: DataFrame, bitmap: DataFrame, *keys: Column, bits: int = CELL_BITS) -> DataFrame:
+    """The rows whose cell may be covered: all that are, and few others."""
+    at = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    near = df.withColumn("_at", at).join(F.broadcast(bitmap), F.floor(F.col("_at") / 64) == F.col("_word"))
+    set_here = F.call_function("shiftrightunsigned", F.col("_mask"), (F.col("_at") % 64).cast("int")).bitwiseAND(1) == 1
+    return near.filter(set_here).drop("_at", "_word", "_mask")
 
 
 def _near(edges: Column, x: Column, y: Column, radius: float) -> Column:
@@ -84,8 +108,8 @@ def regions_in_reach(
         .select(
             "polygon_id",
             "grp",
-            _ring_edges(F.col("ext")).alias("ext_edges"),
-            F.transform("holes", _ring_edges).alias("hole_edges"),
+            *[_closed(F.col("ext"))[c].alias(f"e{c}") for c in "xy"],
+            *[_coordinate("holes", c).alias(f"h{c}") for c in "xy"],
             *[(F.array_min(F.col("all")[c]) - radius).alias(f"lo{c}") for c in "xy"],
             *[(F.array_max(F.col("all")[c]) + radius).alias(f"hi{c}") for c in "xy"],
         )
@@ -96,6 +120,8 @@ def regions_in_reach(
     side = F.lit(base) * F.pow(F.lit(2.0), F.col("level"))
     cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / side), F.floor(F.col(hi) / side)))
     shapes = shapes.withColumn("cx", cells("lox", "hix")).withColumn("cy", cells("loy", "hiy")).drop("extent")
+    key = ["grp", "level", "cx", "cy"]
+    bitmap = covered_cells(shapes, *map(F.col, key))
     spots = (
         points.select(F.col(point_id).alias("point_id"), F.col(group).alias("grp"), F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"))
         .dropna()
@@ -103,12 +129,15 @@ def regions_in_reach(
         .withColumn("cx", F.floor(F.col("px") / side))
         .withColumn("cy", F.floor(F.col("py") / side))
     )
+    spots = in_covered(spots, bitmap, *map(F.col, key))
     x, y = F.col("px"), F.col("py")
     in_box = (x >= F.col("lox")) & (x <= F.col("hix")) & (y >= F.col("loy")) & (y <= F.col("hiy"))
-    reached = (
-        _near(F.col("ext_edges"), x, y, radius)
-        | F.exists("hole_edges", lambda h: _near(h, x, y, radius))
-        | (_inside(F.col("ext_edges"), x, y) & ~F.exists("hole_edges", lambda h: _inside(h, x, y)))
+    # The edges of a pair are made once, as the only element of an array that the test is mapped over.
+    rings = F.struct(_edges(F.col("ex"), F.col("ey")).alias("ext"), F.transform("hx", lambda xs, i: _edges(xs, F.get("hy", i))).alias("holes"))
+    reached = lambda s: (
+        (_inside(s["ext"], x, y) & ~F.exists(s["holes"], lambda h: _inside(h, x, y)))
+        | _near(s["ext"], x, y, radius)
+        | F.exists(s["holes"], lambda h: _near(h, x, y, radius))
     )
-    pairs = salted_join(spots, shapes, ["grp", "level", "cx", "cy"], spread_by=["point_id"], hot_rows=hot_rows)
-    return pairs.filter(in_box).filter(reached).select("point_id", "polygon_id").distinct()
+    pairs = salted_join(spots, shapes, key, spread_by=["point_id"], hot_rows=hot_rows)
+    return pairs.filter(in_box).filter(F.exists(F.array(rings), reached)).select("point_id", "polygon_id").distinct()
