@@ -1,9 +1,12 @@
 """Delimited lines: load the valid ones, set each broken one apart with its reason.
 
 A block of lines goes through one bulk parse (the Arrow CSV reader) and a few
-columnar checks. If anything in the block is off, the block is cut in two and
-each half tried again, so that clean stretches keep the fast path; a block of
-one line is diagnosed by a strict reader that names the first rule it breaks.
+columnar checks. A mask over the block, one compiled pattern, tells which lines
+can't have the right fields; the block is cut at these, and the stretches
+between are parsed together. A block that still doesn't parse is cut in two and
+each half tried again, down to one line. Lines that were cut out, and parsed
+ones whose columns fail a check, go one by one to a strict reader that names
+the first rule they break, or finds them valid.
 """
 
 from __future__ import annotations
@@ -20,10 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Lines tried at once before the first cut, and lines of a failing block that
-#: are cheaper to read strictly than to cut again.
-BLOCK_ROWS, STRICT_ROWS = 512, 8
-_RFC_LINE = r'(?s)\A(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*\z'
+#: Lines parsed at once.
+BLOCK_ROWS = 4096
+_FIELD = r'(?:"(?:[^"]|"")*"|[^",\r\n]*)'
 
 
 @dataclass(frozen=True)
@@ -76,6 +78,7 @@ class _Checker:
         self.form = form
         self.point = re.compile(form.point)
         self.list_pattern = rf"\A *{form.point} *(?:; *{form.point} *)*\z"
+        self.row_pattern = rf"(?s)\A{_FIELD}(?:,{_FIELD}){{{len(form.columns) - 1}}}\z"
 
     def diagnose(self, line: str) -> tuple[str | None, list[str]]:
         fields = rfc4180_fields(line)
@@ -93,49 +96,56 @@ class _Checker:
             return "point_count", []
         return None, fields
 
-    def bulk(self, lines: pa.Array) -> list[pa.Array] | None:
-        """The block's columns, or None if any line breaks any rule."""
-        width = len(self.form.columns)
-        if not pc.all(pc.match_substring_regex(lines, _RFC_LINE)).as_py():
-            return None
-        data = "\n".join(lines.to_pylist()).encode() + b"\n"
-        names = [str(i) for i in range(width)]
+    def bulk(self, lines: pa.Array) -> tuple[list[pa.Array], pa.Array] | None:
+        """The block's columns and which of its rows break no rule; None where
+        the block as a whole doesn't parse to a row a line."""
+        n, names = len(lines), [str(i) for i in range(len(self.form.columns))]
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), lines), "\n")[0].as_buffer()
         try:
             block = pacsv.read_csv(
-                pa.BufferReader(data),
-                read_options=pacsv.ReadOptions(column_names=names, use_threads=False, block_size=len(data) + 16),
+                pa.BufferReader(joined),
+                read_options=pacsv.ReadOptions(column_names=names, use_threads=False, block_size=joined.size + 16),
                 parse_options=pacsv.ParseOptions(newlines_in_values=True, ignore_empty_lines=False),
                 convert_options=pacsv.ConvertOptions(column_types={n: pa.string() for n in names}, strings_can_be_null=False),
             )
         except pa.ArrowInvalid:
             return None
-        if block.num_rows != len(lines):
+        if block.num_rows != n:
             return None
         columns = [c.combine_chunks() for c in block.columns]
         kinds, places = columns[self.form.type_index], columns[self.form.points_index]
         counts = pc.add(pc.count_substring(places, ";"), 1)
-        good = pc.match_substring_regex(places, self.list_pattern)
-        allowed = pa.array([False] * len(lines))
+        allowed = pa.array([False] * n)
         for kind, (least, most) in self.form.point_counts.items():
             fits = pc.and_(pc.equal(kinds, kind), pc.greater_equal(counts, least))
             allowed = pc.or_(allowed, fits if most is None else pc.and_(fits, pc.less_equal(counts, most)))
-        return columns if pc.all(pc.and_(good, allowed)).as_py() else None
+        return columns, pc.and_(allowed, pc.match_substring_regex(places, self.list_pattern))
 
-    def split(self, lines: pa.Array) -> Iterator[tuple[int, int, list[pa.Array] | None, str | None]]:
-        """(from, to, columns or None, reason) of stretches that together are the block."""
-        todo = [(i, min(i + BLOCK_ROWS, len(lines))) for i in range(0, len(lines), BLOCK_ROWS)][::-1]
+    def split(self, lines: pa.Array) -> Iterator[tuple[np.ndarray, list[pa.Array] | None, list[str | None]]]:
+        """(places, columns or None, reasons): every line in one of them."""
+        sure = pc.match_substring_regex(lines, self.row_pattern).to_numpy(zero_copy_only=False)
+        places, doubted = np.flatnonzero(sure), [np.flatnonzero(~sure)]
+        todo = [places[i : i + BLOCK_ROWS] for i in range(0, len(places), BLOCK_ROWS)]
         while todo:
-            lo, hi = todo.pop()
-            columns = self.bulk(lines.slice(lo, hi - lo))
-            if columns is not None:
-                yield lo, hi, columns, None
-            elif hi - lo <= STRICT_ROWS:
-                for i in range(lo, hi):
-                    reason, fields = self.diagnose(lines[i].as_py())
-                    yield i, i + 1, None if reason else [pa.array([f], pa.string()) for f in fields], reason
+            at = todo.pop()
+            parsed = self.bulk(lines.take(pa.array(at)))
+            if parsed is not None:
+                columns, good = parsed
+                own = good.to_numpy(zero_copy_only=False)
+                yield at[own], [c.filter(good) for c in columns], [None] * int(own.sum())
+                doubted.append(at[~own])
+            elif len(at) == 1:
+                doubted.append(at)
             else:
-                mid = (lo + hi) // 2
-                todo += [(mid, hi), (lo, mid)]
+                todo += [at[len(at) // 2 :], at[: len(at) // 2]]
+        at = np.concatenate(doubted)
+        if len(at):
+            found = [self.diagnose(line) for line in lines.take(pa.array(at)).to_pylist()]
+            bad = np.array([reason is not None for reason, _ in found])
+            yield at[bad], None, [reason for reason, _ in found if reason]
+            if not bad.all():
+                valid = [fields for reason, fields in found if not reason]
+                yield at[~bad], [pa.array(c, pa.string()) for c in zip(*valid)], [None] * len(valid)
 
 
 def parse_lines(
@@ -185,10 +195,10 @@ def parse_lines(
                     parts.append(pa.nulls(len(missing), lists))
                     order.append(missing)
                 there = np.flatnonzero(~none.to_numpy(zero_copy_only=False))
-                for lo, hi, columns, reason in checkers.get(vendor, other).split(own.take(pa.array(there))):
-                    reasons += [reason] * (hi - lo)
-                    parts.append(pa.nulls(hi - lo, lists) if columns is None else fields_of(columns))
-                    order.append(there[lo:hi])
+                for at, columns, why in checkers.get(vendor, other).split(own.take(pa.array(there))):
+                    reasons += why
+                    parts.append(pa.nulls(len(at), lists) if columns is None else fields_of(columns))
+                    order.append(there[at])
                 n = len(own_ids)
                 arrays = [own_ids.take(pa.array(np.concatenate(order))), pa.array([vendor] * n, pa.string()), pa.array(reasons, pa.string()), pa.concat_arrays(parts)]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)

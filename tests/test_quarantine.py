@@ -62,16 +62,16 @@ def test_bulk_and_strict_agree(fields):
     for f in fields:
         f = [f[0], "Dot", f[2], f[3], f[4], "1 2"]
         lines.append(",".join('"' + x.replace('"', '""') + '"' if len(x) % 2 else x for x in f))
-    at = 0
-    for lo, hi, columns, reason in checker.split(pa.array(lines)):
-        assert lo == at
-        at = hi
-        for i in range(lo, hi):
+    seen = []
+    for places, columns, reasons in checker.split(pa.array(lines)):
+        assert len(places) == len(reasons)
+        for k, i in enumerate(places.tolist()):
             strict = checker.diagnose(lines[i])
-            assert strict[0] == reason
+            assert strict[0] == reasons[k]
             if columns is not None:
-                assert [c[i - lo].as_py() for c in columns] == strict[1]
-    assert at == len(lines)
+                assert [c[k].as_py() for c in columns] == strict[1]
+        seen += places.tolist()
+    assert sorted(seen) == list(range(len(lines)))
 
 
 def test_fields_of_quoted_text():
