@@ -1,10 +1,14 @@
 """Long mails in pieces under a token limit, cut at natural boundaries.
 
-A mail is a tree: messages hold paragraphs, these lines, these sentences, these
-words, these tokens. Every boundary is a place between two tokens with a level.
-Packing goes bottom-up: siblings are merged while they fit, and only a node
-over the limit is opened. Each later piece begins with the last tokens of the
-one before, and its own tokens fill what is left of the limit.
+A mail's structure is parsed to a tree: MIME parts hold messages (quoted ones
+inside those that quote them), messages hold sections under headings,
+paragraphs and HTML blocks, list items (deeper ones inside shallower), lines,
+sentences, words and tokens. The tree is kept as a level for each place between
+two tokens: a node is a longest stretch without a boundary of its level or
+above. Packing is bottom-up: whole siblings are merged while they fit; only a
+node over the limit is opened, and its leftovers stay in it. Each later piece
+begins with the last tokens of the one before, and its own tokens fill what is
+left of the limit.
 """
 
 from __future__ import annotations
@@ -21,68 +25,123 @@ from pyspark.sql import types as T
 from pathloom.llm.bpe import DEFAULT_VOCABULARY, TOKENIZER_DIR, Encoder, rank_file, worker_encoder
 
 LIMIT, OVERLAP = 512, 64
-# Levels of a boundary; a tree node of a level is parted at boundaries of it or above.
-TOKEN, WORD, SENTENCE, LINE, PARAGRAPH, MESSAGE = range(6)
+#: Levels of a boundary, lowest first. Those with several tiers are nested: the
+#: first tier is the outermost, and the highest.
+TOKEN, WORD, SENTENCE, LINE = range(4)
+ITEM, ITEM_TIERS = 4, 4
+PARAGRAPH = ITEM + ITEM_TIERS
+HEADING, HEADING_TIERS = PARAGRAPH + 1, 6
+MESSAGE, MESSAGE_TIERS = HEADING + HEADING_TIERS, 5
+PART, PART_TIERS = MESSAGE + MESSAGE_TIERS, 4
+KINDS = [(TOKEN, "token"), (WORD, "word"), (SENTENCE, "sentence"), (LINE, "line"), (ITEM, "item"), (PARAGRAPH, "paragraph"), (HEADING, "heading"), (MESSAGE, "message"), (PART, "part")]
 
-_SENTENCE = re.compile(r"[.!?…][\"'”’)\]]*(?=\s)|[。！？]|</(?:p|div|li|tr|td|h\d)>|<br ?/?>")
+_SENTENCE = re.compile(r"[.!?…][\"'”’)\]]*(?=\s)|[。！？]")
 _PARAGRAPH = re.compile(r"\n(?:[>|: \t\r]*\n)+")
-#: Lines that begin a message or a part: separators, attributions, quoted headers.
+_BLOCK_END = re.compile(r"</(?:p|div|ul|ol|table|blockquote|pre|h[1-6])>", re.I)
+_BLOCK_LINE = re.compile(r"<br ?/?>|</t[dh]>", re.I)
+_BLOCK_ITEM = re.compile(r"<(?:li|tr|dt)\b", re.I)
+_BLOCK_HEADING = re.compile(r"<h([1-6])\b", re.I)
+_QUOTE = r"[>| \t]*"
+#: List items (bullets, numbers, letters) and headings (marked or underlined) of plain text.
+_ITEM = re.compile(rf"^({_QUOTE})(?:[-*+•–]|\(?(?:\d{{1,3}}|[a-zA-Z])[.)])[ \t]+(?=\S)", re.M)
+_HASHES = re.compile(rf"^{_QUOTE}(#{{1,6}})[ \t]+\S", re.M)
+_UNDERLINED = re.compile(rf"^{_QUOTE}[^\s>|][^\n]{{0,98}}\n{_QUOTE}(=|-)\2{{2,}}[ \t]*\r?$".replace(r"\2", r"\1"), re.M)
+#: Lines that begin a message: separators, attributions, quoted headers.
 _MESSAGE = re.compile(
-    r"^(?:--\S+|[-_=*> |]*(?:original message|forwarded message|urspr[^\n]{1,3}ngliche nachricht|weitergeleitete nachricht)[-_=* ]*\r?$"
+    r"^(?:[-_=*> |]*(?:original message|forwarded message|urspr[^\n]{1,3}ngliche nachricht|weitergeleitete nachricht)[-_=* ]*\r?$"
     r"|[> |]*(?:from|von): [^\n]*(?=\n[> |]*(?:sent|date|to|gesendet|datum|an|subject|betreff):)"
     r"|[> |]*(?:on|am|le) [^\n]*(?:wrote|schrieb|écrit)[^\n]*:\r?$)",
     re.I | re.M,
 )
+_BOUNDARY = re.compile(r"boundary=(?:\"([^\"\n]+)\"|([^\s;]+))", re.I)
+
+
+def _tier(base: int, tiers: int, depth: int) -> int:
+    return base + tiers - 1 - min(depth, tiers - 1)
 
 
 def boundaries(text: str) -> dict[int, int]:
-    """Character place -> level of the boundary before it (lines and above, and sentences)."""
+    """Character place -> the highest level of the boundary before it; words and
+    tokens have no entry."""
     found: dict[int, int] = {}
+
+    def mark(place: int, level: int) -> None:
+        if level > found.get(place, 0):
+            found[place] = level
+
     for m in _SENTENCE.finditer(text):
-        found[m.end()] = SENTENCE
+        mark(m.end(), SENTENCE)
     at = text.find("\n")
     while at >= 0:
-        found[at + 1] = LINE
+        mark(at + 1, LINE)
         at = text.find("\n", at + 1)
+    for m in _ITEM.finditer(text):
+        mark(m.start(), _tier(ITEM, ITEM_TIERS, len(m[1].replace("\t", "    ").replace(">", "").replace("|", "")) // 2))
     for m in _PARAGRAPH.finditer(text):
-        found[m.end()] = PARAGRAPH
+        mark(m.end(), PARAGRAPH)
+    for m in _HASHES.finditer(text):
+        mark(m.start(), _tier(HEADING, HEADING_TIERS, len(m[1]) - 1))
+    for m in _UNDERLINED.finditer(text):
+        mark(m.start(), _tier(HEADING, HEADING_TIERS, 0 if m[1] == "=" else 1))
+    if "<" in text:
+        for m in _BLOCK_LINE.finditer(text):
+            mark(m.end(), LINE)
+        for m in _BLOCK_ITEM.finditer(text):
+            mark(m.start(), _tier(ITEM, ITEM_TIERS, 0))
+        for m in _BLOCK_END.finditer(text):
+            mark(m.end(), PARAGRAPH)
+        for m in _BLOCK_HEADING.finditer(text):
+            mark(m.start(), _tier(HEADING, HEADING_TIERS, int(m[1]) - 1))
     for m in _MESSAGE.finditer(text):
-        found[m.start()] = MESSAGE
+        quoted = len(m[0]) - len(m[0].lstrip("> |\t"))
+        mark(m.start(), _tier(MESSAGE, MESSAGE_TIERS, m[0][:quoted].count(">")))
+    for depth, name in enumerate(dict.fromkeys(a or b for a, b in _BOUNDARY.findall(text))):
+        mark_line = "--" + name
+        at = text.find(mark_line)
+        while at >= 0:
+            if at == 0 or text[at - 1] == "\n":
+                mark(at, _tier(PART, PART_TIERS, depth))
+            at = text.find(mark_line, at + 1)
+    found.pop(0, None)
     return found
 
 
 def pack(counts: np.ndarray, levels: np.ndarray, limit: int, first_limit: int) -> list[tuple[int, int]]:
     """Ranges of units that together are all of them, each of at most ``limit``
-    tokens (the one from 0: ``first_limit``). counts: tokens of each unit, each
-    within the limit; levels: of the boundary before each unit.
+    tokens (the one from 0: ``first_limit``), or a single unit. counts: tokens of
+    each unit; levels: of the boundary before each unit. A range is one node, or
+    whole siblings.
     """
-    ends = np.concatenate(([0], np.cumsum(counts))).tolist()
-
-    def fits(lo: int, hi: int) -> bool:
-        return ends[hi] - ends[lo] <= (limit if lo else first_limit)
-
-    def opened(lo: int, hi: int, level: int) -> list[tuple[int, int]]:
-        cuts = [lo]
-        while len(cuts) == 1 and level > TOKEN:
-            level -= 1
-            cuts = [lo, *(lo + 1 + np.flatnonzero(levels[lo + 1 : hi] >= level)).tolist()]
-        if len(cuts) == 1:
-            cuts = list(range(lo, hi))
-        packed: list[tuple[int, int]] = []
-        for a, b in zip(cuts, [*cuts[1:], hi]):
-            if packed and fits(packed[-1][0], b):
-                packed[-1] = (packed[-1][0], b)
-            elif fits(a, b):
-                packed.append((a, b))
-            else:
-                inner = opened(a, b, level)
-                if packed and fits(packed[-1][0], inner[0][1]):
-                    inner[0] = (packed.pop()[0], inner[0][1])
-                packed += inner
-        return packed
-
+    ends = np.concatenate(([0], np.cumsum(counts)))
     n = len(counts)
-    return [(0, n)] if fits(0, n) else opened(0, n, MESSAGE + 1)
+
+    def room(lo: int) -> int:
+        return limit if lo else first_limit
+
+    out: list[tuple[int, int]] = []
+    todo = [(0, n)]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo == 1 or ends[hi] - ends[lo] <= room(lo):
+            out.append((lo, hi))
+            continue
+        inner = levels[lo + 1 : hi]
+        cuts = np.concatenate(([lo], lo + 1 + np.flatnonzero(inner == inner.max()), [hi]))
+        at = ends[cuts]
+        k, last, made = 0, len(cuts) - 1, []
+        while k < last:
+            # As many whole children from here as fit; a child over the limit alone, to be opened.
+            upto = int(np.searchsorted(at, at[k] + room(int(cuts[k])), side="right")) - 1
+            upto = max(upto, k + 1)
+            made.append((int(cuts[k]), int(cuts[upto])))
+            k = upto
+        todo += reversed(made)
+    return out
+
+
+def _kinds(levels: np.ndarray) -> list[str]:
+    names = np.array([name for _, name in KINDS])
+    return names[np.searchsorted([low for low, _ in KINDS], levels, side="right") - 1].tolist()
 
 
 class Chunker:
@@ -90,14 +149,15 @@ class Chunker:
         self.encoder, self.limit, self.overlap = encoder, limit, overlap
         self.strings = encoder.strings
 
-    def pieces(self, text: str) -> list[tuple[int, int, int, str]]:
-        """(first token, tokens, tokens repeated, text) of each piece, in order."""
+    def pieces(self, text: str) -> list[tuple[int, int, int, str | None, str]]:
+        """(first token, tokens, tokens repeated, kind of the boundary it begins
+        at, text) of each piece, in order."""
         words = self.encoder.pieces(text)
         ids_of = [self.encoder.memo[w] for w in words]
         counts = np.fromiter(map(len, ids_of), np.int64, len(words))
         total = int(counts.sum())
         if total <= self.limit:
-            return [(0, total, 0, text)]
+            return [(0, total, 0, None, text)]
         starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))))
         levels = np.full(len(words), WORD, np.int64)
         marks = boundaries(text)
@@ -112,10 +172,11 @@ class Chunker:
             counts, levels, words, ids_of, starts = self._parted(counts, levels, words, ids_of, starts, fresh)
         ends = np.concatenate(([0], np.cumsum(counts))).tolist()
         out, chars = [], starts.tolist()
+        kinds = _kinds(levels)
         for n, (lo, hi) in enumerate(pack(counts, levels, fresh, self.limit)):
-            back = min(self.overlap, ends[lo]) if n else 0
+            back = min(self.overlap, ends[lo], max(0, self.limit - (ends[hi] - ends[lo]))) if n else 0
             repeated = self._before(text, ids_of, ends, chars, lo, back)
-            out.append((ends[lo] - back, ends[hi] - ends[lo] + back, back, repeated + text[chars[lo] : chars[hi]]))
+            out.append((ends[lo] - back, ends[hi] - ends[lo] + back, back, kinds[lo] if n else None, repeated + text[chars[lo] : chars[hi]]))
         return out
 
     def _before(self, text: str, ids_of: list, ends: list[int], chars: list[int], lo: int, back: int) -> str:
@@ -162,12 +223,15 @@ def split_documents(
     """The pieces of each text, in order: id, ``piece_no`` from 0,
     ``start_token`` in the text's ids, ``n_tokens`` (at most ``limit``),
     ``overlap_tokens`` (the last ``overlap`` of the piece before; 0 in the
-    first) and ``piece``, its text.
+    first), ``cut`` (the kind of the boundary that its own tokens begin at; null
+    in the first) and ``piece``, its text.
 
     Without the repeated tokens the pieces are the text, whole and in order.
-    Cuts are at message, paragraph, line or sentence ends where there are any,
-    else between words, else between characters. A text within the limit is one
-    piece; a null or empty text has none. Where the repeated tokens begin
+    Cuts are at part, message, section, paragraph, item, line or sentence ends
+    where there are any, else between words, else between characters: a piece
+    is one node of the tree or whole siblings. A text within the limit is one
+    piece; a null or empty text has none. Where one character takes more tokens
+    than the limit leaves beside the overlap, its piece repeats fewer. Where the repeated tokens begin
     inside a character, its bytes are left out of ``piece``. Repeated rows give
     repeated pieces; other columns are ignored. No shuffle.
     """
@@ -175,7 +239,7 @@ def split_documents(
         raise ValueError("overlap must be less than the limit")
     ranks = df.sparkSession.sparkContext.broadcast(rank_file(vocabulary, folder))
     numbers = ["piece_no", "start_token", "n_tokens", "overlap_tokens"]
-    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *[T.StructField(n, T.IntegerType()) for n in numbers], T.StructField("piece", T.StringType())])
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *[T.StructField(n, T.IntegerType()) for n in numbers], T.StructField("cut", T.StringType()), T.StructField("piece", T.StringType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunker = Chunker(worker_encoder(ranks.value), limit, overlap)
@@ -188,8 +252,8 @@ def split_documents(
                         for n, piece in enumerate(chunker.pieces(text)):
                             places.append(i)
                             rows.append((n, *piece))
-                columns = list(zip(*rows)) or [()] * 5
-                arrays = [part.column(0).take(pa.array(places, pa.int64())), *[pa.array(c, pa.int32()) for c in columns[:4]], pa.array(columns[4], pa.string())]
+                columns = list(zip(*rows)) or [()] * 6
+                arrays = [part.column(0).take(pa.array(places, pa.int64())), *[pa.array(c, pa.int32()) for c in columns[:4]], *[pa.array(c, pa.string()) for c in columns[4:]]]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return df.select(id_col, text_col).mapInArrow(run, schema)

@@ -58,4 +58,10 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.split_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_unmatched, p6_found, p6_splits, p8_ids, p9_found, p9_leaks, p10_pieces)}
+def p10_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many cuts there are of each kind, and the fewest and mean new tokens of the pieces after them."""
+    new = F.col("n_tokens") - F.col("overlap_tokens")
+    return p10_pieces(spark, sf_dir).filter(F.col("piece_no") > 0).groupBy("cut").agg(F.count(F.lit(1)).alias("n"), F.min(new).alias("fewest_new"), F.avg(new).alias("mean_new"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_unmatched, p6_found, p6_splits, p8_ids, p9_found, p9_leaks, p10_pieces, p10_cuts)}

@@ -22,9 +22,9 @@ def check(encoder, text, limit, overlap):
     pieces = chunking.Chunker(encoder, limit, overlap).pieces(text)
     end = 0
     whole = ""
-    for n, (start, count, back, piece) in enumerate(pieces):
+    for n, (start, count, back, _, piece) in enumerate(pieces):
         assert count <= limit
-        assert start + back == end and back == (min(overlap, end) if n else 0)
+        assert start + back == end and back == (min(overlap, end, limit - (count - back)) if n else 0)
         repeated = encoder.decode_bytes(ids[start:end]).decode(errors="ignore")
         assert piece.startswith(repeated)
         whole += piece[len(repeated) :]
@@ -50,14 +50,73 @@ def test_natural_boundaries_are_preferred(encoder):
     part = "One short sentence here. " * 8
     text = "\n\n".join([part] * 12)
     ids = encoder.encode(text)
-    for start, count, back, piece in check(encoder, text, 150, 10)[:-1]:
+    for start, count, _, _, _ in check(encoder, text, 150, 10)[:-1]:
         assert encoder.decode(ids[: start + count]).endswith("\n\n")
     message = "Hello there.\n" * 10 + "-----Original Message-----\n" + "Older text here.\n" * 10
     pieces = check(encoder, message, 60, 5)
-    cuts = [len(encoder.decode(encoder.encode(message)[: s + n])) for s, n, _, _ in pieces]
+    cuts = [len(encoder.decode(encoder.encode(message)[: s + n])) for s, n, *_ in pieces]
     assert message.index("-----Original") in cuts
 
 
+MAIL = """From: a@b.c
+Content-Type: multipart/mixed; boundary="xx"
+
+--xx
+Content-Type: text/plain
+
+# Results
+Intro line one. Second sentence here.
+- first item with some words
+  - nested item with words
+- second item with words
+## Details
+More words in the details section, and more of them. And more.
+
+Closing paragraph of the section.
+-----Original Message-----
+> On Monday X wrote:
+> Quoted words go on and on here.
+>> From: deeper
+>> Date: today
+>> Deeper words.
+--xx
+Content-Type: text/html
+
+<h1>Title</h1><p>One block.</p><ul><li>alpha<li>beta</ul>
+--xx--
+"""
+
+
+def test_the_tree_of_a_mail():
+    kinds = {p: next(n for low, n in reversed(chunking.KINDS) if level >= low) for p, level in chunking.boundaries(MAIL).items()}
+    at = lambda s: kinds.get(MAIL.index(s))
+    assert [at(s) for s in ("--xx\n", "# Results", "- first", "  - nested", "## Details", "Closing", "-----Orig", "> On Monday", "<h1>", "<ul>", "<li>beta", " Second sentence")] == ["part", "heading", "item", "item", "heading", "paragraph", "message", "message", "heading", "paragraph", "item", "sentence"]
+    levels = chunking.boundaries(MAIL)
+    assert levels[MAIL.index("# Results")] > levels[MAIL.index("## Details")] > levels[MAIL.index("Closing")]
+    assert levels[MAIL.index("- first")] > levels[MAIL.index("  - nested")]
+
+
+def test_pieces_are_whole_siblings():
+    """A piece that begins below some boundary doesn't run over it: all boundaries
+    inside a piece of several nodes are no higher than those at its ends."""
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        n = int(rng.integers(2, 120))
+        counts, levels = rng.integers(1, 9, n), rng.integers(0, 6, n)
+        for a, b in chunking.pack(counts, levels, 20, 25):
+            inside = levels[a + 1 : b].max(initial=-1)
+            assert inside <= (levels[a] if a else 9) and inside <= (levels[b] if b < n else 9)
+
+
+def test_pieces_encode_within_the_limit(encoder):
+    rng = np.random.default_rng(3)
+    words = ["word", "Größe", "2024-05-01", "x@y.org", "已完", "re:", "--", "ab" * 40]
+    for _ in range(20):
+        text = "".join(str(rng.choice(words)) + str(rng.choice([" ", " ", ". ", "\n", "\n\n", "\n> "])) for _ in range(1500))
+        for *_, piece in check(encoder, text, 512, 64):
+            assert len(encoder.encode(piece)) <= 512
+
+
 def test_pack_is_whole_and_within_the_limit():
     rng = np.random.default_rng(1)
     for _ in range(50):
