@@ -11,8 +11,10 @@ hit Myers' bit-parallel algorithm, over words, gives the passage's distance.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pathloom.llm.mail import text_parts
+from pathloom.runtime import cut_lineage
 
-#: Words of test items sent to the executors at once; larger sets go in blocks.
-BLOCK_WORDS = 2_000_000
+#: Characters of test items sent to the executors at once, about; larger sets go
+#: in blocks. A word and the gap after it are two characters at least.
+BLOCK_CHARS = 16_000_000
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -126,13 +130,47 @@ class ItemIndex:
         return best
 
 
-def _blocks(items: DataFrame, item_id: str, item_text: str) -> Iterator[list[tuple]]:
-    """The items in blocks of a bounded number of words, by hash of the id."""
-    rows = items.select(item_id, item_text).filter(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).distinct()
-    total = rows.agg(F.sum(F.size(F.split(item_text, r"\s+")))).first()[0] or 0
-    n = -(-total // BLOCK_WORDS) or 1
+def _blocks(items: DataFrame, item_id: str, item_text: str, block_chars: int) -> Iterator[list[tuple]]:
+    """The items in blocks of a bounded size, by hash of the id; a longer item is a block of its own."""
+    rows = items.select(F.col(item_id).alias("k"), F.col(item_text).alias("t")).dropna().distinct()
+    total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
+    n = -(-total // block_chars) or 1
     for i in range(n):
-        yield [tuple(r) for r in rows.filter(F.pmod(F.xxhash64(item_id), F.lit(n)) == i).collect()]
+        block: list[tuple] = []
+        size = 0
+        for r in rows.filter(F.pmod(F.xxhash64("k"), F.lit(n)) == i).toLocalIterator():
+            if block and size + len(r["t"]) > block_chars:
+                yield block
+                block, size = [], 0
+            block.append((r["k"], r["t"]))
+            size += len(r["t"])
+        if block:
+            yield block
+
+
+_indexes: dict[str, ItemIndex] = {}
+
+
+def worker_index(name: str, sent, window: int, max_edits: int) -> ItemIndex:
+    """One index a Python worker and block; workers are used again."""
+    if name not in _indexes:
+        _indexes.clear()
+        _indexes[name] = ItemIndex(sent.value, window, max_edits)
+    return _indexes[name]
+
+
+def decoded_parts(documents: DataFrame, doc_id: str, doc_text: str) -> DataFrame:
+    """(id, ``parts``): the decoded text parts of each mail."""
+    schema = T.StructType([T.StructField(doc_id, documents.schema[doc_id].dataType), T.StructField("parts", T.ArrayType(T.StringType()))])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                parts = pa.array([text_parts(t) for t in part.column(1).to_pylist()], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([part.column(0), parts], names=schema.names)
+
+    return documents.select(doc_id, doc_text).mapInArrow(run, schema)
 
 
 def find_leaks(
@@ -145,6 +183,7 @@ def find_leaks(
     doc_text: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
+    block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """(doc_id, item_id, ``edits``) of each document with a passage of ``window``
     consecutive words of the item, changed by at most ``max_edits`` word edits,
@@ -152,7 +191,8 @@ def find_leaks(
 
     Documents are mails: parts are decoded as in ``mail.text_parts``. Each test
     item is searched in every document; there is no shuffle of documents, and
-    items beyond a bounded block are searched in further passes. Null or empty
+    items beyond a bounded block are searched in further passes over the parts,
+    which are then decoded once. Null or empty
     texts and items shorter than a passage have no leak. Repeated documents
     have equal rows, which come once; equal items are each reported.
     """
@@ -160,17 +200,22 @@ def find_leaks(
     schema = T.StructType([documents.schema[doc_id], items.schema[item_id], T.StructField("edits", T.IntegerType())])
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
     key_type = _arrow(items, item_id)
+    blocks = _blocks(items, item_id, item_text, block_chars)
+    first, second = next(blocks, []), next(blocks, None)
+    source, decode = documents.select(doc_id, doc_text), True
+    if second is not None:  # further blocks read the decoded parts, which are written once
+        source, decode = cut_lineage(decoded_parts(documents, doc_id, doc_text)), False
     result = None
-    for block in _blocks(items, item_id, item_text):
-        sent = spark.sparkContext.broadcast(block)
+    for block in chain([first], [] if second is None else [second], blocks):
+        sent, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(sent.value, window, max_edits)
+        def run(batches: Iterable[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
+            index = worker_index(name, sent, window, max_edits)
             for batch in batches:
                 places, keys, edits = [], [], []
-                for i, raw in enumerate(batch.column(1)):
+                for i, held in enumerate(batch.column(1)):
                     best: dict[int, int] = {}
-                    for part in text_parts(raw.as_py()):
+                    for part in text_parts(held.as_py()) if decode else held.as_py():
                         for n, d in index.search(part).items():
                             best[n] = min(d, best.get(n, d))
                     for n, d in best.items():
@@ -179,7 +224,7 @@ def find_leaks(
                         edits.append(d)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places, pa.int64())), pa.array(keys, key_type), pa.array(edits, pa.int32())], names=schema.names)
 
-        found = documents.select(doc_id, doc_text).mapInArrow(run, schema)
+        found = source.mapInArrow(run, schema)
         result = found if result is None else result.unionByName(found)
     return result.groupBy(doc_id, item_id).agg(F.min("edits").alias("edits"))
 

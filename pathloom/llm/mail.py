@@ -20,7 +20,6 @@ _INLINE = "a|abbr|b|bdi|bdo|big|cite|code|del|dfn|em|font|i|ins|kbd|mark|q|s|sam
 _INLINE_TAG = re.compile(rf"</?(?:{_INLINE})(?:\s[^<>]*)?/?>", re.I)
 _TAG = re.compile(r"<[!/?a-zA-Z][^<>]*>")
 _NOT_BASE64 = re.compile(r"[^A-Za-z0-9+/]")
-_MAX_DEPTH = 20
 
 
 def _bytes_to_text(data: bytes, charset: str | None) -> str:
@@ -52,50 +51,53 @@ def strip_markup(text: str) -> str:
     return html.unescape(_TAG.sub(" ", text))
 
 
-def text_parts(raw: str | None, _depth: int = 0) -> list[str]:
-    """The decoded text parts of a mail, attached texts and enclosed mails
-    included, other attachments left out. A null or empty mail has none; a text
-    without headers is one plain part."""
-    if not raw:
-        return []
+def _headed(raw: str) -> tuple[str, str]:
+    """(headers, body); what begins with a blank line has no headers."""
     header = _HEADER.match(raw)
     head = header[0] if header else ""
-    return _part(head, raw[len(head) :], _depth)
+    return head, raw[len(head) :]
 
 
-def _part(head: str, body: str, depth: int) -> list[str]:
+def text_parts(raw: str | None) -> list[str]:
+    """The decoded text parts of a mail, in order, attached texts and enclosed
+    mails included, other attachments left out. A null or empty mail has none; a
+    text without headers is one plain part. Parts may be nested to any depth."""
+    found: list[str] = []
+    todo = [_headed(raw)] if raw else []
+    while todo:
+        inner = _part(*todo.pop(), found)
+        todo += reversed(inner)
+    return found
+
+
+def _part(head: str, body: str, found: list[str]) -> list[tuple[str, str]]:
+    """Text of a part goes to ``found``; the result are the parts inside it."""
     kind = _TYPE.search(head)
     name = kind[1].lower() if kind else "text/plain"
     rest = kind[2] if kind else ""
     encoding = _ENCODING.search(head)
     encoding = encoding[1].lower() if encoding else ""
-    if depth > _MAX_DEPTH:
-        return [body]
     if name.startswith("multipart/"):
         mark = _BOUNDARY.search(rest) or _BOUNDARY.search(head)
         if not mark:
-            return [body]
+            found.append(body)
+            return []
         pieces = re.split(rf"(?m)^--{re.escape(mark[1] or mark[2])}(--)?[ \t]*\r?$\n?", body)
-        found = [pieces[0]] if len(pieces) == 1 else []
+        if len(pieces) == 1:
+            found.append(body)
+        inner = []
         for i in range(1, len(pieces), 2):
             if pieces[i] is None:
                 text = pieces[i + 1]
                 if name == "multipart/digest" and not _TYPE.match(text.lstrip("\r\n")):
-                    found += text_parts(text.lstrip("\r\n"), depth + 1)
-                else:
-                    found += _subpart(text, depth + 1)
-        return found
+                    text = text.lstrip("\r\n")
+                inner.append(_headed(text))
+        return inner
     if name.startswith("message/"):
-        return text_parts(decode_transfer(body, encoding, None).lstrip("\r\n"), depth + 1)
-    if not name.startswith("text/"):
-        return []
-    charset = _CHARSET.search(rest)
-    text = decode_transfer(body, encoding, charset[1] if charset else None)
-    return [strip_markup(text) if name == "text/html" else text]
-
-
-def _subpart(raw: str, depth: int) -> list[str]:
-    """A part may begin with a blank line: then it has no headers."""
-    header = _HEADER.match(raw)
-    head = header[0] if header else ""
-    return _part(head, raw[len(head) :], depth)
+        mail = decode_transfer(body, encoding, None).lstrip("\r\n")
+        return [_headed(mail)] if mail else []
+    if name.startswith("text/"):
+        charset = _CHARSET.search(rest)
+        text = decode_transfer(body, encoding, charset[1] if charset else None)
+        found.append(strip_markup(text) if name == "text/html" else text)
+    return []

@@ -15,41 +15,41 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.operators.skew import HOT_ROWS, salted_join
-from pathloom.runtime import cut_lineage
+from pathloom.operators.skew import HOT_ROWS, hot_buckets, salted_join
+from pathloom.runtime import discard, written
 
 MAX_ROUNDS = 60
 
 
-def star_edges(members: DataFrame, keys: Sequence[str], node: str) -> DataFrame:
+def star_edges(members: DataFrame, key: str, node: str, *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Edges (a, b) that connect all nodes with equal keys: each node with the
-    smallest one of its key, so a key with n nodes has n - 1 edges."""
-    rows = members.select(*keys, node).dropna().distinct()
-    least = rows.groupBy(*keys).agg(F.min(node).alias("b"))
-    joined = salted_join(rows, least, list(keys), spread_by=[node])
-    return joined.filter(F.col(node) != F.col("b")).select(F.col(node).alias("a"), "b")
+    smallest one of its key, so a key with n nodes has n - 1 edges. Rows with a
+    null take no part; ``members`` is read twice."""
+    rows = members.select(F.col(key).alias("_k"), F.col(node).alias("a")).dropna()
+    least = rows.groupBy("_k").agg(F.min("a").alias("b"), F.max("a").alias("_most"), F.count(F.lit(1)).alias("_n")).filter(F.col("b") != F.col("_most"))
+    joined = salted_join(rows, least.select("_k", "b"), ["_k"], spread_by=["a"], hot=hot_buckets(least, ["_k"], hot_rows))
+    return joined.filter(F.col("a") != F.col("b")).select("a", "b")
 
 
 def components(edges: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b); component is the
     smallest node of the component. Edges with a null end, loops and repeated
-    edges change nothing. Each round is checkpointed; the driver sees only a
-    count and a hash of the clusters.
+    edges change nothing. Each round is written to the shared folder, and the
+    one before it deleted; the driver sees only a count and a hash of a round's
+    clusters, taken while they are written.
     """
-    links = edges.select("a", "b").dropna().distinct()
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    clusters = cut_lineage(ends.unionByName(ends.select("a", F.col("a").alias("b"))).distinct().select(F.col("a").alias("v"), F.col("b").alias("u")))
-
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("v", "u"))).first())
-
-    now = state(clusters)
+    spark = edges.sparkSession
+    links = edges.select("a", "b").dropna()
+    ends = F.explode(F.array(*[F.struct(F.col(v).alias("v"), F.col(u).alias("u")) for v, u in ("ab", "ba", "aa", "bb")])).alias("r")
+    state = {"n": F.count(F.lit(1)), "mark": F.bit_xor(F.xxhash64("v", "u"))}
+    clusters, path, now = written(links.select(ends).select("r.v", "r.u").distinct(), "clusters", **state)
     for _ in range(MAX_ROUNDS):
-        least = clusters.groupBy("v").agg(F.min("u").alias("m"))
-        joined = salted_join(clusters, least, ["v"], spread_by=["u"], hot_rows=hot_rows)
+        least = clusters.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("_n"))
+        joined = salted_join(clusters, least.select("v", "m"), ["v"], spread_by=["u"], hot=hot_buckets(least, ["v"], hot_rows))
         sent = joined.select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("u").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("r"))
-        clusters = cut_lineage(sent.select("r.v", "r.u").distinct())
-        before, now = now, state(clusters)
+        before, last = now, path
+        clusters, path, now = written(sent.select("r.v", "r.u").distinct(), "clusters", **state)
+        discard(spark, last)
         if before == now:
             break
     else:
@@ -65,7 +65,7 @@ def rendezvous(key: Column, weights: Mapping[str, float]) -> Column:
         raise ValueError("splits need positive weights")
     scores = []
     for name, weight in sorted(weights.items()):
-        uniform = (F.shiftrightunsigned(F.xxhash64(key, F.lit(name)), 11).cast("double") + 0.5) / float(1 << 53)
+        uniform = (F.conv(F.substring(F.md5(F.concat_ws("|", key.cast("string"), F.lit(name)).cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
         scores.append(F.struct((-F.lit(float(weight)) / F.log(uniform)).alias("score"), F.lit(name).alias("name")))
     return F.array_max(F.array(*scores))["name"]
 
@@ -87,11 +87,13 @@ def vertex_set(points: Column) -> Column:
 
 def related_slides(slides: DataFrame, polygons: DataFrame) -> DataFrame:
     """(node, component) of the slides related to another: the same case, or
-    polygons with the same label and vertex set (three vertices or more)."""
-    by_case = slides.select(F.col("slide_id").alias("node"), case_key(F.col("wsi_file")).alias("case"))
-    sets = polygons.select(F.col("slide_id").alias("node"), "label", vertex_set(F.col("points")).alias("ring")).filter(F.size("ring") >= 3)
-    by_ring = sets.select("node", "label", F.sha2(F.to_json(F.struct("ring")), 256).alias("shape"))
-    return components(star_edges(by_case, ["case"], "node").unionByName(star_edges(by_ring, ["label", "shape"], "node")))
+    polygons with the same label and vertex set (three vertices or more). The
+    slides' keys are written once; a polygon's is a digest."""
+    by_case = slides.select(F.col("slide_id").alias("node"), F.concat(F.lit("case "), case_key(F.col("wsi_file"))).alias("key"))
+    sets = polygons.select(F.col("slide_id").alias("node"), "label", vertex_set(F.col("points")).alias("ring")).filter(F.col("label").isNotNull() & (F.size("ring") >= 3))
+    by_ring = sets.select("node", F.sha2(F.to_json(F.struct("label", "ring")), 256).alias("key"))
+    members = written(by_case.unionByName(by_ring).dropna().distinct(), "members")[0]
+    return components(star_edges(members, "key", "node"))
 
 
 def assign_splits(records: DataFrame, grouped: DataFrame, weights: Mapping[str, float], *, node: str) -> DataFrame:

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+_REACH = r"""key AS (
+  SELECT slide_id, regexp_extract(lower(regexp_extract(wsi_file, '([^/\\]*)$', 1)), '(?:^|[^a-z0-9])([a-z]{2}[ ._-]*[0-9]{2}[ ._-]*[0-9]+)', 1) AS raw FROM slide_levels),
+clean AS (SELECT slide_id, regexp_replace(raw, '[ ._-]', '', 'g') AS c FROM key WHERE raw <> ''),
+member AS (
+  SELECT DISTINCT slide_id, 'case ' || c[1:4] || ltrim(c[5:], '0') AS k FROM clean
+  UNION
+  SELECT slide_id, label || ' ' || CAST(list_sort(list_distinct(points)) AS VARCHAR) AS k FROM polygons
+  WHERE label IS NOT NULL AND len(list_distinct(points)) >= 3),
+reach(slide_id, other) AS (
+  SELECT slide_id, slide_id AS other FROM member
+  UNION
+  SELECT r.slide_id, b.slide_id FROM reach r JOIN member a ON r.other = a.slide_id JOIN member b ON a.k = b.k)"""
+
 ORACLES: dict[str, str] = {
-    "p6_found": r"""
-        WITH RECURSIVE key AS (
-          SELECT slide_id, regexp_extract(lower(regexp_extract(wsi_file, '([^/\\]*)$', 1)), '(?:^|[^a-z0-9])([a-z]{2}[ ._-]*[0-9]{2}[ ._-]*[0-9]+)', 1) AS raw FROM slide_levels),
-        clean AS (SELECT slide_id, regexp_replace(raw, '[ ._-]', '', 'g') AS c FROM key WHERE raw <> ''),
-        member AS (
-          SELECT DISTINCT slide_id, 'case ' || c[1:4] || ltrim(c[5:], '0') AS k FROM clean
-          UNION
-          SELECT slide_id, label || ' ' || CAST(list_sort(list_distinct(points)) AS VARCHAR) AS k FROM polygons
-          WHERE label IS NOT NULL AND len(list_distinct(points)) >= 3),
-        reach(slide_id, other) AS (
-          SELECT slide_id, slide_id AS other FROM member
-          UNION
-          SELECT r.slide_id, b.slide_id FROM reach r JOIN member a ON r.other = a.slide_id JOIN member b ON a.k = b.k)
-        SELECT slide_id, min(other) AS group_id FROM reach GROUP BY slide_id HAVING count(*) > 1
+    "p6_found": f"WITH RECURSIVE {_REACH} SELECT slide_id, min(other) AS group_id FROM reach GROUP BY slide_id HAVING count(*) > 1",
+    "p6_splits": f"""WITH RECURSIVE {_REACH},
+        slide AS (SELECT slide_id FROM slide_levels UNION SELECT slide_id FROM polygons),
+        grouped AS (SELECT s.slide_id, coalesce(min(r.other), s.slide_id) AS group_id FROM slide s LEFT JOIN reach r USING (slide_id) WHERE s.slide_id IS NOT NULL GROUP BY s.slide_id),
+        share(name, weight) AS (VALUES ('train', 0.70::DOUBLE), ('validation', 0.15), ('test', 0.15))
+        SELECT slide_id, group_id, arg_max(name, -weight / ln((('0x' || md5(group_id || '|' || name)[1:12])::BIGINT + 0.5) / 281474976710656.0::DOUBLE)) AS split
+        FROM grouped, share GROUP BY slide_id, group_id
     """,
 }

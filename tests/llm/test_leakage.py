@@ -51,6 +51,17 @@ def test_multipart_digest_and_attachments():
     assert [p.strip() for p in text_parts("From: a\nContent-Type: multipart/mixed\n\nno boundary")] == ["no boundary"]
 
 
+def test_parts_nested_to_any_depth(spark):
+    passage, depth = " ".join(ITEM[1].split()[3:16]), 300
+    mail = "From: a\n\n" + passage
+    for _ in range(depth):
+        mail = "From: b\nContent-Type: message/rfc822\n\n" + mail
+    for i in range(60):
+        mail = f'From: c\nContent-Type: multipart/mixed; boundary="b{i}"\n\n--b{i}\n{mail}\n--b{i}--\n'
+    assert [p.strip() for p in text_parts(mail)] == [passage]
+    assert rows(leakage.find_leaks(spark.createDataFrame([(1, mail, 0)], DOCS), spark.createDataFrame(list(enumerate(ITEM)), ITEMS))) == [(1, 1, 0)]
+
+
 def test_myers_equals_dynamic_programming():
     def plain(p, t):
         row = [0] * (len(t) + 1)
@@ -86,12 +97,11 @@ def test_against_brute_force(spark):
     assert rows(leakage.find_leaks(spark.createDataFrame([(1, one_off, 0)], DOCS), items)) == [(1, 2, 1)]
 
 
-def test_edges(spark, monkeypatch):
+def test_edges(spark):
     items = spark.createDataFrame([(1, ITEM[0]), (2, ITEM[0]), (3, "too short"), (4, None), (None, ITEM[1]), (5, "")], ITEMS)
     docs = spark.createDataFrame([(1, ITEM[0], 0), (1, ITEM[0], 0), (2, None, 0), (3, "", 0), (4, "x " * 100_000 + ITEM[0], 0)], DOCS)
     want = [(1, 1, 0), (1, 2, 0), (4, 1, 0), (4, 2, 0)]
     assert rows(leakage.find_leaks(docs, items)) == want
-    monkeypatch.setattr(leakage, "BLOCK_WORDS", 70)
-    assert rows(leakage.find_leaks(docs, items)) == want
+    assert rows(leakage.find_leaks(docs, items, block_chars=300)) == want
     assert leakage.find_leaks(docs.limit(0), items).count() == 0
     assert leakage.find_leaks(docs, items.limit(0)).count() == 0
