@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,3 +44,18 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder in the shared one, for files that executors hand to each other."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, **observed: Column) -> tuple[DataFrame, str, dict]:
+    """``df`` as a table written in the shared folder, which cuts its lineage; its
+    path, and aggregates of its rows that were taken while they were written."""
+    path, seen = shared_folder(df.sparkSession, name), Observation()
+    watched = df.observe(seen, *[c.alias(n) for n, c in observed.items()]) if observed else df
+    watched.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path, seen.get if observed else {}
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``written`` made, once nothing reads it any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
