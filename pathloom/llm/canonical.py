@@ -20,13 +20,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from pathloom.operators.skew import salted_join
+from pathloom.operators.skew import hot_buckets, salted_join
 from pathloom.runtime import cut_lineage
 
 #: Least soft TF-IDF score of a match.
 THRESHOLD = 0.78
 #: Letters an abbreviation needs.
 ABBREVIATION = 3
+#: Letters of a token from which its keys are made. Two tokens within two edits
+#: also share a key of their beginnings: an edit there costs each side one
+#: deletion at most, of the letter edited or of the last one that it pushes in.
+KEY_LETTERS = 40
 _ASIDE = re.compile(r"\([^()]*\)|\[[^\[\]]*\]")
 _TOKEN = re.compile(r"[^\W_]+")
 _TOKEN_TYPE = T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("cut", T.BooleanType())]))
@@ -90,11 +94,23 @@ def _tokens_of(column: str) -> Column:
     return run(F.col(column))
 
 
-def _runs(parts: Column) -> Column:
-    """Runs of two or more neighbouring words, and all words in reverse order."""
-    n = F.size(parts)
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n), lambda k: F.slice(parts, i, k))))
-    return F.array_distinct(F.filter(F.concat(runs, F.array(F.reverse(parts))), lambda r: F.size(r) > 1))
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def _runs(parts: pd.Series, most: pd.Series) -> pd.Series:
+    """Runs of two or more neighbouring words, and all words in reverse order,
+    that have at most so many letters: no token seen could be a longer one."""
+    def of(words: list[str], most: int) -> list[list[str]]:
+        words = list(words)
+        found = {tuple(reversed(words))} if len(words) > 1 and sum(map(len, words)) <= most else set()
+        for i in range(len(words)):
+            letters = len(words[i])
+            for k in range(i + 1, len(words)):
+                letters += len(words[k])
+                if letters > most:
+                    break
+                found.add(tuple(words[i : k + 1]))
+        return [list(f) for f in sorted(found)]
+
+    return pd.Series([of(p, m) for p, m in zip(parts, most)])
 
 
 def _keys_of(column: str) -> Column:
@@ -102,7 +118,7 @@ def _keys_of(column: str) -> Column:
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for v in values:
-            yield v.map(lambda t: sorted(neighbourhood(t[:40], 2 if len(t) >= 4 else 1)))
+            yield v.map(lambda t: sorted(neighbourhood(t[:KEY_LETTERS], 2 if len(t) >= 4 else 1)))
 
     return run(F.col(column))
 
@@ -129,15 +145,19 @@ def map_to_canonical(
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """(id, value, group_id, score) of each row of ``df`` with a value: the
-    entry of ``reference`` that is meant, or group 0 with the best score found.
+    entry of ``reference`` that is meant, or group 0 with the best score found
+    among the entries that could have reached the threshold.
 
     Rows with a null id or value take no part; a value without any token (blank,
     numbers) is unmatched. Where two entries have the same best score the value
     names neither: it is unmatched. Repeated rows give repeated results. An
     empty reference leaves all unmatched. Long values count whole.
     """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(id_col).alias("_id"), F.col(value_col).alias("_value")).filter(F.col("_id").isNotNull() & F.col("_value").isNotNull())
-    values = rows.groupBy("_value").agg(F.count(F.lit(1)).alias("_n"))
+    # The distinct values with their tokens are small against the rows, and used several times: they are written once.
+    values = cut_lineage(rows.groupBy("_value").agg(F.count(F.lit(1)).alias("_n")).repartition(tasks, "_value").withColumn("tokens", F.array_distinct(_tokens_of("_value"))))
+    value_tokens = values.select("_value", F.explode("tokens").alias("t")).select("_value", "t.token", "t.cut")
     entries = reference.select(F.col(group_id).alias("gid"), F.col(group_name).alias("gname")).dropna().distinct()
     named = entries.select("gid", F.array_distinct(F.transform(_tokens_of("gname"), lambda t: t["token"])).alias("parts"))
     entry_tokens = named.select("gid", F.explode("parts").alias("known"))
@@ -145,20 +165,25 @@ def map_to_canonical(
     total = entries.select(F.countDistinct("gid").alias("total"))
     idf = vocabulary.crossJoin(F.broadcast(total)).select("known", (F.log(F.col("total") / F.col("df")) + 1).alias("idf"))  # total is one row
     unknown_idf = total.select((F.log(F.greatest(F.col("total"), F.lit(1))) + 1).alias("most"))
-    weights = entry_tokens.join(idf, "known").withColumn("norm", F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(Window.partitionBy("gid"))))
-    # The distinct values' tokens and repairs are small against the rows, and used several times: they are written once.
-    value_tokens = cut_lineage(values.select("_value", F.explode(_tokens_of("_value")).alias("t")).select("_value", "t.token", "t.cut").distinct())
+    # Weights of each entry's words, and which of them a match can't do without: the words that come
+    # after, the commoner ones, have together too short a vector to reach the threshold.
+    by_rarity = Window.partitionBy("gid").orderBy(F.desc("idf"), "known")
+    square = F.col("idf") * F.col("idf")
+    weights = entry_tokens.join(idf, "known").select("gid", "known", "idf", F.sqrt(F.sum(square).over(Window.partitionBy("gid"))).alias("norm"), F.sqrt(F.sum(square).over(by_rarity.rowsBetween(0, Window.unboundedFollowing))).alias("rest"))
+    needed = weights.filter(F.col("rest") >= F.col("norm") * (threshold - 1e-6)).select("known", "gid")
 
     seen = value_tokens.select("token", "cut").distinct()
+    longest = seen.select((F.coalesce(F.max(F.length("token")), F.lit(0)) + 2).alias("longest"))
     # What a token may have been: one word of an entry, or neighbouring words typed without a space.
     written = vocabulary.select(F.col("known").alias("form"), F.array("known").alias("parts")).unionByName(
-        named.select(F.explode(_runs(F.col("parts"))).alias("parts")).distinct().select(F.concat_ws("", "parts").alias("form"), "parts")
+        named.crossJoin(F.broadcast(longest)).select(F.explode(_runs("parts", "longest")).alias("parts")).distinct().select(F.concat_ws("", "parts").alias("form"), "parts")  # one row
     )
+    # These joins are of distinct tokens: a key is shared by no more of them than there are ways to spell it.
+    near = seen.select("token").distinct().repartition(tasks, "token").withColumn("key", F.explode(_keys_of("token"))).join(written.withColumn("key", F.explode(_keys_of("form"))), "key")
+    # A swap of neighbours is two plain edits; only pairs within that are compared closely, spread over all tasks.
+    close = near.filter(F.levenshtein("token", "form") <= 4).select("token", "form", "parts").repartition(tasks, "token", "form").distinct()
     by_edit = (
-        seen.select("token").distinct().withColumn("key", F.explode(_keys_of("token")))
-        .join(written.withColumn("key", F.explode(_keys_of("form"))), "key")
-        .select("token", "form", "parts").distinct()
-        .withColumn("sim", _similarity("token", "form")).filter(F.col("sim").isNotNull())
+        close.withColumn("sim", _similarity("token", "form")).filter(F.col("sim").isNotNull())
         .withColumn("most", F.max("sim").over(Window.partitionBy("token")))
         .filter((F.size("parts") == 1) | (F.col("sim") == F.col("most")))
         .select("token", F.lit(None).cast("boolean").alias("for_cut"), F.posexplode("parts").alias("part", "known"), "sim")
@@ -170,23 +195,25 @@ def map_to_canonical(
         .filter(F.col("known").startswith(F.col("token")))
         .select("token", F.lit(True).alias("for_cut"), F.lit(0).alias("part"), "known", F.lit(0.97).alias("sim"))
     )
-    repaired = by_edit.unionByName(by_prefix).withColumnRenamed("token", "_seen")
-    repairs = cut_lineage(
-        value_tokens.join(repaired, (F.col("token") == F.col("_seen")) & F.coalesce(F.col("for_cut") == F.col("cut"), F.lit(True)), "left")
-        .groupBy("_value", "token", F.coalesce("part", F.lit(0)).alias("part"), "known").agg(F.max("sim").alias("sim"))
-    )
-    # A token weighs as much as what it is repaired to, an unknown one the most.
-    weighed = repairs.join(idf, "known", "left").crossJoin(F.broadcast(unknown_idf))  # one row
-    token_weight = F.coalesce(F.max_by("idf", "sim"), F.max("most"))
-    value_norm = (
-        weighed.groupBy("_value", "token", "part").agg(token_weight.alias("w"))
-        .groupBy("_value").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("vnorm"))
+    # Repairs belong to distinct tokens; they go back to the values that have these.
+    repaired = cut_lineage(by_edit.unionByName(by_prefix).select("token", F.struct(F.coalesce("for_cut", F.lit(False)).alias("for_cut"), "part", "known", "sim").alias("r")).groupBy("token").agg(F.collect_set("r").alias("repairs")))
+    held = salted_join(value_tokens, repaired, ["token"], spread_by=["_value"]).select("_value", "token", F.inline(F.filter("repairs", lambda r: ~r["for_cut"] | F.col("cut"))))
+    held = held.groupBy("_value", "token", "part", "known").agg(F.max("sim").alias("sim"))
+    repairs = cut_lineage(held.join(idf, "known"))
+    # A token weighs as much as what it is repaired to, an unknown one the most; of equally near words the rarest counts.
+    weighed = repairs.groupBy("_value", "token", "part").agg(F.max(F.struct("sim", "idf", "known"))["idf"].alias("w"), F.collect_list(F.struct("known", "sim")).alias("options"))
+    lengths = weighed.groupBy("_value").agg(F.sum(F.col("w") * F.col("w")).alias("known2"), F.countDistinct("token").alias("n_known"))
+    counted = value_tokens.groupBy("_value").agg(F.countDistinct("token").alias("n"))
+    norms = (
+        counted.join(lengths.withColumnRenamed("_value", "_v"), F.col("_value") == F.col("_v")).crossJoin(F.broadcast(unknown_idf))  # one row
+        .select(F.col("_value").alias("_v"), F.sqrt(F.col("known2") + (F.col("n") - F.col("n_known")) * F.col("most") * F.col("most")).alias("vnorm"))
     )
+    pairs = salted_join(repairs.select("_value", "known").distinct(), needed, ["known"], spread_by=["_value"]).select("_value", "gid").distinct()
+    sims = weighed.select("_value", "w", F.inline("options")).groupBy("_value", "known").agg(F.max(F.struct("sim", "w")).alias("m")).select("_value", "known", "m.sim", "m.w")
     scores = (
-        repairs.filter(F.col("known").isNotNull()).join(weights, "known")
-        .groupBy("_value", "gid", "known").agg(F.max("sim").alias("sim"), F.first("idf").alias("idf"), F.first("norm").alias("norm"))
-        .groupBy("_value", "gid").agg((F.sum(F.col("sim") * F.col("idf") * F.col("idf")) / F.first("norm")).alias("dot"))
-        .join(value_norm, "_value")
+        salted_join(pairs.join(sims, "_value"), weights.select("gid", "known", "idf", "norm"), ["gid", "known"], spread_by=["_value"])
+        .groupBy("_value", "gid").agg((F.sum(F.col("sim") * F.col("w") * F.col("idf")) / F.max("norm")).alias("dot"))
+        .join(norms, F.col("_value") == F.col("_v"))
         .select("_value", "gid", F.round(F.col("dot") / F.col("vnorm"), 9).alias("score"))
     )
     ranked = scores.groupBy("_value").agg(F.max("score").alias("best"), F.max_by("gid", F.struct("score", -F.col("gid"))).alias("gid"), F.max_by("gid", F.struct("score", "gid")).alias("gid2"))
@@ -196,7 +223,7 @@ def map_to_canonical(
         F.when((F.col("best") >= threshold) & (F.col("gid") == F.col("gid2")), F.col("gid")).otherwise(F.lit(0)).alias("group_id"),
         F.coalesce("best", F.lit(0.0)).alias("score"),
     )
-    joined = salted_join(rows.withColumnRenamed("_value", "_key"), chosen.drop("_n"), ["_key"], spread_by=["_id"])
+    joined = salted_join(rows.withColumnRenamed("_value", "_key"), chosen.drop("_n"), ["_key"], spread_by=["_id"], hot=hot_buckets(chosen, ["_key"]))
     return joined.select(F.col("_id").alias(id_col), F.col("_key").alias(value_col), "group_id", "score")
 
 

@@ -31,6 +31,60 @@ def test_empty_tables_and_ties(spark):
     assert run(df, spark.createDataFrame([(1, "Pen marking"), (2, "Marking pen"), (3, None)], GROUPS)) == [(1, 0)]
 
 
+def test_long_tokens_share_a_key_of_their_beginnings():
+    rng = random.Random(8)
+    for _ in range(300):
+        a = [rng.choice("abcdef") for _ in range(rng.randint(41, 60))]
+        b = list(a)
+        for _ in range(2):
+            i, kind = rng.randrange(len(b) - 1), rng.randrange(4)
+            if kind == 0:
+                b.insert(i, rng.choice("abcdef"))
+            elif kind == 1:
+                b.pop(i)
+            elif kind == 2:
+                b[i] = rng.choice("abcdef")
+            else:
+                b[i], b[i + 1] = b[i + 1], b[i]
+        n = canonical.KEY_LETTERS
+        assert canonical.neighbourhood("".join(a[:n]), 2) & canonical.neighbourhood("".join(b[:n]), 2)
+
+
+def corrupted(rng, name):
+    """A name as people type it: an edit or two, another case or order, a missing space."""
+    words = name.lower().split()
+    for _ in range(rng.choice([0, 1, 1, 2])):
+        k = rng.randrange(len(words))
+        w = words[k]
+        if len(w) < 5:
+            continue
+        i = rng.randrange(len(w) - 1)
+        words[k] = rng.choice([w[:i] + w[i + 1 :], w[:i] + rng.choice("aeiorst") + w[i:], w[:i] + w[i + 1] + w[i] + w[i + 2 :], w[:i] + rng.choice("aeiorst") + w[i + 1 :]])
+    if rng.random() < 0.2:
+        rng.shuffle(words)
+    text = ("" if rng.random() < 0.1 else " ").join(words)
+    return rng.choice([text, text.upper(), f" {text}. "])
+
+
+def test_threshold_on_held_out_corruptions(spark):
+    """Precision and recall over thresholds; the one in use is at the best of both."""
+    rng = random.Random(21)
+    others = ["lunch break", "tissue only", "ask colleague", "center", "muscle pain", "smooth operator", "scan again", "left half", "fold here", "not sure", "old pen", "stain", "wrong slide", "batch"]
+    truth = [(i, corrupted(rng, name), gid) for i, (gid, name) in enumerate(LIST * 40)] + [(1000 + i, t, 0) for i, t in enumerate(others * 4)]
+    df = spark.createDataFrame([(i, v, "") for i, v, _ in truth], ROWS)
+    best = canonical.map_to_canonical(df, spark.createDataFrame(LIST, GROUPS), id_col="id", value_col="value", threshold=0.3)
+    found = {r.id: (r.group_id, r.score) for r in best.collect()}
+
+    def quality(threshold):
+        hits = sum(1 for i, _, g in truth if g and found[i][0] == g and found[i][1] >= threshold)
+        claimed = sum(1 for i, _, _ in truth if found[i][0] and found[i][1] >= threshold)
+        return hits / claimed, hits / sum(1 for *_, g in truth if g)
+
+    precision, recall = quality(canonical.THRESHOLD)
+    assert precision >= 0.99 and recall >= 0.95
+    assert quality(0.5)[0] < precision and quality(0.95)[1] < recall
+
+
 def test_edit_distance_and_neighbourhood():
     rng = random.Random(4)
     near = {}
