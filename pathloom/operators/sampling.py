@@ -20,11 +20,15 @@ from pyspark.sql.window import Window
 from pathloom.functions.geometry import boxed_edges, edges, polygon_window_area
 from pathloom.functions.scalars import AREA_PLACES, fixed, whole
 from pathloom.operators.masks import foreground_ratio
+from pathloom.operators.proximity import covered_cells, in_covered
 from pathloom.operators.skew import HOT_ROWS, salted_join
+from pathloom.runtime import cut_lineage
 
 MAX_STRIDE = 5
 #: Attempts a random sampler has for each patch asked for.
 ATTEMPTS = 100
+#: Attempts for each patch after which the regions still short are looked for.
+ROUNDS = (4, 8, 16, 32, 64)
 # The pseudo-random recurrence, in whole numbers that SQL engines share.
 _PRIME, _A, _B, _C = 2147483647, 7919, 104729, 48271
 
@@ -112,27 +116,46 @@ def uniform_pair(region: Column, attempt: Column, seed: int) -> tuple[Column, Co
     return x / p, y / p
 
 
-def random_candidates(regions: DataFrame, patches: Patches, number: int | str, *, seed: int = 0) -> DataFrame:
-    """ATTEMPTS x number uniform points of each region's box; ``seq`` is the
-    attempt. ``first_valid`` keeps the first valid ones."""
-    n = F.col(number) if isinstance(number, str) else F.lit(number)
-    r = _box(_spread(regions)).withColumn("_want", n.cast("long")).filter(F.col("_want") > 0)
-    r = r.withColumn("seq", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_want") * ATTEMPTS)))
-    u, v = uniform_pair(F.col("region_id"), F.col("seq"), seed)
-    place = lambda lo, hi, w: F.col(lo) + (F.col(hi) - F.col(lo)) * w
-    return r.withColumns({"mx": place("bx1", "bx2", u), "my": place("by1", "by2", v), "msize": patches.mask_size}).drop("bx1", "by1", "bx2", "by2")
+def random_valid(regions: DataFrame, patches: Patches, number: int | str, cells: DataFrame | None = None, *, seed: int = 0, strict: bool = True, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The first ``number`` valid ones of each region's uniform points, by
+    attempt (``seq``); a region has ATTEMPTS attempts for each patch asked for.
 
-
-def first_valid(valid: DataFrame, *, strict: bool = True) -> DataFrame:
-    """The first ``_want`` valid candidates of each region, by attempt; with
-    ``strict``, a region that has valid ones but too few is an error."""
-    w = Window.partitionBy("slide_id", "region_id")
-    ranked = valid.withColumn("_rank", F.row_number().over(w.orderBy("seq")))
+    Attempts are made in rounds: four for each patch first, then as many again,
+    and so on, for the regions that are still short. A round's attempts are an
+    array of the region's row, filtered in place by the area they share, so the
+    region's rings are in no candidate row. With ``strict``, a region that has
+    too few after all attempts, or none, is an error.
+    """
+    wanted = F.col(number) if isinstance(number, str) else F.lit(number)
+    base = cut_lineage(_box(_spread(regions)).withColumn("_want", wanted.cast("long")).filter(F.col("_want") > 0).withColumn("_short", F.col("_want")))
+    key, short, found, done = ["slide_id", "region_id"], base, None, 0
+    for upto in [*ROUNDS, ATTEMPTS]:
+        def attempt(i: Column) -> Column:
+            u, v = uniform_pair(F.col("region_id"), i, seed)
+            place = lambda lo, hi, w: F.col(lo) + (F.col(hi) - F.col(lo)) * w
+            return F.struct(i.alias("seq"), place("bx1", "bx2", u).alias("mx"), place("by1", "by2", v).alias("my"))
+
+        tries = F.transform(F.sequence(F.col("_want") * done + 1, F.col("_want") * upto), attempt)
+        fits = F.filter(tries, lambda t: enough_overlap(t["mx"], t["my"], F.col("msize"), patches))
+        if cells is None or patches.foreground_ratio == 0:
+            fits = F.slice(fits, F.lit(1), F.col("_short").cast("int"))
+        columns = [c for c in short.columns if c not in ("parts", "shape", "bx1", "by1", "bx2", "by2", "msize")]
+        valid = short.withColumn("msize", patches.mask_size).withColumn("_fits", fits).select(*columns, "msize", F.inline("_fits"))
+        valid = with_foreground(valid, patches, cells, hot_rows=hot_rows)
+        rank = F.row_number().over(Window.partitionBy(*key).orderBy("seq"))
+        kept = cut_lineage(valid.withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_short")).drop("_rank"))
+        have = kept.groupBy(*[F.col(c).alias(f"_{c}") for c in key]).agg(F.count(F.lit(1)).alias("_have"))
+        same = (short["slide_id"] == have["_slide_id"]) & (short["region_id"] == have["_region_id"])
+        left = short.join(have, same, "left").withColumn("_short", F.col("_short") - F.coalesce("_have", F.lit(0))).filter(F.col("_short") > 0)
+        short = cut_lineage(left.drop("_have", "_slide_id", "_region_id"))
+        kept = kept.drop("_want", "_short")
+        found, done = kept if found is None else found.unionByName(kept), upto
+        if short.isEmpty():
+            return found
     if strict:
-        ranked = ranked.withColumn("_have", F.count(F.lit(1)).over(w))
-        short = F.raise_error(F.concat(F.lit("could not find enough random patches for region "), F.col("region_id").cast("string")))
-        ranked = ranked.filter(F.when(F.col("_have") < F.col("_want"), short.cast("boolean")).otherwise(F.lit(True))).drop("_have")
-    return ranked.filter(F.col("_rank") <= F.col("_want")).drop("_rank", "_want")
+        names = [f"{r.slide_id}/{r.region_id}" for r in short.select(*key).limit(5).collect()]
+        raise ValueError(f"could not find enough random patches for regions such as {', '.join(names)}")
+    return found
 
 
 def poisson_disk(width: float, height: float, radius: float, seed: int, k: int = 30) -> np.ndarray:
@@ -190,55 +213,61 @@ def point_candidates(regions: DataFrame, points: DataFrame, patches: Patches, *,
     """Given level-0 corners (slide_id, seq, x, y) against the regions of their
     slide; points of slides without region are dropped by the join.
 
-    Where some overlap is needed, only pairs whose boxes meet can be valid, and
-    a grid join finds these: a region lies in at most four cells of its level, a
-    square probes each level in use, and a pair is kept in the cell of its
-    boxes' common corner. Without any overlap needed, every pair is a candidate.
+    Where some overlap is needed, only corners whose square meets the region's
+    box can be valid. A grid join at level 0 finds these: a region's box, widened
+    by the square on its low sides, lies in at most four cells of its level, and
+    a point has one cell at each level in use. Factors may be columns. Without
+    any overlap needed, every pair of a slide is a candidate.
     """
     f = patches.column("mask_factor")
-    p = points.select(F.col("slide_id").alias("_s"), F.col("seq").cast("long").alias("seq"), F.col("x").alias("_x"), F.col("y").alias("_y")).dropna()
-    if patches.overlap_ratio == 0 or isinstance(patches.mask_factor, str) or isinstance(patches.target_factor, str):
-        joined = _box(regions).drop("bx1", "by1", "bx2", "by2").join(p, F.col("slide_id") == F.col("_s"))
-        return joined.withColumns({"mx": F.col("_x") / f, "my": F.col("_y") / f, "msize": patches.mask_size}).drop("_s", "_x", "_y")
-    base = patches.size * float(patches.target_factor) / float(patches.mask_factor)
+    p = points.select("slide_id", F.col("seq").cast("long").alias("seq"), F.col("x").alias("_x"), F.col("y").alias("_y")).dropna()
     boxed = _box(regions)
-    extent = F.greatest(F.col("bx2") - F.col("bx1"), F.col("by2") - F.col("by1"), F.lit(base))
-    boxed = boxed.withColumn("_level", F.ceil(F.log2(extent / base)).cast("int"))
+    place = {"mx": F.col("_x") / f, "my": F.col("_y") / f, "msize": patches.mask_size}
+    names = [*regions.columns, "shape", "seq", "mx", "my", "msize"]
+    if patches.overlap_ratio == 0:
+        return salted_join(p, boxed, ["slide_id"], spread_by=["seq"], hot_rows=hot_rows).withColumns(place).select(*names)
+    base, size = float(patches.size), patches.mask_size * f
+    # A pixel on each side makes up for the rounding of boxes; the exact test follows.
+    reach = {"_x1": F.col("bx1") * f - size - 1, "_y1": F.col("by1") * f - size - 1, "_x2": F.col("bx2") * f + 1, "_y2": F.col("by2") * f + 1}
+    boxed = boxed.withColumns(reach).withColumn("_level", F.ceil(F.log2(F.greatest(F.col("_x2") - F.col("_x1"), F.col("_y2") - F.col("_y1"), F.lit(base)) / base)).cast("int"))
     levels = sorted(r[0] for r in boxed.select("_level").distinct().collect())  # a few integers
     side = F.lit(base) * F.pow(F.lit(2.0), F.col("_level"))
-    cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / side), F.floor(hi / side)))
-    held = boxed.withColumn("_cx", cells(F.col("bx1"), F.col("bx2"))).withColumn("_cy", cells(F.col("by1"), F.col("by2")))
-    probes = p.select("_s", "seq", (F.col("_x") / f).alias("mx"), (F.col("_y") / f).alias("my")).withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels]).cast("array<int>")))
-    probes = probes.withColumn("_cx", cells(F.col("mx"), F.col("mx") + base)).withColumn("_cy", cells(F.col("my"), F.col("my") + base))
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / side), F.floor(F.col(hi) / side)))
+    held = boxed.withColumn("_cx", cells("_x1", "_x2")).withColumn("_cy", cells("_y1", "_y2")).drop("_x1", "_y1", "_x2", "_y2")
+    probes = p.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels]).cast("array<int>"))).withColumns({"_cx": F.floor(F.col("_x") / side), "_cy": F.floor(F.col("_y") / side)})
     on = ["slide_id", "_level", "_cx", "_cy"]
-    pairs = salted_join(probes.withColumnRenamed("_s", "slide_id"), held, on, spread_by=["seq"], hot_rows=hot_rows)
-    x, y = F.greatest("mx", "bx1"), F.greatest("my", "by1")
-    meet = (F.col("mx") <= F.col("bx2")) & (F.col("bx1") <= F.col("mx") + base) & (F.col("my") <= F.col("by2")) & (F.col("by1") <= F.col("my") + base)
-    here = (F.floor(x / side) == F.col("_cx")) & (F.floor(y / side) == F.col("_cy"))
-    kept = pairs.filter(meet & here).withColumn("msize", patches.mask_size)
-    return kept.select(*regions.columns, "shape", "seq", "mx", "my", "msize")
-
-
-def overlap_area() -> Column:
-    """Area that the candidate's square shares with its region's parts."""
-    x1, y1 = F.col("mx"), F.col("my")
-    x2, y2 = x1 + F.col("msize"), y1 + F.col("msize")
-    part = lambda p: polygon_window_area(p["ext"], p["holes"], x1, y1, x2, y2)
+    probes = in_covered(probes, covered_cells(held, *map(F.col, on)), *map(F.col, on))
+    pairs = salted_join(probes, held, on, spread_by=["seq"], hot_rows=hot_rows).withColumns(place)
+    meet = (F.col("mx") <= F.col("bx2")) & (F.col("bx1") <= F.col("mx") + F.col("msize")) & (F.col("my") <= F.col("by2")) & (F.col("by1") <= F.col("my") + F.col("msize"))
+    return pairs.filter(meet).select(*names)
+
+
+def overlap_area(x1: Column, y1: Column, size: Column) -> Column:
+    """Area that a square shares with its region's parts."""
+    part = lambda p: polygon_window_area(p["ext"], p["holes"], x1, y1, x1 + size, y1 + size)
     return F.aggregate(F.transform("shape", part), F.lit(0.0), lambda s, v: s + v)
 
 
-def valid_candidates(candidates: DataFrame, patches: Patches, cells: DataFrame | None = None, *, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Candidates with enough of their square in the region and enough
-    foreground (none is needed where the ratio is 0 or there is no mask)."""
-    least = fixed(F.col("msize") * F.col("msize") * patches.column("overlap_ratio"), AREA_PLACES)
-    kept = candidates.filter(fixed(overlap_area(), AREA_PLACES) >= least)
+def enough_overlap(x1: Column, y1: Column, size: Column, patches: Patches) -> Column:
+    least = fixed(size * size * patches.column("overlap_ratio"), AREA_PLACES)
+    return fixed(overlap_area(x1, y1, size), AREA_PLACES) >= least
+
+
+def with_foreground(candidates: DataFrame, patches: Patches, cells: DataFrame | None, *, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Candidates with enough foreground; none is needed where the ratio is 0 or there is no mask."""
     if cells is None or patches.foreground_ratio == 0:
-        return kept.drop("parts", "shape")
-    keyed = kept.drop("parts", "shape").withColumn("window_id", F.struct("slide_id", "region_id", "seq"))
+        return candidates
+    keyed = candidates.withColumn("window_id", F.struct("slide_id", "region_id", "seq"))
     counted = foreground_ratio(keyed, cells, hot_rows=hot_rows)
     return counted.filter(F.col("foreground") >= patches.column("foreground_ratio")).drop("window_id", "foreground")
 
 
+def valid_candidates(candidates: DataFrame, patches: Patches, cells: DataFrame | None = None, *, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Candidates with enough of their square in the region and enough foreground."""
+    kept = candidates.filter(enough_overlap(F.col("mx"), F.col("my"), F.col("msize"), patches)).drop("parts", "shape")
+    return with_foreground(kept, patches, cells, hot_rows=hot_rows)
+
+
 def at_level_zero(valid: DataFrame, patches: Patches) -> DataFrame:
     """Patch rows: slide_id, region_id, seq, x, y, w, h, label and the place in the mask."""
     f = patches.column("mask_factor")
@@ -255,9 +284,11 @@ def distinct_patches(patches: DataFrame) -> DataFrame:
     return first.select(*[F.col(f"_r.{c}").alias(c) if c in rest else F.col(c) for c in patches.columns])
 
 
-def sample(candidates: DataFrame, patches: Patches, cells: DataFrame | None = None, *, strict: bool = True) -> DataFrame:
+def sample(candidates: DataFrame, patches: Patches, cells: DataFrame | None = None) -> DataFrame:
     """From candidates to distinct patches."""
-    valid = valid_candidates(candidates, patches, cells)
-    if "_want" in candidates.columns:
-        valid = first_valid(valid, strict=strict)
-    return distinct_patches(at_level_zero(valid, patches))
+    return distinct_patches(at_level_zero(valid_candidates(candidates, patches, cells), patches))
+
+
+def sample_random(regions: DataFrame, patches: Patches, number: int | str, cells: DataFrame | None = None, *, seed: int = 0, strict: bool = True) -> DataFrame:
+    """From regions to distinct random patches."""
+    return distinct_patches(at_level_zero(random_valid(regions, patches, number, cells, seed=seed, strict=strict), patches))

@@ -116,8 +116,7 @@ def polygon_grid_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def polygon_random(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three of at most 300 random patches of each polygon."""
-    c = sampling.random_candidates(_regions(spark, sf_dir), GRID, 3, seed=11)
-    return _placed(sampling.at_level_zero(sampling.first_valid(sampling.valid_candidates(c, GRID), strict=False), GRID))
+    return _placed(sampling.at_level_zero(sampling.random_valid(_regions(spark, sf_dir), GRID, 3, seed=11, strict=False), GRID))
 
 
 def polygon_points(spark: SparkSession, sf_dir: str) -> DataFrame:

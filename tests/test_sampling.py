@@ -69,11 +69,14 @@ def test_large_slide(spark):
 def test_random_poisson_and_points(spark, board):
     p = Patches(256, mask_factor=4.0, overlap_ratio=0.5)
     r = regions.whole_mask_regions(board, "w")
-    draw = lambda seed: sampling.sample(sampling.random_candidates(r, p, 20, seed=seed), p, board)
+    draw = lambda seed: sampling.sample_random(r, p, 20, board, seed=seed)
     assert draw(1).count() == 20 and rows(draw(1)) == rows(draw(1)) != rows(draw(2))
     corner = board.filter("x < 30 and y < 30")
-    with pytest.raises(Exception, match="enough random patches"):
-        sampling.sample(sampling.random_candidates(r, Patches(256, mask_factor=4.0, overlap_ratio=0.5, foreground_ratio=0.01), 200, seed=1), Patches(256, mask_factor=4.0, overlap_ratio=0.5, foreground_ratio=0.01), corner).collect()
+    for least in (0.8, 0.01):  # no valid place at all, and some but too few
+        few = Patches(256, mask_factor=4.0, overlap_ratio=0.5, foreground_ratio=least)
+        with pytest.raises(ValueError, match="enough random patches"):
+            sampling.sample_random(r, few, 200, corner, seed=1)
+        assert sampling.sample_random(r, few, 200, corner, seed=1, strict=False).count() < 200
     found = sampling.valid_candidates(sampling.poisson_candidates(r, p, 50, seed=3), p, board).select("mx", "my").collect()
     assert len(found) > 50 and min(math.dist(a, b) for i, a in enumerate(found) for b in found[:i]) >= 50
     points = spark.createDataFrame([("s", 1, 0, 0, 7), ("s", 2, 2500, 3000, 7), ("s", 3, 900, 900, 7), ("t", 4, 0, 0, 7), (None, 5, 1, 1, 7), ("s", None, 1, 1, 7)], "slide_id string, seq int, x int, y int, level int")
