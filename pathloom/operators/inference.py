@@ -1,16 +1,20 @@
 """Model outputs over patches: batched prediction, stitching, mean probability.
 
-Outputs are averaged where patches overlap. ``stitch`` deals every output to
-the raster tiles that its footprint meets and adds up inside one tile at a
-time, so neither a row a pixel is shuffled nor a slide's raster held whole.
+Outputs are averaged where patches overlap. ``stitch`` adds up the outputs that
+meet in a raster cell: an output of one number a class stays in the JVM, a map
+is laid out by numpy in Arrow batches that are summed up first. Either way sums
+and counts are combined in each task before they are shuffled, a hot slide is
+spread over its cells, and no raster is held whole.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,20 +23,21 @@ from pathloom.functions.resize import INTERPOLATIONS
 from pathloom.functions.scalars import whole
 from pathloom.operators import pyramid
 
-TILE = 128
-
-
-def predictions(images: DataFrame, make_predict: Callable[[], Callable[[np.ndarray], np.ndarray]], *, classes: int, classifier: Callable[[np.ndarray], np.ndarray] | None = None, transform: Callable[[np.ndarray], np.ndarray] | None = None, batch: int = 32) -> DataFrame:
+def predictions(images: DataFrame, make_predict: Callable[[], Callable[[np.ndarray], np.ndarray]], *, classes: int, classifier: Callable[[np.ndarray], np.ndarray] | None = None, transform: Callable[[np.ndarray], np.ndarray] | None = None, batch: int = 32, seed: int | None = None) -> DataFrame:
     """``images`` (region_id, width, height, n_channels, data) through a model:
     region_id, ``shape`` and ``output`` (flat floats).
 
     ``make_predict`` is called once a task and gives a function of a batch
     [n, channels, y, x] in 0 to 1 to outputs [n, classes] or [n, classes, y, x];
     ``classifier`` follows it. Another number of classes or rank is an error.
+    ``seed`` seeds Python's and numpy's generators in each task before.
     """
     schema = T.StructType([images.schema["region_id"], T.StructField("shape", T.ArrayType(T.IntegerType())), T.StructField("output", T.ArrayType(T.FloatType()))])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if seed is not None:
+            random.seed(seed)
+            np.random.seed(seed)
         predict = make_predict()
         for frame in frames:
             for lo in range(0, len(frame), batch):
@@ -68,53 +73,63 @@ def footprints(outputs: DataFrame, levels: DataFrame, *, patch_size: int, patch_
     ).drop("levels")
 
 
-def stitch(outputs: DataFrame, *, tile: int = TILE, interpolation: str = "bilinear") -> DataFrame:
-    """Mean over overlapping outputs: (slide_id, class, bx, by, prob), prob the
-    tile's cells [x, y] in row order, null where no output lies.
+def stitch(outputs: DataFrame, *, classes: int, maps: bool = False, interpolation: str = "bilinear") -> DataFrame:
+    """Mean over overlapping outputs: (slide_id, class, x, y, prob) of each raster
+    cell that an output covers.
 
     outputs: slide_id, px, py, psize, raster_w, raster_h, and ``shape`` and
     ``output`` as ``predictions`` gives them. An output of one number a class
-    fills its square; a map is brought to the square and turned from [y, x] to
-    [x, y]. Squares are cut off at the raster's edges. Rows with a null key take
-    no part.
+    fills its square; with ``maps`` there is a map a class, which is brought to
+    the square and turned from [y, x] to [x, y]. Squares are cut off at the
+    raster's edges. Rows with a null key take no part; an output of another
+    number of classes or another rank is an error.
     """
-    zoom = INTERPOLATIONS[interpolation]
-    o = outputs.select("slide_id", "px", "py", "psize", "raster_w", "raster_h", "shape", "output").filter(F.col("slide_id").isNotNull() & (F.col("psize") > 0))
+    o = outputs.select("slide_id", *[F.col(c).cast("long").alias(c) for c in ("px", "py", "psize", "raster_w", "raster_h")], "shape", "output").filter(F.col("slide_id").isNotNull() & (F.col("psize") > 0))
     lo = lambda c: F.greatest(F.col(c), F.lit(0))
     hi = lambda c, limit: F.least(F.col(c) + F.col("psize"), F.col(limit))
     o = o.filter((hi("px", "raster_w") > lo("px")) & (hi("py", "raster_h") > lo("py")))
-    span = lambda c, limit: F.explode(F.sequence(F.floor(lo(c) / tile), F.floor((hi(c, limit) - 1) / tile)))
-    dealt = o.withColumn("bx", span("px", "raster_w")).withColumn("by", span("py", "raster_h")).withColumn("class", F.explode(F.sequence(F.lit(0), F.col("shape")[0] - 1)))
-    flat = F.size("shape") == 1
-    per_class = F.when(flat, F.lit(1)).otherwise(F.element_at("shape", 2) * F.element_at("shape", 3))
-    dealt = dealt.withColumn("output", F.slice("output", F.col("class") * per_class + 1, per_class))
-    schema = T.StructType([T.StructField("slide_id", outputs.schema["slide_id"].dataType), T.StructField("class", T.IntegerType()), T.StructField("bx", T.LongType()), T.StructField("by", T.LongType()), T.StructField("prob", T.ArrayType(T.DoubleType()))])
-
-    def add(key: tuple, frames: pd.DataFrame) -> pd.DataFrame:
-        slide, kind, bx, by = key
-        total, count = np.zeros((tile, tile)), np.zeros((tile, tile), int)
-        left, top = bx * tile, by * tile
-        for px, py, n, w, h, shape, values in zip(frames.px, frames.py, frames.psize, frames.raster_w, frames.raster_h, frames["shape"], frames.output):
-            a, b, c, d = max(px, left, 0), min(px + n, left + tile, w), max(py, top, 0), min(py + n, top + tile, h)
-            if len(shape) == 1:
-                total[a - left : b - left, c - top : d - top] += values[0]
-            else:
-                image = np.asarray(values, float).reshape(shape[1], shape[2])
-                image = (image if image.shape == (n, n) else zoom(image, int(n), int(n))).T
-                total[a - left : b - left, c - top : d - top] += image[a - px : b - px, c - py : d - py]
-            count[a - left : b - left, c - top : d - top] += 1
-        with np.errstate(invalid="ignore"):
-            mean = total / count
-        prob = [None if k == 0 else float(v) for v, k in zip(mean.ravel(), count.ravel())]
-        return pd.DataFrame({"slide_id": [slide], "class": [kind], "bx": [bx], "by": [by], "prob": [prob]})
-
-    return dealt.groupBy("slide_id", "class", "bx", "by").applyInPandas(add, schema)
-
-
-def pixels(blocks: DataFrame, *, tile: int = TILE) -> DataFrame:
-    """(slide_id, class, x, y, prob) of the covered cells of ``stitch``'s tiles."""
-    rows = blocks.select("slide_id", "class", "bx", "by", F.posexplode("prob").alias("i", "prob")).filter(F.col("prob").isNotNull())
-    return rows.select("slide_id", "class", (F.col("bx") * tile + F.floor(F.col("i") / tile)).alias("x"), (F.col("by") * tile + F.col("i") % tile).alias("y"), "prob")
+    fits = (F.size("shape") == (3 if maps else 1)) & (F.col("shape")[0] == classes)
+    o = o.filter(F.when(fits, F.lit(True)).otherwise(F.raise_error(F.lit("the outputs have another rank or number of classes")).cast("boolean")))
+    sums = [f"s{c}" for c in range(classes)]
+    if maps:
+        laid = o.mapInArrow(_laid_out(classes, interpolation), T.StructType([outputs.schema["slide_id"], T.StructField("x", T.LongType()), T.StructField("y", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in sums], T.StructField("n", T.LongType())]))
+    else:
+        span = lambda c, limit: F.explode(F.sequence(lo(c), hi(c, limit) - 1))
+        values = o.select("slide_id", "px", "py", "psize", "raster_w", "raster_h", *[F.col("output")[c].cast("double").alias(sums[c]) for c in range(classes)])
+        laid = values.withColumn("x", span("px", "raster_w")).withColumn("y", span("py", "raster_h")).withColumn("n", F.lit(1).cast("long"))
+    total = laid.groupBy("slide_id", "x", "y").agg(*[F.sum(c).alias(c) for c in sums], F.sum("n").alias("n"))
+    each = F.array(*[F.struct(F.lit(c).alias("class"), (F.col(sums[c]) / F.col("n")).alias("prob")) for c in range(classes)])
+    return total.select("slide_id", "x", "y", F.inline(each)).select("slide_id", "class", "x", "y", "prob")
+
+
+def _laid_out(classes: int, interpolation: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The cells of maps: a batch's cells are summed up before they leave it."""
+    zoom = INTERPOLATIONS[interpolation]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slides = batch.column("slide_id").dictionary_encode()
+            own, xs, ys, values = [], [], [], []
+            columns = [batch.column(c).to_pylist() for c in ("px", "py", "psize", "raster_w", "raster_h", "shape")]
+            for k, (px, py, n, w, h, shape) in enumerate(zip(*columns)):
+                maps = batch.column("output")[k].values.to_numpy(zero_copy_only=False).reshape(shape)
+                a, b, c, d = max(px, 0), min(px + n, w), max(py, 0), min(py + n, h)
+                turned = np.stack([(m if m.shape == (n, n) else zoom(m.astype(float), n, n)).T[a - px : b - px, c - py : d - py] for m in maps])
+                x, y = np.meshgrid(np.arange(a, b), np.arange(c, d), indexing="ij")
+                own.append(np.full(x.size, slides.indices[k].as_py(), np.int64))
+                xs.append(x.ravel())
+                ys.append(y.ravel())
+                values.append(turned.reshape(classes, -1))
+            if not own:
+                continue
+            keys = np.column_stack([np.concatenate(own), np.concatenate(xs), np.concatenate(ys)])
+            cells, at = np.unique(keys, axis=0, return_inverse=True)
+            flat = np.concatenate(values, axis=1)
+            arrays = [slides.dictionary.take(pa.array(cells[:, 0])), pa.array(cells[:, 1]), pa.array(cells[:, 2])]
+            arrays += [pa.array(np.bincount(at.ravel(), flat[c], len(cells))) for c in range(classes)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.bincount(at.ravel(), minlength=len(cells)))], names=["slide_id", "x", "y", *[f"s{c}" for c in range(classes)], "n"])
+
+    return run
 
 
 def byte_probability(p: Column) -> Column:

@@ -57,13 +57,15 @@ cand AS (
 
 _CELLS = "cells AS (SELECT DISTINCT slide_id, CAST(floor(x / 2048.0) AS BIGINT) AS x, CAST(floor(y / 2048.0) AS BIGINT) AS y FROM points WHERE slide_id IS NOT NULL)"
 _PLACED = "SELECT slide_id, region_id, seq, x, y, label FROM valid"
-_RASTER = """out AS (
-  SELECT slide_id, CAST(floor(x / 64.0) AS BIGINT) AS px, CAST(floor(y / 64.0) AS BIGINT) AS py, CAST(round_even(w / 64.0, 0) AS BIGINT) AS n, (patch_id % 100) / 100.0::DOUBLE AS v
-  FROM patches WHERE slide_id IS NOT NULL),
-cell AS (
-  SELECT slide_id, c AS class, px + i AS x, py + j AS y, avg(CASE WHEN c = 0 THEN v ELSE 1 - v END) AS prob
-  FROM out, unnest(generate_series(0, n - 1)) a(i), unnest(generate_series(0, n - 1)) b(j), unnest([0, 1]) k(c)
-  WHERE px + i BETWEEN 0 AND 3124 AND py + j BETWEEN 0 AND 3124 GROUP BY ALL)"""
+_RASTER = f"""{_LEVELS}, out AS (
+  SELECT patch_id, slide_id, CAST(floor(x / 64.0) AS BIGINT) AS px, CAST(floor(y / 64.0) AS BIGINT) AS py, CAST(round_even(w / 64.0, 0) AS BIGINT) AS n, w0 // 64 AS rw, h0 // 64 AS rh, (patch_id % 100) / 100.0::DOUBLE AS v
+  FROM patches JOIN zero USING (slide_id)),
+place AS (
+  SELECT *, px + i AS x, py + j AS y FROM out, unnest(generate_series(0, n - 1)) a(i), unnest(generate_series(0, n - 1)) b(j)
+  WHERE px + i BETWEEN 0 AND rw - 1 AND py + j BETWEEN 0 AND rh - 1),
+cell AS (SELECT slide_id, c AS class, x, y, avg(CASE WHEN c = 0 THEN v ELSE 1 - v END) AS prob FROM place, unnest([0, 1]) k(c) GROUP BY ALL),
+laid AS (
+  SELECT slide_id, c AS class, x, y, ((patch_id + 7 * CAST(floor((j + 0.5) * 2 / n) AS BIGINT) + 13 * CAST(floor((i + 0.5) * 2 / n) AS BIGINT)) % 100 / 100.0)::FLOAT AS v FROM place, unnest([0, 1]) k(c))"""
 _RGB = "px AS (SELECT DISTINCT slide_id, point_id AS x, 0 AS y, x % 256 AS r, y % 256 AS g, (x + y) % 256 AS b FROM points WHERE slide_id IS NOT NULL)"
 
 
@@ -177,6 +179,8 @@ ORACLES: dict[str, str] = {
         SELECT annotation_id, ann_type AS user_label, CASE WHEN vendor = 'sedeen' THEN substr(ann_color, 1, greatest(length(ann_color) - 2, 0)) ELSE lower(ann_color) END AS color,
                CASE WHEN coordinates IS NULL THEN NULL WHEN need = 4 AND n <> 4 THEN ann_type || ' needs 4 points' WHEN need = 3 AND n < 3 THEN ann_type || ' needs 3 points or more' END AS problem FROM k
     """,
+    "patch_predictions": "SELECT patch_id, round((patch_id % 256) / 255.0::DOUBLE / 2, 4) AS p0, round((1 - (patch_id % 256) / 255.0::DOUBLE) / 2, 4) AS p1 FROM patches",
+    "mean_maps": f"WITH {_RASTER} SELECT slide_id, class, x, y, round(avg(CASE WHEN class = 0 THEN v ELSE (1 - v)::FLOAT END), 4) AS prob FROM laid GROUP BY ALL",
     "mean_probability": f"WITH {_RASTER} SELECT slide_id, class, x, y, round(prob, 6) AS prob FROM cell",
     "probability_range": f"WITH {_RASTER} SELECT slide_id, class, round(min(prob), 6) AS vmin, round(max(prob), 6) AS vmax FROM cell GROUP BY slide_id, class",
     "heatmap_pixels": f"""

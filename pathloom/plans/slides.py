@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -225,23 +226,42 @@ def annotation_ellipses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("annotation_id", F.posexplode(ring).alias("vertex", "p")).select("annotation_id", "vertex", "p.x", "p.y")
 
 
-def _outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each patch with a made-up output of two classes, on a raster of 64-pixel cells."""
-    p = _patches(spark, sf_dir).filter(F.col("slide_id").isNotNull())
-    value = (F.col("patch_id") % 100) / 100.0
-    return p.select(
-        "slide_id",
-        *[F.floor(F.col(c) / RASTER_CELL).alias(f"p{c}") for c in "xy"],
-        F.bround(F.col("w") / RASTER_CELL, 0).cast("long").alias("psize"),
-        F.lit(3125).alias("raster_w"),
-        F.lit(3125).alias("raster_h"),
-        F.array(F.lit(2)).alias("shape"),
-        F.array(value, 1 - value).alias("output"),
-    )
+def _footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each patch on its slide's raster of 64-pixel cells."""
+    zero = _pyramids(spark, sf_dir).select("slide_id", *[F.floor(pyramid.of_level(F.lit(0), c) / RASTER_CELL).alias(f"raster_{c[0]}") for c in ("width", "height")])
+    p = _patches(spark, sf_dir).join(zero, "slide_id")
+    return p.select("patch_id", "slide_id", *[F.floor(F.col(c) / RASTER_CELL).alias(f"p{c}") for c in "xy"], F.bround(F.col("w") / RASTER_CELL, 0).cast("long").alias("psize"), "raster_w", "raster_h")
 
 
 def _probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inference.pixels(inference.stitch(_outputs(spark, sf_dir)))
+    """Means of an output of two classes for each patch."""
+    value = (F.col("patch_id") % 100) / 100.0
+    outputs = _footprints(spark, sf_dir).withColumns({"shape": F.array(F.lit(2)), "output": F.array(value, 1 - value)})
+    return inference.stitch(outputs, classes=2)
+
+
+def patch_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model of two classes and a classifier over a plain image for each patch."""
+    gray = F.lpad(F.hex(F.col("patch_id") % 256), 2, "0")
+    images = _patches(spark, sf_dir).select(F.col("patch_id").alias("region_id"), *[F.lit(n).alias(c) for c, n in (("width", 2), ("height", 2), ("n_channels", 3))], F.unhex(F.repeat(gray, F.lit(12))).alias("data"))
+
+    def model():
+        def predict(batch):
+            mean = batch.mean(axis=(1, 2, 3))
+            return np.stack([mean, 1 - mean], axis=1)
+
+        return predict
+
+    out = inference.predictions(images, model, classes=2, classifier=lambda o: o / 2)
+    return out.select(F.col("region_id").alias("patch_id"), *[F.round(F.col("output")[c].cast("double"), 4).alias(f"p{c}") for c in (0, 1)])
+
+
+def mean_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of a 2 x 2 map a class for each patch, brought to its footprint."""
+    at = lambda y, x: ((F.col("patch_id") + 7 * y + 13 * x) % 100 / 100.0).cast("float")
+    first = [at(y, x) for y in (0, 1) for x in (0, 1)]
+    outputs = _footprints(spark, sf_dir).withColumns({"shape": F.array(F.lit(2), F.lit(2), F.lit(2)), "output": F.array(*first, *[(1 - v).cast("float") for v in first])})
+    return inference.stitch(outputs, classes=2, maps=True, interpolation="nearest").select("slide_id", "class", "x", "y", F.round("prob", 4).alias("prob"))
 
 
 def mean_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -298,6 +318,6 @@ QUERIES = {
         slide_names, slide_pyramids, level_by_shape, level_by_size, level_by_mpp, resample_plan, resample_batches, tiff_resolutions, location_checks, multires_locations,
         polygon_areas, polygon_grid, polygon_grid_labels, polygon_random, polygon_points, polygon_poisson, mask_boxes, mask_outline, whole_grid, inverted_grid, region_relations,
         patch_distinct, patch_label_counts, patch_pool_counts, patch_included, patch_problems, patch_numbers, patch_sets, patch_files, annotation_rows, annotation_ellipses,
-        mean_probability, probability_range, heatmap_pixels, tissue_hsv, tissue_lab, tissue_otsu, tissue_cleaned, saved_windows, saved_sessions,
+        patch_predictions, mean_maps, mean_probability, probability_range, heatmap_pixels, tissue_hsv, tissue_lab, tissue_otsu, tissue_cleaned, saved_windows, saved_sessions,
     )
 }

@@ -99,18 +99,23 @@ def test_stitching_against_numpy(spark):
         for c in range(2):
             total[c, max(x, 0) : x + n, max(y, 0) : y + n] += v[c]
             count[c, max(x, 0) : x + n, max(y, 0) : y + n] += 1
-    got = inference.pixels(inference.stitch(outputs(spark, data, [2]), tile=32), tile=32).collect()
+    got = inference.stitch(outputs(spark, data, [2]), classes=2).collect()
     assert len(got) == (count > 0).sum()
     assert all(abs(r.prob - total[r["class"], r.x, r.y] / count[r["class"], r.x, r.y]) < 1e-9 for r in got)
 
 
 def test_maps_are_turned_and_resized(spark):
     image = np.arange(16, dtype=np.float32).reshape(4, 4)
-    got = {(r.x, r.y): r.prob for r in inference.pixels(inference.stitch(outputs(spark, [(30, 58, 4, image.ravel().tolist())], [1, 4, 4]), tile=32), tile=32).collect()}
+    got = {(r.x, r.y): r.prob for r in inference.stitch(outputs(spark, [(30, 58, 4, image.ravel().tolist())], [1, 4, 4]), classes=1, maps=True).collect()}
     assert got == {(30 + x, 58 + y): float(image[y, x]) for x in range(4) for y in range(2)}
-    wide = inference.pixels(inference.stitch(outputs(spark, [(0, 0, 8, image.ravel().tolist())], [1, 4, 4])))
+    wide = inference.stitch(outputs(spark, [(0, 0, 8, image.ravel().tolist())], [1, 4, 4]), classes=1, maps=True)
     assert wide.count() == 64 and wide.agg(F.avg("prob")).first()[0] == pytest.approx(7.5)
-    assert inference.stitch(outputs(spark, [], [1])).count() == 0
+    twice = inference.stitch(outputs(spark, [(0, 0, 4, image.ravel().tolist()), (2, 0, 4, image.ravel().tolist())], [1, 4, 4]), classes=1, maps=True)
+    assert {(r.x, r.y): r.prob for r in twice.collect()}[2, 1] == (image[1, 2] + image[1, 0]) / 2
+    for maps in (False, True):
+        assert inference.stitch(outputs(spark, [], [1]), classes=1, maps=maps).count() == 0
+        with pytest.raises(Exception, match="another rank"):
+            inference.stitch(outputs(spark, [(0, 0, 4, [1.0, 0.0])], [2]), classes=2 if maps else 3, maps=maps).collect()
 
 
 def test_predictions_and_footprints(spark):
@@ -121,6 +126,8 @@ def test_predictions_and_footprints(spark):
     for bad in (3, 1):
         with pytest.raises(Exception, match="classes"):
             inference.predictions(images, model, classes=bad).collect()
+    drawn = [inference.predictions(images, lambda: lambda b: np.random.rand(len(b), 1), classes=1, seed=s).coalesce(1).orderBy("region_id").collect() for s in (1, 1, 2)]
+    assert drawn[0] == drawn[1] != drawn[2]
     with pytest.raises(Exception, match="rank"):
         inference.predictions(images, lambda: lambda b: b.mean(axis=1), classes=2).collect()
     levels = spark.createDataFrame([("s", 0, 2560, 3072, 1.0, 0.25, 40), ("s", 1, 640, 768, 4.0, 1.0, 40)], "slide_id string, slide_level int, width int, height int, downsample double, mpp double, magnification int")
