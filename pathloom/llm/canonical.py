@@ -51,11 +51,6 @@ def tokens(text: str | None) -> list[tuple[str, bool]]:
     return found
 
 
-def allowed_edits(length: int) -> int:
-    """Edits forgiven in a reference token of so many letters."""
-    return 0 if length < 3 else 1 if length < 5 else 2
-
-
 def edits(a: str, b: str, most: int) -> int:
     """Damerau-Levenshtein distance (insert, delete, replace, swap neighbours),
     or most + 1 where it is larger."""
@@ -113,25 +108,45 @@ def _runs(parts: pd.Series, most: pd.Series) -> pd.Series:
     return pd.Series([of(p, m) for p, m in zip(parts, most)])
 
 
-def _keys_of(column: str) -> Column:
-    """Strings by which a token finds near ones."""
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for v in values:
-            yield v.map(lambda t: sorted(neighbourhood(t[:KEY_LETTERS], 2 if len(t) >= 4 else 1)))
+def _part(t: Column, start: Column | int, length: Column | int) -> Column:
+    of = lambda v: F.lit(v) if isinstance(v, int) else v
+    return F.substring(t, of(start), of(length))
 
-    return run(F.col(column))
 
+def keys_of(token: Column) -> Column:
+    """``neighbourhood`` of a token's beginning as an array: its two deletions,
+    or one for a token of under four letters, are places i and j."""
+    t = F.substring(token, 1, KEY_LETTERS)
+    n = F.length(t)
+
+    def left(i: Column, j: Column) -> Column:
+        one = F.concat(_part(t, 1, i - 1), _part(t, i + 1, n))
+        two = F.concat(_part(t, 1, i - 1), _part(t, i + 1, j - i - 1), _part(t, j + 1, n))
+        return F.when(i == j, one).otherwise(two)
+
+    places = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: i <= n)
+    cut = F.flatten(F.transform(places, lambda i: F.transform(F.filter(places, lambda j: (j == i) | (j > i) & (n >= 4)), lambda j: left(i, j))))
+    return F.array_distinct(F.concat(F.array(t), cut))
 
-@F.pandas_udf(T.DoubleType())
-def _similarity(seen: pd.Series, known: pd.Series) -> pd.Series:
-    """1 for equal tokens, less with each edit, null beyond the allowed ones."""
-    def one(a: str, b: str) -> float | None:
-        most = allowed_edits(len(b))
-        d = edits(a, b, most)
-        return None if d > most else 1.0 - d / (2 * (len(b) + 1))
 
-    return pd.Series([one(a, b) for a, b in zip(seen, known)], dtype="float64")
+def near_edits(a: Column, b: Column) -> Column:
+    """``edits`` of two tokens up to 2, else 3. A distance has a swap of
+    neighbours, in either token, or is a plain one."""
+    def swaps(t: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: i < F.length(t))
+        return F.transform(places, lambda i: F.concat(_part(t, 1, i - 1), _part(t, i + 1, 1), _part(t, i, 1), _part(t, i + 2, F.length(t))))
+
+    plain = F.levenshtein(a, b)
+    one = (plain <= 1) | F.exists(swaps(a), lambda s: s == b)
+    two = (plain <= 2) | F.exists(swaps(a), lambda s: (F.levenshtein(s, b) <= 1) | F.array_contains(swaps(b), s)) | F.exists(swaps(b), lambda s: F.levenshtein(a, s) <= 1)
+    return F.when(plain > 4, 3).when(plain == 0, 0).when(one, 1).when(two, 2).otherwise(3)
+
+
+def similarity(seen: Column, known: Column) -> Column:
+    """1 for equal tokens, less with each edit, null beyond the allowed ones."""
+    most = F.when(F.length(known) < 3, 0).when(F.length(known) < 5, 1).otherwise(2)
+    d = near_edits(seen, known)
+    return F.when(d <= most, 1.0 - d / (2 * (F.length(known) + 1)))
 
 
 def map_to_canonical(
@@ -159,7 +174,7 @@ def map_to_canonical(
     values = cut_lineage(rows.groupBy("_value").agg(F.count(F.lit(1)).alias("_n")).repartition(tasks, "_value").withColumn("tokens", F.array_distinct(_tokens_of("_value"))))
     value_tokens = values.select("_value", F.explode("tokens").alias("t")).select("_value", "t.token", "t.cut")
     entries = reference.select(F.col(group_id).alias("gid"), F.col(group_name).alias("gname")).dropna().distinct()
-    named = entries.select("gid", F.array_distinct(F.transform(_tokens_of("gname"), lambda t: t["token"])).alias("parts"))
+    named = cut_lineage(entries.select("gid", F.array_distinct(F.transform(_tokens_of("gname"), lambda t: t["token"])).alias("parts")))
     entry_tokens = named.select("gid", F.explode("parts").alias("known"))
     vocabulary = entry_tokens.groupBy("known").agg(F.countDistinct("gid").alias("df"))
     total = entries.select(F.countDistinct("gid").alias("total"))
@@ -169,8 +184,10 @@ def map_to_canonical(
     # after, the commoner ones, have together too short a vector to reach the threshold.
     by_rarity = Window.partitionBy("gid").orderBy(F.desc("idf"), "known")
     square = F.col("idf") * F.col("idf")
-    weights = entry_tokens.join(idf, "known").select("gid", "known", "idf", F.sqrt(F.sum(square).over(Window.partitionBy("gid"))).alias("norm"), F.sqrt(F.sum(square).over(by_rarity.rowsBetween(0, Window.unboundedFollowing))).alias("rest"))
-    needed = weights.filter(F.col("rest") >= F.col("norm") * (threshold - 1e-6)).select("known", "gid")
+    weights = entry_tokens.join(idf, "known").withColumn("rest", F.sum(square).over(by_rarity.rowsBetween(0, Window.unboundedFollowing)))
+    whole = weights.groupBy("gid").agg(F.sqrt(F.sum(square)).alias("norm"), F.collect_list(F.struct("known", "idf", "rest")).alias("words"))
+    bound = F.col("norm") * (threshold - 1e-6)
+    needed = whole.select("gid", "norm", "words", F.explode(F.filter("words", lambda w: F.sqrt(w["rest"]) >= bound)).alias("w")).select(F.col("w.known").alias("known"), "gid", "norm", "words")
 
     seen = value_tokens.select("token", "cut").distinct()
     longest = seen.select((F.coalesce(F.max(F.length("token")), F.lit(0)) + 2).alias("longest"))
@@ -179,11 +196,9 @@ def map_to_canonical(
         named.crossJoin(F.broadcast(longest)).select(F.explode(_runs("parts", "longest")).alias("parts")).distinct().select(F.concat_ws("", "parts").alias("form"), "parts")  # one row
     )
     # These joins are of distinct tokens: a key is shared by no more of them than there are ways to spell it.
-    near = seen.select("token").distinct().repartition(tasks, "token").withColumn("key", F.explode(_keys_of("token"))).join(written.withColumn("key", F.explode(_keys_of("form"))), "key")
-    # A swap of neighbours is two plain edits; only pairs within that are compared closely, spread over all tasks.
-    close = near.filter(F.levenshtein("token", "form") <= 4).select("token", "form", "parts").repartition(tasks, "token", "form").distinct()
+    near = seen.select("token").distinct().withColumn("key", F.explode(keys_of(F.col("token")))).join(written.withColumn("key", F.explode(keys_of(F.col("form")))), "key")
     by_edit = (
-        close.withColumn("sim", _similarity("token", "form")).filter(F.col("sim").isNotNull())
+        near.select("token", "form", "parts").distinct().withColumn("sim", similarity(F.col("token"), F.col("form"))).filter(F.col("sim").isNotNull())
         .withColumn("most", F.max("sim").over(Window.partitionBy("token")))
         .filter((F.size("parts") == 1) | (F.col("sim") == F.col("most")))
         .select("token", F.lit(None).cast("boolean").alias("for_cut"), F.posexplode("parts").alias("part", "known"), "sim")
@@ -198,24 +213,26 @@ def map_to_canonical(
     # Repairs belong to distinct tokens; they go back to the values that have these.
     repaired = cut_lineage(by_edit.unionByName(by_prefix).select("token", F.struct(F.coalesce("for_cut", F.lit(False)).alias("for_cut"), "part", "known", "sim").alias("r")).groupBy("token").agg(F.collect_set("r").alias("repairs")))
     held = salted_join(value_tokens, repaired, ["token"], spread_by=["_value"]).select("_value", "token", F.inline(F.filter("repairs", lambda r: ~r["for_cut"] | F.col("cut"))))
-    held = held.groupBy("_value", "token", "part", "known").agg(F.max("sim").alias("sim"))
-    repairs = cut_lineage(held.join(idf, "known"))
+    # From here on, all of a value's rows are in one place: its words' weights and length are made without another shuffle.
+    held = held.withColumnRenamed("known", "_k").join(idf, F.col("_k") == F.col("known")).repartition(tasks, "_value").groupBy("_value", "token", "part", "known").agg(F.max("sim").alias("sim"), F.max("idf").alias("idf"))
     # A token weighs as much as what it is repaired to, an unknown one the most; of equally near words the rarest counts.
-    weighed = repairs.groupBy("_value", "token", "part").agg(F.max(F.struct("sim", "idf", "known"))["idf"].alias("w"), F.collect_list(F.struct("known", "sim")).alias("options"))
-    lengths = weighed.groupBy("_value").agg(F.sum(F.col("w") * F.col("w")).alias("known2"), F.countDistinct("token").alias("n_known"))
-    counted = value_tokens.groupBy("_value").agg(F.countDistinct("token").alias("n"))
-    norms = (
-        counted.join(lengths.withColumnRenamed("_value", "_v"), F.col("_value") == F.col("_v")).crossJoin(F.broadcast(unknown_idf))  # one row
-        .select(F.col("_value").alias("_v"), F.sqrt(F.col("known2") + (F.col("n") - F.col("n_known")) * F.col("most") * F.col("most")).alias("vnorm"))
-    )
-    pairs = salted_join(repairs.select("_value", "known").distinct(), needed, ["known"], spread_by=["_value"]).select("_value", "gid").distinct()
-    sims = weighed.select("_value", "w", F.inline("options")).groupBy("_value", "known").agg(F.max(F.struct("sim", "w")).alias("m")).select("_value", "known", "m.sim", "m.w")
-    scores = (
-        salted_join(pairs.join(sims, "_value"), weights.select("gid", "known", "idf", "norm"), ["gid", "known"], spread_by=["_value"])
-        .groupBy("_value", "gid").agg((F.sum(F.col("sim") * F.col("w") * F.col("idf")) / F.max("norm")).alias("dot"))
-        .join(norms, F.col("_value") == F.col("_v"))
-        .select("_value", "gid", F.round(F.col("dot") / F.col("vnorm"), 9).alias("score"))
+    weighed = held.groupBy("_value", "token", "part").agg(F.max(F.struct("sim", "idf", "known"))["idf"].alias("w"), F.collect_list(F.struct("known", "sim")).alias("options"))
+    lengths = weighed.groupBy("_value").agg(F.sum(F.col("w") * F.col("w")).alias("known2"), F.countDistinct("token").alias("n_known"), F.flatten(F.collect_list(F.transform("options", lambda o: F.struct(o["known"].alias("known"), o["sim"].alias("sim"), F.col("w").alias("w"))))).alias("found"))
+    n_tokens = F.size(F.array_distinct(F.transform("tokens", lambda t: t["token"])))
+    length2 = F.col("known2") + (n_tokens - F.col("n_known")) * F.col("most") * F.col("most")
+    profile = cut_lineage(
+        values.withColumnRenamed("_value", "_v").join(lengths, F.col("_v") == F.col("_value")).crossJoin(F.broadcast(unknown_idf))  # one row
+        .select("_value", "found", F.sqrt(length2).alias("vnorm"))
     )
+    pairs = salted_join(profile.select("_value", "found", "vnorm", F.explode(F.array_distinct(F.col("found")["known"])).alias("known")), needed, ["known"], spread_by=["_value"])
+
+    def shared(word: Column) -> Column:
+        """The product of an entry's word with the value's nearest token for it."""
+        best = F.array_max(F.transform(F.filter("found", lambda f: f["known"] == word["known"]), lambda f: F.struct(f["sim"], f["w"])))
+        return F.coalesce(best["sim"] * best["w"] * word["idf"], F.lit(0.0))
+
+    dot = F.aggregate("words", F.lit(0.0), lambda t, word: t + shared(word))
+    scores = pairs.select("_value", "gid", F.round(dot / F.col("norm") / F.col("vnorm"), 9).alias("score"))  # a pair found by two words comes twice, with one score
     ranked = scores.groupBy("_value").agg(F.max("score").alias("best"), F.max_by("gid", F.struct("score", -F.col("gid"))).alias("gid"), F.max_by("gid", F.struct("score", "gid")).alias("gid2"))
     chosen = values.join(ranked.withColumnRenamed("_value", "_v"), F.col("_value") == F.col("_v"), "left").select(
         F.col("_value").alias("_key"),

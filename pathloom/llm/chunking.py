@@ -60,50 +60,36 @@ def _tier(base: int, tiers: int, depth: int) -> int:
     return base + tiers - 1 - min(depth, tiers - 1)
 
 
-def boundaries(text: str) -> dict[int, int]:
-    """Character place -> the highest level of the boundary before it; words and
-    tokens have no entry."""
-    found: dict[int, int] = {}
-
-    def mark(place: int, level: int) -> None:
-        if level > found.get(place, 0):
-            found[place] = level
-
-    for m in _SENTENCE.finditer(text):
-        mark(m.end(), SENTENCE)
-    at = text.find("\n")
-    while at >= 0:
-        mark(at + 1, LINE)
-        at = text.find("\n", at + 1)
+def _marks(text: str) -> Iterator[tuple[int, Iterable[int]]]:
+    """(level, character places) of the text's boundaries; a place may come under several levels."""
+    yield SENTENCE, [m.end() for m in _SENTENCE.finditer(text)]
+    yield LINE, np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 10) + 1
     for m in _ITEM.finditer(text):
-        mark(m.start(), _tier(ITEM, ITEM_TIERS, len(m[1].replace("\t", "    ").replace(">", "").replace("|", "")) // 2))
-    for m in _PARAGRAPH.finditer(text):
-        mark(m.end(), PARAGRAPH)
+        yield _tier(ITEM, ITEM_TIERS, len(m[1].replace("\t", "    ").replace(">", "").replace("|", "")) // 2), [m.start()]
+    yield PARAGRAPH, [m.end() for m in _PARAGRAPH.finditer(text)]
     for m in _HASHES.finditer(text):
-        mark(m.start(), _tier(HEADING, HEADING_TIERS, len(m[1]) - 1))
+        yield _tier(HEADING, HEADING_TIERS, len(m[1]) - 1), [m.start()]
     for m in _UNDERLINED.finditer(text):
-        mark(m.start(), _tier(HEADING, HEADING_TIERS, 0 if m[1] == "=" else 1))
+        yield _tier(HEADING, HEADING_TIERS, 0 if m[1] == "=" else 1), [m.start()]
     if "<" in text:
-        for m in _BLOCK_LINE.finditer(text):
-            mark(m.end(), LINE)
-        for m in _BLOCK_ITEM.finditer(text):
-            mark(m.start(), _tier(ITEM, ITEM_TIERS, 0))
-        for m in _BLOCK_END.finditer(text):
-            mark(m.end(), PARAGRAPH)
+        yield LINE, [m.end() for m in _BLOCK_LINE.finditer(text)]
+        yield _tier(ITEM, ITEM_TIERS, 0), [m.start() for m in _BLOCK_ITEM.finditer(text)]
+        yield PARAGRAPH, [m.end() for m in _BLOCK_END.finditer(text)]
         for m in _BLOCK_HEADING.finditer(text):
-            mark(m.start(), _tier(HEADING, HEADING_TIERS, int(m[1]) - 1))
+            yield _tier(HEADING, HEADING_TIERS, int(m[1]) - 1), [m.start()]
     for m in _MESSAGE.finditer(text):
         quoted = len(m[0]) - len(m[0].lstrip("> |\t"))
-        mark(m.start(), _tier(MESSAGE, MESSAGE_TIERS, m[0][:quoted].count(">")))
+        yield _tier(MESSAGE, MESSAGE_TIERS, m[0][:quoted].count(">")), [m.start()]
     for depth, name in enumerate(dict.fromkeys(a or b for a, b in _BOUNDARY.findall(text))):
-        mark_line = "--" + name
-        at = text.find(mark_line)
-        while at >= 0:
-            if at == 0 or text[at - 1] == "\n":
-                mark(at, _tier(PART, PART_TIERS, depth))
-            at = text.find(mark_line, at + 1)
-    found.pop(0, None)
-    return found
+        line = re.compile(rf"^--{re.escape(name)}", re.M)
+        yield _tier(PART, PART_TIERS, depth), [m.start() for m in line.finditer(text)]
+
+
+def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Character places and the levels of the boundaries before them; words and
+    tokens have no entry, and a place may have several."""
+    levels, places = zip(*((level, np.asarray(at, np.int64)) for level, at in _marks(text)))
+    return np.concatenate(places), np.repeat(levels, list(map(len, places)))
 
 
 def pack(counts: np.ndarray, levels: np.ndarray, limit: int, first_limit: int) -> list[tuple[int, int]]:
@@ -160,23 +146,21 @@ class Chunker:
             return [(0, total, 0, None, text)]
         starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))))
         levels = np.full(len(words), WORD, np.int64)
-        marks = boundaries(text)
-        if marks:
-            places = np.fromiter(marks, np.int64, len(marks))
-            values = np.fromiter(marks.values(), np.int64, len(marks))
-            at = np.searchsorted(starts[:-1], places)
-            inside = at < len(words)
-            np.maximum.at(levels, at[inside], values[inside])
+        places, values = boundaries(text)
+        at = np.searchsorted(starts[:-1], places)
+        inside = at < len(words)
+        np.maximum.at(levels, at[inside], values[inside])
         fresh = self.limit - self.overlap
         if counts.max() > fresh:
             counts, levels, words, ids_of, starts = self._parted(counts, levels, words, ids_of, starts, fresh)
         ends = np.concatenate(([0], np.cumsum(counts))).tolist()
+        packed = pack(counts, levels, fresh, self.limit)
+        kinds = _kinds(levels[[lo for lo, _ in packed]])
         out, chars = [], starts.tolist()
-        kinds = _kinds(levels)
-        for n, (lo, hi) in enumerate(pack(counts, levels, fresh, self.limit)):
+        for n, (lo, hi) in enumerate(packed):
             back = min(self.overlap, ends[lo], max(0, self.limit - (ends[hi] - ends[lo]))) if n else 0
             repeated = self._before(text, ids_of, ends, chars, lo, back)
-            out.append((ends[lo] - back, ends[hi] - ends[lo] + back, back, kinds[lo] if n else None, repeated + text[chars[lo] : chars[hi]]))
+            out.append((ends[lo] - back, ends[hi] - ends[lo] + back, back, kinds[n] if n else None, repeated + text[chars[lo] : chars[hi]]))
         return out
 
     def _before(self, text: str, ids_of: list, ends: list[int], chars: list[int], lo: int, back: int) -> str:

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows
 from pathloom.llm import canonical
@@ -31,6 +32,20 @@ def test_empty_tables_and_ties(spark):
     assert run(df, spark.createDataFrame([(1, "Pen marking"), (2, "Marking pen"), (3, None)], GROUPS)) == [(1, 0)]
 
 
+def test_expressions_equal_the_plain_definitions(spark):
+    rng = random.Random(6)
+    pairs = {("abc", "ca"), ("ca", "abc"), ("", "ab"), ("ab", ""), ("a", "a"), ("abcd", "badc"), ("tmuor", "tumor"), ("straße", "strasse")}
+    while len(pairs) < 600:
+        a = "".join(rng.choice("abc") for _ in range(rng.randint(1, 7)))
+        b = "".join(rng.choice("abc") for _ in range(rng.randint(1, 7)))
+        pairs.add((a, b))
+    df = spark.createDataFrame(sorted(pairs), "a string, b string")
+    got = df.select("a", "b", canonical.near_edits(F.col("a"), F.col("b")).alias("d"), canonical.keys_of(F.col("a")).alias("keys")).collect()
+    for r in got:
+        assert r.d == min(3, canonical.edits(r.a, r.b, 9)), (r.a, r.b)
+        assert set(r["keys"]) == canonical.neighbourhood(r.a, 2 if len(r.a) >= 4 else 1)
+
+
 def test_long_tokens_share_a_key_of_their_beginnings():
     rng = random.Random(8)
     for _ in range(300):
