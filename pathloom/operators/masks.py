@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 
 from pathloom.functions.scalars import fixed, whole
 from pathloom.operators.skew import HOT_ROWS, salted_join
+from pathloom.runtime import cut_lineage
 
 SIDE = 64
 
@@ -46,7 +47,8 @@ def foreground_ratio(windows: DataFrame, cells: DataFrame, *, hot_rows: int = HO
     without any cell.
     """
     far = [whole(F.col(c) + F.col("msize")) for c in ("mx", "my")]
-    w = windows.withColumns({"_x1": whole(F.col("mx")), "_y1": whole(F.col("my")), "_x2": far[0], "_y2": far[1]})
+    # The windows are used several times, and may be costly to make: they are written once.
+    w = cut_lineage(windows).withColumns({"_x1": whole(F.col("mx")), "_y1": whole(F.col("my")), "_x2": far[0], "_y2": far[1]})
     block = lambda lo, hi: F.sequence(F.floor(F.col(lo) / SIDE), F.floor((F.col(hi) - 1) / SIDE))
     covered = (
         w.filter((F.col("_x1") >= 0) & (F.col("_y1") >= 0) & (F.col("_x2") > F.col("_x1")) & (F.col("_y2") > F.col("_y1")))

@@ -60,10 +60,12 @@ def _from_polygon(polygon: planar.Polygon) -> list[dict]:
     return [{"ext": ring(e), "holes": [ring(h) for h in holes]} for e, holes in polygon]
 
 
-def repaired_regions(regions: DataFrame, *, buffer: float = 0.0) -> DataFrame:
+def repaired_regions(regions: DataFrame, *, buffer: float | str = 0.0, empty: str = "error") -> DataFrame:
     """Regions with valid parts (self-crossings resolved by even-odd), then
     grown or shrunk by ``buffer``, a number or the name of a column. A region
-    without area is an error."""
+    without area is an error, or with ``empty="drop"`` left out."""
+    if empty not in ("error", "drop"):
+        raise ValueError('empty is "error" or "drop"')
     grown = F.col(buffer) if isinstance(buffer, str) else F.lit(float(buffer))
 
     @F.arrow_udf(PARTS)
@@ -74,14 +76,16 @@ def repaired_regions(regions: DataFrame, *, buffer: float = 0.0) -> DataFrame:
             for e, holes in _to_polygon(p):
                 whole += planar.make_valid(e, holes)
             whole = planar.buffer(whole, d)
-            if not planar.polygon_area(whole):
+            area = planar.polygon_area(whole)
+            if not area and empty == "error":
                 raise ValueError("polygon is empty: use a larger mask or buffer, or leave it out")
-            out.append(_from_polygon(whole))
+            out.append(_from_polygon(whole) if area else [])
         return pa.array(out, _ARROW_PARTS)
 
     # Few bytes, much work: the regions are dealt to all tasks first.
     n = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return regions.repartition(n, "slide_id", "region_id").withColumn("parts", repair("parts", grown))
+    out = regions.repartition(n, "slide_id", "region_id").withColumn("parts", repair("parts", grown))
+    return out.filter(F.size("parts") > 0) if empty == "drop" else out
 
 
 def close_pairs(regions: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -44,6 +44,22 @@ placed AS (
     coalesce(trim(split_part(pair, ',', 1)), json_extract_string(value, '$.X'), json_extract_string(value, '$.x'), json_extract_string(value, '$[0]')) AS x,
     coalesce(trim(split_part(pair, ',', 2)), json_extract_string(value, '$.Y'), json_extract_string(value, '$.y'), json_extract_string(value, '$[1]')) AS y FROM numbered)"""
 
+_LINES = r"""
+        WITH line AS (
+          SELECT line_id, vendor, regexp_replace(regexp_replace(coalesce(line_text, ''), '^\x{FEFF}', ''), '(\r\n|\r|\n)\z', '') AS t FROM annotation_lines),
+        f AS (
+          SELECT line_id, vendor, t,
+                 regexp_matches(t, '(?s)\A(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*\z') AS quoted_well,
+                 regexp_extract_all(t || ',', '(?s)("(?:[^"]|"")*"|[^",]*),', 1) AS parts FROM line),
+        g AS (
+          SELECT *, [CASE WHEN p[1] = '"' THEN replace(p[2:-2], '""', '"') ELSE p END FOR p IN parts] AS v FROM f),
+        h AS (
+          SELECT *, v[2] AS kind, string_split(v[6], ';') AS pts FROM g),
+        k AS (
+          SELECT *, CASE WHEN vendor = 'asap' THEN '\A *[+-]?[0-9]+([.,][0-9]+)? +[+-]?[0-9]+([.,][0-9]+)? *\z'
+                         ELSE '\A *[+-]?[0-9]+(\.[0-9]+)?,[+-]?[0-9]+(\.[0-9]+)? *\z' END AS pat FROM h)
+"""
+
 
 ORACLES: dict[str, str] = {
     "p1_found": f"WITH RECURSIVE {_SESSION_TREE} SELECT DISTINCT session_id, object_no, ring_no, vertex_no FROM placed",
@@ -96,20 +112,7 @@ ORACLES: dict[str, str] = {
         SELECT point_id, polygon_id FROM per_ring GROUP BY ALL
         HAVING min(d2) <= 1024 OR (bool_or(inside AND ring_no = 0) AND NOT bool_or(inside AND ring_no > 0))
     """,
-    "p5_found": r"""
-        WITH line AS (
-          SELECT line_id, vendor, regexp_replace(regexp_replace(coalesce(line_text, ''), '^\x{FEFF}', ''), '(\r\n|\r|\n)\z', '') AS t FROM annotation_lines),
-        f AS (
-          SELECT line_id, vendor, t,
-                 regexp_matches(t, '(?s)\A(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*\z') AS quoted_well,
-                 regexp_extract_all(t || ',', '(?s)("(?:[^"]|"")*"|[^",]*),', 1) AS parts FROM line),
-        g AS (
-          SELECT *, [CASE WHEN p[1] = '"' THEN replace(p[2:-2], '""', '"') ELSE p END FOR p IN parts] AS v FROM f),
-        h AS (
-          SELECT *, v[2] AS kind, string_split(v[6], ';') AS pts FROM g),
-        k AS (
-          SELECT *, CASE WHEN vendor = 'asap' THEN '\A *[+-]?[0-9]+([.,][0-9]+)? +[+-]?[0-9]+([.,][0-9]+)? *\z'
-                         ELSE '\A *[+-]?[0-9]+(\.[0-9]+)?,[+-]?[0-9]+(\.[0-9]+)? *\z' END AS pat FROM h)
+    "p5_found": f"""{_LINES}
         SELECT * FROM (
           SELECT DISTINCT line_id, CASE
             WHEN NOT quoted_well THEN 'quoting'
@@ -123,6 +126,23 @@ ORACLES: dict[str, str] = {
             WHEN kind = 'Measurement' AND len(pts) <> 2 THEN 'point_count' END AS reason FROM k)
         WHERE reason IS NOT NULL
     """,
+    "p5_valid": f"""{_LINES},
+        bad AS (
+        SELECT * FROM (
+          SELECT DISTINCT line_id, CASE
+            WHEN NOT quoted_well THEN 'quoting'
+            WHEN len(v) <> 6 THEN 'column_count'
+            WHEN NOT ((vendor = 'asap' AND kind IN ('Polygon', 'Rectangle', 'Spline', 'Dot', 'Measurement'))
+                   OR (vendor = 'sedeen' AND kind IN ('polygon', 'rectangle', 'ellipse'))) THEN 'bad_type'
+            WHEN len([p FOR p IN pts IF NOT regexp_matches(p, pat)]) > 0 THEN 'bad_coordinates'
+            WHEN kind IN ('Rectangle', 'rectangle', 'ellipse') AND len(pts) <> 4 THEN 'point_count'
+            WHEN kind IN ('Polygon', 'polygon', 'Spline') AND len(pts) < 3 THEN 'point_count'
+            WHEN kind = 'Dot' AND len(pts) <> 1 THEN 'point_count'
+            WHEN kind = 'Measurement' AND len(pts) <> 2 THEN 'point_count' END AS reason FROM k)
+        WHERE reason IS NOT NULL)
+        SELECT line_id, vendor, v[1] AS wsi_file, v[2] AS ann_type, v[3] AS ann_name, v[4] AS group_text, CAST(len(pts) AS INTEGER) AS n_points
+        FROM k WHERE line_id NOT IN (SELECT line_id FROM bad)
+    """,
     "p7_found": r"""
         SELECT min(list_id) AS list_id FROM patch_file_list
         WHERE n_bytes > 0 AND patch_file IS NOT NULL AND regexp_extract(patch_file, '([^/\\]*)$', 1) <> ''

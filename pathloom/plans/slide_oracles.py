@@ -27,7 +27,7 @@ box AS (
 _VALID = """clip AS (
   SELECT c.polygon_id, c.seq, e.k, e.px, e.py, e.qx, e.qy, c.my AS y1, c.my + 4.0 AS y2,
          greatest(least(e.px, e.qx), c.mx) AS lo, least(greatest(e.px, e.qx), c.mx + 4.0) AS hi
-  FROM cand c JOIN edge e ON c.polygon_id = e.polygon_id),
+  FROM cand c JOIN edge e ON c.polygon_id = e.polygon_id AND e.px <> e.qx AND least(e.px, e.qx) < c.mx + 4.0 AND greatest(e.px, e.qx) > c.mx),
 line AS (
   SELECT *, (qy - py) / (qx - px) AS m, py + (qy - py) / (qx - px) * (lo - px) AS ul, py + (qy - py) / (qx - px) * (hi - px) AS uh
   FROM clip WHERE px <> qx AND lo < hi),
@@ -68,6 +68,49 @@ laid AS (
   SELECT slide_id, c AS class, x, y, ((patch_id + 7 * CAST(floor((j + 0.5) * 2 / n) AS BIGINT) + 13 * CAST(floor((i + 0.5) * 2 / n) AS BIGINT)) % 100 / 100.0)::FLOAT AS v FROM place, unnest([0, 1]) k(c))"""
 _RGB = "px AS (SELECT DISTINCT slide_id, point_id AS x, 0 AS y, x % 256 AS r, y % 256 AS g, (x + y) % 256 AS b FROM points WHERE slide_id IS NOT NULL)"
 
+_MASK_BOX = "mbox AS (SELECT slide_id, min(x)::DOUBLE AS bx1, min(y)::DOUBLE AS by1, max(x) + 1.0 AS bx2, max(y) + 1.0 AS by2 FROM cells GROUP BY slide_id)"
+_GRID_4 = f"""size AS (SELECT *, {_last('bx1', 'bx2', '4.0::DOUBLE')} AS nx, {_last('by1', 'by2', '4.0::DOUBLE')} AS ny FROM mbox),
+cand AS (SELECT slide_id, iy * (nx + 1) + ix AS seq, bx1 + ix * 4.0 AS mx, by1 + iy * 4.0 AS my FROM size, unnest(generate_series(0, ny)) a(iy), unnest(generate_series(0, nx)) b(ix))"""
+_POINTS_4 = "cand AS (SELECT m.slide_id, p.point_id AS seq, p.x / 2048.0 AS mx, p.y / 2048.0 AS my FROM (SELECT DISTINCT slide_id, point_id, x, y FROM points) p JOIN mbox m USING (slide_id))"
+
+
+def _draws(seed: int, n: int) -> str:
+    """The first n random places of a mask's box, which is region 0."""
+    return f"""s AS (SELECT *, ({seed}::BIGINT * 7919 + seq * 48271 + 1) % 2147483647 AS s FROM mbox, unnest(generate_series(1, {n})) t(seq)),
+u AS (SELECT *, (s * s + seq) % 2147483647 AS u0 FROM s), v AS (SELECT *, (u0 * u0 + s) % 2147483647 AS u1 FROM u), w AS (SELECT *, (u1 * u1 + s + 1) % 2147483647 AS u2 FROM v),
+cand AS (SELECT slide_id, seq, bx1 + (bx2 - bx1) * (u1 / 2147483647::DOUBLE) AS mx, by1 + (by2 - by1) * (u2 / 2147483647::DOUBLE) AS my FROM w)"""
+
+
+#: Windows of cand (4 cells a side) with a fifth of foreground.
+_TISSUE = """win AS (SELECT *, round_even(mx, 0)::BIGINT AS x1, round_even(my, 0)::BIGINT AS y1, round_even(mx + 4.0, 0)::BIGINT AS x2, round_even(my + 4.0, 0)::BIGINT AS y2 FROM cand),
+tissue AS (
+  SELECT w.slide_id, w.seq, w.mx, w.my FROM win w JOIN cells c ON w.slide_id = c.slide_id AND c.x >= w.x1 AND c.x < w.x2 AND c.y >= w.y1 AND c.y < w.y2
+  WHERE w.x1 >= 0 AND w.y1 >= 0 GROUP BY w.slide_id, w.seq, w.mx, w.my, w.x1, w.y1, w.x2, w.y2 HAVING round_even(count(*) / ((w.x2 - w.x1) * (w.y2 - w.y1))::DOUBLE, 10) >= 0.2)"""
+#: Windows of tissue with half of their area in the mask's box and in no polygon's box: a sweep over each window's strips.
+_OUTSIDE = """bare AS (SELECT polygon_id, any_value(slide_id) AS slide_id, any_value(points) AS points FROM polygons GROUP BY polygon_id),
+hole AS (
+  SELECT slide_id, list_min([v.x FOR v IN points]) / 2048.0 AS hx1, list_min([v.y FOR v IN points]) / 2048.0 AS hy1, list_max([v.x FOR v IN points]) / 2048.0 AS hx2, list_max([v.y FOR v IN points]) / 2048.0 AS hy2
+  FROM bare WHERE slide_id IS NOT NULL AND len(points) >= 3),
+near AS (
+  SELECT t.slide_id, t.seq, greatest(hx1, mx) AS x1, least(hx2, mx + 4) AS x2, greatest(hy1, my) AS y1, least(hy2, my + 4) AS y2 FROM tissue t JOIN hole h USING (slide_id)
+  WHERE hx1 < mx + 4 AND hx2 > mx AND hy1 < my + 4 AND hy2 > my AND hx2 > hx1 AND hy2 > hy1),
+cut AS (SELECT slide_id, seq, x1 AS v FROM near UNION SELECT slide_id, seq, x2 FROM near),
+strip AS (SELECT *, lead(v) OVER (PARTITION BY slide_id, seq ORDER BY v) AS w FROM cut),
+seg AS (
+  SELECT s.slide_id, s.seq, s.v, s.w, n.y1, n.y2, max(n.y2) OVER (PARTITION BY s.slide_id, s.seq, s.v ORDER BY n.y1, n.y2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto
+  FROM strip s JOIN near n USING (slide_id, seq) WHERE s.w IS NOT NULL AND n.x1 <= s.v AND n.x2 >= s.w),
+taken AS (SELECT slide_id, seq, sum((w - v) * greatest(0, y2 - greatest(y1, coalesce(upto, y1)))) AS a FROM seg GROUP BY slide_id, seq),
+free AS (
+  SELECT t.* FROM tissue t JOIN mbox USING (slide_id) LEFT JOIN taken k USING (slide_id, seq)
+  WHERE round_even(greatest(0, least(mx + 4, bx2) - greatest(mx, bx1)) * greatest(0, least(my + 4, by2) - greatest(my, by1)) - coalesce(a, 0), 8) >= 8.0)"""
+
+
+def _masked(source: str, label: str) -> str:
+    return f"SELECT slide_id, CAST(0 AS BIGINT) AS region_id, seq, CAST(round_even(mx * 2048, 0) AS BIGINT) AS x, CAST(round_even(my * 2048, 0) AS BIGINT) AS y, '{label}' AS label FROM {source}"
+
+
+_SPREAD = "true AS inside, CAST(0 AS BIGINT) AS n_close, true AS some, true AS fewer_valid"
+
 
 def _ramp(knots: list[tuple[float, float]]) -> str:
     parts = [f"WHEN pos <= {x1} THEN {y0} + (pos - {x0}) * ({y1} - {y0}) / ({x1} - {x0})" for (x0, y0), (x1, y1) in zip(knots, knots[1:])]
@@ -171,7 +214,8 @@ ORACLES: dict[str, str] = {
     """,
     "patch_numbers": "SELECT patch_id, row_number() OVER (ORDER BY patch_id) - 1 AS overall, row_number() OVER (PARTITION BY slide_id ORDER BY patch_id) - 1 AS in_slide FROM patches",
     "patch_sets": "SELECT patch_id, row_number() OVER (ORDER BY slide_id, patch_id) AS set_number FROM patches WHERE slide_id IS NOT NULL",
-    "patch_files": "SELECT patch_id, 'out/' || label || '/' || slide_id || '_m0000001_qc_' || label || '_x' || x || '_y' || y || '.png' AS path FROM patches WHERE label IS NOT NULL",
+    "patch_files": "SELECT patch_id, 'out/' || coalesce(slide_id || '_', '') || 'm0000001_qc_' || CASE WHEN label <> '' THEN label || '_' ELSE '' END || 'x' || x || '_y' || y || '.png' AS path FROM patches",
+    "patch_files_by_label": "SELECT patch_id, 'out/' || coalesce(nullif(label, ''), 'unlabelled') || '/' || coalesce(slide_id || '_', '') || 'm0000001_qc_' || coalesce(nullif(label, ''), 'unlabelled') || '_x' || x || '_y' || y || '.png' AS path FROM patches",
     "annotation_rows": """
         WITH a AS (SELECT DISTINCT * FROM annotations), k AS (
           SELECT *, CASE WHEN ann_type IN ('Rectangle', 'rectangle', 'ellipse') THEN 4 ELSE 3 END AS need, coalesce(len(coordinates), -1) AS n FROM a
@@ -195,6 +239,51 @@ ORACLES: dict[str, str] = {
     "tissue_hsv": f"""WITH {_RGB}, s AS (SELECT *, CASE WHEN greatest(r, g, b) > 0 THEN (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b)::DOUBLE ELSE 0 END AS c FROM px)
         SELECT slide_id, x, y FROM s QUALIFY c > (1 + 0.1::DOUBLE) * avg(c) OVER (PARTITION BY slide_id)
     """,
+    "annotation_ellipses": """
+        WITH a AS (SELECT DISTINCT * FROM annotations WHERE vendor = 'sedeen' AND ann_type = 'ellipse' AND len(coordinates) = 4),
+        c AS (SELECT annotation_id, round_even((coordinates[1].x + coordinates[2].x) / 2.0, 0) AS cx, round_even((coordinates[1].y + coordinates[4].y) / 2.0, 0) AS cy,
+                     round_even((coordinates[2].x - coordinates[1].x) / 2.0, 0) AS rx, round_even((coordinates[4].y - coordinates[1].y) / 2.0, 0) AS ry FROM a)
+        SELECT annotation_id, CAST(i AS INTEGER) AS vertex, round_even(cx + rx * cos(-i * pi() / 32), 0) AS x, round_even(cy + ry * sin(-i * pi() / 32), 0) AS y FROM c, unnest(generate_series(0, 64)) t(i)
+    """,
+    "tissue_lab": f"""WITH {_RGB},
+        lin AS (SELECT slide_id, x, y, {", ".join(f"CASE WHEN {c} / 255.0::DOUBLE > 0.04045 THEN (({c} / 255.0::DOUBLE + 0.055) / 1.055) ** 2.4 ELSE {c} / 255.0::DOUBLE / 12.92 END AS {c}" for c in "rgb")} FROM px),
+        t AS (SELECT slide_id, x, y, (0.0 + 0.412453::DOUBLE * r + 0.357580::DOUBLE * g + 0.180423::DOUBLE * b) / 0.95047::DOUBLE AS tx, (0.0 + 0.212671::DOUBLE * r + 0.715160::DOUBLE * g + 0.072169::DOUBLE * b) / 1.0::DOUBLE AS ty FROM lin),
+        ch AS (SELECT slide_id, x, y, 500 * ((CASE WHEN tx > 0.008856 THEN cbrt(tx) ELSE 7.787::DOUBLE * tx + 16 / 116.0::DOUBLE END) - (CASE WHEN ty > 0.008856 THEN cbrt(ty) ELSE 7.787::DOUBLE * ty + 16 / 116.0::DOUBLE END)) AS a FROM t)
+        SELECT slide_id, x, y FROM ch QUALIFY a > (1 + 0.1::DOUBLE) * avg(a) OVER (PARTITION BY slide_id)
+    """,
+    "polygon_poisson_spread": f"WITH {_REGIONS.format(keep='true')} SELECT slide_id, polygon_id AS region_id, {_SPREAD} FROM box WHERE bx2 > bx1 AND by2 > by1",
+    "whole_poisson_spread": f"WITH {_CELLS}, {_MASK_BOX} SELECT slide_id, CAST(0 AS BIGINT) AS region_id, {_SPREAD} FROM mbox",
+    "inverted_poisson_spread": f"WITH {_CELLS}, {_MASK_BOX} SELECT slide_id, CAST(0 AS BIGINT) AS region_id, {_SPREAD} FROM mbox",
+    "whole_random": f"WITH {_CELLS}, {_MASK_BOX}, {_draws(3, 500)}, {_TISSUE} {_masked('tissue', 'tissue')} QUALIFY row_number() OVER (PARTITION BY slide_id ORDER BY seq) <= 5",
+    "whole_points": f"WITH {_CELLS}, {_MASK_BOX}, {_POINTS_4}, {_TISSUE} {_masked('tissue', 'tissue')} QUALIFY row_number() OVER (PARTITION BY slide_id, mx, my ORDER BY seq) = 1",
+    "inverted_grid": f"WITH {_CELLS}, {_MASK_BOX}, {_GRID_4}, {_TISSUE}, {_OUTSIDE} {_masked('free', '')}",
+    "inverted_random": f"WITH {_CELLS}, {_MASK_BOX}, {_draws(7, 500)}, {_TISSUE}, {_OUTSIDE} {_masked('free', '')} QUALIFY row_number() OVER (PARTITION BY slide_id ORDER BY seq) <= 5",
+    "inverted_points": f"WITH {_CELLS}, {_MASK_BOX}, {_POINTS_4}, {_TISSUE}, {_OUTSIDE} {_masked('free', '')}",
+    "box_relations": """
+        WITH bare AS (SELECT polygon_id, any_value(slide_id) AS slide_id, any_value(points) AS points FROM polygons GROUP BY polygon_id),
+        box AS (
+          SELECT slide_id, polygon_id AS id, list_min([v.x FOR v IN points]) AS x1, list_min([v.y FOR v IN points]) AS y1, list_max([v.x FOR v IN points]) AS x2, list_max([v.y FOR v IN points]) AS y2
+          FROM bare WHERE slide_id IS NOT NULL AND len(points) >= 3),
+        pair AS (
+          SELECT p.slide_id, p.id AS a, q.id AS b, (least(p.x2, q.x2) - greatest(p.x1, q.x1)) * (least(p.y2, q.y2) - greatest(p.y1, q.y1)) AS s,
+                 (p.x2 - p.x1) * (p.y2 - p.y1) AS pa, (q.x2 - q.x1) * (q.y2 - q.y1) AS qa
+          FROM box p JOIN box q ON p.slide_id = q.slide_id AND p.id < q.id AND p.x1 < q.x2 AND q.x1 < p.x2 AND p.y1 < q.y2 AND q.y1 < p.y2)
+        SELECT slide_id, a, b, CASE WHEN s >= qa - 1e-7 * greatest(pa, qa) THEN 'contains' WHEN s >= pa - 1e-7 * greatest(pa, qa) THEN 'within' ELSE 'overlaps' END AS relation, round(s, 1) AS shared
+        FROM pair WHERE s > 1e-7 * greatest(pa, qa)
+    """,
+    "tissue_cleaned": f"""WITH {_CELLS},
+        step AS (SELECT * FROM (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) v(dx, dy)),
+        nine AS (SELECT a AS dx, b AS dy FROM unnest([-1, 0, 1]) t(a), unnest([-1, 0, 1]) u(b)),
+        hole AS (
+          SELECT c.slide_id, c.x + dx AS x, c.y + dy AS y, count(*) AS n FROM cells c, step WHERE c.x + dx BETWEEN 0 AND 109 AND c.y + dy BETWEEN 0 AND 109
+          AND NOT EXISTS (SELECT 1 FROM cells d WHERE d.slide_id = c.slide_id AND d.x = c.x + dx AND d.y = c.y + dy) GROUP BY ALL),
+        filled AS (SELECT slide_id, x, y FROM cells UNION SELECT slide_id, x, y FROM hole WHERE n = 4 - (x IN (0, 109))::INT - (y IN (0, 109))::INT),
+        grown AS (SELECT DISTINCT f.slide_id, f.x + dx AS x, f.y + dy AS y FROM filled f, nine WHERE f.x + dx BETWEEN 0 AND 109 AND f.y + dy BETWEEN 0 AND 109),
+        eaten AS (
+          SELECT g.slide_id, g.x, g.y FROM grown g, nine JOIN grown h ON h.slide_id = g.slide_id AND h.x = g.x + dx AND h.y = g.y + dy
+          GROUP BY ALL HAVING count(*) = (3 - (g.x IN (0, 109))::INT) * (3 - (g.y IN (0, 109))::INT))
+        SELECT e.slide_id, e.x, e.y FROM eaten e WHERE EXISTS (SELECT 1 FROM eaten d WHERE d.slide_id = e.slide_id AND abs(d.x - e.x) + abs(d.y - e.y) = 1)
+    """,
     "tissue_otsu": f"""WITH {_RGB},
         h AS (SELECT slide_id, CAST(floor(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b + 0.5) AS INTEGER) AS gray, count(*) AS n FROM px GROUP BY ALL),
         c AS (SELECT *, sum(n) OVER u AS n0, sum(n * gray) OVER u AS s0, sum(n) OVER w AS na, sum(n * gray) OVER w AS sa FROM h

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import geometry, scalars
 from pathloom.operators import extract, heatmap, inference, masks, patches, pyramid, regions, sampling
-from pathloom.runtime import table
+from pathloom.runtime import cut_lineage, table
 from pathloom.sources import annotations
 from pathloom.streaming import patches as streams
 
@@ -120,10 +120,13 @@ def polygon_random(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _placed(sampling.at_level_zero(sampling.random_valid(_regions(spark, sf_dir), GRID, 3, seed=11, strict=False), GRID))
 
 
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "points").select("slide_id", F.col("point_id").alias("seq"), "x", "y").distinct()
+
+
 def polygon_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Given points as corners of patches, half of which lie in a polygon."""
-    p = table(spark, sf_dir, "points").select("slide_id", F.col("point_id").alias("seq"), "x", "y").distinct()
-    valid = sampling.valid_candidates(sampling.point_candidates(_regions(spark, sf_dir), p, GRID), GRID)
+    valid = sampling.valid_candidates(sampling.point_candidates(_regions(spark, sf_dir), _points(spark, sf_dir), GRID), GRID)
     return _placed(sampling.at_level_zero(valid, GRID))
 
 
@@ -156,21 +159,98 @@ def masks_region(cells: DataFrame) -> DataFrame:
     return regions.whole_mask_regions(cells, "tissue")
 
 
+def whole_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five random patches of each whole mask with a fifth of foreground, where there are so many."""
+    cells = _cells(spark, sf_dir)
+    return _placed(sampling.at_level_zero(sampling.random_valid(masks_region(cells), WHOLE, 5, cells, seed=3, strict=False), WHOLE))
+
+
+def whole_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Given points as corners of patches of whole masks, the first of each place."""
+    cells = _cells(spark, sf_dir)
+    return _placed(sampling.sample(sampling.point_candidates(masks_region(cells), _points(spark, sf_dir), WHOLE), WHOLE, cells))
+
+
+def _spread_check(candidates: DataFrame, valid: DataFrame, gap: float) -> DataFrame:
+    """Of each region's Poisson points: whether all are in its box, none is
+    nearer than ``gap`` to another, and some were found; and how many are valid
+    of those that are candidates."""
+    c = candidates.select("slide_id", "region_id", "seq", "mx", "my", F.col("parts")[0]["ext"].alias("ext"))
+    inside = (F.col("mx") >= F.array_min(F.col("ext")["x"]) - 1e-9) & (F.col("mx") <= F.array_max(F.col("ext")["x"]) + 1e-9) & (F.col("my") >= F.array_min(F.col("ext")["y"]) - 1e-9) & (F.col("my") <= F.array_max(F.col("ext")["y"]) + 1e-9)
+    cell = lambda c: F.floor(F.col(c) / gap)
+    own = c.select("slide_id", "region_id", "seq", "mx", "my", cell("mx").alias("cx"), cell("my").alias("cy"))
+    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    probe = own.withColumn("dx", around).withColumn("dy", around).select("slide_id", "region_id", F.col("seq").alias("q"), F.col("mx").alias("qx"), F.col("my").alias("qy"), (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
+    close = own.join(probe, ["slide_id", "region_id", "cx", "cy"]).filter((F.col("seq") < F.col("q")) & (F.hypot(F.col("mx") - F.col("qx"), F.col("my") - F.col("qy")) < gap)).groupBy("slide_id", "region_id").agg(F.count(F.lit(1)).alias("n_close"))
+    kept = valid.groupBy("slide_id", "region_id").agg(F.count(F.lit(1)).alias("n_valid"))
+    found = c.groupBy("slide_id", "region_id").agg(F.bool_and(inside).alias("inside"), F.count(F.lit(1)).alias("n"))
+    all_ = found.join(close, ["slide_id", "region_id"], "left").join(kept, ["slide_id", "region_id"], "left")
+    return all_.select("slide_id", "region_id", "inside", F.coalesce("n_close", F.lit(0)).cast("long").alias("n_close"), (F.col("n") > 0).alias("some"), (F.coalesce("n_valid", F.lit(0)) <= F.col("n")).alias("fewer_valid"))
+
+
+def polygon_poisson_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks of Poisson-disk points that another engine can state."""
+    c = cut_lineage(sampling.poisson_candidates(_regions(spark, sf_dir), GRID, 8.0, seed=5))
+    return _spread_check(c, sampling.valid_candidates(c, GRID), 8.0)
+
+
+def whole_poisson_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _cells(spark, sf_dir)
+    c = cut_lineage(sampling.poisson_candidates(masks_region(cells), WHOLE, 6.0, seed=5))
+    return _spread_check(c, sampling.valid_candidates(c, WHOLE, cells), 6.0)
+
+
+INVERTED = sampling.Patches(8192, mask_factor=float(MASK_CELL), overlap_ratio=0.5, foreground_ratio=0.2)
+
+
+def _inverted(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFrame:
+    """Each mask's box without the boxes of its polygons."""
+    return regions.inverted_regions(cells, _boxed(spark, sf_dir), factor="factor")
+
+
 def inverted_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grid patches of the mask with at most half of their area in polygons."""
+    """Grid patches of the mask with half of their area outside the polygons' boxes."""
+    cells = _cells(spark, sf_dir)
+    return _placed(sampling.at_level_zero(sampling.valid_candidates(sampling.grid_candidates(_inverted(spark, sf_dir, cells), INVERTED, 1.0), INVERTED, cells), INVERTED))
+
+
+def inverted_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five random patches of each mask outside the polygons' boxes, where there are so many."""
     cells = _cells(spark, sf_dir)
-    p = table(spark, sf_dir, "polygons").dropDuplicates(["polygon_id"]).withColumn("factor", F.lit(float(MASK_CELL)))
-    spec = sampling.Patches(8192, mask_factor=float(MASK_CELL), overlap_ratio=0.5, foreground_ratio=0.2)
-    c = sampling.grid_candidates(regions.inverted_regions(cells, p, factor="factor"), spec, 1.0)
-    return _placed(sampling.at_level_zero(sampling.valid_candidates(c, spec, cells), spec))
+    return _placed(sampling.at_level_zero(sampling.random_valid(_inverted(spark, sf_dir, cells), INVERTED, 5, cells, seed=7, strict=False), INVERTED))
+
+
+def inverted_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Given points as corners of patches outside the polygons' boxes."""
+    cells = _cells(spark, sf_dir)
+    return _placed(sampling.at_level_zero(sampling.valid_candidates(sampling.point_candidates(_inverted(spark, sf_dir, cells), _points(spark, sf_dir), INVERTED), INVERTED, cells), INVERTED))
+
+
+def inverted_poisson_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _cells(spark, sf_dir)
+    c = cut_lineage(sampling.poisson_candidates(_inverted(spark, sf_dir, cells), INVERTED, 6.0, seed=5))
+    return _spread_check(c, sampling.valid_candidates(c, INVERTED, cells), 6.0)
+
+
+def _boxed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes of the polygons, as polygons; those without area are none."""
+    p = table(spark, sf_dir, "polygons").dropDuplicates(["polygon_id"]).filter(F.size("points") >= 3).withColumn("b", geometry.bounds(F.col("points")))
+    p = p.filter((F.col("b.x2") > F.col("b.x1")) & (F.col("b.y2") > F.col("b.y1")))
+    ring = geometry.box_ring(*[F.col(f"b.{c}") for c in ("x1", "y1", "x2", "y2")])
+    return p.select("slide_id", "polygon_id", "label", ring.alias("points"), F.lit(None).cast(p.schema["holes"].dataType).alias("holes"), F.lit(float(MASK_CELL)).alias("factor"))
 
 
 def region_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    valid = regions.repaired_regions(_regions(spark, sf_dir).filter(geometry.area(geometry.edges(F.col("parts")[0]["ext"])) > 1e-6))
-    rel = regions.region_relations(valid)
+    rel = regions.region_relations(regions.repaired_regions(_regions(spark, sf_dir), empty="drop"))
     return rel.select("slide_id", "a", "b", "relation", F.round("shared", 3).alias("shared"))
 
 
+def box_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The relations of the polygons' boxes at level 0."""
+    rel = regions.region_relations(regions.polygon_regions(_boxed(spark, sf_dir)))
+    return rel.select("slide_id", "a", "b", "relation", F.round("shared", 1).alias("shared"))
+
+
 def _patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "patches")
 
@@ -208,7 +288,14 @@ def patch_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def patch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _patches(spark, sf_dir).filter(F.col("label").isNotNull()).select("patch_id", "slide_id", "x", "y", "label")
+    p = _patches(spark, sf_dir).select("patch_id", "slide_id", "x", "y", "label")
+    return extract.with_paths(p, "out", F.lit("m0000001"), comment="qc").select("patch_id", "path")
+
+
+def patch_files_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths in a folder a label; a patch without one gets a label first."""
+    label = F.coalesce(F.nullif(F.col("label"), F.lit("")), F.lit("unlabelled"))
+    p = _patches(spark, sf_dir).select("patch_id", "slide_id", "x", "y", label.alias("label"))
     return extract.with_paths(p, "out", F.lit("m0000001"), by_label=True, comment="qc").select("patch_id", "path")
 
 
@@ -316,8 +403,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         slide_names, slide_pyramids, level_by_shape, level_by_size, level_by_mpp, resample_plan, resample_batches, tiff_resolutions, location_checks, multires_locations,
-        polygon_areas, polygon_grid, polygon_grid_labels, polygon_random, polygon_points, polygon_poisson, mask_boxes, mask_outline, whole_grid, inverted_grid, region_relations,
-        patch_distinct, patch_label_counts, patch_pool_counts, patch_included, patch_problems, patch_numbers, patch_sets, patch_files, annotation_rows, annotation_ellipses,
+        polygon_areas, polygon_grid, polygon_grid_labels, polygon_random, polygon_points, polygon_poisson, polygon_poisson_spread, mask_boxes, mask_outline,
+        whole_grid, whole_random, whole_points, whole_poisson_spread, inverted_grid, inverted_random, inverted_points, inverted_poisson_spread, region_relations, box_relations,
+        patch_distinct, patch_label_counts, patch_pool_counts, patch_included, patch_problems, patch_numbers, patch_sets, patch_files, patch_files_by_label, annotation_rows, annotation_ellipses,
         patch_predictions, mean_maps, mean_probability, probability_range, heatmap_pixels, tissue_hsv, tissue_lab, tissue_otsu, tissue_cleaned, saved_windows, saved_sessions,
     )
 }
