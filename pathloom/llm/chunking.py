@@ -14,7 +14,6 @@ left of the limit.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,6 +33,7 @@ HEADING, HEADING_TIERS = PARAGRAPH + 1, 6
 MESSAGE, MESSAGE_TIERS = HEADING + HEADING_TIERS, 5
 PART, PART_TIERS = MESSAGE + MESSAGE_TIERS, 4
 KINDS = [(TOKEN, "token"), (WORD, "word"), (SENTENCE, "sentence"), (LINE, "line"), (ITEM, "item"), (PARAGRAPH, "paragraph"), (HEADING, "heading"), (MESSAGE, "message"), (PART, "part")]
+_LOWEST, _NAMES = np.array([low for low, _ in KINDS]), np.array([name for _, name in KINDS])
 
 _SENTENCE = re.compile(r"[.!?…][\"'”’)\]]*(?=\s)|[。！？]")
 _PARAGRAPH = re.compile(r"\n(?:[>|: \t\r]*\n)+")
@@ -63,13 +63,14 @@ def _tier(base: int, tiers: int, depth: int) -> int:
 def _marks(text: str) -> Iterator[tuple[int, Iterable[int]]]:
     """(level, character places) of the text's boundaries; a place may come under several levels."""
     yield SENTENCE, [m.end() for m in _SENTENCE.finditer(text)]
-    yield LINE, np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 10) + 1
+    plain = text.isascii()
+    yield LINE, np.flatnonzero(np.frombuffer(text.encode("ascii" if plain else "utf-32-le", "surrogatepass"), np.uint8 if plain else np.uint32) == 10) + 1
     for m in _ITEM.finditer(text):
         yield _tier(ITEM, ITEM_TIERS, len(m[1].replace("\t", "    ").replace(">", "").replace("|", "")) // 2), [m.start()]
     yield PARAGRAPH, [m.end() for m in _PARAGRAPH.finditer(text)]
-    for m in _HASHES.finditer(text):
+    for m in _HASHES.finditer(text) if "#" in text else ():
         yield _tier(HEADING, HEADING_TIERS, len(m[1]) - 1), [m.start()]
-    for m in _UNDERLINED.finditer(text):
+    for m in _UNDERLINED.finditer(text) if "===" in text or "---" in text else ():
         yield _tier(HEADING, HEADING_TIERS, 0 if m[1] == "=" else 1), [m.start()]
     if "<" in text:
         yield LINE, [m.end() for m in _BLOCK_LINE.finditer(text)]
@@ -80,7 +81,7 @@ def _marks(text: str) -> Iterator[tuple[int, Iterable[int]]]:
     for m in _MESSAGE.finditer(text):
         quoted = len(m[0]) - len(m[0].lstrip("> |\t"))
         yield _tier(MESSAGE, MESSAGE_TIERS, m[0][:quoted].count(">")), [m.start()]
-    for depth, name in enumerate(dict.fromkeys(a or b for a, b in _BOUNDARY.findall(text))):
+    for depth, name in enumerate(dict.fromkeys(a or b for a, b in _BOUNDARY.findall(text)) if "oundary=" in text or "OUNDARY=" in text else ()):
         line = re.compile(rf"^--{re.escape(name)}", re.M)
         yield _tier(PART, PART_TIERS, depth), [m.start() for m in line.finditer(text)]
 
@@ -126,8 +127,7 @@ def pack(counts: np.ndarray, levels: np.ndarray, limit: int, first_limit: int) -
 
 
 def _kinds(levels: np.ndarray) -> list[str]:
-    names = np.array([name for _, name in KINDS])
-    return names[np.searchsorted([low for low, _ in KINDS], levels, side="right") - 1].tolist()
+    return _NAMES[np.searchsorted(_LOWEST, levels, side="right") - 1].tolist()
 
 
 class Chunker:
@@ -153,21 +153,26 @@ class Chunker:
         fresh = self.limit - self.overlap
         if counts.max() > fresh:
             counts, levels, words, ids_of, starts = self._parted(counts, levels, words, ids_of, starts, fresh)
-        ends = np.concatenate(([0], np.cumsum(counts))).tolist()
+        ends = np.concatenate(([0], np.cumsum(counts)))
         packed = pack(counts, levels, fresh, self.limit)
         kinds = _kinds(levels[[lo for lo, _ in packed]])
-        out, chars = [], starts.tolist()
+        at = [0, *[hi for _, hi in packed]]
+        first, place = dict(zip(at, ends[at].tolist())), dict(zip(at, starts[at].tolist()))  # of each cut: its token and its character
+        out = []
         for n, (lo, hi) in enumerate(packed):
-            back = min(self.overlap, ends[lo], max(0, self.limit - (ends[hi] - ends[lo]))) if n else 0
-            repeated = self._before(text, ids_of, ends, chars, lo, back)
-            out.append((ends[lo] - back, ends[hi] - ends[lo] + back, back, kinds[n] if n else None, repeated + text[chars[lo] : chars[hi]]))
+            own = first[hi] - first[lo]
+            back = min(self.overlap, first[lo], max(0, self.limit - own)) if n else 0
+            repeated = self._before(text, ids_of, ends, starts, lo, back)
+            out.append((first[lo] - back, own + back, back, kinds[n] if n else None, repeated + text[place[lo] : place[hi]]))
         return out
 
-    def _before(self, text: str, ids_of: list, ends: list[int], chars: list[int], lo: int, back: int) -> str:
+    def _before(self, text: str, ids_of: list, ends: np.ndarray, chars: np.ndarray, lo: int, back: int) -> str:
         """The text of the ``back`` tokens before unit ``lo``, without the bytes
         of a character that began earlier."""
-        at = bisect_right(ends, ends[lo] - back, 0, lo + 1) - 1
-        inside = ends[lo] - back - ends[at]
+        begin = int(ends[lo]) - back
+        at = max(0, lo - back)  # a unit has a token at least
+        at += int(np.searchsorted(ends[at : lo + 1], begin, side="right")) - 1
+        inside = begin - int(ends[at])
         if not inside:
             return text[chars[at] : chars[lo]]
         part = self.encoder.decode_bytes(ids_of[at][inside:]).decode(errors="ignore")
