@@ -141,39 +141,44 @@ def tiff_bytes(levels: Sequence[np.ndarray], *, resolution: tuple[float, float]
     return bytes(out)
 
 
-def tiff_directories(data: bytes) -> list[dict[int, list]]:
-    """The fields of every directory of a classic or big TIFF."""
+def tiff_directories(data) -> list[dict[int, list]]:
+    """The fields of every directory of a classic or big TIFF; ``data`` is bytes
+    or anything that gives bytes for a slice."""
     end = {b"II": "<", b"MM": ">"}.get(data[:2])
     if not end:
         raise ValueError("no TIFF file")
-    big = struct.unpack(end + "H", data[2:4])[0] == 43
-    at = struct.unpack(end + ("Q" if big else "I"), data[8:16] if big else data[4:8])[0]
+
+    def at(form: str, place: int) -> tuple:
+        return struct.unpack(end + form, data[place : place + struct.calcsize("<" + form)])
+
+    big = at("H", 2)[0] == 43
+    word, entry, inline = ("Q", 20, 8) if big else ("I", 12, 4)
+    here = at(word, 8 if big else 4)[0]
     found, seen = [], set()
-    while at and at not in seen:
-        seen.add(at)
-        n = struct.unpack_from(end + ("Q" if big else "H"), data, at)[0]
-        at += 8 if big else 2
+    while here and here not in seen:
+        seen.add(here)
+        n = at("Q" if big else "H", here)[0]
+        here += 8 if big else 2
         fields: dict[int, list] = {}
         for i in range(n):
-            place = at + i * (20 if big else 12)
-            tag, kind = struct.unpack_from(end + "HH", data, place)
-            count = struct.unpack_from(end + ("Q" if big else "I"), data, place + 4)[0]
-            value = place + (12 if big else 8)
+            place = here + i * entry
+            tag, kind = at("HH", place)
+            count = at(word, place + 4)[0]
+            value = place + 4 + inline
             form = _FORMATS.get(kind)
             if form is None:
                 continue
-            size = count * struct.calcsize("<" + form)
-            if size > (8 if big else 4):
-                value = struct.unpack_from(end + ("Q" if big else "I"), data, value)[0]
+            if count * struct.calcsize("<" + form) > inline:
+                value = at(word, value)[0]
             if kind == 2:
                 fields[tag] = [data[value : value + count].split(b"\0")[0].decode(errors="replace")]
             elif kind == 5:
-                pairs = struct.unpack_from(end + "II" * count, data, value)
+                pairs = at("II" * count, value)
                 fields[tag] = [p / q if q else 0.0 for p, q in zip(pairs[::2], pairs[1::2])]
             else:
-                fields[tag] = list(struct.unpack_from(end + form * count, data, value))
+                fields[tag] = list(at(form * count, value))
         found.append(fields)
-        at = struct.unpack_from(end + ("Q" if big else "I"), data, at + n * (20 if big else 12))[0]
+        here = at(word, here + n * entry)[0]
     return found
 
 
@@ -191,7 +196,7 @@ def _unpack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def read_tiff_page(data: bytes, fields: dict[int, list], window: tuple[int, int, int, int] | None = None) -> np.ndarray:
+def read_tiff_page(data, fields: dict[int, list], window: tuple[int, int, int, int] | None = None) -> np.ndarray:
     """uint8 [y, x, channels] of a directory's image, or of its window (x1, y1,
     x2, y2): only the tiles or strips that it meets are decoded."""
     one = lambda tag, default=None: fields.get(tag, [default])[0]

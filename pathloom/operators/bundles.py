@@ -20,11 +20,12 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
+
+from pathloom.sources.files import split_uri
 from pyspark.sql.window import Window
 
 TARGET_BYTES = 128 * 1024 * 1024
@@ -93,15 +94,8 @@ _BOXES = T.StructType(
 )
 
 
-def _split_uri(path: str):
-    """(file system, path in it) of a local path or of a URI that Arrow knows."""
-    if "://" in path or path.startswith("file:"):
-        return pafs.FileSystem.from_uri(path if "://" in path else "file://" + path[len("file:") :])
-    return pafs.LocalFileSystem(), path
-
-
 def _read(path: str) -> bytes:
-    system, place = _split_uri(path)
+    system, place = split_uri(path)
     with system.open_input_file(place) as f:
         return f.read()
 
@@ -132,7 +126,7 @@ def _write(planned: DataFrame, out_dir: str, columns: Sequence[str], in_lanes: b
     a part that doesn't begin at 0, which is an error."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, folder = _split_uri(out_dir)
+        system, folder = split_uri(out_dir)
         system.create_dir(folder, recursive=True)
         for rows in _by_container(batches):
             own = rows["container_id"][0].as_py()
@@ -213,7 +207,7 @@ def read_index(boxes: DataFrame, out_dir: str, member: T.StructType) -> DataFram
     types = [to_arrow_type(f.dataType) for f in member.fields]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, folder = _split_uri(out_dir)
+        system, folder = split_uri(out_dir)
         for batch in batches:
             for box in batch.to_pylist():
                 rows = _directory(system, f"{folder}/{box['container']}")
@@ -244,7 +238,7 @@ def _directory(system, place: str) -> pa.Table:
 
 def read_member(out_dir: str, container: str, byte_offset: int, byte_length: int, crc32: int) -> bytes:
     """One file's bytes; ValueError where they don't have the checksum."""
-    system, folder = _split_uri(out_dir)
+    system, folder = split_uri(out_dir)
     with system.open_input_file(f"{folder}/{container}") as f:
         return _member(f, container, byte_offset, byte_length, crc32)
 
@@ -263,7 +257,7 @@ def unpack(boxes: DataFrame, out_dir: str, *, out_bytes: int = 16 * 1024 * 1024)
     schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("content", T.BinaryType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, folder = _split_uri(out_dir)
+        system, folder = split_uri(out_dir)
         for batch in batches:
             for container in batch.column(0).to_pylist():
                 rows = _directory(system, f"{folder}/{container}")

@@ -1,8 +1,11 @@
 """Slides from files: pyramid metadata and pixel tiles.
 
 ``read_slides`` opens image files of a backend and gives one row a slide with
-its levels; ``tiles`` cuts every level into raw RGB tiles. Formats that no
-decoder here reads come as a metadata table with the same columns.
+its levels; ``tiles`` cuts every level into raw RGB tiles. A TIFF is read in
+ranges: its directories for the one, the blocks under a row of tiles for the
+other, so a slide of any size is spread over many tasks and never held whole.
+Formats that no decoder here reads come as a metadata table with the same
+columns.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -18,31 +22,41 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pathloom.functions import codecs
 from pathloom.functions.scalars import slide_key, slide_name
 from pathloom.operators.pyramid import centimeter_mpp, magnification, resolve_mpp
+from pathloom.sources.files import Ranged, split_uri
 
 TILE = 256
 _OPENED = "slide_id string, path string, lib string, props map<string,string>, sizes array<struct<width:int,height:int>>"
 _TILES = "slide_id string, slide_level int, tx int, ty int, x0 int, y0 int, width int, height int, data binary"
 
 
-def _open(content: bytes, lib: str) -> tuple[dict[str, str], list[tuple[int, int]]]:
-    if lib == "tiff":
-        pages = codecs.tiff_directories(content)
-        return codecs.page_properties(pages[0]), [codecs.page_size(p) for p in pages]
-    h, w = codecs.read_png(content).shape[:2]
-    return {}, [(w, h)]
+def _open(path: str, lib: str) -> tuple[dict[str, str], list[tuple[int, int]]]:
+    with Ranged(path) as data:
+        if lib == "tiff":
+            pages = codecs.tiff_directories(data)
+            return codecs.page_properties(pages[0]), [codecs.page_size(p) for p in pages]
+        h, w = codecs.read_png(data[:]).shape[:2]
+        return {}, [(w, h)]
 
 
-def _level(content: bytes, lib: str, level: int) -> np.ndarray:
-    if lib == "tiff":
-        return codecs.read_tiff_page(content, codecs.tiff_directories(content)[level])
-    image = codecs.read_png(content)
-    return (image[:, :, None] * np.uint8(255) if image.ndim == 2 else image).astype(np.uint8)
+def _rows_of(path: str, lib: str, level: int, y1: int, y2: int, width: int) -> np.ndarray:
+    """The lines y1 to y2 of a level, [y, x, channels]."""
+    with Ranged(path) as data:
+        if lib == "tiff":
+            return codecs.read_tiff_page(data, codecs.tiff_directories(data)[level], (0, y1, width, y2))
+        image = codecs.read_png(data[:])
+    image = image[:, :, None] * np.uint8(255) if image.ndim == 2 else image
+    return image[y1:y2].astype(np.uint8)
 
 
 #: Configured backend -> decoder; "table" stands for slides known by metadata alone.
 BACKENDS = {"tiffslide": "tiff", "tiffopenslide": "tiff", "pillow": "png", "openslide": "table"}
 
 
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """(slide_id, path) of the files under a path: listed, not read."""
+    return spark.read.format("binaryFile").load(path).select(slide_key(F.col("path")).alias("slide_id"), "path")
+
+
 def read_slides(spark: SparkSession, path: str, *, backend: str = "tiffslide", external_mpp: float | None = None) -> DataFrame:
     """(slide_id, path, name, lib, props, magnification, mpp, sizes) of the
     files under ``path``. mpp: from properties, else from the TIFF resolution in
@@ -50,11 +64,11 @@ def read_slides(spark: SparkSession, path: str, *, backend: str = "tiffslide", e
     lib = BACKENDS.get(backend)
     if lib is None or lib == "table":
         raise ValueError(f"backend {backend} has no decoder here: give its slides as a table")
-    files = spark.read.format("binaryFile").load(path).select(slide_key(F.col("path")).alias("slide_id"), "path", "content")
+    files = _listed(spark, path)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            opened = [_open(c, lib) for c in frame.content]
+            opened = [_open(c, lib) for c in frame.path]
             yield pd.DataFrame({"slide_id": frame.slide_id, "path": frame.path, "lib": lib, "props": [o[0] for o in opened], "sizes": [[{"width": w, "height": h} for w, h in o[1]] for o in opened]})
 
     p = lambda n: F.try_element_at("props", F.lit(n))
@@ -74,25 +88,34 @@ def tiles(spark: SparkSession, path: str, *, backend: str = "tiffslide", tile: i
     """RGB tiles (slide_id, slide_level, tx, ty, x0, y0, width, height, data) of
     every level of the files, decoded tile by tile."""
     lib = BACKENDS[backend]
-    files = spark.read.format("binaryFile").load(path).select(slide_key(F.col("path")).alias("slide_id"), "content")
+
+    def sizes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"slide_id": frame.slide_id, "path": frame.path, "sizes": [[{"width": w, "height": h} for w, h in _open(p, lib)[1]] for p in frame.path]})
+
+    # A task a few rows of tiles; a flat image is decoded whole, so it is one request.
+    high = F.lit(tile) if lib == "tiff" else F.greatest(F.col("s.height"), F.lit(1))
+    levels = _listed(spark, path).mapInPandas(sizes, "slide_id string, path string, sizes array<struct<width:int,height:int>>").select("slide_id", "path", F.posexplode("sizes").alias("slide_level", "s"))
+    wanted = levels.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("s.height") - 1, high))).select("slide_id", "path", "slide_level", "y", F.least(F.col("y") + high, F.col("s.height")).alias("y2"), F.col("s.width").alias("w"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for key, content in zip(frame.slide_id, frame.content):
-                for level in range(len(_open(content, lib)[1])):
-                    yield from cut_tiles(key, level, _level(content, lib, level)[:, :, :3], tile)
+            for r in frame.itertuples(index=False):
+                yield from cut_tiles(r.slide_id, r.slide_level, _rows_of(r.path, lib, r.slide_level, r.y, r.y2, r.w)[:, :, :3], tile, r.y)
 
-    return files.mapInPandas(run, _TILES)
+    return wanted.repartition(n, "path", "slide_level", "y").mapInPandas(run, _TILES)
 
 
-def cut_tiles(slide_id: str, level: int, image: np.ndarray, tile: int = TILE) -> Iterator[pd.DataFrame]:
-    """A frame for each row of tiles of an image [y, x, 3]."""
+def cut_tiles(slide_id: str, level: int, image: np.ndarray, tile: int = TILE, top: int = 0) -> Iterator[pd.DataFrame]:
+    """A frame for each row of tiles of an image [y, x, 3], whose first line is
+    the level's line ``top``, a multiple of ``tile``."""
     h, w = image.shape[:2]
     for y in range(0, h, tile):
         rows = []
         for x in range(0, w, tile):
             part = image[y : y + tile, x : x + tile]
-            rows.append((slide_id, level, x // tile, y // tile, x, y, part.shape[1], part.shape[0], np.ascontiguousarray(part).tobytes()))
+            rows.append((slide_id, level, x // tile, (top + y) // tile, x, top + y, part.shape[1], part.shape[0], np.ascontiguousarray(part).tobytes()))
         yield pd.DataFrame(rows, columns=[f.split()[0] for f in _TILES.split(", ")])
 
 
@@ -113,18 +136,17 @@ class LevelsSource(DataSource):
 
 class _LevelsReader(DataSourceReader):
     def __init__(self, path: str):
-        self.path = path.removeprefix("file:")
+        self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        import os
-
-        return [InputPartition(os.path.join(self.path, f)) for f in sorted(os.listdir(self.path)) if f.lower().endswith((".tif", ".tiff"))]
+        system, place = split_uri(self.path)
+        found = sorted(f.path for f in system.get_file_info(pafs.FileSelector(place)) if f.is_file)
+        scheme = self.path[: len(self.path) - len(place)] if self.path.endswith(place) else ""
+        return [InputPartition(scheme + f) for f in found if f.lower().endswith((".tif", ".tiff"))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import os
-
-        with open(partition.value, "rb") as f:
-            pages = codecs.tiff_directories(f.read())
-        key = os.path.splitext(os.path.basename(partition.value))[0]
+        with Ranged(partition.value) as data:
+            pages = codecs.tiff_directories(data)
+        name = partition.value.rpartition("/")[2]
         for level, page in enumerate(pages):
-            yield (key, partition.value, level, *codecs.page_size(page))
+            yield (name.rpartition(".")[0] or name, partition.value.removeprefix("file:"), level, *codecs.page_size(page))
