@@ -17,12 +17,16 @@ from pyspark.sql import functions as F
 from pathloom.functions import codecs
 from pathloom.functions.scalars import patch_file_name, patch_path
 
+# A manifest's keys in their order, and the width of the key column.
 _INDENT = 24
+_HEAD = ("Manifest ID:", "Manifest file path:", "Date created:", "Hostname:")
+_PATCHES = ("Patch class:", "Patch class params:", "Patch count:", "Patch labels:")
+_EXTRACTOR = ("Extractor class:", "Extractor class params:", "Saved patches:")
 
 
-def with_paths(patches: DataFrame, folder: str, manifest_id: Column, *, by_label: bool = False, comment: str = "", separator: str = "_", image_type: str = "png", set_dir: Column | None = None) -> DataFrame:
+def with_paths(patches: DataFrame, folder: str, manifest_id: Column, *, by_label: bool = False, comment: str | Column = "", separator: str = "_", image_type: str = "png", set_dir: Column | None = None) -> DataFrame:
     """``patches`` (slide_id, x, y, label) with ``path`` of each image file."""
-    name = patch_file_name(F.col("slide_id"), manifest_id, F.col("x"), F.col("y"), label=F.col("label"), comment=F.lit(comment), separator=separator, image_type=image_type)
+    name = patch_file_name(F.col("slide_id"), manifest_id, F.col("x"), F.col("y"), label=F.col("label"), comment=F.lit(comment) if isinstance(comment, str) else comment, separator=separator, image_type=image_type)
     return patches.withColumn("path", patch_path(folder, name, label=F.col("label") if by_label else None, set_dir=set_dir))
 
 
@@ -66,19 +70,20 @@ def save_images(images: DataFrame, *, image_type: str = "png") -> DataFrame:
     return images.select("path", "width", "height", "n_channels", "data").mapInPandas(run, "path string, n_bytes bigint")
 
 
-def _line(key: str, value: object = "") -> str:
+def manifest_line(key: str, value: object = "") -> str:
     return f"{key:<{_INDENT}}{value}"
 
 
 def manifest_header(manifest_id: str, path: str, *, patch_class: str, patch_params: Mapping, counts: Mapping[str, int], extractor: str, extractor_params: Mapping) -> list[str]:
     """The lines before a manifest's file list."""
     hidden = {"self", "patches", "kwargs"}
-    indented = lambda d: [_line("", f"{k}: {v}") for k, v in sorted(d.items()) if k not in hidden]
-    return [
-        _line("Manifest ID:", manifest_id), _line("Manifest file path:", path), _line("Date created:", datetime.datetime.now().strftime("%Y-%b-%d %H:%M:%S")), _line("Hostname:", platform.node()), "-" * 50,
-        _line("Patch class:", patch_class), "Patch class params:", *indented(patch_params), _line("Patch count:", sum(counts.values())), _line("Patch labels:", dict(sorted(counts.items()))),
-        _line("Extractor class:", extractor), "Extractor class params:", *indented(extractor_params), "Saved patches:",
-    ]
+    indented = lambda d: [manifest_line("", f"{k}: {v}") for k, v in sorted(d.items()) if k not in hidden]
+    created = datetime.datetime.now().strftime("%Y-%b-%d %H:%M:%S")
+    head = [manifest_line(k, v) for k, v in zip(_HEAD, (manifest_id, path, created, platform.node()))]
+    kind, params, total, labels = _PATCHES
+    patches = [manifest_line(kind, patch_class), params, *indented(patch_params), manifest_line(total, sum(counts.values())), manifest_line(labels, dict(sorted(counts.items())))]
+    name, options, saved = _EXTRACTOR
+    return [*head, "-" * 50, *patches, manifest_line(name, extractor), options, *indented(extractor_params), saved]
 
 
 def write_manifest(spark: SparkSession, folder: str, manifest_id: str, slide: str, header: list[str], paths: DataFrame) -> str:
