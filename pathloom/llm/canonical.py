@@ -198,7 +198,7 @@ def map_to_canonical(
     # These joins are of distinct tokens: a key is shared by no more of them than there are ways to spell it.
     near = seen.select("token").distinct().withColumn("key", F.explode(keys_of(F.col("token")))).join(written.withColumn("key", F.explode(keys_of(F.col("form")))), "key")
     by_edit = (
-        near.select("token", "form", "parts").distinct().withColumn("sim", similarity(F.col("token"), F.col("form"))).filter(F.col("sim").isNotNull())
+        near.select("token", "form", "parts").repartition(tasks, "token", "form").distinct().withColumn("sim", similarity(F.col("token"), F.col("form"))).filter(F.col("sim").isNotNull())
         .withColumn("most", F.max("sim").over(Window.partitionBy("token")))
         .filter((F.size("parts") == 1) | (F.col("sim") == F.col("most")))
         .select("token", F.lit(None).cast("boolean").alias("for_cut"), F.posexplode("parts").alias("part", "known"), "sim")
