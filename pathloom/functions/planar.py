@@ -71,13 +71,17 @@ def _pieces(rings: Sequence[Ring]) -> tuple[np.ndarray, float]:
     b = np.concatenate([np.roll(r, -1, axis=0) for r in rings])
     span = max(float(np.ptp(a, axis=0).max()), 1e-12)
     snap = span * _SNAP
+    # A sweep along x: an edge is compared with those that begin before it ends.
+    order = np.argsort(np.minimum(a[:, 0], b[:, 0]), kind="stable")
+    a, b = a[order], b[order]
     d = b - a
     n = len(a)
     lo, hi = np.minimum(a, b) - snap, np.maximum(a, b) + snap
+    until = np.searchsorted(lo[:, 0], hi[:, 0], side="right")
     cuts: list[list[float]] = [[0.0, 1.0] for _ in range(n)]
     length = np.maximum(np.hypot(d[:, 0], d[:, 1]), 1e-300)
     for i in range(n):
-        near = np.flatnonzero(np.all(lo[i] <= hi[i + 1 :], axis=1) & np.all(hi[i] >= lo[i + 1 :], axis=1)) + i + 1
+        near = np.flatnonzero((lo[i, 1] <= hi[i + 1 : until[i], 1]) & (hi[i, 1] >= lo[i + 1 : until[i], 1])) + i + 1
         if not len(near):
             continue
         dj, w = d[near], a[near] - a[i]
@@ -103,18 +107,39 @@ def _pieces(rings: Sequence[Ring]) -> tuple[np.ndarray, float]:
                 t1 = float(np.dot(p - a[j], d[j]) / length[j] ** 2)
                 if 0 < t1 < 1:
                     cuts[j].append(t1)
+    merge = _Merger(snap * 8)
+    ends = [merge(p) for p in a]
     seen, pieces = set(), []
     for i, own in enumerate(cuts):
-        own = sorted(set(own))
-        points = a[i] + np.outer(own, d[i])
-        for p, q in zip(points, points[1:]):
-            kp, kq = tuple(np.round(p / snap / 16).astype(np.int64)), tuple(np.round(q / snap / 16).astype(np.int64))
-            if kp != kq and (min(kp, kq), max(kp, kq)) not in seen:
-                seen.add((min(kp, kq), max(kp, kq)))
+        inner = [merge(p) for p in a[i] + np.outer(sorted(set(own) - {0.0, 1.0}), d[i])]
+        line = [ends[i], *inner, merge(b[i])]
+        for p, q in zip(line, line[1:]):
+            if p != q and (min(p, q), max(p, q)) not in seen:
+                seen.add((min(p, q), max(p, q)))
                 pieces.append((*p, *q))
     return np.array(pieces).reshape(-1, 4), snap * 16
 
 
+class _Merger:
+    """The first point seen within a distance stands for all near it, so that
+    points equal but for rounding are the same place."""
+
+    def __init__(self, distance: float):
+        self.distance = distance
+        self.cells: dict[tuple[int, int], list[tuple[float, float]]] = defaultdict(list)
+
+    def __call__(self, point: np.ndarray) -> tuple[float, float]:
+        x, y = float(point[0]), float(point[1])
+        cx, cy = int(np.floor(x / self.distance)), int(np.floor(y / self.distance))
+        for i in (cx, cx - 1, cx + 1):
+            for j in (cy, cy - 1, cy + 1):
+                for p in self.cells.get((i, j), ()):
+                    if abs(p[0] - x) <= self.distance and abs(p[1] - y) <= self.distance:
+                        return p
+        self.cells[cx, cy].append((x, y))
+        return x, y
+
+
 def arrange(rings: Sequence[Ring], inside: Callable[[np.ndarray], np.ndarray]) -> Polygon:
     """The region of the plane where ``inside`` holds, whose boundary lies on ``rings``."""
     pieces, snap = _pieces(rings)
@@ -134,7 +159,7 @@ def arrange(rings: Sequence[Ring], inside: Callable[[np.ndarray], np.ndarray]) -
 def _chain(start: np.ndarray, end: np.ndarray, snap: float) -> list[Ring]:
     """Rings of directed pieces with the inside on the left; where several go
     on from a place, the sharpest turn to the left keeps rings simple."""
-    key = lambda v: tuple(np.round(v / snap).astype(np.int64))
+    key = lambda v: (float(v[0]), float(v[1]))
     out: dict[tuple, list[int]] = defaultdict(list)
     for i, s in enumerate(start):
         out[key(s)].append(i)
@@ -190,41 +215,53 @@ def _edges_of(rings: Sequence[Ring]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rings), np.concatenate([np.roll(r, -1, axis=0) for r in rings])
 
 
+#: Pairs of edges looked at in one array.
+_PAIRS = 4_000_000
+
+
 def edges_meet(rings: Sequence[Ring], others: Sequence[Ring] | None = None) -> bool:
     """Whether any edge of ``rings`` meets one of ``others`` (or, without these,
     another of their own but for the shared ends of neighbours), touching or
-    nearly touching included. All pairs at once, as one array."""
+    nearly touching included. Blocks of bounded size are compared at once."""
     a, b = _edges_of(rings)
     c, d = (a, b) if others is None else _edges_of(others)
     slack = max(float(np.ptp(np.concatenate((a, c)), axis=0).max()), 1e-12) * _SNAP * 64
-    apart = np.zeros((len(a), len(c)), bool)
-    for k in (0, 1):
-        lo, hi = np.minimum(a[:, k], b[:, k]) - slack, np.maximum(a[:, k], b[:, k]) + slack
-        apart |= (lo[:, None] > np.maximum(c[:, k], d[:, k])[None]) | (hi[:, None] < np.minimum(c[:, k], d[:, k])[None])
+    after = before = None
     if others is None:
-        n, at = len(a), 0
+        after, at = np.empty(len(a), int), 0  # each edge's neighbours in its ring
         for r in rings:
             m = len(r)
-            i = np.arange(m)
-            apart[at + i, at + i] = True
-            nxt = (i + 1) % m
+            i, nxt = np.arange(m), (np.arange(m) + 1) % m
             # Neighbours share an end; they only meet elsewhere if one folds back on the other.
             u, v = b[at + i] - a[at + i], b[at + nxt] - a[at + nxt]
             back = (np.abs(u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]) <= slack * np.hypot(v[:, 0], v[:, 1])) & (np.sum(u * v, axis=1) < 0)
             if back.any():
                 return True
-            apart[at + i, at + nxt] = apart[at + nxt, at + i] = True
+            after[at + i] = at + nxt
             at += m
-        apart |= np.tri(n, dtype=bool)
-    i, j = np.nonzero(~apart)
-    if not len(i):
-        return False
+        before = np.empty(len(a), int)
+        before[after] = np.arange(len(a))
 
     def side(p: np.ndarray, q: np.ndarray, r: np.ndarray) -> np.ndarray:
         v = (q[:, 0] - p[:, 0]) * (r[:, 1] - p[:, 1]) - (q[:, 1] - p[:, 1]) * (r[:, 0] - p[:, 0])
         return np.where(np.abs(v) <= slack * np.hypot(q[:, 0] - p[:, 0], q[:, 1] - p[:, 1]), 0, np.sign(v))
 
-    return bool(np.any((side(a[i], b[i], c[j]) * side(a[i], b[i], d[j]) <= 0) & (side(c[j], d[j], a[i]) * side(c[j], d[j], b[i]) <= 0)))
+    lo, hi = np.minimum(a, b) - slack, np.maximum(a, b) + slack
+    least, most = np.minimum(c, d), np.maximum(c, d)
+    step = max(1, _PAIRS // max(1, len(c)))
+    for top in range(0, len(a), step):
+        rows = slice(top, top + step)
+        close = np.ones((len(a[rows]), len(c)), bool)
+        for k in (0, 1):
+            close &= (lo[rows, k, None] <= most[None, :, k]) & (hi[rows, k, None] >= least[None, :, k])
+        i, j = np.nonzero(close)
+        i += top
+        if others is None:
+            own = (i < j) & (after[i] != j) & (before[i] != j)
+            i, j = i[own], j[own]
+        if len(i) and np.any((side(a[i], b[i], c[j]) * side(a[i], b[i], d[j]) <= 0) & (side(c[j], d[j], a[i]) * side(c[j], d[j], b[i]) <= 0)):
+            return True
+    return False
 
 
 def make_valid(exterior: Sequence, holes: Sequence = ()) -> Polygon:

@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pathloom.functions.scalars import label_filter
-
-#: Rows numbered in one window partition.
-_RUN = 65_536
+from pathloom.runtime import written
 
 
 def label_counts(patches: DataFrame, labels: DataFrame) -> DataFrame:
@@ -56,25 +54,27 @@ def problems(patches: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: str, *, group: str | None = None, start: int = 0, name: str = "number") -> DataFrame:
-    """``rows`` with a running number by the integer column ``order``, from
-    ``start``, over all or from anew in each ``group``.
-
-    Rows are cut into runs of the order column; each run is numbered by itself
-    and moved by the count of the runs before it. Only the runs' counts are
-    ordered in one place, one row for each run that has rows.
+    """``rows`` with a running number by the column ``order``, from ``start``,
+    over all or from anew in each ``group``.
+
+    Rows are cut into ranges of the order column of about equal size and written
+    with their range; each range is numbered by itself and moved by the count of
+    those before it. Only the ranges' counts are ordered in one place, a row a
+    range (and group). A large group is spread over the ranges like any other
+    rows.
     """
     keys = [group] if group else []
-    run = F.floor(F.col(order) / _RUN)
-    cut = rows.withColumn("_run", run)
-    counts = cut.groupBy(*keys, "_run").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c").withColumnsRenamed({k: f"_{k}" for k in keys} | {"_run": "_r"})
-    match = F.col("_run").eqNullSafe(F.col("_r"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = written(rows.repartitionByRange(n, order).withColumn("_range", F.spark_partition_id()), "ranges")[0]
+    counts = cut.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c").withColumnsRenamed({k: f"_{k}" for k in keys} | {"_range": "_r"})
+    match = F.col("_range") == F.col("_r")
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    own = F.row_number().over(Window.partitionBy(*keys, "_run").orderBy(order)) - 1
+    own = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(order)) - 1
     inside = cut.withColumn("_own", own).join(offsets, match)
-    return inside.withColumn(name, F.col("_own") + F.col("_off") + start).drop("_own", "_off", "_run", "_r", *[f"_{k}" for k in keys])
+    return inside.withColumn(name, F.col("_own") + F.col("_off") + start).drop("_own", "_off", "_range", "_r", *[f"_{k}" for k in keys])
 
 
 def set_numbers(patches: DataFrame, *, start: int = 1, per_slide: bool = False, reserved: DataFrame | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ from pathloom.functions.geometry import box_ring, scaled
 from pathloom.functions.scalars import label_filter, only_one_of
 from pathloom.operators.masks import bounding_boxes
 from pathloom.operators.skew import HOT_ROWS, salted_join
-from pathloom.runtime import cut_lineage
+from pathloom.runtime import cut_lineage, discard, written
 
 RING = "array<struct<x:double,y:double>>"
 PARTS = f"array<struct<ext:{RING},holes:array<{RING}>>>"
@@ -184,16 +184,24 @@ def inverted_regions(cells: DataFrame, polygons: DataFrame, *, label: str = "",
 
 
 def _touching(regions: DataFrame) -> DataFrame:
-    """Regions with the tile of a coarse grid that joins those whose boxes can
-    touch: a cluster is merged in one task, far ones in others."""
+    """Regions with the smallest region of those that they touch, by their
+    boxes, directly or over others: a cluster is merged in one task, far ones in
+    others. Each round takes the least of the neighbours' clusters and then that
+    cluster's own cluster, so a chain halves with every round."""
     pairs = close_pairs(regions).select("slide_id", "a", "b")
-    step = regions.select("slide_id", "region_id", "parts").withColumn("cluster", F.col("region_id"))
-    ids = step.select("slide_id", "region_id", "cluster")
-    both = pairs.select("slide_id", F.col("a").alias("region_id"), F.col("b").alias("o")).unionByName(pairs.select("slide_id", F.col("b").alias("region_id"), F.col("a").alias("o")))
-    ids, both = cut_lineage(ids), cut_lineage(both)
+    step = regions.select("slide_id", "region_id", "parts")
+    both = cut_lineage(pairs.select("slide_id", F.col("a").alias("region_id"), F.col("b").alias("o")).unionByName(pairs.select("slide_id", F.col("b").alias("region_id"), F.col("a").alias("o"))))
+    ids = both.select("slide_id", "region_id").distinct().withColumn("cluster", F.col("region_id"))
+    ids, path, _ = written(ids, "touching")
     while True:
         near = both.join(ids.select("slide_id", F.col("region_id").alias("o"), F.col("cluster").alias("oc")), ["slide_id", "o"]).groupBy("slide_id", "region_id").agg(F.min("oc").alias("oc"))
-        new = cut_lineage(ids.join(near, ["slide_id", "region_id"], "left").select("slide_id", "region_id", F.least("cluster", "oc").alias("cluster"), (F.col("oc") < F.col("cluster")).alias("moved")))
-        ids = new.drop("moved")
-        if new.filter("moved").isEmpty():
-            return step.drop("cluster").join(ids, ["slide_id", "region_id"])
+        least = ids.join(near, ["slide_id", "region_id"]).select("slide_id", "region_id", F.col("cluster").alias("old"), F.least("cluster", "oc").alias("cluster"))
+        root = ids.select("slide_id", F.col("region_id").alias("cluster"), F.col("cluster").alias("root"))
+        jumped = least.join(root, ["slide_id", "cluster"]).select("slide_id", "region_id", F.least("cluster", "root").alias("cluster"), "old")
+        last = path
+        new, path, seen = written(jumped, "touching", moved=F.count_if(F.col("cluster") != F.col("old")))
+        ids = new.drop("old")
+        discard(regions.sparkSession, last)
+        if not seen["moved"]:
+            named = step.join(ids, ["slide_id", "region_id"], "left")
+            return named.withColumn("cluster", F.coalesce("cluster", "region_id"))

@@ -61,3 +61,20 @@ def test_repair_is_even_odd(r):
     a = P.make_valid(r)
     points = np.random.default_rng(0).uniform(-21, 21, (400, 2))
     assert (P.in_polygon(a, points) == P.in_ring(P.as_ring(r), points)).mean() > 0.995
+
+
+def test_large_rings_are_compared_in_blocks(monkeypatch):
+    t = np.linspace(0, 2 * np.pi, 3000, endpoint=False)
+    star = np.column_stack((np.cos(t), np.sin(t))) * (2 + np.cos(40 * t))[:, None]
+    crossed = star.copy()
+    crossed[[100, 1700]] = crossed[[1700, 100]]
+    for pairs in (4_000_000, 50_000):
+        monkeypatch.setattr(P, "_PAIRS", pairs)
+        assert not P.edges_meet([star]) and P.edges_meet([crossed])
+        assert P.edges_meet([star], [star + 0.5]) and not P.edges_meet([star], [star + 100])
+
+
+def test_areas_add_up_at_near_equal_points():
+    """Crossings that are equal to a corner but for rounding are that corner."""
+    a, b = P.make_valid([(0, 0), (0, 1), (-14, 7)]), P.make_valid([(0, 1), (0, 12), (-18, -20)])
+    assert P.polygon_area(P.union([a, b])) + P.polygon_area(P.intersection(a, b)) == pytest.approx(106)

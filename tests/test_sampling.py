@@ -178,3 +178,27 @@ def test_problems_and_pool_counts(spark):
     assert rows(patches.problems(df, spark.createDataFrame([("a",), ("b",), (None,)], "label string"))) == [("s", "duplicate location", "1,1", 2), ("t", "unknown label", "z", 1)]
     pool = {(r.by_slide, r.by_label): r.n for r in patches.pool_counts(df).filter("by_slide = 0 and by_label = 0").collect()}
     assert pool == {(0, 0): 4}
+
+
+def test_chains_of_touching_regions_are_one_cluster(spark):
+    rng = random.Random(4)
+    order = list(range(120))
+    rng.shuffle(order)
+    chain = [(f"l{k}", [(10.0 * k, 0.0), (10.0 * k + 12, 0.0), (10.0 * k + 12, 9.0), (10.0 * k, 9.0)], None) for k in order]
+    far = [("far", [(9000.0, 9000.0), (9010.0, 9000.0), (9010.0, 9010.0)], None)]
+    r = regions.polygon_regions(polygons(spark, chain + far))
+    found = {x.region_id: x.cluster for x in regions._touching(r).select("region_id", "cluster").collect()}
+    assert found == {**{i: 0 for i in range(120)}, 120: 120}
+
+
+def test_numbers_of_sparse_ids_in_ranges(spark):
+    rng = random.Random(6)
+    ids = rng.sample(range(10**12), 500)
+    df = spark.createDataFrame([(i, "hot" if k % 2 else rng.choice(["a", None])) for k, i in enumerate(ids)], "id long, g string")
+    got = patches.numbered(patches.numbered(df, "id", start=5, name="n"), "id", group="g", name="m").collect()
+    overall = {i: n + 5 for n, i in enumerate(sorted(ids))}
+    assert {r.id: r.n for r in got} == overall
+    for g in ("hot", "a", None):
+        own = sorted(r.id for r in got if r.g == g)
+        assert {r.id: r.m for r in got if r.g == g} == {i: n for n, i in enumerate(own)}
+    assert patches.numbered(df.limit(0), "id").count() == 0
