@@ -95,13 +95,11 @@ INTERPOLATIONS = {"bilinear": bilinear, "nearest": nearest}
 
 
 def white_borders(image: np.ndarray, background: tuple[int, int, int] = (255, 255, 255)) -> np.ndarray:
-    """Rows and columns from the first to the last that is all zero get the
-    background, those between as well; others stay."""
-    out = image.copy()
-    filled = image.any(axis=2)
-    rows, columns = np.flatnonzero(~filled.any(axis=1)), np.flatnonzero(~filled.any(axis=0))
-    if len(rows):
-        out[rows[0] : rows[-1] + 1] = background
-    if len(columns):
-        out[:, columns[0] : columns[-1] + 1] = background
+    """Along each axis, all lines from the first to the last that is all zero get
+    the background; others stay."""
+    out, blank = image.copy(), ~image.any(axis=2)
+    for axis in (0, 1):
+        lines = np.flatnonzero(blank.all(axis=1 - axis))
+        if len(lines):
+            np.moveaxis(out, axis, 0)[lines[0] : lines[-1] + 1] = background
     return out

@@ -10,12 +10,12 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.functions import codecs
 from pathloom.functions.scalars import patch_file_name, patch_path
+from pathloom.sources.files import split_uri
 
 # A manifest's keys in their order, and the width of the key column.
 _INDENT = 24
@@ -42,28 +42,41 @@ def set_folder(number: Column, slide: Column | None = None) -> Column:
     return plain if slide is None else F.concat_ws("__", slide, plain)
 
 
+def _store(path: str, content: bytes) -> None:
+    """Under another name first, so that a task run again leaves a whole file."""
+    fs, place = split_uri(path)
+    fs.create_dir(os.path.dirname(place), recursive=True)
+    torn = f"{place}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(torn) as f:
+        f.write(content)
+    fs.move(torn, place)
+
+
+def save_bytes(rows: DataFrame, content: str) -> DataFrame:
+    """Write the column ``content`` to each row's ``path``; (path, n_bytes), lazily:
+    evaluate it once, by storing it."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, data in zip(frame.path, frame["data"]):
+                _store(path, data)
+            yield pd.DataFrame({"path": frame.path, "n_bytes": frame["data"].map(len)})
+
+    return rows.select("path", F.col(content).alias("data")).dropna().mapInPandas(run, "path string, n_bytes bigint")
+
+
 def save_images(images: DataFrame, *, image_type: str = "png") -> DataFrame:
     """Write (path, width, height, n_channels, data) as PNG or TIFF files;
-    returns (path, n_bytes), lazily: evaluate it once, by storing it.
-
-    A file is written under another name and renamed, so a task run again
-    leaves whole files. Folders are made as needed."""
+    returns (path, n_bytes), lazily: evaluate it once, by storing it."""
     if image_type not in ("png", "tif", "tiff"):
         raise ValueError(f"image type {image_type} can't be written")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system = pafs.LocalFileSystem()
         for frame in frames:
             sizes = []
             for path, w, h, c, data in zip(frame.path, frame.width, frame.height, frame.n_channels, frame["data"]):
                 image = np.frombuffer(data, np.uint8).reshape(h, w, c)
                 content = codecs.png_bytes(image) if image_type == "png" else codecs.tiff_bytes([image])
-                fs, place = pafs.FileSystem.from_uri(path) if "://" in path else (system, path)
-                fs.create_dir(os.path.dirname(place), recursive=True)
-                torn = f"{place}.{uuid.uuid4().hex}"
-                with fs.open_output_stream(torn) as f:
-                    f.write(content)
-                fs.move(torn, place)
+                _store(path, content)
                 sizes.append(len(content))
             yield pd.DataFrame({"path": frame.path, "n_bytes": sizes})
 

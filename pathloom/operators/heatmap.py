@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.scalars import color_rgb
+from pathloom.operators.skew import lookup_join
 
 # Colour maps as (place, value) knots a channel, linear between them.
 _GREY = ((0.0, 0.0), (1.0, 1.0))
@@ -50,11 +51,7 @@ def colored(
     knots = MAPS[cmap]
     out = cells
     if vmin is None or vmax is None:
-        r = value_range(cells, value=value, by=by).withColumnsRenamed({c: f"_{c}" for c in by})
-        match = F.lit(True)
-        for c in by:
-            match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
-        out = out.join(r, match).drop(*[f"_{c}" for c in by])
+        out = lookup_join(out, value_range(cells, value=value, by=by), by, null_safe=True)
     lo, hi = (F.col(n) if v is None else F.lit(float(v)) for n, v in (("vmin", vmin), ("vmax", vmax)))
     p = F.when(~F.isnan(value), F.col(value))
     if cutoff:

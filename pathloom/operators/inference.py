@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from pathloom.functions.resize import INTERPOLATIONS
 from pathloom.functions.scalars import whole
 from pathloom.operators import pyramid
+from pathloom.operators.skew import lookup_join
 
 def predictions(images: DataFrame, make_predict: Callable[[], Callable[[np.ndarray], np.ndarray]], *, classes: int, classifier: Callable[[np.ndarray], np.ndarray] | None = None, transform: Callable[[np.ndarray], np.ndarray] | None = None, batch: int = 32, seed: int | None = None) -> DataFrame:
     """``images`` (region_id, width, height, n_channels, data) through a model:
@@ -58,7 +59,7 @@ def predictions(images: DataFrame, make_predict: Callable[[], Callable[[np.ndarr
 def footprints(outputs: DataFrame, levels: DataFrame, *, patch_size: int, patch_level: int | None = 0, patch_mpp: float | None = None, raster_level: int = 0) -> DataFrame:
     """Outputs (slide_id, x, y at level 0, ...) with their square on the raster
     level: px, py (cut down), psize (rounded), and the raster's width and height."""
-    j = outputs.join(pyramid.pyramids(levels), "slide_id")
+    j = lookup_join(outputs, pyramid.pyramids(levels), ["slide_id"])
     level = F.lit(raster_level)
     down = pyramid.target_factor(level, F.lit(None).cast("double"))
     scale = pyramid.of_level(level, "downsample") / pyramid.target_factor(F.lit(patch_level).cast("int"), F.lit(patch_mpp).cast("double"))

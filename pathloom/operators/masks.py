@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pathloom.functions.scalars import fixed, whole
-from pathloom.operators.skew import HOT_ROWS, salted_join
+from pathloom.operators.skew import HOT_ROWS, lookup_join, salted_join
 from pathloom.runtime import cut_lineage
 
 SIDE = 64
@@ -67,9 +67,15 @@ def foreground_ratio(windows: DataFrame, cells: DataFrame, *, hot_rows: int = HO
     return w.join(counts, F.col("window_id") == F.col("_w"), "left").withColumn("foreground", ratio).drop("_x1", "_y1", "_x2", "_y2", "_w", "_n")
 
 
-def bounding_boxes(cells: DataFrame) -> DataFrame:
-    """(slide_id, x1, y1, x2, y2) of the foreground."""
-    return cells.groupBy("slide_id").agg(F.min("x").alias("x1"), F.min("y").alias("y1"), F.max("x").alias("x2"), F.max("y").alias("y2"))
+def bounding_boxes(cells: DataFrame, slides: DataFrame | None = None) -> DataFrame:
+    """(slide_id, x1, y1, x2, y2) of the foreground; all 0 for a slide of
+    ``slides``, or with a row of nulls, that has none."""
+    ends = [F.coalesce(f(c), F.lit(0)).alias(n) for n, f, c in (("x1", F.min, "x"), ("y1", F.min, "y"), ("x2", F.max, "x"), ("y2", F.max, "y"))]
+    rows = cells.select("slide_id", "x", "y")
+    if slides is not None:
+        none = F.lit(None)
+        rows = rows.unionByName(slides.select("slide_id", none.cast(rows.schema["x"].dataType).alias("x"), none.cast(rows.schema["y"].dataType).alias("y")).distinct())
+    return rows.groupBy("slide_id").agg(*ends)
 
 
 def saturation() -> Column:
@@ -124,12 +130,12 @@ def tissue_cells(pixels: DataFrame, mode: str = "hsv", threshold: float = 0.1) -
     p = pixels.filter(F.col("r").isNotNull() & F.col("g").isNotNull() & F.col("b").isNotNull())
     if mode == "otsu":
         p = p.withColumn("gray", gray())
-        return p.join(otsu_thresholds(p.select("slide_id", "gray")), "slide_id").filter(F.col("gray") <= F.col("threshold")).select("slide_id", "x", "y")
+        return lookup_join(p, otsu_thresholds(p.select("slide_id", "gray")), ["slide_id"]).filter(F.col("gray") <= F.col("threshold")).select("slide_id", "x", "y")
     if mode not in ("hsv", "lab"):
         raise ValueError(f"unknown mask mode: {mode}")
     p = p.withColumn("channel", saturation() if mode == "hsv" else green_red())
     means = p.groupBy("slide_id").agg(F.avg("channel").alias("mean"))
-    return p.join(means, "slide_id").filter(F.col("channel") > (1 + threshold) * F.col("mean")).select("slide_id", "x", "y")
+    return lookup_join(p, means, ["slide_id"]).filter(F.col("channel") > (1 + threshold) * F.col("mean")).select("slide_id", "x", "y")
 
 
 def level_factor(level: int) -> float:

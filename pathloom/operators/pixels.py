@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pathloom.functions.resize import resize, white_borders
 from pathloom.functions.scalars import whole
 from pathloom.operators import pyramid
-from pathloom.operators.skew import HOT_ROWS, salted_join
+from pathloom.operators.skew import HOT_ROWS, lookup_join, salted_join
 
 _IMAGE = "region_id bigint, width int, height int, n_channels int, data binary"
 
@@ -29,7 +29,7 @@ def resolved_regions(requests: DataFrame, levels: DataFrame, *, mode: str | None
     resampled level first, so both give the same size but may differ by a pixel.
     With ``check``, a request beyond the image or without a level is an error.
     """
-    r = requests.join(pyramid.pyramids(levels), "slide_id")
+    r = lookup_join(requests, pyramid.pyramids(levels), ["slide_id"])
     matched = F.when(F.col("mpp").isNotNull(), F.nullif(pyramid.level_of_mpp(F.col("mpp")), F.lit(-1))).when(pyramid.of_level(F.col("slide_level"), "width").isNotNull(), F.col("slide_level"))
     r = r.withColumn("_f", pyramid.resample_factors(F.col("slide_level"), F.col("mpp"), level_zero)).withColumn("_m", matched)
     zero = F.col("_f.zero_factor")

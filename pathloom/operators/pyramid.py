@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.scalars import LEVEL_OR_SIZE, fixed, level_and_mpp, whole
+from pathloom.operators.skew import lookup_join
 
 # Defaults of the settings.
 MPP_PLACES, MIN_MPP, MAX_MAGNIFICATION, LEVEL_MARGIN, PADDING_MARGIN = 5, 0.001, 40, 0.003, 10
@@ -127,7 +128,7 @@ def resampled_size(mpp: Column, level_zero: bool = True) -> Column:
 def resampling_batches(requests: DataFrame, levels: DataFrame, level_zero: bool = True) -> DataFrame:
     """(slide_id, base_level, mpps): requested mpps (slide_id, mpp) that match no
     level, grouped by the level they are read from."""
-    asked = requests.join(pyramids(levels), "slide_id").filter(level_of_mpp(F.col("mpp")) == -1)
+    asked = lookup_join(requests, pyramids(levels), ["slide_id"]).filter(level_of_mpp(F.col("mpp")) == -1)
     return asked.select("slide_id", "mpp", resample_factors(F.lit(None).cast("int"), F.col("mpp"), level_zero)["base_level"].alias("base_level")).groupBy("slide_id", "base_level").agg(F.array_sort(F.collect_set("mpp")).alias("mpps"))
 
 
@@ -190,7 +191,7 @@ def multires_patches(patches: DataFrame, levels: DataFrame, targets: Sequence[in
     zero = of_level(F.lit(0), "mpp")
     from_mpp = F.lit(base_mpp) if base_mpp else of_level(F.lit(base_level), "mpp")
     to_mpp = F.coalesce("target_mpp", of_level(F.col("target_level"), "mpp"))
-    joined = patches.join(pyramids(levels), "slide_id").select("*", F.inline(members))
+    joined = lookup_join(patches, pyramids(levels), ["slide_id"]).select("*", F.inline(members))
     return (
         joined.withColumn("target_x", centred_location(F.col("x"), F.col("w"), from_mpp, to_mpp, zero))
         .withColumn("target_y", centred_location(F.col("y"), F.col("h"), from_mpp, to_mpp, zero))

@@ -22,11 +22,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of a key that one task should meet; a key with more is split.
 HOT_ROWS = 200_000
 #: Buckets of keys that are split alike.
 BUCKETS = 1 << 16
+#: Rows of a lookup table that are broadcast at most.
+BROADCAST_ROWS = 100_000
 
 
 def _same(left: Column, right: Column, null_safe: bool) -> Column:
@@ -102,6 +105,24 @@ def salted_join(
     return a.join(b, match).drop("_salt", "_salt_r", *[f"_r{i}" for i in range(len(on))])
 
 
+def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], *, null_safe: bool = False, spread_by: Sequence[str] | None = None, most: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join of many rows with a table of a row a key, such as slides.
+
+    The rows of ``right`` are counted, up to ``most``: so few are broadcast, and
+    ``left`` isn't shuffled at all; more are joined by ``salted_join``, since a
+    slide may hold a third of all rows and a plain join would leave these to one
+    task. The result is the same.
+    """
+    if right.limit(most + 1).count() > most:
+        by = spread_by or [f.name for f in left.schema if not isinstance(f.dataType, T.MapType)]
+        return salted_join(left, right, on, spread_by=by, hot_rows=hot_rows, null_safe=null_safe)
+    r = right.withColumnsRenamed({k: f"_r{i}" for i, k in enumerate(on)})
+    match = F.lit(True)
+    for i, k in enumerate(on):
+        match = match & _same(left[k], r[f"_r{i}"], null_safe)
+    return left.join(F.broadcast(r), match).drop(*[f"_r{i}" for i in range(len(on))])
+
+
 def eager_join_aggregate(
     left: DataFrame,
     right: DataFrame,

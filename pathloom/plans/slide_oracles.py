@@ -109,6 +109,33 @@ def _masked(source: str, label: str) -> str:
     return f"SELECT slide_id, CAST(0 AS BIGINT) AS region_id, seq, CAST(round_even(mx * 2048, 0) AS BIGINT) AS x, CAST(round_even(my * 2048, 0) AS BIGINT) AS y, '{label}' AS label FROM {source}"
 
 
+#: The regions that are read, and whether each may lie beyond the image: (x, y) at level 0 of the made rasters, 16 pixels wide there.
+_READ = f"""{_LEVELS}, img AS (SELECT slide_id, w0 // 256 AS w, h0 // 256 AS h, mpp0 FROM zero),
+req AS (
+  SELECT point_id, slide_id, w, h, mpp0, CAST(floor(x / 512.0) * 2 - 4 AS BIGINT) AS x, CAST(floor(y / 512.0) * 2 - 4 AS BIGINT) AS y
+  FROM (SELECT DISTINCT slide_id, point_id, x, y FROM points WHERE x IS NOT NULL AND y IS NOT NULL AND point_id IS NOT NULL) JOIN img USING (slide_id)),
+ok AS (
+  SELECT *, x < 0 OR y < 0 OR x + 26 > w OR y + 26 > h AS pads FROM req
+  WHERE x <= w AND y <= h AND (NOT (x < 0 OR y < 0) OR (x + 16 > 0 AND y + 16 > 0 AND NOT ((x < 0 AND 16 > w) OR (y < 0 AND 16 > h))))),
+pixel AS (
+  SELECT point_id, pads, i, j, x + i >= 0 AND x + i < w AND y + j >= 0 AND y + j < h AS there, 1 + (7 * (x + i) + 13 * (y + j)) % 251 AS r, 1 + (3 * (x + i) + 5 * (y + j)) % 241 AS g, 1 + ((x + i) * (y + j)) % 239 AS b
+  FROM ok, unnest(generate_series(0, 15)) s(i), unnest(generate_series(0, 15)) t(j) WHERE {{known}})"""
+
+
+def _halved(outside: str) -> str:
+    """8 x 8 pixels from 16 x 16: columns first, then rows, each rounded half up."""
+    value = lambda c: f"CASE WHEN there THEN {c} ELSE {outside} END"
+    return ", ".join([
+        "px AS (SELECT point_id, pads, i // 2 AS i, j, " + ", ".join(f"floor(avg({value(c)}) + 0.5) AS {c}" for c in "rgb") + ", bool_or(there) AS there FROM pixel GROUP BY point_id, pads, i // 2, j)",
+        "half AS (SELECT point_id, pads, i, j // 2 AS j, " + ", ".join(f"floor(avg({c}) + 0.5) AS {c}" for c in "rgb") + ", bool_or(there) AS there FROM px GROUP BY point_id, pads, i, j // 2)",
+    ])
+
+
+def _summed(source: str, size: int, white: bool) -> str:
+    value = lambda c: f"CASE WHEN there THEN {c} WHEN pads THEN 255 ELSE 0 END" if white else c
+    return f"SELECT point_id, {size} AS width, {size} AS height, " + ", ".join(f"CAST(sum({value(c)}) AS BIGINT) AS sum_{c}" for c in "rgb") + f" FROM {source} GROUP BY point_id"
+
+
 _SPREAD = "true AS inside, CAST(0 AS BIGINT) AS n_close, true AS some, true AS fewer_valid"
 
 
@@ -184,7 +211,9 @@ ORACLES: dict[str, str] = {
           SELECT b.slide_id, b.polygon_id, b.label, p.point_id AS seq, p.x / 16.0 AS mx, p.y / 16.0 AS my FROM p JOIN box b ON p.slide_id = b.slide_id
           WHERE p.x / 16.0 <= bx2 AND p.x / 16.0 + 4 >= bx1 AND p.y / 16.0 <= by2 AND p.y / 16.0 + 4 >= by1), {_VALID} {_PLACED}
     """,
-    "mask_boxes": f"WITH {_CELLS} SELECT slide_id, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2 FROM cells GROUP BY slide_id",
+    "mask_boxes": f"""WITH {_CELLS}, every AS (SELECT slide_id FROM cells UNION SELECT slide_id FROM slide_levels WHERE slide_id IS NOT NULL)
+        SELECT slide_id, coalesce(min(x), 0) AS x1, coalesce(min(y), 0) AS y1, coalesce(max(x), 0) AS x2, coalesce(max(y), 0) AS y2 FROM every LEFT JOIN cells USING (slide_id) GROUP BY slide_id
+    """,
     "mask_outline": f"""WITH {_CELLS}
         SELECT c.* FROM cells c WHERE (
           SELECT count(*) FROM cells d WHERE d.slide_id = c.slide_id AND ((d.x = c.x AND abs(d.y - c.y) = 1) OR (d.y = c.y AND abs(d.x - c.x) = 1))) < 4
@@ -223,6 +252,13 @@ ORACLES: dict[str, str] = {
         SELECT annotation_id, ann_type AS user_label, CASE WHEN vendor = 'sedeen' THEN substr(ann_color, 1, greatest(length(ann_color) - 2, 0)) ELSE lower(ann_color) END AS color,
                CASE WHEN coordinates IS NULL THEN NULL WHEN need = 4 AND n <> 4 THEN ann_type || ' needs 4 points' WHEN need = 3 AND n < 3 THEN ann_type || ' needs 3 points or more' END AS problem FROM k
     """,
+    "region_native": f"WITH {_READ.format(known='true')} {_summed('pixel', 16, True)}",
+    "region_tile_mode": f"WITH {_READ.format(known='mpp0 IS NOT NULL')}, {_halved('CASE WHEN pads THEN 255 ELSE 0 END')} {_summed('half', 8, False)}",
+    "region_wsi_mode": f"WITH {_READ.format(known='mpp0 IS NOT NULL')}, {_halved('0')} {_summed('half', 8, True)}",
+    "class_bytes": f"""WITH {_RASTER}
+        SELECT slide_id, CAST(rw AS INTEGER) AS w, CAST(rh AS INTEGER) AS h, count(CASE WHEN v > 0 THEN 1 END) AS n, CAST(coalesce(sum(v), 0) AS BIGINT) AS total
+        FROM (SELECT DISTINCT slide_id, rw, rh FROM out) LEFT JOIN (SELECT slide_id, floor(round(prob, 9) * 255) AS v FROM cell WHERE class = 0) USING (slide_id) GROUP BY slide_id, rw, rh
+    """,
     "patch_predictions": "SELECT patch_id, round((patch_id % 256) / 255.0::DOUBLE / 2, 4) AS p0, round((1 - (patch_id % 256) / 255.0::DOUBLE) / 2, 4) AS p1 FROM patches",
     "mean_maps": f"WITH {_RASTER} SELECT slide_id, class, x, y, round(avg(CASE WHEN class = 0 THEN v ELSE (1 - v)::FLOAT END), 4) AS prob FROM laid GROUP BY ALL",
     "mean_probability": f"WITH {_RASTER} SELECT slide_id, class, x, y, round(prob, 6) AS prob FROM cell",

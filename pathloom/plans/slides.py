@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.functions import geometry, scalars
-from pathloom.operators import extract, heatmap, inference, masks, patches, pyramid, regions, sampling
+from pathloom.functions import codecs, geometry, scalars
+from pathloom.operators import extract, heatmap, inference, masks, outputs, patches, pixels, pyramid, regions, sampling
+from pathloom.operators.skew import lookup_join
 from pathloom.runtime import cut_lineage, table
 from pathloom.sources import annotations
+from pathloom.sources.slides import TILES, cut_tiles
 from pathloom.streaming import patches as streams
 
 #: Level-0 pixels of a mask cell, and of a raster cell, in these queries.
@@ -76,7 +79,8 @@ def tiff_resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def location_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions of 512 pixels at level 0 that begin 256 left of and above each point."""
-    p = table(spark, sf_dir, "points").select("point_id", "slide_id", (F.col("x") - 256).alias("x"), (F.col("y") - 256).alias("y")).distinct().join(_pyramids(spark, sf_dir), "slide_id")
+    p = table(spark, sf_dir, "points").select("point_id", "slide_id", (F.col("x") - 256).alias("x"), (F.col("y") - 256).alias("y")).distinct()
+    p = lookup_join(p, _pyramids(spark, sf_dir), ["slide_id"])
     size, one = F.lit(512), F.lit(1.0)
     x, y = F.col("x"), F.col("y")
     return p.select("point_id", pyramid.location_valid(x, y, size, size, one).alias("valid"), pyramid.needs_padding(x, y, size, size, one).alias("pads"))
@@ -141,7 +145,8 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mask_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return masks.bounding_boxes(_cells(spark, sf_dir))
+    """The foreground's box of every slide, empty masks too."""
+    return masks.bounding_boxes(_cells(spark, sf_dir), _levels(spark, sf_dir).select("slide_id").dropna())
 
 
 def mask_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,15 +321,84 @@ def annotation_ellipses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each patch on its slide's raster of 64-pixel cells."""
     zero = _pyramids(spark, sf_dir).select("slide_id", *[F.floor(pyramid.of_level(F.lit(0), c) / RASTER_CELL).alias(f"raster_{c[0]}") for c in ("width", "height")])
-    p = _patches(spark, sf_dir).join(zero, "slide_id")
+    p = lookup_join(_patches(spark, sf_dir), zero, ["slide_id"])
     return p.select("patch_id", "slide_id", *[F.floor(F.col(c) / RASTER_CELL).alias(f"p{c}") for c in "xy"], F.bround(F.col("w") / RASTER_CELL, 0).cast("long").alias("psize"), "raster_w", "raster_h")
 
 
 def _probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of an output of two classes for each patch."""
     value = (F.col("patch_id") % 100) / 100.0
-    outputs = _footprints(spark, sf_dir).withColumns({"shape": F.array(F.lit(2)), "output": F.array(value, 1 - value)})
-    return inference.stitch(outputs, classes=2)
+    values = _footprints(spark, sf_dir).withColumns({"shape": F.array(F.lit(2)), "output": F.array(value, 1 - value)})
+    return inference.stitch(values, classes=2)
+
+
+def class_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class images of each slide, read back: how many pixels are set, and their sum."""
+    probabilities = cut_lineage(_probabilities(spark, sf_dir).withColumn("prob", F.round("prob", 9)))
+    sizes = _footprints(spark, sf_dir).select("slide_id", F.col("raster_w").cast("int").alias("width"), F.col("raster_h").cast("int").alias("height")).distinct()
+    images = outputs.class_images(probabilities, sizes, of_class=0)
+
+    @F.pandas_udf("struct<w:int,h:int,n:long,total:long>")
+    def summed(png: pd.Series) -> pd.DataFrame:
+        read = [codecs.read_png(p)[:, :, 0] for p in png]
+        return pd.DataFrame({"w": [a.shape[1] for a in read], "h": [a.shape[0] for a in read], "n": [int((a > 0).sum()) for a in read], "total": [int(a.sum(dtype=np.int64)) for a in read]})
+
+    return images.select("slide_id", summed("png").alias("s")).select("slide_id", "s.*")
+
+
+#: Level-0 pixels a side of a pixel, and the tile, of the rasters made for region reading.
+PIXEL, RASTER_TILE = 256, 64
+
+
+def _raster(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Tiles and levels of a small image of each slide, a pixel of level 0 for 256 x 256 of the slide's."""
+    zero = _levels(spark, sf_dir).filter((F.col("slide_level") == 0) & F.col("slide_id").isNotNull()).withColumns({c: F.floor(F.col(c) / PIXEL).cast("int") for c in ("width", "height")})
+    levels = zero.groupBy("slide_id", "slide_level").agg(*[F.max(c).alias(c) for c in ("width", "height", "downsample", "mpp", "magnification")])
+
+    def paint(frames):
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                y, x = np.mgrid[r.y : min(r.y + RASTER_TILE, r.height), 0 : r.width]
+                image = np.stack([1 + (7 * x + 13 * y) % 251, 1 + (3 * x + 5 * y) % 241, 1 + (x * y) % 239], axis=2).astype(np.uint8)
+                yield from cut_tiles(r.slide_id, 0, image, RASTER_TILE, r.y)
+
+    rows = levels.select("slide_id", "width", "height", F.explode(F.sequence(F.lit(0), F.col("height") - 1, F.lit(RASTER_TILE))).alias("y"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "slide_id", "y").mapInPandas(paint, TILES), levels
+
+
+def _read_sums(spark: SparkSession, sf_dir: str, size: int, factor: float | None, **reading) -> DataFrame:
+    """Regions of ``size`` pixels at the points, read natively or at ``factor``
+    times the slide's mpp: the sum of each channel."""
+    tiles, levels = _raster(spark, sf_dir)
+    place = lambda c: (F.floor(F.col(c) / (2 * PIXEL)) * 2 - 4).cast("int").alias(c)
+    p = _points(spark, sf_dir).select("slide_id", F.col("seq").alias("region_id"), place("x"), place("y")).dropna()
+    zero = levels.select("slide_id", "mpp")
+    level = F.lit(0 if factor is None else None).cast("int")
+    mpp = F.lit(None).cast("double") if factor is None else F.col("mpp") * factor
+    requests = lookup_join(p, zero, ["slide_id"]).select("slide_id", "region_id", "x", "y", level.alias("slide_level"), mpp.alias("mpp"), F.lit(size).alias("w"), F.lit(size).alias("h"))
+    if factor is not None:
+        requests = requests.filter(F.col("mpp").isNotNull())
+    kept = pixels.resolved_regions(requests, levels, mode=reading.get("mode"), check=False).filter("valid").select(*requests.columns)
+    images = pixels.read_regions(kept, tiles, levels, tile=RASTER_TILE, **reading)
+
+    @F.pandas_udf("array<long>")
+    def sums(data: pd.Series) -> pd.Series:
+        return data.map(lambda d: np.frombuffer(d, np.uint8).reshape(-1, 3).sum(axis=0, dtype=np.int64))
+
+    return images.select(F.col("region_id").alias("point_id"), "width", "height", sums("data").alias("s")).select("point_id", "width", "height", *[F.col("s")[i].alias(f"sum_{c}") for i, c in enumerate("rgb")])
+
+
+def region_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read_sums(spark, sf_dir, 16, None)
+
+
+def region_tile_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read_sums(spark, sf_dir, 8, 2.0, mode="tile", method="BOX")
+
+
+def region_wsi_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read_sums(spark, sf_dir, 8, 2.0, mode="wsi", method="BOX")
 
 
 def patch_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,8 +421,8 @@ def mean_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of a 2 x 2 map a class for each patch, brought to its footprint."""
     at = lambda y, x: ((F.col("patch_id") + 7 * y + 13 * x) % 100 / 100.0).cast("float")
     first = [at(y, x) for y in (0, 1) for x in (0, 1)]
-    outputs = _footprints(spark, sf_dir).withColumns({"shape": F.array(F.lit(2), F.lit(2), F.lit(2)), "output": F.array(*first, *[(1 - v).cast("float") for v in first])})
-    return inference.stitch(outputs, classes=2, maps=True, interpolation="nearest").select("slide_id", "class", "x", "y", F.round("prob", 4).alias("prob"))
+    values = _footprints(spark, sf_dir).withColumns({"shape": F.array(F.lit(2), F.lit(2), F.lit(2)), "output": F.array(*first, *[(1 - v).cast("float") for v in first])})
+    return inference.stitch(values, classes=2, maps=True, interpolation="nearest").select("slide_id", "class", "x", "y", F.round("prob", 4).alias("prob"))
 
 
 def mean_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -406,6 +480,6 @@ QUERIES = {
         polygon_areas, polygon_grid, polygon_grid_labels, polygon_random, polygon_points, polygon_poisson, polygon_poisson_spread, mask_boxes, mask_outline,
         whole_grid, whole_random, whole_points, whole_poisson_spread, inverted_grid, inverted_random, inverted_points, inverted_poisson_spread, region_relations, box_relations,
         patch_distinct, patch_label_counts, patch_pool_counts, patch_included, patch_problems, patch_numbers, patch_sets, patch_files, patch_files_by_label, annotation_rows, annotation_ellipses,
-        patch_predictions, mean_maps, mean_probability, probability_range, heatmap_pixels, tissue_hsv, tissue_lab, tissue_otsu, tissue_cleaned, saved_windows, saved_sessions,
+        region_native, region_tile_mode, region_wsi_mode, class_bytes, patch_predictions, mean_maps, mean_probability, probability_range, heatmap_pixels, tissue_hsv, tissue_lab, tissue_otsu, tissue_cleaned, saved_windows, saved_sessions,
     )
 }

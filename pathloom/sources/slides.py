@@ -26,7 +26,7 @@ from pathloom.sources.files import Ranged, split_uri
 
 TILE = 256
 _OPENED = "slide_id string, path string, lib string, props map<string,string>, sizes array<struct<width:int,height:int>>"
-_TILES = "slide_id string, slide_level int, tx int, ty int, x0 int, y0 int, width int, height int, data binary"
+TILES = "slide_id string, slide_level int, tx int, ty int, x0 int, y0 int, width int, height int, data binary"
 
 
 def _open(path: str, lib: str) -> tuple[dict[str, str], list[tuple[int, int]]]:
@@ -104,7 +104,7 @@ def tiles(spark: SparkSession, path: str, *, backend: str = "tiffslide", tile: i
             for r in frame.itertuples(index=False):
                 yield from cut_tiles(r.slide_id, r.slide_level, _rows_of(r.path, lib, r.slide_level, r.y, r.y2, r.w)[:, :, :3], tile, r.y)
 
-    return wanted.repartition(n, "path", "slide_level", "y").mapInPandas(run, _TILES)
+    return wanted.repartition(n, "path", "slide_level", "y").mapInPandas(run, TILES)
 
 
 def cut_tiles(slide_id: str, level: int, image: np.ndarray, tile: int = TILE, top: int = 0) -> Iterator[pd.DataFrame]:
@@ -116,7 +116,7 @@ def cut_tiles(slide_id: str, level: int, image: np.ndarray, tile: int = TILE, to
         for x in range(0, w, tile):
             part = image[y : y + tile, x : x + tile]
             rows.append((slide_id, level, x // tile, (top + y) // tile, x, top + y, part.shape[1], part.shape[0], np.ascontiguousarray(part).tobytes()))
-        yield pd.DataFrame(rows, columns=[f.split()[0] for f in _TILES.split(", ")])
+        yield pd.DataFrame(rows, columns=[f.split()[0] for f in TILES.split(", ")])
 
 
 class LevelsSource(DataSource):

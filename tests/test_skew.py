@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from conftest import rows
-from pathloom.operators.skew import BUCKETS, eager_join_aggregate, hot_buckets, later_repeats, salted_join, with_salts
+from pathloom.operators.skew import BUCKETS, eager_join_aggregate, hot_buckets, later_repeats, lookup_join, salted_join, with_salts
 
 PATCH = "patch_id long, wsi_file string, x long, label string, _n int, _first string"
 KEY = ["wsi_file", "x", "label"]
@@ -55,3 +55,23 @@ def test_eager_join_aggregate_equals_the_join(spark):
     assert rows(got) == rows(joined)
     assert eager_join_aggregate(left.limit(0), right, ["k"]).count() == 0
     assert ("n_pairs" in got.columns) and got.filter("k is null").count() == 0
+
+
+def test_lookup_join_is_the_same_either_way(spark):
+    left = spark.createDataFrame([(i, "hot" if i % 2 else f"s{i % 40}", {"k": i}) for i in range(300)] + [(900, None, None)], "id int, slide_id string, m map<string,int>")
+    right = spark.createDataFrame([("hot", 1), ("s0", 2), ("s8", 3), (None, 4)], "slide_id string, v int")
+    for null_safe in (False, True):
+        same = F.col("slide_id").eqNullSafe(F.col("o")) if null_safe else F.col("slide_id") == F.col("o")
+        want = rows(left.join(right.withColumnRenamed("slide_id", "o"), same).select("id", "slide_id", "v"))
+        for most in (2, 100):
+            got = lookup_join(left, right, ["slide_id"], null_safe=null_safe, most=most, hot_rows=20)
+            assert rows(got.select("id", "slide_id", "v")) == want
+
+
+def test_a_hot_slide_is_spread_over_tasks(spark):
+    left = spark.range(4000).select("id", F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise(F.concat(F.lit("s"), F.col("id"))).alias("slide_id"))
+    right = left.select("slide_id").distinct()
+    joined = lookup_join(left, right, ["slide_id"], most=10, hot_rows=200).filter("slide_id = 'hot'")
+    assert joined.count() == 2000
+    with_part = joined.groupBy(F.spark_partition_id()).count().collect()
+    assert len(with_part) > 1 and max(r["count"] for r in with_part) < 2000
