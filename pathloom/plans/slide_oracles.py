@@ -327,6 +327,7 @@ ORACLES: dict[str, str] = {
         v AS (SELECT slide_id, gray, CASE WHEN na > n0 THEN n0::DOUBLE * (na - n0)::DOUBLE * (s0::DOUBLE / n0 - (sa - s0)::DOUBLE / (na - n0)) * (s0::DOUBLE / n0 - (sa - s0)::DOUBLE / (na - n0)) ELSE 0 END AS v FROM c)
         SELECT slide_id, gray AS threshold FROM v QUALIFY row_number() OVER (PARTITION BY slide_id ORDER BY v DESC, gray) = 1
     """,
+    "stream_first_arrivals": "SELECT DISTINCT slide_id, x, y, w, h, label FROM patches",
     "saved_windows": """
         SELECT time_bucket(INTERVAL 1 HOUR, saved_at) AS start, time_bucket(INTERVAL 1 HOUR, saved_at) + INTERVAL 1 HOUR AS "end", slide_id, label, count(*) AS n
         FROM patches WHERE saved_at IS NOT NULL AND slide_id IS NOT NULL GROUP BY ALL

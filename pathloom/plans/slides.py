@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pathloom.functions import codecs, geometry, scalars
 from pathloom.operators import extract, heatmap, inference, masks, outputs, patches, pixels, pyramid, regions, sampling
 from pathloom.operators.skew import lookup_join
-from pathloom.runtime import cut_lineage, table
+from pathloom.runtime import cut_lineage, shared_folder, table
 from pathloom.sources import annotations
 from pathloom.sources.slides import TILES, cut_tiles
 from pathloom.streaming import patches as streams
@@ -473,6 +473,15 @@ def saved_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.sessions(_patches(spark, sf_dir).filter(F.col("slide_id").isNotNull()), gap="5 minutes")
 
 
+def stream_first_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The patches as a stream without repeats, stored and read back."""
+    schema = _patches(spark, sf_dir).schema
+    arriving = streams.arriving(spark, sf_dir, schema, names="patches.parquet").withColumn("saved_at", F.col("saved_at").cast("timestamp"))  # a watermark needs a zone
+    folder = shared_folder(spark, "arrivals")
+    streams.store(streams.first_arrivals(arriving), f"{folder}/rows", f"{folder}/state").awaitTermination()
+    return spark.read.schema(arriving.schema).parquet(f"{folder}/rows").select(*streams.PATCH_KEY)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -480,6 +489,6 @@ QUERIES = {
         polygon_areas, polygon_grid, polygon_grid_labels, polygon_random, polygon_points, polygon_poisson, polygon_poisson_spread, mask_boxes, mask_outline,
         whole_grid, whole_random, whole_points, whole_poisson_spread, inverted_grid, inverted_random, inverted_points, inverted_poisson_spread, region_relations, box_relations,
         patch_distinct, patch_label_counts, patch_pool_counts, patch_included, patch_problems, patch_numbers, patch_sets, patch_files, patch_files_by_label, annotation_rows, annotation_ellipses,
-        region_native, region_tile_mode, region_wsi_mode, class_bytes, patch_predictions, mean_maps, mean_probability, probability_range, heatmap_pixels, tissue_hsv, tissue_lab, tissue_otsu, tissue_cleaned, saved_windows, saved_sessions,
+        region_native, region_tile_mode, region_wsi_mode, class_bytes, patch_predictions, mean_maps, mean_probability, probability_range, heatmap_pixels, tissue_hsv, tissue_lab, tissue_otsu, tissue_cleaned, saved_windows, saved_sessions, stream_first_arrivals,
     )
 }

@@ -16,9 +16,9 @@ from pyspark.sql.streaming import StreamingQuery
 PATCH_KEY = ("slide_id", "x", "y", "w", "h", "label")
 
 
-def arriving(spark: SparkSession, folder: str, schema, *, files_a_batch: int = 100) -> DataFrame:
-    """Parquet files as they are added to ``folder``."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(folder)
+def arriving(spark: SparkSession, folder: str, schema, *, files_a_batch: int = 100, names: str = "*") -> DataFrame:
+    """Parquet files as they are added to ``folder``; ``names`` is a pattern of theirs."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).option("pathGlobFilter", names).parquet(folder)
 
 
 def first_arrivals(stream: DataFrame, *, key: Sequence[str] = PATCH_KEY, time: str = "saved_at", delay: str = "1 hour") -> DataFrame:

@@ -60,10 +60,15 @@ def test_rounding_keeps_patches_on_the_edge(spark):
     assert sampling.sample(sampling.grid_candidates(r, p, 1), p).count() == 81
 
 
-def test_large_slide(spark):
+#: Patch size, stride and count of the published workloads on a slide of 27818 x 31316 pixels.
+WORKLOADS = [(256, 1.0, 13_176), (256, 0.5, 52_488), (256, 0.25, 209_466), (65, 1.0, 205_387)]
+
+
+@pytest.mark.parametrize("size,stride,count", WORKLOADS)
+def test_large_slide(spark, size, stride, count):
     cells = full_mask(spark, 1738, 1957)
-    p = Patches(256, mask_factor=16.003898842372223)
-    assert sampling.sample(sampling.grid_candidates(regions.whole_mask_regions(cells), p, 1), p, cells).count() == 108 * 122
+    p = Patches(size, mask_factor=16.003898842372223)
+    assert sampling.sample(sampling.grid_candidates(regions.whole_mask_regions(cells), p, stride), p, cells).count() == count
 
 
 def test_random_poisson_and_points(spark, board):
