@@ -60,6 +60,13 @@ def one_list_each(value: Sequence, name: str, count: int) -> list[list]:
     return [list(value)] * count
 
 
+def no_reserved(args: dict, reserved: Sequence[str] = ("wsi_file", "mask_data", "slide_id", "cells")) -> None:
+    """Parameters for many slides can't name what is given slide by slide."""
+    for name in args:
+        if name in reserved:
+            raise ValueError(f"incorrect parameter for many slides: {name}")
+
+
 def only_one_of(included: Sequence[str], excluded: Sequence[str]) -> None:
     if included and excluded:
         raise ValueError("only one of included and excluded labels can be given")

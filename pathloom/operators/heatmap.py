@@ -23,10 +23,23 @@ MAPS: dict[str, tuple[Sequence[tuple[float, float]], ...]] = {
     "cool": (_GREY, ((0.0, 1.0), (1.0, 0.0)), ((0.0, 1.0), (1.0, 1.0))),
     "autumn": (((0.0, 1.0), (1.0, 1.0)), _GREY, ((0.0, 0.0), (1.0, 0.0))),
     "winter": (((0.0, 0.0), (1.0, 0.0)), _GREY, ((0.0, 1.0), (1.0, 0.5))),
+    "spring": (((0.0, 1.0), (1.0, 1.0)), _GREY, ((0.0, 1.0), (1.0, 0.0))),
+    "summer": (_GREY, ((0.0, 0.5), (1.0, 1.0)), ((0.0, 0.4), (1.0, 0.4))),
+    "copper": (((0.0, 0.0), (0.809524, 1.0), (1.0, 1.0)), ((0.0, 0.0), (1.0, 0.7812)), ((0.0, 0.0), (1.0, 0.4975))),
+    "bone": (((0.0, 0.0), (0.746032, 0.652778), (1.0, 1.0)), ((0.0, 0.0), (0.365079, 0.319444), (0.746032, 0.777778), (1.0, 1.0)), ((0.0, 0.0), (0.365079, 0.444444), (1.0, 1.0))),
 }
 _STEPS = 256
 
 
+def add_map(name: str, red: Sequence[tuple[float, float]], green: Sequence[tuple[float, float]], blue: Sequence[tuple[float, float]]) -> None:
+    """A colour map of one's own: (place, value) knots a channel, from 0 to 1."""
+    for knots in (red, green, blue):
+        places = [p for p, _ in knots]
+        if places != sorted(places) or (places[0], places[-1]) != (0.0, 1.0):
+            raise ValueError("knots go from 0 to 1 in order")
+    MAPS[name] = (tuple(red), tuple(green), tuple(blue))
+
+
 def _channel(at: Column, knots: Sequence[tuple[float, float]]) -> Column:
     value = F.lit(knots[-1][1])
     for (x0, y0), (x1, y1) in reversed(list(zip(knots, knots[1:]))):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import tempfile
 import uuid
 
@@ -59,3 +60,17 @@ def discard(spark: SparkSession, path: str) -> None:
     """Delete a table that ``written`` made, once nothing reads it any more."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def log(text: str, slide: str | None = None) -> None:
+    """A message of the package's logger, with the slide before it. Where it goes
+    (screen, file or nowhere) is set on the logger "pathloom"."""
+    logging.getLogger("pathloom").info("%s: %s" if slide else "%.0s%s", slide or "", text)
+
+
+def log_to(place: str | None) -> None:
+    """Send messages to the screen ("screen"), to a file, or nowhere (None)."""
+    logger = logging.getLogger("pathloom")
+    logger.handlers[:] = [logging.NullHandler() if place is None else logging.StreamHandler() if place == "screen" else logging.FileHandler(place)]
+    logger.setLevel(logging.INFO)
+    logger.propagate = False

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions.geometry import ellipse_ring
 from pathloom.functions.scalars import asap_color, sedeen_color
+from pathloom.operators.extract import save_bytes
 
 _ASAP = "Annotations struct<Annotation:array<struct<_Name:string,_Type:string,_PartOfGroup:string,_Color:string,Coordinates:struct<Coordinate:array<struct<_X:string,_Y:string>>>>>>"
 _SEDEEN = "image struct<_identifier:string,overlays:struct<graphic:array<struct<_type:string,_name:string,_description:string,pen:struct<_color:string>,`point-list`:struct<point:array<string>>>>>>"
@@ -136,6 +137,8 @@ def polygons_json(polygons: DataFrame, key: str = "path") -> DataFrame:
     return polygons.groupBy(key).agg(F.to_json(F.transform(F.array_sort(F.collect_list(one)), lambda s: s["p"]), {"ignoreNullFields": "false"}).alias("text"))
 
 
-def write_polygons_json(polygons: DataFrame, folder: str, key: str = "path") -> None:
-    """One JSON text for each key, in a subfolder named after it."""
-    polygons_json(polygons, key).write.partitionBy(key).text(folder)
+def write_polygons_json(polygons: DataFrame, folder: str, key: str = "path") -> DataFrame:
+    """``<key>.json`` for each key under ``folder``; (path, n_bytes) of the files,
+    lazily: evaluate it once, by storing it."""
+    named = polygons_json(polygons, key).select(F.concat(F.lit(f"{folder}/"), F.col(key), F.lit(".json")).alias("path"), F.col("text").cast("binary").alias("data"))
+    return save_bytes(named, "data")

@@ -10,12 +10,12 @@ columns.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -57,10 +57,25 @@ def _listed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(slide_key(F.col("path")).alias("slide_id"), "path")
 
 
-def read_slides(spark: SparkSession, path: str, *, backend: str = "tiffslide", external_mpp: float | None = None) -> DataFrame:
+def mpp_of_properties(props: Column) -> tuple[Column, Column]:
+    """mpp of both axes as the properties state it."""
+    return tuple(F.try_element_at(props, F.lit(f"openslide.mpp-{a}")).try_cast("double") for a in "xy")
+
+
+def mpp_of_resolution(props: Column) -> tuple[Column, Column]:
+    """mpp of both axes from a TIFF's pixels a centimetre."""
+    p = lambda n: F.try_element_at(props, F.lit(n))
+    return tuple(centimeter_mpp(p("tiff.ResolutionUnit"), p(f"tiff.{a}Resolution")) for a in "XY")
+
+
+#: Where mpp comes from, in this order; the external value comes last.
+MPP_SOURCES = (mpp_of_properties, mpp_of_resolution)
+
+
+def read_slides(spark: SparkSession, path: str, *, backend: str = "tiffslide", external_mpp: float | None = None, mpp_sources: Sequence[Callable[[Column], tuple[Column, Column]]] = MPP_SOURCES) -> DataFrame:
     """(slide_id, path, name, lib, props, magnification, mpp, sizes) of the
-    files under ``path``. mpp: from properties, else from the TIFF resolution in
-    centimetres, else external. A backend without decoder is an error."""
+    files under ``path``. mpp: from the first of ``mpp_sources`` that has both
+    axes, else external. A backend without decoder is an error."""
     lib = BACKENDS.get(backend)
     if lib is None or lib == "table":
         raise ValueError(f"backend {backend} has no decoder here: give its slides as a table")
@@ -71,9 +86,8 @@ def read_slides(spark: SparkSession, path: str, *, backend: str = "tiffslide", e
             opened = [_open(c, lib) for c in frame.path]
             yield pd.DataFrame({"slide_id": frame.slide_id, "path": frame.path, "lib": lib, "props": [o[0] for o in opened], "sizes": [[{"width": w, "height": h} for w, h in o[1]] for o in opened]})
 
-    p = lambda n: F.try_element_at("props", F.lit(n))
-    axis = lambda a: [p(f"openslide.mpp-{a.lower()}").try_cast("double"), centimeter_mpp(p("tiff.ResolutionUnit"), p(f"tiff.{a}Resolution"))]
-    return files.mapInPandas(run, _OPENED).select("slide_id", "path", slide_name(F.col("path")).alias("name"), "lib", "props", magnification(F.col("props")).alias("magnification"), resolve_mpp(axis("X"), axis("Y"), external_mpp).alias("mpp"), "sizes")
+    found = [source(F.col("props")) for source in mpp_sources]
+    return files.mapInPandas(run, _OPENED).select("slide_id", "path", slide_name(F.col("path")).alias("name"), "lib", "props", magnification(F.col("props")).alias("magnification"), resolve_mpp([x for x, _ in found], [y for _, y in found], external_mpp).alias("mpp"), "sizes")
 
 
 def slide_levels(slides: DataFrame) -> DataFrame:

@@ -132,8 +132,8 @@ def test_json_polygons(spark, tmp_path):
         annotations.json_polygons(texts).collect()
     again = annotations.json_polygons(annotations.polygons_json(found).select("path", "text"), strict=False)
     assert rows(again) == rows(found)
-    annotations.write_polygons_json(found, str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out")).count() == 1
+    written = annotations.write_polygons_json(found, str(tmp_path / "out")).collect()
+    assert [(r.path, r.n_bytes) for r in written] == [(str(tmp_path / "out" / "g.json"), (tmp_path / "out" / "g.json").stat().st_size)]
     project = '[{"image": "i", "annotations": [{"type": "Polygon", "name": "n", "points": [[1, 2]]}, {"type": "LineString", "name": "l", "points": [[1, 2]]}]}]'
     assert rows(annotations.project_polygons(spark.createDataFrame([("p", project)], "path string, text string")).select("image", "label")) == [("i", "n")]
 
