@@ -25,7 +25,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The values without an entry, and how many annotations have them."""
-    return p3_mapped(spark, sf_dir).filter(F.col("group_id") == 0).groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best_score"))
+    return p3_mapped(spark, sf_dir).filter(F.col("group_id") == 0).groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 6).alias("best_score"))
 
 
 def _related(spark: SparkSession, sf_dir: str) -> DataFrame:
