@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pathloom.llm import bpe, canonical, chunking, leakage, splits
 from pathloom.llm.sql import ORACLES
-from pathloom.runtime import table
+from pathloom.runtime import cut_lineage, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -42,6 +42,14 @@ def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign_splits(slides, _related(spark, sf_dir), SPLITS, node="slide_id")
 
 
+def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slides and groups of each split, and the slides' share of all."""
+    counts = p6_splits(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("n_slides"), F.countDistinct("group_id").alias("n_groups"))
+    counts = cut_lineage(counts)
+    total = counts.agg(F.sum("n_slides").alias("total"))  # one row
+    return counts.crossJoin(F.broadcast(total)).select("split", "n_slides", "n_groups", F.round(F.col("n_slides") / F.col("total"), 6).alias("share"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -64,4 +72,4 @@ def p10_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_pieces(spark, sf_dir).filter(F.col("piece_no") > 0).groupBy("cut").agg(F.count(F.lit(1)).alias("n"), F.min(new).alias("fewest_new"), F.avg(new).alias("mean_new"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_unmatched, p6_found, p6_splits, p8_ids, p9_found, p9_leaks, p10_pieces, p10_cuts)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_unmatched, p6_found, p6_splits, p6_shares, p8_ids, p9_found, p9_leaks, p10_pieces, p10_cuts)}

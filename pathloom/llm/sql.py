@@ -15,6 +15,14 @@ reach(slide_id, other) AS (
   UNION
   SELECT r.slide_id, b.slide_id FROM reach r JOIN member a ON r.other = a.slide_id JOIN member b ON a.k = b.k)"""
 
+_SPLITS = f"""{_REACH},
+        slide AS (SELECT slide_id FROM slide_levels UNION SELECT slide_id FROM polygons),
+        grouped AS (SELECT s.slide_id, coalesce(min(r.other), s.slide_id) AS group_id FROM slide s LEFT JOIN reach r USING (slide_id) WHERE s.slide_id IS NOT NULL GROUP BY s.slide_id),
+        share(name, weight) AS (VALUES ('train', 0.70::DOUBLE), ('validation', 0.15), ('test', 0.15)),
+assigned AS (
+        SELECT slide_id, group_id, arg_max(name, -weight / ln((('0x' || md5(group_id || '|' || name)[1:12])::BIGINT + 0.5) / 281474976710656.0::DOUBLE)) AS split
+        FROM grouped, share GROUP BY slide_id, group_id)"""
+
 _CANONICAL = r"""stated AS (
   SELECT DISTINCT annotation_id,
     CASE WHEN trim(o) <> '' AND lower(trim(o)) <> 'none' THEN own
@@ -63,11 +71,6 @@ ORACLES: dict[str, str] = {
     "p3_found": f"WITH {_CANONICAL} SELECT DISTINCT annotation_id, group_id FROM stated JOIN chosen USING (value) WHERE annotation_id IS NOT NULL",
     "p3_unmatched": f"WITH {_CANONICAL} SELECT value, n, round(score, 6) AS best_score FROM chosen WHERE group_id = 0",
     "p6_found": f"WITH RECURSIVE {_REACH} SELECT slide_id, min(other) AS group_id FROM reach GROUP BY slide_id HAVING count(*) > 1",
-    "p6_splits": f"""WITH RECURSIVE {_REACH},
-        slide AS (SELECT slide_id FROM slide_levels UNION SELECT slide_id FROM polygons),
-        grouped AS (SELECT s.slide_id, coalesce(min(r.other), s.slide_id) AS group_id FROM slide s LEFT JOIN reach r USING (slide_id) WHERE s.slide_id IS NOT NULL GROUP BY s.slide_id),
-        share(name, weight) AS (VALUES ('train', 0.70::DOUBLE), ('validation', 0.15), ('test', 0.15))
-        SELECT slide_id, group_id, arg_max(name, -weight / ln((('0x' || md5(group_id || '|' || name)[1:12])::BIGINT + 0.5) / 281474976710656.0::DOUBLE)) AS split
-        FROM grouped, share GROUP BY slide_id, group_id
-    """,
+    "p6_splits": f"WITH RECURSIVE {_SPLITS} SELECT * FROM assigned",
+    "p6_shares": f"WITH RECURSIVE {_SPLITS} SELECT split, count(*) AS n_slides, count(DISTINCT group_id) AS n_groups, round(count(*) / (SELECT count(*) FROM assigned)::DOUBLE, 6) AS share FROM assigned GROUP BY split",
 }

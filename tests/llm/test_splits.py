@@ -67,3 +67,18 @@ def test_rendezvous_shares_and_stability(spark):
     assert df.filter("s <> more and more <> 'test'").count() == 0
     with pytest.raises(ValueError):
         splits.rendezvous(F.col("id"), {"train": 0.0})
+
+
+def test_shares_over_components_of_uneven_size(spark):
+    """Whole components go to a split; over many components the slides' shares are the wanted ones."""
+    rng = random.Random(12)
+    data, n = [], 0
+    for g in range(4000):
+        size = rng.choice([1, 1, 2, 3, 8])
+        data += [(n + i, n) for i in range(size)]
+        n += size
+    grouped = spark.createDataFrame(data, "node long, component long")
+    out = splits.assign_splits(grouped, grouped, {"train": 0.7, "validation": 0.15, "test": 0.15}, node="node")
+    shares = {r.split: r["count"] / n for r in out.groupBy("split").count().collect()}
+    assert abs(shares["train"] - 0.7) < 0.03 and abs(shares["validation"] - 0.15) < 0.03 and abs(shares["test"] - 0.15) < 0.03
+    assert out.groupBy("group_id").agg(F.countDistinct("split").alias("k")).filter("k > 1").count() == 0
