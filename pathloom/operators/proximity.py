@@ -27,12 +27,6 @@ def _clean(ring: Column) -> Column:
     return F.filter(ring, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
 
 
-def _edges(xs: Column, ys: Column) -> Column:
-    """The edges of a closed ring, from its coordinates."""
-    ends = lambda v: F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0)))
-    return F.transform(ends(xs), lambda x, i: F.struct(F.get(xs, i).alias("x1"), F.get(ys, i).alias("y1"), x.alias("x2"), F.get(ys, i + 1).alias("y2")))
-
-
 def _closed(ring: Column) -> Column:
     return F.concat(ring, F.slice(ring, 1, 1))
 
@@ -56,26 +50,35 @@ def in_covered(df: DataFrame, bitmap: DataFrame, *keys: Column, bits: int = CELL
     return near.filter(set_here).drop("_at", "_word", "_mask")
 
 
-def _near(edges: Column, x: Column, y: Column, radius: float) -> Column:
-    def close(e: Column) -> Column:
-        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+def _edges(xs: Column) -> Column:
+    """The places in a closed ring's coordinates at which its edges begin."""
+    return F.sequence(F.lit(0), F.size(xs) - 2)
+
+
+def _near(xs: Column, ys: Column, x: Column, y: Column, radius: float) -> Column:
+    """Whether the point is within the radius of an edge of a closed ring."""
+    def close(i: Column) -> Column:
+        x1, y1, x2, y2 = F.get(xs, i), F.get(ys, i), F.get(xs, i + 1), F.get(ys, i + 1)
+        dx, dy = x2 - x1, y2 - y1
         length = dx * dx + dy * dy
-        along = F.when(length > 0, ((x - e["x1"]) * dx + (y - e["y1"]) * dy) / length).otherwise(F.lit(0.0))
+        along = F.when(length > 0, ((x - x1) * dx + (y - y1) * dy) / length).otherwise(F.lit(0.0))
         t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
-        ex, ey = x - (e["x1"] + t * dx), y - (e["y1"] + t * dy)
+        ex, ey = x - (x1 + t * dx), y - (y1 + t * dy)
         # The edge's box, widened by the radius, drops most edges by a few comparisons.
-        beside = (x >= F.least(e["x1"], e["x2"]) - radius) & (x <= F.greatest(e["x1"], e["x2"]) + radius)
-        level = (y >= F.least(e["y1"], e["y2"]) - radius) & (y <= F.greatest(e["y1"], e["y2"]) + radius)
+        beside = (x >= F.least(x1, x2) - radius) & (x <= F.greatest(x1, x2) + radius)
+        level = (y >= F.least(y1, y2) - radius) & (y <= F.greatest(y1, y2) + radius)
         return beside & level & (ex * ex + ey * ey <= radius * radius)
 
-    return F.exists(edges, close)
+    return F.exists(_edges(xs), close)
 
 
-def _inside(edges: Column, x: Column, y: Column) -> Column:
-    def crosses(e: Column) -> Column:
-        return ((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"])
+def _inside(xs: Column, ys: Column, x: Column, y: Column) -> Column:
+    """Even-odd, over the edges of a closed ring; most are dropped by their two heights."""
+    def crosses(i: Column) -> Column:
+        x1, y1, x2, y2 = F.get(xs, i), F.get(ys, i), F.get(xs, i + 1), F.get(ys, i + 1)
+        return ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
 
-    return F.size(F.filter(edges, crosses)) % 2 == 1
+    return F.size(F.filter(_edges(xs), crosses)) % 2 == 1
 
 
 def regions_in_reach(
@@ -103,7 +106,7 @@ def regions_in_reach(
     shapes = (
         polygons.select(F.col(polygon_id).alias("polygon_id"), F.col(group).alias("grp"), _clean(F.col("points")).alias("ext"), "holes")
         .filter(F.col("polygon_id").isNotNull() & F.col("grp").isNotNull() & (F.size("ext") >= 3))
-        .withColumn("holes", F.transform(F.filter(F.coalesce("holes", F.array()), lambda h: h.isNotNull()), _clean))
+        .withColumn("holes", F.filter(F.transform(F.filter(F.coalesce("holes", F.array()), lambda h: h.isNotNull()), _clean), lambda h: F.size(h) > 0))
         .withColumn("all", F.concat(F.col("ext"), F.flatten("holes")))
         .select(
             "polygon_id",
@@ -132,12 +135,13 @@ def regions_in_reach(
     spots = in_covered(spots, bitmap, *map(F.col, key))
     x, y = F.col("px"), F.col("py")
     in_box = (x >= F.col("lox")) & (x <= F.col("hix")) & (y >= F.col("loy")) & (y <= F.col("hiy"))
-    # The edges of a pair are made once, as the only element of an array that the test is mapped over.
-    rings = F.struct(_edges(F.col("ex"), F.col("ey")).alias("ext"), F.transform("hx", lambda xs, i: _edges(xs, F.get("hy", i))).alias("holes"))
-    reached = lambda s: (
-        (_inside(s["ext"], x, y) & ~F.exists(s["holes"], lambda h: _inside(h, x, y)))
-        | _near(s["ext"], x, y, radius)
-        | F.exists(s["holes"], lambda h: _near(h, x, y, radius))
+    holes = F.sequence(F.lit(0), F.size("hx") - 1)
+    of_hole = lambda test: (F.size("hx") > 0) & F.exists(holes, test)
+    ex, ey = F.col("ex"), F.col("ey")
+    reached = (
+        (_inside(ex, ey, x, y) & ~of_hole(lambda k: _inside(F.get("hx", k), F.get("hy", k), x, y)))
+        | _near(ex, ey, x, y, radius)
+        | of_hole(lambda k: _near(F.get("hx", k), F.get("hy", k), x, y, radius))
     )
     pairs = salted_join(spots, shapes, key, spread_by=["point_id"], hot_rows=hot_rows)
-    return pairs.filter(in_box).filter(F.exists(F.array(rings), reached)).select("point_id", "polygon_id").distinct()
+    return pairs.filter(in_box).filter(reached).select("point_id", "polygon_id").distinct()
