@@ -61,6 +61,7 @@ class Encoder:
                 if left is not None and right is not None:
                     self._pairs[left << 20 | right] = rank
         self.memo = _Memo(self)
+        self.counts = _Counts(self.memo)
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one piece of the pattern."""
@@ -129,6 +130,21 @@ class _Memo(dict):
         return ids
 
 
+class _Counts(dict):
+    """piece -> number of ids, emptied when full, like the memo it asks."""
+
+    def __init__(self, memo: _Memo):
+        self._memo = memo
+
+    def __missing__(self, piece: str) -> int:
+        count = len(self._memo[piece])
+        if len(piece) <= MEMO_LENGTH:
+            if len(self) >= MEMO_PIECES:
+                self.clear()
+            self[piece] = count
+        return count
+
+
 _encoders: dict[bytes, Encoder] = {}
 
 

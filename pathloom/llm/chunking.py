@@ -139,11 +139,11 @@ class Chunker:
         """(first token, tokens, tokens repeated, kind of the boundary it begins
         at, text) of each piece, in order."""
         words = self.encoder.pieces(text)
-        ids_of = [self.encoder.memo[w] for w in words]
-        counts = np.fromiter(map(len, ids_of), np.int64, len(words))
-        total = int(counts.sum())
+        found = list(map(self.encoder.counts.__getitem__, words))
+        total = sum(found)
         if total <= self.limit:
             return [(0, total, 0, None, text)]
+        counts = np.array(found, np.int64)
         starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))))
         levels = np.full(len(words), WORD, np.int64)
         places, values = boundaries(text)
@@ -151,8 +151,9 @@ class Chunker:
         inside = at < len(words)
         np.maximum.at(levels, at[inside], values[inside])
         fresh = self.limit - self.overlap
+        parts: dict[int, list[int]] = {}  # ids of the units that are parts of a word
         if counts.max() > fresh:
-            counts, levels, words, ids_of, starts = self._parted(counts, levels, words, ids_of, starts, fresh)
+            counts, levels, words, starts, parts = self._parted(counts, levels, words, fresh)
         ends = np.concatenate(([0], np.cumsum(counts)))
         packed = pack(counts, levels, fresh, self.limit)
         kinds = _kinds(levels[[lo for lo, _ in packed]])
@@ -162,11 +163,11 @@ class Chunker:
         for n, (lo, hi) in enumerate(packed):
             own = first[hi] - first[lo]
             back = min(self.overlap, first[lo], max(0, self.limit - own)) if n else 0
-            repeated = self._before(text, ids_of, ends, starts, lo, back)
+            repeated = self._before(text, words, parts, ends, starts, lo, back)
             out.append((first[lo] - back, own + back, back, kinds[n] if n else None, repeated + text[place[lo] : place[hi]]))
         return out
 
-    def _before(self, text: str, ids_of: list, ends: np.ndarray, chars: np.ndarray, lo: int, back: int) -> str:
+    def _before(self, text: str, words: list[str], parts: dict[int, list[int]], ends: np.ndarray, chars: np.ndarray, lo: int, back: int) -> str:
         """The text of the ``back`` tokens before unit ``lo``, without the bytes
         of a character that began earlier."""
         begin = int(ends[lo]) - back
@@ -175,28 +176,32 @@ class Chunker:
         inside = begin - int(ends[at])
         if not inside:
             return text[chars[at] : chars[lo]]
-        part = self.encoder.decode_bytes(ids_of[at][inside:]).decode(errors="ignore")
+        ids = parts[at] if at in parts else self.encoder.memo[words[at]]
+        part = self.encoder.decode_bytes(ids[inside:]).decode(errors="ignore")
         return part + text[chars[at + 1] : chars[lo]]
 
-    def _parted(self, counts, levels, words, ids_of, starts, most):
-        """Words over the limit, such as encoded attachments, as runs of whole characters."""
-        new = [], [], [], [], [0]
-        for count, level, word, ids in zip(counts.tolist(), levels.tolist(), words, ids_of):
-            cuts = [0]
-            if count > most:
-                strings = [self.strings[i] for i in ids]
-                whole = [i for i in range(1, len(ids)) if strings[i][0] & 0xC0 != 0x80]
-                for i in whole:
-                    if i - cuts[-1] >= most // 4:
-                        cuts.append(i)
+    def _parted(self, counts: np.ndarray, levels: np.ndarray, words: list[str], most: int):
+        """Words over the limit, such as encoded attachments, as runs of whole
+        characters; the units' counts, levels, texts and character places, and
+        the ids of those that are parts."""
+        new: tuple[list, list, list] = [], [], []
+        parts: dict[int, list[int]] = {}
+        for count, level, word in zip(counts.tolist(), levels.tolist(), words):
+            if count <= most:
+                for column, value in zip(new, (count, level, word)):
+                    column.append(value)
+                continue
+            ids, cuts = self.encoder.memo[word], [0]
+            for i in range(1, len(ids)):
+                if i - cuts[-1] >= most // 4 and self.strings[ids[i]][0] & 0xC0 != 0x80:
+                    cuts.append(i)
             for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], count])):
-                part = word if len(cuts) == 1 else self.encoder.decode(ids[a:b])
-                new[0].append(b - a)
-                new[1].append(level if k == 0 else TOKEN)
-                new[2].append(part)
-                new[3].append(ids[a:b])
-                new[4].append(new[4][-1] + len(part))
-        return np.array(new[0]), np.array(new[1]), new[2], new[3], np.array(new[4])
+                if len(cuts) > 1:
+                    parts[len(new[0])] = ids[a:b]
+                for column, value in zip(new, (b - a, TOKEN if k else level, word if len(cuts) == 1 else self.encoder.decode(ids[a:b]))):
+                    column.append(value)
+        starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, new[2]), np.int64, len(new[2])))))
+        return np.array(new[0]), np.array(new[1]), new[2], starts, parts
 
 
 def split_documents(
