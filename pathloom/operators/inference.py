@@ -110,25 +110,27 @@ def _laid_out(classes: int, interpolation: str) -> Callable[[Iterator[pa.RecordB
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slides = batch.column("slide_id").dictionary_encode()
-            own, xs, ys, values = [], [], [], []
+            own, values = [], []
             columns = [batch.column(c).to_pylist() for c in ("px", "py", "psize", "raster_w", "raster_h", "shape")]
+            wide, high = (max([1, *batch.column(c).to_pylist()]) for c in ("raster_w", "raster_h"))
+            starts, flat_output = batch.column("output").offsets.to_numpy(), batch.column("output").values.to_numpy(zero_copy_only=False)
+            codes = slides.indices.to_numpy().astype(np.int64)
             for k, (px, py, n, w, h, shape) in enumerate(zip(*columns)):
-                maps = batch.column("output")[k].values.to_numpy(zero_copy_only=False).reshape(shape)
+                maps = flat_output[starts[k] : starts[k + 1]].reshape(shape)
                 a, b, c, d = max(px, 0), min(px + n, w), max(py, 0), min(py + n, h)
-                turned = np.stack([(m if m.shape == (n, n) else zoom(m.astype(float), n, n)).T[a - px : b - px, c - py : d - py] for m in maps])
-                x, y = np.meshgrid(np.arange(a, b), np.arange(c, d), indexing="ij")
-                own.append(np.full(x.size, slides.indices[k].as_py(), np.int64))
-                xs.append(x.ravel())
-                ys.append(y.ravel())
-                values.append(turned.reshape(classes, -1))
+                if maps.shape[1:] != (n, n):
+                    maps = np.stack([zoom(m.astype(float), n, n) for m in maps])
+                own.append((((codes[k] * wide) + np.arange(a, b))[:, None] * high + np.arange(c, d)).ravel())
+                values.append(maps.transpose(0, 2, 1)[:, a - px : b - px, c - py : d - py].reshape(classes, -1))
             if not own:
                 continue
-            keys = np.column_stack([np.concatenate(own), np.concatenate(xs), np.concatenate(ys)])
-            cells, at = np.unique(keys, axis=0, return_inverse=True)
+            cells, at = np.unique(np.concatenate(own), return_inverse=True)
             flat = np.concatenate(values, axis=1)
-            arrays = [slides.dictionary.take(pa.array(cells[:, 0])), pa.array(cells[:, 1]), pa.array(cells[:, 2])]
-            arrays += [pa.array(np.bincount(at.ravel(), flat[c], len(cells))) for c in range(classes)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.bincount(at.ravel(), minlength=len(cells)))], names=["slide_id", "x", "y", *[f"s{c}" for c in range(classes)], "n"])
+            left, y = np.divmod(cells, high)
+            code, x = np.divmod(left, wide)
+            arrays = [slides.dictionary.take(pa.array(code)), pa.array(x), pa.array(y)]
+            arrays += [pa.array(np.bincount(at, flat[c], len(cells))) for c in range(classes)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.bincount(at, minlength=len(cells)))], names=["slide_id", "x", "y", *[f"s{c}" for c in range(classes)], "n"])
 
     return run
 

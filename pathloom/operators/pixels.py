@@ -7,8 +7,11 @@ keys, and put together from those few tiles. A slide is never loaded whole.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ from pathloom.functions.scalars import whole
 from pathloom.operators import pyramid
 from pathloom.operators.skew import HOT_ROWS, lookup_join, salted_join
 
+#: Bytes of images that a result batch holds, about.
+_OUT_BYTES = 8 * 1024 * 1024
 _IMAGE = "region_id bigint, width int, height int, n_channels int, data binary"
 
 
@@ -56,38 +61,56 @@ def read_regions(requests: DataFrame, tiles: DataFrame, levels: DataFrame, *, mo
     """(region_id, width, height, n_channels, data): the raw RGB pixels of each
     request, [y, x, channel]. Pixels beyond the image are black, or white where
     padding applies (before resampling in tile mode, after it in wsi mode).
-    region_id must be unique; a region's own tiles are its group."""
+    region_id must be unique. A task goes through its regions one by one, so only
+    one region's pixels are held."""
     r = resolved_regions(requests, levels, mode=mode, level_zero=level_zero).select("slide_id", "region_id", "w", "h", "read_level", "rx", "ry", "rw", "rh", "pad")
     span = lambda a, n: F.sequence(F.greatest(F.floor(F.col(a) / tile), F.lit(0)), F.greatest(F.floor((F.col(a) + F.col(n) - 1) / tile), F.lit(0)))
     keyed = r.withColumn("tx", F.explode(span("rx", "rw"))).withColumn("ty", F.explode(span("ry", "rh")))
     t = tiles.select("slide_id", F.col("slide_level").alias("read_level"), F.col("tx").cast("long").alias("tx"), F.col("ty").cast("long").alias("ty"), "x0", "y0", F.col("width").alias("tw"), F.col("height").alias("th"), "data")
     joined = salted_join(keyed, t, ["slide_id", "read_level", "tx", "ty"], spread_by=["region_id"], hot_rows=hot_rows)
     pad_first = mode == "tile"
-
-    def build(frame: pd.DataFrame) -> pd.DataFrame:
-        first = frame.iloc[0]
-        image = np.zeros((int(first.rh), int(first.rw), 3), np.uint8)
-        for x0, y0, tw, th, data in zip(frame.x0, frame.y0, frame.tw, frame.th, frame["data"]):
-            if data is None or x0 is None or pd.isna(x0):
-                continue
-            block = np.frombuffer(data, np.uint8).reshape(int(th), int(tw), 3)
-            left, top = int(x0) - int(first.rx), int(y0) - int(first.ry)
-            a, b, c, d = max(left, 0), min(left + int(tw), image.shape[1]), max(top, 0), min(top + int(th), image.shape[0])
-            if a < b and c < d:
-                image[c:d, a:b] = block[c - top : d - top, a - left : b - left]
-        pad = bool(first["pad"]) and not skip_padding
-        resampled = (int(first.rw), int(first.rh)) != (int(first.w), int(first.h))
+    columns = ["region_id", "w", "h", "rx", "ry", "rw", "rh", "pad", "x0", "y0", "tw", "th", "data"]
+    # Each region has a row without a tile, so that one which meets none is there too: all background.
+    none = r.withColumns({"x0": F.lit(None).cast("int"), "y0": F.lit(None).cast("int"), "tw": F.lit(0), "th": F.lit(0), "data": F.lit(None).cast("binary")})
+    parts = joined.select(*columns).unionByName(none.select(*columns)).repartition("region_id").sortWithinPartitions("region_id")
+    schema = pa.schema([("region_id", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("n_channels", pa.int32()), ("data", pa.binary())])
+
+    def finished(image: np.ndarray, region: dict) -> dict:
+        w, h = region["w"], region["h"]
+        pad, resampled = region["pad"] and not skip_padding, (region["rw"], region["rh"]) != (w, h)
         if pad and (pad_first or not resampled):
             image = white_borders(image)
-        image = resize(image, int(first.w), int(first.h), method)
+        image = resize(image, w, h, method)
         if pad and resampled and not pad_first:
             image = white_borders(image)
-        return pd.DataFrame({"region_id": [first.region_id], "width": [int(first.w)], "height": [int(first.h)], "n_channels": [3], "data": [image.tobytes()]})
-
-    # A region that meets no tile is all background.
-    none = r.join(joined.select("region_id").distinct(), "region_id", "left_anti").withColumns({"x0": F.lit(None).cast("int"), "y0": F.lit(None).cast("int"), "tw": F.lit(0), "th": F.lit(0), "data": F.lit(None).cast("binary")})
-    columns = ["region_id", "w", "h", "rx", "ry", "rw", "rh", "pad", "x0", "y0", "tw", "th", "data"]
-    return joined.select(*columns).unionByName(none.select(*columns)).groupBy("region_id").applyInPandas(build, _IMAGE)
+        return {"region_id": region["region_id"], "width": w, "height": h, "n_channels": 3, "data": image.tobytes()}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Regions one after the other, each put together from its tiles."""
+        region, image, done, size = None, None, [], 0
+        for batch in batches:
+            small, tiles_of = batch.drop_columns(["data"]).to_pylist(), batch.column("data")
+            for i, row in enumerate(small):
+                if region is None or row["region_id"] != region["region_id"]:
+                    if region is not None:
+                        done.append(finished(image, region))
+                        size += len(done[-1]["data"])
+                        if size >= _OUT_BYTES:
+                            yield pa.RecordBatch.from_pylist(done, schema)
+                            done, size = [], 0
+                    region, image = row, np.zeros((row["rh"], row["rw"], 3), np.uint8)
+                if row["x0"] is None or not tiles_of[i].is_valid:
+                    continue
+                tw, th = row["tw"], row["th"]
+                block = np.frombuffer(tiles_of[i].as_buffer(), np.uint8).reshape(th, tw, 3)
+                left, top = row["x0"] - row["rx"], row["y0"] - row["ry"]
+                a, b, c, d = max(left, 0), min(left + tw, image.shape[1]), max(top, 0), min(top + th, image.shape[0])
+                if a < b and c < d:
+                    image[c:d, a:b] = block[c - top : d - top, a - left : b - left]
+        if region is not None:
+            yield pa.RecordBatch.from_pylist([*done, finished(image, region)], schema)
+
+    return parts.mapInArrow(run, _IMAGE)
 
 
 def image_struct(images: DataFrame) -> DataFrame:
