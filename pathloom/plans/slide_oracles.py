@@ -66,7 +66,9 @@ place AS (
 cell AS (SELECT slide_id, c AS class, x, y, avg(CASE WHEN c = 0 THEN v ELSE 1 - v END) AS prob FROM place, unnest([0, 1]) k(c) GROUP BY ALL),
 laid AS (
   SELECT slide_id, c AS class, x, y, ((patch_id + 7 * CAST(floor((j + 0.5) * 2 / n) AS BIGINT) + 13 * CAST(floor((i + 0.5) * 2 / n) AS BIGINT)) % 100 / 100.0)::FLOAT AS v FROM place, unnest([0, 1]) k(c))"""
-_RGB = "px AS (SELECT DISTINCT slide_id, point_id AS x, 0 AS y, x % 256 AS r, y % 256 AS g, (x + y) % 256 AS b FROM points WHERE slide_id IS NOT NULL)"
+_RGB = f"""{_LEVELS}, px AS (
+  SELECT slide_id, x, y, (7 * x + 13 * y) % 256 AS r, (3 * x + 5 * y + 40) % 256 AS g, (x * y + 80) % 256 AS b
+  FROM zero, unnest(generate_series(0, w0 // 1024 - 1)) s(x), unnest(generate_series(0, h0 // 1024 - 1)) t(y))"""
 
 _MASK_BOX = "mbox AS (SELECT slide_id, min(x)::DOUBLE AS bx1, min(y)::DOUBLE AS by1, max(x) + 1.0 AS bx2, max(y) + 1.0 AS by2 FROM cells GROUP BY slide_id)"
 _GRID_4 = f"""size AS (SELECT *, {_last('bx1', 'bx2', '4.0::DOUBLE')} AS nx, {_last('by1', 'by2', '4.0::DOUBLE')} AS ny FROM mbox),
@@ -138,6 +140,14 @@ def _summed(source: str, size: int, white: bool) -> str:
 
 _SPREAD = "true AS inside, CAST(0 AS BIGINT) AS n_close, true AS some, true AS fewer_valid"
 
+_OTSU = f"""{_RGB},
+h AS (SELECT slide_id, CAST(floor(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b + 0.5) AS INTEGER) AS gray, count(*) AS n FROM px GROUP BY ALL),
+        c AS (SELECT *, sum(n) OVER u AS n0, sum(n * gray) OVER u AS s0, sum(n) OVER w AS na, sum(n * gray) OVER w AS sa FROM h
+              WINDOW u AS (PARTITION BY slide_id ORDER BY gray), w AS (PARTITION BY slide_id)),
+        v AS (SELECT slide_id, gray, CASE WHEN na > n0 THEN n0::DOUBLE * (na - n0)::DOUBLE * (s0::DOUBLE / n0 - (sa - s0)::DOUBLE / (na - n0)) * (s0::DOUBLE / n0 - (sa - s0)::DOUBLE / (na - n0)) ELSE 0 END AS v FROM c),
+otsu AS (SELECT slide_id, gray AS threshold FROM v QUALIFY row_number() OVER (PARTITION BY slide_id ORDER BY v DESC, gray) = 1)"""
+_TISSUE_CELLS = "dark AS (SELECT p.slide_id, p.x, p.y FROM px p JOIN otsu o USING (slide_id) WHERE floor(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b + 0.5) <= threshold)"
+
 
 def _ramp(knots: list[tuple[float, float]]) -> str:
     parts = [f"WHEN pos <= {x1} THEN {y0} + (pos - {x0}) * ({y1} - {y0}) / ({x1} - {x0})" for (x0, y0), (x1, y1) in zip(knots, knots[1:])]
@@ -320,12 +330,25 @@ ORACLES: dict[str, str] = {
           GROUP BY ALL HAVING count(*) = (3 - (g.x IN (0, 109))::INT) * (3 - (g.y IN (0, 109))::INT))
         SELECT e.slide_id, e.x, e.y FROM eaten e WHERE EXISTS (SELECT 1 FROM eaten d WHERE d.slide_id = e.slide_id AND abs(d.x - e.x) + abs(d.y - e.y) = 1)
     """,
-    "tissue_otsu": f"""WITH {_RGB},
-        h AS (SELECT slide_id, CAST(floor(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b + 0.5) AS INTEGER) AS gray, count(*) AS n FROM px GROUP BY ALL),
-        c AS (SELECT *, sum(n) OVER u AS n0, sum(n * gray) OVER u AS s0, sum(n) OVER w AS na, sum(n * gray) OVER w AS sa FROM h
-              WINDOW u AS (PARTITION BY slide_id ORDER BY gray), w AS (PARTITION BY slide_id)),
-        v AS (SELECT slide_id, gray, CASE WHEN na > n0 THEN n0::DOUBLE * (na - n0)::DOUBLE * (s0::DOUBLE / n0 - (sa - s0)::DOUBLE / (na - n0)) * (s0::DOUBLE / n0 - (sa - s0)::DOUBLE / (na - n0)) ELSE 0 END AS v FROM c)
-        SELECT slide_id, gray AS threshold FROM v QUALIFY row_number() OVER (PARTITION BY slide_id ORDER BY v DESC, gray) = 1
+    "tissue_otsu": f"WITH {_OTSU} SELECT * FROM otsu",
+    "tissue_otsu_cells": f"WITH {_OTSU}, {_TISSUE_CELLS} SELECT * FROM dark",
+    "tissue_overlay": f"""WITH {_OTSU}, {_TISSUE_CELLS},
+        step AS (SELECT slide_id, x, y, x + dx AS nx, y + dy AS ny FROM dark, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) s(dx, dy)),
+        side AS (SELECT t.slide_id, t.x, t.y, count(*) AS n FROM step t JOIN dark e ON e.slide_id = t.slide_id AND e.x = t.nx AND e.y = t.ny GROUP BY ALL),
+        kind AS (SELECT p.*, d.slide_id IS NOT NULL AS lit, d.slide_id IS NOT NULL AND coalesce(n, 0) < 4 AS edge FROM px p LEFT JOIN dark d USING (slide_id, x, y) LEFT JOIN side USING (slide_id, x, y))
+        SELECT slide_id, x, y, {", ".join(f"CAST(CASE WHEN edge THEN {o} WHEN lit THEN floor({c} * (1 - 128 / 255.0::DOUBLE) + {m} * (128 / 255.0::DOUBLE) + 0.5) ELSE {c} END AS INTEGER) AS {c}" for c, m, o in (("r", 0, 0), ("g", 128, 0), ("b", 0, 255)))} FROM kind
+    """,
+    "polygon_mask": """
+        WITH once AS (SELECT DISTINCT polygon_id, slide_id, points FROM polygons WHERE slide_id IS NOT NULL AND len(points) > 0),
+        ring AS (SELECT polygon_id, slide_id, [{'x': trunc(v.x / 1024)::BIGINT, 'y': trunc(v.y / 1024)::BIGINT} FOR v IN points] AS r FROM once),
+        edge AS (SELECT polygon_id, slide_id, r[i].x AS px, r[i].y AS py, r[i % len(r) + 1].x AS qx, r[i % len(r) + 1].y AS qy FROM ring, unnest(generate_series(1, len(r))) t(i)),
+        cell AS (
+          SELECT polygon_id, slide_id, x, y FROM (SELECT polygon_id, slide_id, min(px) AS x1, max(px) AS x2, min(py) AS y1, max(py) AS y2 FROM edge GROUP BY ALL), unnest(generate_series(x1, x2)) s(x), unnest(generate_series(y1, y2)) t(y)),
+        side AS (SELECT c.*, e.px, e.py, e.qx, e.qy, (e.qx - e.px) * (c.y - e.py) - (e.qy - e.py) * (c.x - e.px) AS k FROM cell c JOIN edge e ON c.polygon_id = e.polygon_id AND c.slide_id = e.slide_id)
+        SELECT DISTINCT slide_id, x, y FROM (
+          SELECT polygon_id, slide_id, x, y, bool_or(k = 0 AND x BETWEEN least(px, qx) AND greatest(px, qx) AND y BETWEEN least(py, qy) AND greatest(py, qy)) AS lies_on,
+                 count(*) FILTER (((py > y) <> (qy > y)) AND k <> 0 AND ((k < 0) = (qy < py))) % 2 = 1 AS inside FROM side GROUP BY polygon_id, slide_id, x, y)
+        WHERE (lies_on OR inside) AND x >= 0 AND y >= 0
     """,
     "stream_first_arrivals": "SELECT DISTINCT slide_id, x, y, w, h, label FROM patches",
     "saved_windows": """

@@ -17,6 +17,8 @@ from pathloom.streaming import patches as streams
 
 #: Level-0 pixels of a mask cell, and of a raster cell, in these queries.
 MASK_CELL, RASTER_CELL = 2048, 64
+#: Level-0 pixels of a pixel of the images that tissue is looked for in.
+COLOR_CELL = 1024
 TARGET_MPPS = (0.25, 0.5, 1.0, 2.0)
 GRID = sampling.Patches(64, mask_factor=16.0, overlap_ratio=0.5, foreground_ratio=0.0)
 WHOLE = sampling.Patches(8192, mask_factor=float(MASK_CELL), overlap_ratio=0.0, foreground_ratio=0.2)
@@ -442,8 +444,12 @@ def heatmap_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _colors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "points").filter(F.col("slide_id").isNotNull()).distinct()
-    return p.select("slide_id", F.col("point_id").alias("x"), F.lit(0).alias("y"), (F.col("x") % 256).cast("int").alias("r"), (F.col("y") % 256).cast("int").alias("g"), ((F.col("x") + F.col("y")) % 256).cast("int").alias("b"))
+    """The pixels of a small image of each slide: one for 1024 x 1024 of level 0."""
+    zero = _pyramids(spark, sf_dir).select("slide_id", *[F.floor(pyramid.of_level(F.lit(0), c) / COLOR_CELL).alias(c) for c in ("width", "height")]).filter((F.col("width") > 0) & (F.col("height") > 0))
+    span = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    p = zero.withColumn("x", span("width")).withColumn("y", span("height"))
+    x, y = F.col("x"), F.col("y")
+    return p.select("slide_id", "x", "y", ((7 * x + 13 * y) % 256).cast("int").alias("r"), ((3 * x + 5 * y + 40) % 256).cast("int").alias("g"), ((x * y + 80) % 256).cast("int").alias("b"))
 
 
 def tissue_hsv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -458,6 +464,23 @@ def tissue_otsu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masks.otsu_thresholds(_colors(spark, sf_dir).select("slide_id", masks.gray().alias("gray")))
 
 
+def tissue_otsu_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masks.tissue_cells(_colors(spark, sf_dir), "otsu")
+
+
+def tissue_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pixels with the Otsu mask blended over them and its outline drawn."""
+    colors = _colors(spark, sf_dir)
+    return masks.overlay_pixels(colors, cut_lineage(masks.tissue_cells(colors, "otsu")))
+
+
+def polygon_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of 1024 x 1024 pixels inside or on the edge of any polygon."""
+    p = table(spark, sf_dir, "polygons").filter(F.size("points") > 0).select("slide_id", geometry.scaled(F.col("points"), F.lit(float(COLOR_CELL))).alias("points")).filter(F.col("slide_id").isNotNull())
+    size = lambda c: (F.max(F.array_max(F.col("points")[c])).cast("int") + 1)
+    return masks.polygon_cells(p, p.groupBy("slide_id").agg(size("x").alias("width"), size("y").alias("height")))
+
+
 def tissue_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masks without small objects and holes, closed with a 3-cell square."""
     cells = _cells(spark, sf_dir)
@@ -489,6 +512,6 @@ QUERIES = {
         polygon_areas, polygon_grid, polygon_grid_labels, polygon_random, polygon_points, polygon_poisson, polygon_poisson_spread, mask_boxes, mask_outline,
         whole_grid, whole_random, whole_points, whole_poisson_spread, inverted_grid, inverted_random, inverted_points, inverted_poisson_spread, region_relations, box_relations,
         patch_distinct, patch_label_counts, patch_pool_counts, patch_included, patch_problems, patch_numbers, patch_sets, patch_files, patch_files_by_label, annotation_rows, annotation_ellipses,
-        region_native, region_tile_mode, region_wsi_mode, class_bytes, patch_predictions, mean_maps, mean_probability, probability_range, heatmap_pixels, tissue_hsv, tissue_lab, tissue_otsu, tissue_cleaned, saved_windows, saved_sessions, stream_first_arrivals,
+        region_native, region_tile_mode, region_wsi_mode, class_bytes, patch_predictions, mean_maps, mean_probability, probability_range, heatmap_pixels, tissue_hsv, tissue_lab, tissue_otsu, tissue_otsu_cells, tissue_overlay, polygon_mask, tissue_cleaned, saved_windows, saved_sessions, stream_first_arrivals,
     )
 }
