@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pathloom.functions.resize import resize, white_borders
 from pathloom.functions.scalars import whole
 from pathloom.operators import pyramid
+from pathloom.operators.proximity import covered_cells, in_covered
 from pathloom.operators.skew import HOT_ROWS, lookup_join, salted_join
 
 #: Bytes of images that a result batch holds, about.
@@ -62,17 +63,22 @@ def read_regions(requests: DataFrame, tiles: DataFrame, levels: DataFrame, *, mo
     request, [y, x, channel]. Pixels beyond the image are black, or white where
     padding applies (before resampling in tile mode, after it in wsi mode).
     region_id must be unique. A task goes through its regions one by one, so only
-    one region's pixels are held."""
+    one region's pixels are held. Only tiles that some region meets are
+    shuffled, and of these what lies in a region's window goes on with it."""
     r = resolved_regions(requests, levels, mode=mode, level_zero=level_zero).select("slide_id", "region_id", "w", "h", "read_level", "rx", "ry", "rw", "rh", "pad")
     span = lambda a, n: F.sequence(F.greatest(F.floor(F.col(a) / tile), F.lit(0)), F.greatest(F.floor((F.col(a) + F.col(n) - 1) / tile), F.lit(0)))
-    keyed = r.withColumn("tx", F.explode(span("rx", "rw"))).withColumn("ty", F.explode(span("ry", "rh")))
-    t = tiles.select("slide_id", F.col("slide_level").alias("read_level"), F.col("tx").cast("long").alias("tx"), F.col("ty").cast("long").alias("ty"), "x0", "y0", F.col("width").alias("tw"), F.col("height").alias("th"), "data")
-    joined = salted_join(keyed, t, ["slide_id", "read_level", "tx", "ty"], spread_by=["region_id"], hot_rows=hot_rows)
+    on = ["slide_id", "read_level", "tx", "ty"]
+    keyed = r.withColumn("read_level", F.col("read_level").cast("int")).withColumn("tx", F.explode(span("rx", "rw"))).withColumn("ty", F.explode(span("ry", "rh")))
+    t = tiles.select("slide_id", F.col("slide_level").cast("int").alias("read_level"), F.col("tx").cast("long").alias("tx"), F.col("ty").cast("long").alias("ty"), *[F.col(c).cast("int").alias(n) for c, n in (("x0", "x0"), ("y0", "y0"), ("width", "tw"), ("height", "th"))], "data")
+    met = in_covered(t, covered_cells(keyed, *map(F.col, on)), *map(F.col, on))
+    joined = salted_join(keyed, met, on, spread_by=["region_id"], hot_rows=hot_rows, large=True)
     pad_first = mode == "tile"
     columns = ["region_id", "w", "h", "rx", "ry", "rw", "rh", "pad", "x0", "y0", "tw", "th", "data"]
     # Each region has a row without a tile, so that one which meets none is there too: all background.
     none = r.withColumns({"x0": F.lit(None).cast("int"), "y0": F.lit(None).cast("int"), "tw": F.lit(0), "th": F.lit(0), "data": F.lit(None).cast("binary")})
-    parts = joined.select(*columns).unionByName(none.select(*columns)).repartition("region_id").sortWithinPartitions("region_id")
+    pieces = joined.select(*columns)
+    pieces = pieces.mapInArrow(_cut_to_window, pieces.schema)
+    parts = pieces.unionByName(none.select(*columns)).repartition("region_id").sortWithinPartitions("region_id")
     schema = pa.schema([("region_id", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("n_channels", pa.int32()), ("data", pa.binary())])
 
     def finished(image: np.ndarray, region: dict) -> dict:
@@ -113,6 +119,26 @@ def read_regions(requests: DataFrame, tiles: DataFrame, levels: DataFrame, *, mo
     return parts.mapInArrow(run, _IMAGE)
 
 
+def _cut_to_window(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tiles (x0, y0, tw, th, data) cut to the window rx, ry, rw, rh of their row."""
+    for batch in batches:
+        column = lambda c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)
+        x0, y0, tw, th, rx, ry, rw, rh = map(column, ("x0", "y0", "tw", "th", "rx", "ry", "rw", "rh"))
+        left, top = np.maximum(x0, rx), np.maximum(y0, ry)
+        wide, high = (np.maximum(n, 0) for n in (np.minimum(x0 + tw, rx + rw) - left, np.minimum(y0 + th, ry + rh) - top))
+        data, cut = batch.column("data"), []
+        for k, (a, b, w, h) in enumerate(zip((left - x0).tolist(), (top - y0).tolist(), wide.tolist(), high.tolist())):
+            if not data[k].is_valid or not w or not h:
+                cut.append(None)
+                continue
+            tile = np.frombuffer(data[k].as_buffer(), np.uint8).reshape(th[k], tw[k], 3)
+            cut.append(tile[b : b + h, a : a + w].tobytes())
+        for name, values in (("x0", left), ("y0", top), ("tw", wide), ("th", high), ("data", cut)):
+            at = batch.schema.get_field_index(name)
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(values, batch.schema.field(at).type))
+        yield batch
+
+
 def image_struct(images: DataFrame) -> DataFrame:
     """The images in Spark's image struct: BGR bytes, mode 16."""
     @F.pandas_udf("binary")

@@ -84,6 +84,7 @@ def salted_join(
     hot_rows: int = HOT_ROWS,
     null_safe: bool = False,
     hot: DataFrame | None = None,
+    large: bool = False,
 ) -> DataFrame:
     """Inner equi-join of ``left`` and ``right`` on the columns ``on``.
 
@@ -94,6 +95,8 @@ def salted_join(
     Columns of ``right`` must not clash with those of ``left`` except ``on``.
     ``hot`` may give the hot buckets (as ``hot_buckets`` does) where the counts
     are known from compact states; otherwise the keys of ``left`` are counted.
+    ``large``: neither side is broadcast, however small it is estimated (what
+    Python or an explode makes of few bytes may be far more than these).
     """
     if hot is None:
         hot = hot_of(left, on, hot_rows)
@@ -102,7 +105,7 @@ def salted_join(
     match = a["_salt"] == b["_salt_r"]
     for i, k in enumerate(on):
         match = match & _same(a[k], b[f"_r{i}"], null_safe)
-    return a.join(b, match).drop("_salt", "_salt_r", *[f"_r{i}" for i in range(len(on))])
+    return a.join(b.hint("merge") if large else b, match).drop("_salt", "_salt_r", *[f"_r{i}" for i in range(len(on))])
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], *, null_safe: bool = False, spread_by: Sequence[str] | None = None, most: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
