@@ -33,3 +33,8 @@ def _regions(spark, data, **reading):
 def test_tile_mode_without_a_broadcast_of_tiles(spark):
     out = _regions(spark, [("s", 1, 20, 30, None, 0.5, 25, 10), ("s", 2, 0, 0, None, 0.5, 90, 70)], mode="tile", method="BOX")
     assert (out[1] == resize(IMAGE[30:50, 20:70], 25, 10, "BOX")).all() and (out[2] == resize(IMAGE[:140, :180], 90, 70, "BOX")).all()
+
+
+def test_wsi_mode_without_a_broadcast_of_tiles(spark):
+    out = _regions(spark, [("s", 1, 21, 31, None, 0.5, 25, 10), ("s", 2, 0, 0, None, 0.5, 90, 70)], mode="wsi", method="BOX")
+    assert (out[1] == resize(IMAGE[32:52, 20:70], 25, 10, "BOX")).all() and (out[2] == resize(IMAGE[:140, :180], 90, 70, "BOX")).all()
