@@ -38,3 +38,10 @@ def test_tile_mode_without_a_broadcast_of_tiles(spark):
 def test_wsi_mode_without_a_broadcast_of_tiles(spark):
     out = _regions(spark, [("s", 1, 21, 31, None, 0.5, 25, 10), ("s", 2, 0, 0, None, 0.5, 90, 70)], mode="wsi", method="BOX")
     assert (out[1] == resize(IMAGE[32:52, 20:70], 25, 10, "BOX")).all() and (out[2] == resize(IMAGE[:140, :180], 90, 70, "BOX")).all()
+
+
+def test_native_regions_without_a_broadcast_of_tiles(spark):
+    out = _regions(spark, [("s", 1, 30, 30, 0, None, 5, 5), ("s", 2, 10, 20, 0, None, 70, 40), ("s", 3, -9, -9, 0, None, 30, 30), ("s", 4, 190, 140, 0, None, 30, 30)])
+    assert (out[1] == IMAGE[30:35, 30:35]).all() and (out[2] == IMAGE[20:60, 10:80]).all()
+    assert (out[3][9:, 9:] == IMAGE[:21, :21]).all() and not out[3][:9].any()
+    assert (out[4][:10, :10] == IMAGE[140:, 190:]).all() and not out[4][10:].any()
