@@ -30,9 +30,19 @@ def mask_blocks(cells: DataFrame) -> DataFrame:
     """(slide_id, bx, by, bits ARRAY<LONG>): one long for each x of the block,
     with a bit for each y. Only blocks with foreground. Cells that are null or
     negative are none; repeated cells are one."""
-    c = cells.select("slide_id", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).dropna().filter((F.col("x") >= 0) & (F.col("y") >= 0))
-    line = c.groupBy("slide_id", F.floor(F.col("x") / SIDE).alias("bx"), F.floor(F.col("y") / SIDE).alias("by"), (F.col("x") % SIDE).cast("int").alias("row")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("y") % SIDE).cast("int"))).alias("bits")
+    return _packed(cells.filter((F.col("x") >= 0) & (F.col("y") >= 0)))
+
+
+def _at(c: str) -> Column:
+    """A cell's place in its block, for negative ones too."""
+    return F.pmod(F.col(c), F.lit(SIDE)).cast("int")
+
+
+def _packed(cells: DataFrame) -> DataFrame:
+    """``mask_blocks`` with negative cells."""
+    c = cells.select("slide_id", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).dropna()
+    line = c.groupBy("slide_id", F.floor(F.col("x") / SIDE).alias("bx"), F.floor(F.col("y") / SIDE).alias("by"), _at("x").alias("row")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _at("y"))).alias("bits")
     )
     packed = line.groupBy("slide_id", "bx", "by").agg(F.map_from_entries(F.collect_list(F.struct("row", "bits"))).alias("m"))
     zero = F.lit(0).cast("long")
@@ -305,13 +315,37 @@ def outline_cells(cells: DataFrame) -> DataFrame:
     return around.join(other, (F.col("slide_id") == F.col("_s")) & (F.col("nx") == F.col("_x")) & (F.col("ny") == F.col("_y")), "left_anti").select("slide_id", "x", "y").distinct()
 
 
+def _outlined(blocks: DataFrame) -> DataFrame:
+    """Blocks with ``edge``: the bits of ``bits`` that have a background
+    4-neighbour. Each block is handed to its four neighbours once."""
+    sides = {"own": (0, 0), "left": (1, 0), "right": (-1, 0), "below": (0, 1), "above": (0, -1)}
+    to = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(a).alias("dx"), F.lit(b).alias("dy")) for n, (a, b) in sides.items()])
+    sent = blocks.withColumn("to", F.explode(to)).select("slide_id", (F.col("bx") + F.col("to.dx")).alias("bx"), (F.col("by") + F.col("to.dy")).alias("by"), F.col("to.n").alias("n"), "bits")
+    met = sent.groupBy("slide_id", "bx", "by").agg(*[F.first(F.when(F.col("n") == n, F.col("bits")), ignorenulls=True).alias(n) for n in sides]).filter(F.col("own").isNotNull())
+    of = lambda side, i: F.coalesce(F.get(F.col(side), i), F.lit(0).cast("long"))
+    shift = lambda how, v, n: F.call_function(f"shift{how}", v, F.lit(n))
+
+    def edge(i: Column) -> Column:
+        own = of("own", i)
+        before = F.when(i == 0, of("left", F.lit(SIDE - 1))).otherwise(of("own", i - 1))
+        after = F.when(i == SIDE - 1, of("right", F.lit(0))).otherwise(of("own", i + 1))
+        down = shift("left", own, 1).bitwiseOR(shift("rightunsigned", of("below", i), SIDE - 1))
+        up = shift("rightunsigned", own, 1).bitwiseOR(shift("left", of("above", i), SIDE - 1))
+        return own.bitwiseAND(F.bitwise_not(before.bitwiseAND(after).bitwiseAND(down).bitwiseAND(up)))
+
+    return met.select("slide_id", "bx", "by", F.col("own").alias("bits"), F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), edge).alias("edge"))
+
+
 def overlay_pixels(pixels: DataFrame, cells: DataFrame, *, mask_rgb=(0, 128, 0), alpha: float = 0.5, outline_rgb=(0, 0, 255)) -> DataFrame:
     """Pixels (slide_id, x, y, r, g, b) with the mask blended over them and its
-    contour drawn; ``mask_rgb`` or ``outline_rgb`` None leaves that out."""
+    contour drawn; ``mask_rgb`` or ``outline_rgb`` None leaves that out. Pixels
+    meet the mask's blocks, not its cells."""
     a = round(255 * alpha) / 255
-    on = cells.select("slide_id", "x", "y", F.lit(True).alias("_on")).distinct()
-    edge = outline_cells(cells).withColumn("_edge", F.lit(True))
-    p = pixels.join(on, ["slide_id", "x", "y"], "left").join(edge, ["slide_id", "x", "y"], "left")
+    # Far more blocks and pixels than the bytes they are made of: never broadcast.
+    blocks = _outlined(_packed(cells)).select(F.col("slide_id").alias("_s"), "bx", "by", "bits", "edge").hint("shuffle_hash")
+    here = (F.col("slide_id") == F.col("_s")) & (F.floor(F.col("x") / SIDE) == F.col("bx")) & (F.floor(F.col("y") / SIDE) == F.col("by"))
+    bit = lambda c: F.coalesce(F.call_function("shiftrightunsigned", F.get(c, _at("x")), _at("y")).bitwiseAND(1) == 1, F.lit(False))
+    p = pixels.join(blocks, here, "left").withColumns({"_on": bit("bits"), "_edge": bit("edge")})
     for i, c in enumerate("rgb"):
         value = F.col(c)
         if mask_rgb is not None:

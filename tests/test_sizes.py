@@ -3,9 +3,10 @@
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from pathloom.functions.resize import resize
-from pathloom.operators import pixels
+from pathloom.operators import masks, pixels
 from pathloom.sources.slides import TILES, cut_tiles
 
 
@@ -13,6 +14,12 @@ def planned(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def finished(df):
+    """The adaptive plan after a run."""
+    df.collect()
+    return planned(df).split("Initial Plan")[0]
+
+
 IMAGE = np.random.default_rng(4).integers(0, 256, (150, 200, 3)).astype(np.uint8)
 LEVEL = "slide_id string, wsi_file string, slide_level int, width int, height int, downsample double, mpp double, magnification int"
 REQUEST = "slide_id string, region_id long, x int, y int, slide_level int, mpp double, w int, h int"
@@ -45,3 +52,20 @@ def test_native_regions_without_a_broadcast_of_tiles(spark):
     assert (out[1] == IMAGE[30:35, 30:35]).all() and (out[2] == IMAGE[20:60, 10:80]).all()
     assert (out[3][9:, 9:] == IMAGE[:21, :21]).all() and not out[3][:9].any()
     assert (out[4][:10, :10] == IMAGE[140:, 190:]).all() and not out[4][10:].any()
+
+
+def test_overlay_meets_blocks_and_is_not_broadcast(spark):
+    rng = np.random.default_rng(6)
+    for low, share in ((0, 0.7), (-70, 0.95)):
+        mask = rng.random((140, 131)) < share
+        cells = spark.createDataFrame([("s", int(x) + low, int(y) + low) for x, y in np.argwhere(mask)] + [("t", 63, 63), ("s", None, 2)], "slide_id string, x long, y long")
+        side = F.explode(F.sequence(F.lit(low - 1), F.lit(low + 141)))
+        seen = spark.createDataFrame([("s",), ("t",), (None,)], "slide_id string").withColumn("x", side).withColumn("y", side).withColumns({c: F.lit(200) for c in "rgb"})
+        over = masks.overlay_pixels(seen, cells, mask_rgb=(1, 1, 1), alpha=1.0, outline_rgb=(9, 9, 9))
+        got = over.toPandas()
+        assert len(got) == 3 * 143 * 143
+        of = lambda c: {(r.slide_id, r.x, r.y) for r in got[got.r == c].itertuples()}
+        edge = {tuple(r) for r in masks.outline_cells(cells.dropna()).collect()}
+        held = {tuple(r) for r in cells.dropna().collect()}
+        assert of(9) == edge and of(1) == held - edge
+    assert "BroadcastHashJoin" not in finished(over)
