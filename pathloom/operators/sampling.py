@@ -205,6 +205,8 @@ def poisson_candidates(regions: DataFrame, patches: Patches, spacing: float | st
             out.append([{"seq": i, "mx": float(p[0] + a), "my": float(p[1] + b)} for i, p in enumerate(found)])
         return pd.Series(out)
 
+    # The optimizer would filter by an array's size before the regions are dealt, and sample twice for that.
+    sample = sample.asNondeterministic()
     points = r.withColumn("_p", sample("bx1", "by1", "bx2", "by2", "_gap", "_seed"))
     return points.select(*regions.columns, "shape", F.inline("_p")).withColumn("msize", patches.mask_size)
 

@@ -5,8 +5,10 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
+from conftest import rows
 from pathloom.functions.resize import resize
 from pathloom.operators import masks, pixels
+from pathloom.plans.slides import _spread_check
 from pathloom.sources.slides import TILES, cut_tiles
 
 
@@ -69,3 +71,13 @@ def test_overlay_meets_blocks_and_is_not_broadcast(spark):
         held = {tuple(r) for r in cells.dropna().collect()}
         assert of(9) == edge and of(1) == held - edge
     assert "BroadcastHashJoin" not in finished(over)
+
+
+def test_spread_of_points_is_checked_without_a_broadcast(spark):
+    box = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]
+    ring = "array<struct<x:double,y:double>>"
+    points = [("s", 1, i, x, y, [(box, [])]) for i, (x, y) in enumerate([(1.0, 1.0), (1.5, 1.0), (7.0, 7.0), (2.1, 2.1)])]
+    c = spark.createDataFrame(points, f"slide_id string, region_id long, seq long, mx double, my double, parts array<struct<ext:{ring},holes:array<{ring}>>>")
+    checked = _spread_check(c, c.filter("seq < 2"), 1.0)
+    assert rows(checked) == [("s", 1, True, 1, True, True)]
+    assert "cx" not in "".join(x for x in planned(checked).splitlines() if "BroadcastHashJoin" in x)
