@@ -174,8 +174,11 @@ def inverted_regions(cells: DataFrame, polygons: DataFrame, *, label: str = "",
         rings = [r["ext"] for r in _from_polygon(planar.union(valid))]
         return pa.table({"slide_id": held["slide_id"].slice(0, 1), "outlines": pa.array([rings], pa.list_(_ARROW_RING))})
 
-    clusters = _touching(regions)
-    merged = clusters.select("slide_id", "cluster", "parts").groupBy("slide_id", "cluster").applyInArrow(merge, schema).groupBy("slide_id").agg(F.flatten(F.collect_list("outlines")).alias("outlines"))
+    # Few bytes, much work: the clusters are dealt to all tasks, and merged once however often the regions are used.
+    n = int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    clusters = _touching(regions).select("slide_id", "cluster", "parts").repartition(n, "slide_id", "cluster")
+    merged = clusters.groupBy("slide_id", "cluster").applyInArrow(merge, schema).groupBy("slide_id").agg(F.flatten(F.collect_list("outlines")).alias("outlines"))
+    merged = cut_lineage(merged)
     return (
         whole_mask_regions(cells, label).join(merged, "slide_id", "left")
         .withColumn("parts", F.transform("parts", lambda p: F.struct(p["ext"].alias("ext"), F.coalesce(F.col("outlines"), p["holes"]).alias("holes"))))

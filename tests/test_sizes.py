@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from pathloom.functions.resize import resize
-from pathloom.operators import masks, pixels
+from pathloom.operators import masks, pixels, regions
 from pathloom.plans.slides import _spread_check
 from pathloom.sources.slides import TILES, cut_tiles
 
@@ -81,3 +81,14 @@ def test_spread_of_points_is_checked_without_a_broadcast(spark):
     checked = _spread_check(c, c.filter("seq < 2"), 1.0)
     assert rows(checked) == [("s", 1, True, 1, True, True)]
     assert "cx" not in "".join(x for x in planned(checked).splitlines() if "BroadcastHashJoin" in x)
+
+
+def test_inverted_regions_are_merged_once(spark):
+    ring = "array<struct<x:double,y:double>>"
+    square = lambda x, y: [(x, y), (x + 2.0, y), (x + 2.0, y + 2.0), (x, y + 2.0)]
+    polygons = spark.createDataFrame([("s", 1, "a", square(1.0, 1.0), None), ("s", 2, "a", square(2.0, 2.0), None), ("s", 3, "a", square(6.0, 6.0), None)], f"slide_id string, polygon_id long, label string, points {ring}, holes array<{ring}>")
+    cells = spark.createDataFrame([("s", 0, 0), ("s", 9, 9)], "slide_id string, x long, y long")
+    inverted = regions.inverted_regions(cells, polygons)
+    assert "FlatMapGroupsInArrow" not in planned(inverted)
+    holes = inverted.first().parts[0]["holes"]
+    assert sorted(len(h) for h in holes) == [4, 8]
