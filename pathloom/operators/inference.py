@@ -103,6 +103,19 @@ def stitch(outputs: DataFrame, *, classes: int, maps: bool = False, interpolatio
     return total.select("slide_id", "x", "y", F.inline(each)).select("slide_id", "class", "x", "y", "prob")
 
 
+def covered_squares(outputs: DataFrame, *, classes: int) -> DataFrame:
+    """The outputs of one number a class with the cells x1 to x2 and y1 to y2
+    (ends not included) that ``stitch`` fills with them; none where x1 is null."""
+    o = outputs.select("slide_id", *[F.col(c).cast("long").alias(c) for c in ("px", "py", "psize", "raster_w", "raster_h")], "shape", "output").filter(F.col("slide_id").isNotNull())
+    lo = {c: F.greatest(F.col(f"p{c}"), F.lit(0)) for c in "xy"}
+    hi = {c: F.least(F.col(f"p{c}") + F.col("psize"), F.col(limit)) for c, limit in (("x", "raster_w"), ("y", "raster_h"))}
+    there = (F.col("psize") > 0) & (hi["x"] > lo["x"]) & (hi["y"] > lo["y"])
+    fits = (F.size("shape") == 1) & (F.col("shape")[0] == classes)
+    wrong = F.raise_error(F.lit("the outputs have another rank or number of classes")).cast("long")
+    ends = {f"{c}{k}": F.when(there, F.when(fits, v[c]).otherwise(wrong)) for c in "xy" for k, v in ((1, lo), (2, hi))}
+    return o.withColumns(ends).drop("px", "py", "psize", "shape")
+
+
 def _laid_out(classes: int, interpolation: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The cells of maps: a batch's cells are summed up before they leave it."""
     zoom = INTERPOLATIONS[interpolation]

@@ -7,7 +7,7 @@ raster's size, never by how many patches it had. The bytes come out as columns;
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,10 @@ from pathloom.functions import codecs
 from pathloom.functions.scalars import color_rgb
 from pathloom.operators import pyramid
 from pathloom.operators.heatmap import MAPS
-from pathloom.operators.inference import byte_probability
+from pathloom.operators.inference import byte_probability, covered_squares
+
+#: Bytes of images that a result batch holds, about.
+_OUT_BYTES = 8 * 1024 * 1024
 
 
 def _per_slide(cells: DataFrame, sizes: DataFrame, make: Callable[[pa.Table, dict], list[bytes | None]], names: list[str]) -> DataFrame:
@@ -79,6 +82,51 @@ def class_images(probabilities: DataFrame, sizes: DataFrame, *, of_class: int) -
     return _per_slide(cells, sizes, make, ["png", "tif"])
 
 
+def stitched_class_images(values: DataFrame, *, classes: int, of_class: int, places: int = 9) -> DataFrame:
+    """(slide_id, png) as ``class_images`` has it, of the means that ``stitch``
+    makes of ``values`` (one number a class), rounded to ``places``.
+
+    No row a cell is made: a slide's outputs are laid on its raster batch by
+    batch, so a task holds one raster, and of the outputs a batch. The raster is
+    that of a slide's outputs, which have it alike."""
+    o = covered_squares(values, classes=classes).filter(F.col("raster_w").isNotNull() & F.col("raster_h").isNotNull())
+    squares = o.select("slide_id", "raster_w", "raster_h", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("x1", "x2", "y1", "y2")], F.coalesce(F.col("output")[of_class].cast("double"), F.lit(0.0)).alias("v"))
+    n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = T.StructType([values.schema["slide_id"], T.StructField("png", T.BinaryType())])
+
+    def drawn(total: np.ndarray, count: np.ndarray) -> bytes:
+        gray = np.zeros(total.shape, np.uint8)
+        at = np.flatnonzero(count)
+        mean = np.nan_to_num(total.ravel()[at] / count.ravel()[at], posinf=np.inf, neginf=-np.inf)
+        mean = np.floor(mean * 10.0**places + 0.5) / 10.0**places
+        if ((mean < 0) | (mean > 1)).any():
+            raise ValueError("probability outside [0, 1]")
+        gray.ravel()[at] = np.floor(mean * 255)
+        return codecs.png_bytes(gray)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slide, total, count, done, size = None, None, None, [], 0
+        for batch in batches:
+            ids = batch.column("slide_id").to_pylist()
+            squares = zip(ids, *[batch.column(c).to_numpy().tolist() for c in ("raster_w", "raster_h", "x1", "x2", "y1", "y2", "v")])
+            for key, w, h, x1, x2, y1, y2, v in squares:
+                if key != slide:
+                    if slide is not None:
+                        done.append({"slide_id": slide, "png": drawn(total, count)})
+                        size += len(done[-1]["png"])
+                        if size >= _OUT_BYTES:
+                            yield pa.RecordBatch.from_pylist(done, out)
+                            done, size = [], 0
+                    slide, total, count = key, np.zeros((h, w)), np.zeros((h, w), np.int32)
+                total[y1:y2, x1:x2] += v
+                count[y1:y2, x1:x2] += 1
+        if slide is not None:
+            yield pa.RecordBatch.from_pylist([*done, {"slide_id": slide, "png": drawn(total, count)}], out)
+
+    out = pa.schema([("slide_id", pa.string()), ("png", pa.binary())])
+    return squares.repartition(n, "slide_id").sortWithinPartitions("slide_id").mapInArrow(run, schema)
+
+
 def color_table(cmap: str, steps: int = 256) -> np.ndarray:
     """The RGB bytes of a colour map's steps."""
     at = np.arange(steps) / (steps - 1)

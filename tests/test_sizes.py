@@ -3,11 +3,13 @@
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from pathloom.functions import codecs
 from pathloom.functions.resize import resize
-from pathloom.operators import masks, pixels, regions
+from pathloom.operators import inference, masks, outputs, pixels, regions
 from pathloom.plans.slides import _spread_check
 from pathloom.sources.slides import TILES, cut_tiles
 
@@ -92,3 +94,24 @@ def test_inverted_regions_are_merged_once(spark):
     assert "FlatMapGroupsInArrow" not in planned(inverted)
     holes = inverted.first().parts[0]["holes"]
     assert sorted(len(h) for h in holes) == [4, 8]
+
+
+OUTPUTS = "slide_id string, px long, py long, psize long, raster_w int, raster_h int, shape array<int>, output array<double>"
+
+
+def test_stitched_class_images_hold_no_rows_of_cells(spark):
+    rng = np.random.default_rng(8)
+    data = [(str(rng.choice(["s", "t"])), int(rng.integers(-9, 60)), int(rng.integers(-9, 40)), int(rng.integers(0, 9)), 57, 38, [2], [p := float(rng.integers(0, 100)) / 100, 1 - p]) for _ in range(300)]
+    data += [("beyond", 99, 0, 4, 57, 38, [2], [0.5, 0.5]), (None, 0, 0, 4, 57, 38, [2], [0.5, 0.5]), ("no size", 0, 0, 4, None, 38, [2], [0.5, 0.5]), ("no value", 0, 0, 4, 57, 38, [2], [None, None])]
+    values = spark.createDataFrame(data, OUTPUTS)
+    sizes = values.filter("raster_w is not null").selectExpr("slide_id", "raster_w as width", "raster_h as height")
+    probs = inference.stitch(values.filter("raster_w is not null"), classes=2).withColumn("prob", F.round("prob", 9))
+    for c in (0, 1):
+        images = outputs.stitched_class_images(values, classes=2, of_class=c)
+        assert not re.search("Generate|FlatMapCoGroups", planned(images))
+        got = {r.slide_id: bytes(r.png) for r in images.collect()}
+        assert got == {r.slide_id: bytes(r.png) for r in outputs.class_images(probs, sizes, of_class=c).collect()}
+        assert set(got) == {"s", "t", "beyond", "no value"} and not codecs.read_png(got["beyond"]).any()
+    for bad, text in ((("s", 0, 0, 4, 9, 9, [2], [1.5, 0.0]), "outside"), (("s", 0, 0, 4, 9, 9, [3], [0.5, 0.0]), "number of classes")):
+        with pytest.raises(Exception, match=text):
+            outputs.stitched_class_images(spark.createDataFrame([bad], OUTPUTS), classes=2, of_class=0).collect()
