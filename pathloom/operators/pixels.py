@@ -7,7 +7,7 @@ keys, and put together from those few tiles. A slide is never loaded whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -58,26 +58,33 @@ def resolved_regions(requests: DataFrame, levels: DataFrame, *, mode: str | None
     return out.drop("_f", "_m", "levels")
 
 
-def read_regions(requests: DataFrame, tiles: DataFrame, levels: DataFrame, *, mode: str | None = None, skip_padding: bool = False, method: str = "LANCZOS", tile: int = 256, level_zero: bool = True, hot_rows: int = HOT_ROWS) -> DataFrame:
+def read_regions(requests: DataFrame, tiles: DataFrame, levels: DataFrame, *, mode: str | None = None, skip_padding: bool = False, method: str = "LANCZOS", tile: int = 256, level_zero: bool = True, hot_rows: int = HOT_ROWS, draw: Callable[[dict], np.ndarray] | None = None) -> DataFrame:
     """(region_id, width, height, n_channels, data): the raw RGB pixels of each
     request, [y, x, channel]. Pixels beyond the image are black, or white where
     padding applies (before resampling in tile mode, after it in wsi mode).
     region_id must be unique. A task goes through its regions one by one, so only
     one region's pixels are held. Only tiles that some region meets are
-    shuffled, and of these what lies in a region's window goes on with it."""
+    shuffled, and of these what lies in a region's window goes on with it.
+
+    ``draw`` makes a tile's pixels [y, x, 3], from its row of ``tiles`` as a
+    dict. ``tiles`` then needs no data: its rows are shuffled in place of
+    pixels, and a tile is made in the task of the regions that meet it."""
     r = resolved_regions(requests, levels, mode=mode, level_zero=level_zero).select("slide_id", "region_id", "w", "h", "read_level", "rx", "ry", "rw", "rh", "pad")
     span = lambda a, n: F.sequence(F.greatest(F.floor(F.col(a) / tile), F.lit(0)), F.greatest(F.floor((F.col(a) + F.col(n) - 1) / tile), F.lit(0)))
     on = ["slide_id", "read_level", "tx", "ty"]
     keyed = r.withColumn("read_level", F.col("read_level").cast("int")).withColumn("tx", F.explode(span("rx", "rw"))).withColumn("ty", F.explode(span("ry", "rh")))
-    t = tiles.select("slide_id", F.col("slide_level").cast("int").alias("read_level"), F.col("tx").cast("long").alias("tx"), F.col("ty").cast("long").alias("ty"), *[F.col(c).cast("int").alias(n) for c, n in (("x0", "x0"), ("y0", "y0"), ("width", "tw"), ("height", "th"))], "data")
+    t = tiles.select("slide_id", F.col("slide_level").cast("int").alias("read_level"), F.col("tx").cast("long").alias("tx"), F.col("ty").cast("long").alias("ty"), *[F.col(c).cast("int").alias(n) for c, n in (("x0", "x0"), ("y0", "y0"), ("width", "tw"), ("height", "th"))], *(["data"] if draw is None else [F.struct(*tiles.columns).alias("_tile")]))
     met = in_covered(t, covered_cells(keyed, *map(F.col, on)), *map(F.col, on))
     joined = salted_join(keyed, met, on, spread_by=["region_id"], hot_rows=hot_rows, large=True)
     pad_first = mode == "tile"
     columns = ["region_id", "w", "h", "rx", "ry", "rw", "rh", "pad", "x0", "y0", "tw", "th", "data"]
     # Each region has a row without a tile, so that one which meets none is there too: all background.
     none = r.withColumns({"x0": F.lit(None).cast("int"), "y0": F.lit(None).cast("int"), "tw": F.lit(0), "th": F.lit(0), "data": F.lit(None).cast("binary")})
-    pieces = joined.select(*columns)
-    pieces = pieces.mapInArrow(_cut_to_window, pieces.schema)
+    if draw is None:
+        pieces = joined.select(*columns)
+        pieces = pieces.mapInArrow(_cut_to_window, pieces.schema)
+    else:
+        pieces = joined.select(*columns[:-1], "_tile").mapInArrow(lambda batches: _cut_to_window(batches, draw), none.select(*columns).schema)
     parts = pieces.unionByName(none.select(*columns)).repartition("region_id").sortWithinPartitions("region_id")
     schema = pa.schema([("region_id", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("n_channels", pa.int32()), ("data", pa.binary())])
 
@@ -119,24 +126,38 @@ def read_regions(requests: DataFrame, tiles: DataFrame, levels: DataFrame, *, mo
     return parts.mapInArrow(run, _IMAGE)
 
 
-def _cut_to_window(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tiles (x0, y0, tw, th, data) cut to the window rx, ry, rw, rh of their row."""
+def _cut_to_window(batches: Iterable[pa.RecordBatch], draw: Callable[[dict], np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
+    """Tiles (x0, y0, tw, th, data) cut to the window rx, ry, rw, rh of their row.
+
+    With ``draw``, data is made from the row's ``_tile``. The join leaves a
+    tile's rows one after the other, so that is done once for all of them."""
+    last, tile = None, None
     for batch in batches:
         column = lambda c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)
         x0, y0, tw, th, rx, ry, rw, rh = map(column, ("x0", "y0", "tw", "th", "rx", "ry", "rw", "rh"))
         left, top = np.maximum(x0, rx), np.maximum(y0, ry)
         wide, high = (np.maximum(n, 0) for n in (np.minimum(x0 + tw, rx + rw) - left, np.minimum(y0 + th, ry + rh) - top))
-        data, cut = batch.column("data"), []
+        source = batch.column("data" if draw is None else "_tile")
+        source = source if draw is None else source.to_pylist()
+        small = batch.drop_columns(["data" if draw is None else "_tile"])
+        for name, values in (("x0", left), ("y0", top), ("tw", wide), ("th", high)):
+            at = small.schema.get_field_index(name)
+            small = small.set_column(at, small.schema.field(at), pa.array(values, small.schema.field(at).type))
+        cut, begun, size = [], 0, 0
         for k, (a, b, w, h) in enumerate(zip((left - x0).tolist(), (top - y0).tolist(), wide.tolist(), high.tolist())):
-            if not data[k].is_valid or not w or not h:
+            if not w or not h or (draw is None and not source[k].is_valid):
                 cut.append(None)
                 continue
-            tile = np.frombuffer(data[k].as_buffer(), np.uint8).reshape(th[k], tw[k], 3)
+            if draw is None:
+                tile = np.frombuffer(source[k].as_buffer(), np.uint8).reshape(th[k], tw[k], 3)
+            elif source[k] != last:
+                last, tile = source[k], draw(source[k])
             cut.append(tile[b : b + h, a : a + w].tobytes())
-        for name, values in (("x0", left), ("y0", top), ("tw", wide), ("th", high), ("data", cut)):
-            at = batch.schema.get_field_index(name)
-            batch = batch.set_column(at, batch.schema.field(at), pa.array(values, batch.schema.field(at).type))
-        yield batch
+            size += len(cut[-1])
+            if size >= _OUT_BYTES:
+                yield small.slice(begun, len(cut)).append_column("data", pa.array(cut, pa.binary()))
+                cut, begun, size = [], k + 1, 0
+        yield small.slice(begun, len(cut)).append_column("data", pa.array(cut, pa.binary()))
 
 
 def image_struct(images: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +116,34 @@ def test_stitched_class_images_hold_no_rows_of_cells(spark):
     for bad, text in ((("s", 0, 0, 4, 9, 9, [2], [1.5, 0.0]), "outside"), (("s", 0, 0, 4, 9, 9, [3], [0.5, 0.0]), "number of classes")):
         with pytest.raises(Exception, match=text):
             outputs.stitched_class_images(spark.createDataFrame([bad], OUTPUTS), classes=2, of_class=0).collect()
+
+
+def test_wsi_mode_shuffles_places_of_tiles_and_draws_those_it_reads(spark):
+    def drawn(tile):
+        assert (tile["tx"], tile["ty"]) in {(0, 1), (1, 1), (2, 1)} and tile["note"] == "kept"
+        return IMAGE[tile["y0"] : tile["y0"] + tile["height"], tile["x0"] : tile["x0"] + tile["width"]]
+
+    levels = spark.createDataFrame([("s", "s.svs", 0, 200, 150, 1.0, 0.25, 40)], LEVEL)
+    places = [("s", 0, x // 32, y // 32, x, y, min(32, 200 - x), min(32, 150 - y), "kept") for y in range(0, 150, 32) for x in range(0, 200, 32)]
+    tiles = spark.createDataFrame(places, "slide_id string, slide_level int, tx int, ty int, x0 int, y0 int, width int, height int, note string")
+    requests = spark.createDataFrame([("s", i, 21 + i, 33, None, 0.5, 25, 10) for i in range(5)], REQUEST)
+    images = pixels.read_regions(requests, tiles, levels, tile=32, skip_padding=True, mode="wsi", method="BOX", hot_rows=2, draw=drawn)
+    out = {r.region_id: np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 3) for r in images.collect()}
+    for i in range(5):
+        left, top = 2 * round((21 + i) / 2), 2 * round(33 / 2)
+        assert (out[i] == resize(IMAGE[top : top + 20, left : left + 50], 25, 10, "BOX")).all()
+    joined = re.search(r"Project \[([^]]*)\]\n[^\n]*SortMergeJoin", planned(images))[1]
+    assert "_tile#" in joined and "data#" not in joined
+
+
+def test_cut_windows_are_yielded_in_small_batches(monkeypatch):
+    monkeypatch.setattr(pixels, "_OUT_BYTES", 2000)
+    drawn = []
+    row = lambda i, x: {"region_id": i, "x0": x, "y0": 0, "tw": 32, "th": 32, "rx": x + i, "ry": 2, "rw": 20, "rh": 10, "_tile": {"x": x}}
+    given = [row(i, x) for x in (0, 32, 64) for i in range(4)]
+    got = list(pixels._cut_to_window([pa.RecordBatch.from_pylist(given)], lambda t: drawn.append(t["x"]) or IMAGE[:32, t["x"] : t["x"] + 32]))
+    assert drawn == [0, 32, 64] and len(got) > 3
+    for want, r in zip(given, (r for b in got for r in b.to_pylist()), strict=True):
+        wide = min(20, 32 - want["region_id"])
+        assert (r["region_id"], r["x0"], r["y0"], r["tw"], r["th"]) == (want["region_id"], want["rx"], 2, wide, 10)
+        assert r["data"] == IMAGE[2:12, want["rx"] : want["rx"] + wide].tobytes()
