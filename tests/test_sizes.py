@@ -11,6 +11,7 @@ from conftest import rows
 from pathloom.functions import codecs
 from pathloom.functions.resize import resize
 from pathloom.operators import inference, masks, outputs, pixels, regions
+from pathloom.plans import slide_oracles, slides
 from pathloom.plans.slides import _spread_check
 from pathloom.sources.slides import TILES, cut_tiles
 
@@ -147,3 +148,20 @@ def test_cut_windows_are_yielded_in_small_batches(monkeypatch):
         wide = min(20, 32 - want["region_id"])
         assert (r["region_id"], r["x0"], r["y0"], r["tw"], r["th"]) == (want["region_id"], want["rx"], 2, wide, 10)
         assert r["data"] == IMAGE[2:12, want["rx"] : want["rx"] + wide].tobytes()
+
+
+def test_native_query_shuffles_no_pixels_and_reads_slides_of_any_size(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    sizes = {"s": (30000, 20000), "edge": (16384, 16385), "narrow": (200, 20000), "flat": (20000, 200), "dot": (256, 256), None: (9000, 9000)}
+    levels = [(s, f"{s}.svs", level, w >> 2 * level, h >> 2 * level, 4.0**level, 0.25 * 4**level, 40) for s, (w, h) in sizes.items() for level in (0, 1)]
+    rng = np.random.default_rng(9)
+    points = [(60 * k + i, s, i, int(rng.integers(-3000, w + 3000)), int(rng.integers(-3000, h + 3000))) for k, (s, (w, h)) in enumerate(sizes.items()) for i in range(60)]
+    spark.createDataFrame(levels + levels[:3], LEVEL).write.parquet(f"{tmp_path}/slide_levels.parquet")
+    spark.createDataFrame(points + points[:9], "point_id long, slide_id string, seq int, x long, y long").write.parquet(f"{tmp_path}/points.parquet")
+    out = slides.region_native(spark, str(tmp_path))
+    assert "MapInPandas" not in planned(out)
+    db = duckdb.connect()
+    for name in ("points", "slide_levels"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = db.execute(f"SELECT {', '.join(out.columns)} FROM ({slide_oracles.ORACLES['region_native']})").fetchall()
+    assert rows(out) == sorted(want, key=repr) and len(want) > 100
