@@ -69,7 +69,19 @@ def read_regions(requests: DataFrame, tiles: DataFrame, levels: DataFrame, *, mo
     ``draw`` makes a tile's pixels [y, x, 3], from its row of ``tiles`` as a
     dict. ``tiles`` then needs no data: its rows are shuffled in place of
     pixels, and a tile is made in the task of the regions that meet it."""
-    r = resolved_regions(requests, levels, mode=mode, level_zero=level_zero).select("slide_id", "region_id", "w", "h", "read_level", "rx", "ry", "rw", "rh", "pad")
+    r = resolved_regions(requests, levels, mode=mode, level_zero=level_zero)
+    return read_resolved(r, tiles, mode=mode, skip_padding=skip_padding, method=method, tile=tile, hot_rows=hot_rows, draw=draw)
+
+
+#: What is read for a request, of ``resolved_regions``.
+WINDOW = ("slide_id", "region_id", "w", "h", "read_level", "rx", "ry", "rw", "rh", "pad")
+
+
+def read_resolved(resolved: DataFrame, tiles: DataFrame, *, mode: str | None = None, skip_padding: bool = False, method: str = "LANCZOS", tile: int = 256, hot_rows: int = HOT_ROWS, draw: Callable[[dict], np.ndarray] | None = None) -> DataFrame:
+    """``read_regions`` of requests that ``resolved_regions`` resolved in the same
+    mode; of these the columns WINDOW. The plan has them five times over, so
+    many of them, or what is long to plan, had better be given as a table."""
+    r = resolved.select(*WINDOW)
     span = lambda a, n: F.sequence(F.greatest(F.floor(F.col(a) / tile), F.lit(0)), F.greatest(F.floor((F.col(a) + F.col(n) - 1) / tile), F.lit(0)))
     on = ["slide_id", "read_level", "tx", "ty"]
     keyed = r.withColumn("read_level", F.col("read_level").cast("int")).withColumn("tx", F.explode(span("rx", "rw"))).withColumn("ty", F.explode(span("ry", "rh")))

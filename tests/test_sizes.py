@@ -165,3 +165,24 @@ def test_native_query_shuffles_no_pixels_and_reads_slides_of_any_size(spark, tmp
         db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     want = db.execute(f"SELECT {', '.join(out.columns)} FROM ({slide_oracles.ORACLES['region_native']})").fetchall()
     assert rows(out) == sorted(want, key=repr) and len(want) > 100
+
+
+def test_region_queries_resolve_their_requests_once(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    sizes = {"s": (40000, 30000, 0.25), "no mpp": (30000, 20000, None), "small": (5000, 4000, 0.5), "unread": (20000, 20000, 0.25)}
+    levels = [(s, f"{s}.svs", level, w >> 2 * level, h >> 2 * level, 4.0**level, mpp and mpp * 4**level, 40) for s, (w, h, mpp) in sizes.items() for level in (0, 1)]
+    rng = np.random.default_rng(12)
+    points = [(40 * k + i, s, i, int(rng.integers(-3000, 40000)), int(rng.integers(-3000, 30000))) for k, s in enumerate(["s", "no mpp", "small", "unknown", None]) for i in range(40)]
+    points += [(900, "s", 0, None, 5), (901, "s", 1, 5, None), (None, "s", 2, 5, 5)]
+    spark.createDataFrame(levels, LEVEL).write.parquet(f"{tmp_path}/slide_levels.parquet")
+    spark.createDataFrame(points + points[:5], "point_id long, slide_id string, seq int, x long, y long").write.parquet(f"{tmp_path}/points.parquet")
+    db = duckdb.connect()
+    for name in ("points", "slide_levels"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for query, least in ((slides.region_native, 40), (slides.region_tile_mode, 20), (slides.region_wsi_mode, 20)):
+        out = query(spark, str(tmp_path))
+        # The driver plans no lookup of a slide's levels for each use of the requests.
+        plan = planned(out)
+        assert "collect_list" not in plan and plan.count("BroadcastExchange") <= 6
+        want = db.execute(f"SELECT {', '.join(out.columns)} FROM ({slide_oracles.ORACLES[query.__name__]})").fetchall()
+        assert rows(out) == sorted(want, key=repr) and len(want) > least
